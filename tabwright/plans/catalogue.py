@@ -1,4 +1,9 @@
 """Importing this module fills the registry."""
 
-from tabwright.plans import drift_queries  # noqa: F401
+from tabwright.plans import (  # noqa: F401
+    drift_queries,
+    prep_queries,
+    profile_queries,
+    source_queries,
+)
 from tabwright.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -123,11 +123,7 @@ def frequency_table(spark, folder):
 
 @query(
     "exact_quantiles",
-    "SELECT column_name, fraction, round(quantile_cont(value, fraction), 6) AS quantile FROM ("
-    + sql_long("lineitem", NUMBERS, "DOUBLE")
-    + ") v, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS fraction) GROUP BY 1, 2"
-    if False
-    else " UNION ALL ".join(
+    " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {q}::DOUBLE AS fraction, round(quantile_cont({c}, {q}), 6) AS quantile FROM lineitem"
         for c in NUMBERS
         for q in (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -168,12 +164,6 @@ def category_divergence(spark, folder):
     return rounded(dist.frequency_measures(c), **{m: 6 for m in _M})
 
 
-def sql_kolmogorov(lam):
-    up = " + ".join(f"({2.0 * (-1) ** (k - 1)}) * exp({-2.0 * k * k} * lam * lam)" for k in range(1, 6))
-    low = " + ".join(f"exp({-((2 * k - 1) ** 2)}::DOUBLE * pi() * pi() / 8 / (lam * lam))" for k in range(1, 6))
-    return f"(SELECT greatest(0, least(1, CASE WHEN lam > 1 THEN {up} ELSE 1 - sqrt(2 * pi()) / lam * ({low}) END)) FROM (SELECT greatest({lam}, 1e-3) AS lam))"
-
-
 _NUMERIC_DRIFT_SQL = f"""SELECT s.column_name, ks AS drift_score,
     greatest(0, least(1, {{p}})) AS p_value, mean_first AS mean_baseline, mean_second AS mean_snapshot,
     mean_second - mean_first AS mean_shift
@@ -221,19 +211,17 @@ def categorical_drift(spark, folder):
 
 @query(
     "category_changes",
-    """WITH a AS (SELECT DISTINCT p_name AS value FROM part WHERE p_size <= 10),
-       b AS (SELECT DISTINCT p_name AS value FROM part WHERE p_size > 10 AND p_retailprice < 950)
-       SELECT 'p_name' AS column_name, value, 'new' AS change FROM b WHERE value NOT IN (SELECT value FROM a)
-       UNION ALL SELECT 'p_name', value, 'missing' FROM a WHERE value NOT IN (SELECT value FROM b)
-       UNION ALL SELECT 'p_brand', value, 'new' FROM (SELECT DISTINCT p_brand AS value FROM part WHERE p_size > 10 AND p_retailprice < 950)
-         WHERE value NOT IN (SELECT p_brand FROM part WHERE p_size <= 10)
-       UNION ALL SELECT 'p_brand', value, 'missing' FROM (SELECT DISTINCT p_brand AS value FROM part WHERE p_size <= 10)
-         WHERE value NOT IN (SELECT p_brand FROM part WHERE p_size > 10 AND p_retailprice < 950)""",
+    """WITH a AS (SELECT DISTINCT c_name AS value FROM customer), b AS (SELECT DISTINCT s_name AS value FROM supplier),
+       c AS (SELECT DISTINCT c_nationkey::VARCHAR AS value FROM customer), d AS (SELECT DISTINCT s_nationkey::VARCHAR AS value FROM supplier)
+       SELECT 'name' AS column_name, value, 'new' AS change FROM b WHERE value NOT IN (SELECT value FROM a)
+       UNION ALL SELECT 'name', value, 'missing' FROM a WHERE value NOT IN (SELECT value FROM b)
+       UNION ALL SELECT 'nation', value, 'new' FROM d WHERE value NOT IN (SELECT value FROM c)
+       UNION ALL SELECT 'nation', value, 'missing' FROM c WHERE value NOT IN (SELECT value FROM d)""",
 )
 def category_changes(spark, folder):
-    part = table(spark, folder, "part")
-    a, b = part.where("p_size <= 10"), part.where("p_size > 10 AND p_retailprice < 950")
-    return drift.category_changes(dist.paired_counts(a, b, ["p_name", "p_brand"], "categorical"))
+    a = table(spark, folder, "customer").selectExpr("c_name AS name", "CAST(c_nationkey AS STRING) AS nation")
+    b = table(spark, folder, "supplier").selectExpr("s_name AS name", "CAST(s_nationkey AS STRING) AS nation")
+    return drift.category_changes(dist.paired_counts(a, b, ["name", "nation"], "categorical"))
 
 
 _REPORT_SQL = f"""SELECT column_name, 'numeric' AS column_type, drift_score,
