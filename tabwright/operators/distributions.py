@@ -9,6 +9,7 @@ and bucket totals (columns x buckets rows) carry the running sum from one bucket
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tabwright.session import shuffle_partitions
 
 EPSILON = 1e-10
 HISTOGRAM_BINS = 29
+CUT_POINT_SHARE = 0.05
 
 
 # --- column lists -----------------------------------------------------------
@@ -138,13 +140,13 @@ def bucket_count(df: DataFrame) -> int:
 def fit_cut_points(tables: list[DataFrame], columns: list[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Approximate equal-weight cut points per column: one aggregate, columns x buckets numbers on the driver.
 
-    They only decide how work is split, so the approximation never changes a result.
+    They only decide how work is split, so neither the approximation nor the sampled fit ever changes a result.
     """
     buckets = buckets or bucket_count(tables[0])
     fractions = [i / buckets for i in range(1, buckets)]
     rows = None
     for t in tables:
-        part = t.select(*[numeric(c).alias(c) for c in columns])
+        part = t.select(*[numeric(c).alias(c) for c in columns]).sample(CUT_POINT_SHARE, seed=7)
         rows = part if rows is None else rows.unionByName(part)
     fitted = rows.agg(*[F.percentile_approx(F.col(c), fractions, 20 * buckets).alias(c) for c in columns]).first()
     return {c: sorted(set(fitted[c] or [])) for c in columns}
@@ -168,25 +170,44 @@ def bucket_of(value: Column, cuts: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda state: state["lo"])
 
 
-def cut_table(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(name, [float(x) for x in points]) for name, points in cuts.items()],
-        "column_name string, cuts array<double>",
+def long_bucketed(df: DataFrame, columns: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """(column_name, bucket, value): long rows that carry the range their value falls in."""
+    wide = df.select(*[numeric(c).alias(c) for c in columns])
+    ends = (float("-inf"), float("inf"))
+    bucketed = Bucketizer(
+        splitsArray=[[ends[0], *(cuts[c] or [0.0]), ends[1]] for c in columns],
+        inputCols=columns,
+        outputCols=[f"_bucket__{c}" for c in columns],
+        handleInvalid="keep",
+    ).transform(wide)
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_bucket__{c}").cast("int").alias("bucket"), F.col(c).alias("value"))
+        for c in columns
+    ]
+    return bucketed.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+
+
+def ordered_counts(df: DataFrame, columns: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """(column_name, bucket, value, n)."""
+    return long_bucketed(df, columns, cuts).groupBy("column_name", "bucket", "value").agg(F.count("*").alias("n"))
+
+
+def ordered_paired_counts(
+    first: DataFrame, second: DataFrame, columns: list[str], cuts: dict[str, list[float]]
+) -> DataFrame:
+    """(column_name, bucket, value, n_first, n_second)."""
+    tagged = (
+        long_bucketed(first, columns, cuts)
+        .withColumn("is_first", F.lit(True))
+        .unionByName(long_bucketed(second, columns, cuts).withColumn("is_first", F.lit(False)))
     )
-
-
-def with_buckets(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    # The cut table has one row per column: broadcast is bounded by the schema, not the data.
-    return (
-        counts.join(F.broadcast(cut_table(counts, cuts)), "column_name")
-        .withColumn("bucket", bucket_of(F.col("value"), F.col("cuts")))
-        .drop("cuts")
+    return tagged.groupBy("column_name", "bucket", "value").agg(
+        F.count(F.when(F.col("is_first"), 1)).alias("n_first"), F.count(F.when(~F.col("is_first"), 1)).alias("n_second")
     )
 
 
-def running_counts(counts: DataFrame, cuts: dict[str, list[float]], *names: str) -> DataFrame:
+def running_counts(bucketed: DataFrame, *names: str) -> DataFrame:
     """Add ``cum_<name>`` (inclusive running sum in value order) and ``total_<name>`` per column."""
-    bucketed = with_buckets(counts, cuts)
     inside = W.partitionBy("column_name", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy("column_name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("column_name")
@@ -205,16 +226,14 @@ def running_counts(counts: DataFrame, cuts: dict[str, list[float]], *names: str)
     return joined
 
 
-def ks_distance(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+def ks_distance(counts: DataFrame) -> DataFrame:
     """Largest gap between the two cumulative distributions of each column.
 
     Within a bucket the gap is the bucket's offset plus a local part, so only the smallest and largest local
     part matter: the scan leaves one row per bucket, and no joined detail is needed.
     """
-    sized = with_buckets(with_totals(counts, "n_first", "n_second"), cuts)
+    sized = with_totals(counts, "n_first", "n_second")
     inside = W.partitionBy("column_name", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    share_first = F.col("n_first") / F.col("total_n_first")
-    share_second = F.col("n_second") / F.col("total_n_second")
     gap = F.sum("n_first").over(inside) / F.col("total_n_first") - F.sum("n_second").over(inside) / F.col(
         "total_n_second"
     )
@@ -245,8 +264,7 @@ def quantiles(df: DataFrame, columns: list[str], fractions: list[float], buckets
     neighbouring order statistics off the two-level running counts instead.
     """
     cuts = fit_cut_points([df], columns, buckets)
-    counts = value_counts(df, columns, "numeric")
-    return quantiles_of_counts(running_counts(counts, cuts, "n"), fractions)
+    return quantiles_of_counts(running_counts(ordered_counts(df, columns, cuts), "n"), fractions)
 
 
 def quantiles_of_counts(running: DataFrame, fractions: list[float]) -> DataFrame:
@@ -288,7 +306,7 @@ def sketch_quantiles(df: DataFrame, columns: list[str], fractions: list[float],
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, rank): ranks from 1 with ties averaged, one row per distinct value."""
     cuts = fit_cut_points([df], columns)
-    running = running_counts(value_counts(df, columns, "numeric"), cuts, "n")
+    running = running_counts(ordered_counts(df, columns, cuts), "n")
     rank = F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)
     return running.select("column_name", "value", "n", "total_n", rank.alias("rank"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.special import chi_square_tail, kolmogorov_tail
 from tabwright.operators import distributions as dist
+from tabwright.operators.scalars import attach
 
 REPORT = [
     "column_name", "column_type", "test_used", "drift_score", "p_value", "alert_level",
@@ -27,7 +28,7 @@ def alert_level(score: Column, p_value: Column | None = None) -> Column:
 def numeric_drift(baseline: DataFrame, snapshot: DataFrame, columns: list[str], use_p_value: bool = True) -> DataFrame:
     """KS distance, p-value, means and spreads per numeric column; an empty side scores 0 and stays green."""
     cuts = dist.fit_cut_points([baseline, snapshot], columns)
-    ks = dist.ks_distance(dist.paired_counts(baseline, snapshot, columns, "numeric"), cuts)
+    ks = dist.ks_distance(dist.ordered_paired_counts(baseline, snapshot, columns, cuts))
     summary = dist.paired_summary(baseline, snapshot, columns)
     joined = summary.join(F.broadcast(ks.select("column_name", "ks")), "column_name", "left")
     filled = (F.col("n_first") > 0) & (F.col("n_second") > 0)
@@ -202,7 +203,7 @@ def conditional_bins(
         )
         gap = F.abs(F.col("baseline_mean") - F.col("snapshot_mean"))
         diff = F.when(F.col("spread") > 0, F.least(F.lit(1.0), gap / F.col("spread"))).otherwise(0.0)
-        scored = binned.crossJoin(F.broadcast(spread)).withColumn("diff", diff).drop("spread")
+        scored = attach(binned, spread).withColumn("diff", diff).drop("spread")
     else:
         counts = rows.groupBy("feature", "bin", F.col("target").cast("string").alias("target")).agg(
             F.count(F.when(is_base, 1)).alias("n_first"), F.count(F.when(~is_base, 1)).alias("n_second")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions import keyed
 from tabwright.operators import distributions as dist
+from tabwright.operators.scalars import attach
 from tabwright.operators.indexing import with_global_index
 
 MISSING = "__MISSING__"
@@ -105,14 +106,14 @@ def fit_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def min_max_scale(df: DataFrame, ranges: DataFrame, columns: list[str], epsilon: float = 1e-7) -> DataFrame:
-    """Scale with ranges fitted elsewhere; the one-row side is broadcast."""
-    joined = df.crossJoin(F.broadcast(ranges))
+    """Scale with ranges fitted elsewhere."""
+    joined = attach(df, ranges)
     scaled = {c: (dist.numeric(c) - F.col(f"min__{c}")) / (F.col(f"max__{c}") - F.col(f"min__{c}") + epsilon) for c in columns}
     return joined.withColumns(scaled).select(*df.columns)
 
 
 def min_max_restore(df: DataFrame, ranges: DataFrame, columns: list[str], epsilon: float = 1e-7) -> DataFrame:
-    joined = df.crossJoin(F.broadcast(ranges))
+    joined = attach(df, ranges)
     restored = {c: F.col(c) * (F.col(f"max__{c}") - F.col(f"min__{c}") + epsilon) + F.col(f"min__{c}") for c in columns}
     return joined.withColumns(restored).select(*df.columns)
 
@@ -122,7 +123,7 @@ def z_scale(df: DataFrame, original: DataFrame, columns: list[str], epsilon: flo
     parts = []
     for c in columns:
         parts += [F.avg(dist.numeric(c)).alias(f"mean__{c}"), F.stddev_samp(dist.numeric(c)).alias(f"std__{c}")]
-    joined = df.crossJoin(F.broadcast(original.agg(*parts)))
+    joined = attach(df, original.agg(*parts))
     scaled = {c: (dist.numeric(c) - F.col(f"mean__{c}")) / (F.col(f"std__{c}") + epsilon) for c in columns}
     return joined.withColumns(scaled).select(*df.columns)
 
@@ -142,7 +143,7 @@ def split_by_order(df: DataFrame, order: list[str], share: float = 0.7) -> DataF
     """Add ``is_train``: the first share of the rows in order."""
     indexed = with_global_index(df, order, "_index")
     total = df.agg(F.count("*").alias("_total"))
-    joined = indexed.crossJoin(F.broadcast(total))
+    joined = attach(indexed, total)
     return joined.withColumn("is_train", F.col("_index") < F.floor(F.lit(share) * F.col("_total"))).drop("_index", "_total")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.operators.scalars import attach
+
 # Words in a column name that hint at time.
 TEMPORAL_KEYWORDS = [
     "time", "date", "year", "month", "day", "hour", "minute", "second", "timestamp", "period", "sequence",
@@ -148,7 +150,7 @@ def series_score(df: DataFrame, order_column: str | None = None, value_column: s
         + F.lit(0.1 * len(hints))
         + F.when(F.col("ordered"), 0.2).otherwise(0.0)
     )
-    both = found.crossJoin(F.broadcast(ordered)).withColumn("score", F.least(F.lit(1.0), score))
+    both = attach(found, ordered).withColumn("score", F.least(F.lit(1.0), score))
     return both.select(
         "datetime_columns",
         F.lit(len(hints)).cast("bigint").alias("temporal_features"),

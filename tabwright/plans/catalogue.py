@@ -1,6 +1,7 @@
 """Importing this module fills the registry."""
 
 from tabwright.plans import (  # noqa: F401
+    compare_queries,
     drift_queries,
     prep_queries,
     profile_queries,

@@ -143,7 +143,7 @@ def joint_histogram(spark, folder):
 def ks_statistic(spark, folder):
     first, second = lines(spark, folder)
     cuts = dist.fit_cut_points([first, second], NUMBERS)
-    return rounded(dist.ks_distance(dist.paired_counts(first, second, NUMBERS, "numeric"), cuts), ks=6)
+    return rounded(dist.ks_distance(dist.ordered_paired_counts(first, second, NUMBERS, cuts)), ks=6)
 
 
 _M = ["kl", "js", "overlap", "chi_square_distance"]
