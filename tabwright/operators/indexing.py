@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabwright.operators.distributions import bucket_count, bucket_of
 
 
-def _range_bucket(df: DataFrame, order: list[str], ranges: int | None) -> Column:
+def range_bucket(df: DataFrame, order: list[str], ranges: int | None) -> Column:
     """Which splitter range a row falls in; the splitters are the keys with the smallest hashes."""
     ranges = ranges or min(256, bucket_count(df))
     key = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(ranges)
@@ -31,7 +31,7 @@ def _range_bucket(df: DataFrame, order: list[str], ranges: int | None) -> Column
 
 def with_global_index(df: DataFrame, order: list[str], name: str = "index", ranges: int | None = None) -> DataFrame:
     """Add a 0-based position in the order of the given columns, which must be unique together and not null."""
-    bucketed = df.withColumn("_range", _range_bucket(df, order, ranges))
+    bucketed = df.withColumn("_range", range_bucket(df, order, ranges))
     # One row per range, at most a few hundred.
     totals = bucketed.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = totals.select(

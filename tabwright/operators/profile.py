@@ -123,10 +123,10 @@ def is_ordered(df: DataFrame, order_column: str, value_column: str, keys: list[s
     The check compares neighbours inside ranges of the order column and then range against range, so no
     single task sees the whole table.
     """
-    from tabwright.operators.indexing import _range_bucket
+    from tabwright.operators.indexing import range_bucket
 
     kept = df.select(F.col(order_column).alias("_o"), F.col(value_column).alias("_v")).where("_o IS NOT NULL AND _v IS NOT NULL")
-    ranged = kept.withColumn("_range", _range_bucket(kept, ["_o"], None))
+    ranged = kept.withColumn("_range", range_bucket(kept, ["_o"], None))
     w = W.partitionBy("_range").orderBy("_o", "_v")
     steps = ranged.withColumn("_fell", F.col("_v") < F.lag("_v").over(w))
     per_range = steps.groupBy("_range").agg(

@@ -3,7 +3,9 @@
 from tabwright.plans import (  # noqa: F401
     compare_queries,
     drift_queries,
+    pii_queries,
     prep_queries,
+    privacy_queries,
     profile_queries,
     source_queries,
 )
