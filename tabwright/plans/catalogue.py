@@ -3,6 +3,8 @@
 from tabwright.plans import (  # noqa: F401
     compare_queries,
     drift_queries,
+    document_queries,
+    log_queries,
     pii_queries,
     prep_queries,
     privacy_queries,
