@@ -295,6 +295,35 @@ def quantile_map(df: DataFrame, columns: list[str], fractions: list[float]) -> d
     return out
 
 
+def quantile_grid(df: DataFrame, columns: list[str], steps: int) -> dict[str, list[float]]:
+    """Exact quantiles at 0, 1/steps, ..., 1 on the driver: columns x (steps + 1) numbers.
+
+    A distinct value covers the positions between the counts before and after it; integer arithmetic gives the
+    grid points that fall there, so each grid point is emitted by exactly one value.
+    """
+    cuts = fit_cut_points([df], columns)
+    rows = running_counts(ordered_counts(df, columns, cuts), "n")
+    last = F.col("total_n") - 1
+    before = F.col("cum_n") - F.col("n")
+
+    def points(first, end):
+        # Grid points i with first <= (i * last) div steps <= end.
+        low = F.expr("0") if first is None else F.greatest(F.lit(0), F.ceil(first * steps / F.greatest(last, F.lit(1))))
+        high = F.least(F.lit(steps), F.ceil((end + 1) * steps / F.greatest(last, F.lit(1))) - 1)
+        return F.when(last <= 0, F.sequence(F.lit(0), F.lit(steps))).when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
+
+    low = rows.select("column_name", "total_n", F.col("value").alias("low"), F.explode(points(before, F.col("cum_n") - 1)).alias("i"))
+    high_end = F.when(F.col("cum_n") == F.col("total_n"), F.col("cum_n")).otherwise(F.col("cum_n") - 2)
+    high = rows.select("column_name", F.col("value").alias("high"), F.explode(points(F.greatest(F.lit(0), before - 1), high_end)).alias("i"), before.alias("b"), "cum_n", "total_n")
+    spot = F.least(F.floor(F.col("i") * last / steps) + 1, last)
+    high = high.where((spot >= F.col("b")) & (spot < F.col("cum_n"))).select("column_name", "i", "high")
+    out: dict[str, list[float]] = {c: [0.0] * (steps + 1) for c in columns}
+    for r in low.join(high, ["column_name", "i"]).collect():
+        part = (r.i * (r.total_n - 1)) % steps / steps
+        out[r.column_name][r.i] = r.low + part * (r.high - r.low)
+    return out
+
+
 def sketch_quantiles(df: DataFrame, columns: list[str], fractions: list[float], accuracy: int = 10000) -> DataFrame:
     """Approximate quantiles from one pass, for tables where an exact answer is not worth a shuffle."""
     row = df.agg(*[F.percentile_approx(numeric(c), fractions, accuracy).alias(f"q__{c}") for c in columns])

@@ -44,3 +44,20 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "index", rang
         .withColumn(name, (F.col("_local") + F.col("_before") - 1).cast("bigint"))
         .drop("_range", "_local", "_before")
     )
+
+
+EXPAND_CHUNK = 10_000
+
+
+def expand_counts(df: DataFrame, count: str, name: str, chunk: int = EXPAND_CHUNK) -> DataFrame:
+    """Repeat every row ``count`` times, numbered from 0 in ``name``.
+
+    A count in the billions first becomes chunks, which are spread over the cluster, so that neither one array
+    nor one task holds a hot row's copies.
+    """
+    last = ((F.col(count) - 1) / chunk).cast("bigint")
+    chunks = df.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    spread = chunks.repartition(*[F.col(c) for c in df.columns], F.col("_chunk"))
+    low = F.col("_chunk") * chunk
+    high = F.least(low + chunk, F.col(count).cast("bigint")) - 1
+    return spread.withColumn(name, F.explode(F.sequence(low, high))).drop("_chunk")

@@ -182,8 +182,8 @@ def weighted_draw(values: list[tuple[str, int]], u: Column) -> Column:
     running, steps = 0, []
     for value, n in values:
         running += n
-        steps.append(F.struct(F.lit(running / total).alias("hi"), F.lit(value).alias("value")))
-    steps[-1] = F.struct(F.lit(1.0).alias("hi"), F.lit(values[-1][0]).alias("value"))
+        steps.append(F.struct(F.lit(running / total).alias("hi"), F.lit(value).cast("string").alias("value")))
+    steps[-1] = F.struct(F.lit(1.0).alias("hi"), F.lit(values[-1][0]).cast("string").alias("value"))
     return F.get(F.filter(F.array(*steps), lambda s: u < s["hi"]), F.lit(0))["value"]
 
 
