@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions import keyed
-from tabwright.operators.indexing import with_global_index
+from tabwright.operators.indexing import with_hashed_index
 from tabwright.operators.scalars import attach
 
 # SQL type names and the kind of value they take.
@@ -80,7 +80,7 @@ def change_events(
     columns = df.columns
     free = [c for c in columns if c not in keys and c not in frozen]
     schedule = change_schedule(df, keys, start, hours, seed=seed, **ratios)
-    indexed = with_global_index(df, keys, "_i")
+    indexed = with_hashed_index(df, keys, "_i")
     total = df.agg(F.count("*").alias("_n"))
     ids = [*[F.col(k) for k in keys], F.col("version")]
     steps = attach(schedule, total).withColumn("_donor", keyed.index_below(F.col("_n"), "cdc-donor", *ids, seed=seed))
@@ -142,7 +142,7 @@ def new_rows(
     key = F.col("id")
     out = rows.select("id")
     for column, (parent, parent_column) in parents.items():
-        indexed = with_global_index(parent.select(F.col(parent_column).alias(column)).distinct(), [column], "_at")
+        indexed = with_hashed_index(parent.select(F.col(parent_column).alias(column)).distinct(), [column], "_at")
         sized = attach(out, indexed.agg(F.count("*").alias("_n")))
         out = sized.withColumn("_at", keyed.index_below(F.col("_n"), f"fk:{column}", key, seed=seed)).drop("_n").join(indexed, "_at").drop("_at")
     cells = []

@@ -62,8 +62,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     Edges point from the end of lower degree to the other (ties by id), so no node has more than sqrt(2m)
     outgoing edges, and a hub with a third of all edges opens no wedges of its own.
     """
-    simple = simple_edges(edges)
-    d = degrees(node_table(simple), simple)
+    simple = cut_lineage(simple_edges(edges))
+    d = cut_lineage(degrees(node_table(simple), simple))
     ranked = simple.join(d.select(F.col("id").alias("src"), F.col("degree").alias("_ds")), "src").join(
         d.select(F.col("id").alias("dst"), F.col("degree").alias("_dd")), "dst"
     )
@@ -73,6 +73,7 @@ def triangles(edges: DataFrame) -> DataFrame:
         F.when(low_first, F.col("dst")).otherwise(F.col("src")).alias("v"),
         F.greatest("_ds", "_dd").alias("_dv"),
     )
+    oriented = cut_lineage(oriented)
     one = oriented.select("u", F.col("v").alias("b"), F.col("_dv").alias("_db"))
     two = oriented.select("u", F.col("v").alias("c"), F.col("_dv").alias("_dc"))
     wedges = one.join(two, "u").where((F.col("_db") < F.col("_dc")) | ((F.col("_db") == F.col("_dc")) & (F.col("b") < F.col("c"))))
@@ -292,7 +293,7 @@ def draw_attributes(rows: DataFrame, observed: DataFrame, keys: list[str], colum
     """
     values = observed.select(*[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(observed.columns) if k != column], F.explode(column).alias("attribute", "value"))
     order = ["attribute", *[c for c in values.columns if c.startswith("_k")]]
-    numbered = with_global_index(values, order, "_i")
+    numbered = cut_lineage(with_global_index(cut_lineage(values), order, "_i"))
     spans = numbered.groupBy("attribute").agg(F.min("_i").alias("_start"), F.count("*").alias("_n"))
     names = spans.collect()  # one row per attribute name
     if not names:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import keyed
 from tabwright.operators import graph
-from tabwright.operators.indexing import expand_counts, with_global_index
+from tabwright.operators.indexing import expand_counts, with_digest_index, with_global_index, with_hashed_index
 from tabwright.operators.scalars import attach
 from tabwright.session import cut_lineage
 
@@ -32,13 +32,14 @@ def scale_degree_sequence(degrees: DataFrame, n: int) -> DataFrame:
 
     Degrees are kept between 1 and n - 1; where their sum comes out odd, node 0 gets one more.
     """
+    degrees = cut_lineage(degrees)
     ordered = degrees.select(F.col("id").alias("_id"), (-F.col("degree")).alias("_neg"), "degree")
     indexed = with_global_index(ordered, ["_neg", "_id"], "_i").select("_i", "degree")
     total = degrees.agg(F.count("*").alias("_n0"))
     rows = attach(degrees.sparkSession.range(n), total).withColumn("_i", F.expr(f"(id * _n0) div {n}")).drop("_n0")
     taken = rows.join(indexed, "_i").select("id", F.greatest(F.lit(1), F.least(F.lit(n - 1), F.col("degree"))).cast("bigint").alias("degree"))
     odd = taken.agg((F.sum("degree") % 2).alias("_odd"))
-    fixed = attach(taken, odd)
+    fixed = attach(cut_lineage(taken), odd)
     return fixed.select("id", (F.col("degree") + F.when(F.col("id") == 0, F.col("_odd")).otherwise(0)).alias("degree"))
 
 
@@ -50,7 +51,7 @@ def stubs(degrees: DataFrame, name: str = "degree") -> DataFrame:
 def shuffled_stubs(degrees: DataFrame, tag: str, seed: int, name: str = "degree") -> DataFrame:
     """Stubs numbered in a hashed order."""
     rows = stubs(degrees, name).withColumn("_h", keyed.digest(tag, F.col("id"), F.col("_j"), seed=seed))
-    return with_global_index(rows, ["_h", "id", "_j"], "_i").select("_i", "id")
+    return cut_lineage(with_digest_index(rows, "_h", ["id", "_j"], "_i").select("_i", "id"))
 
 
 def configuration_model(degrees: DataFrame, seed: int = keyed.SEED) -> DataFrame:
@@ -69,7 +70,7 @@ def directed_configuration_model(degrees: DataFrame, seed: int = keyed.SEED) ->
 
 def chung_lu(degrees: DataFrame, seed: int = keyed.SEED) -> DataFrame:
     """Half as many draws as stubs, both ends taken at hashed stub positions, that is by degree."""
-    numbered = with_global_index(stubs(degrees), ["id", "_j"], "_i").select("_i", "id")
+    numbered = cut_lineage(with_hashed_index(stubs(degrees), ["id", "_j"], "_i").select("_i", "id"))
     total = degrees.agg(F.sum("degree").alias("_t"))
     draws = attach(numbered.where("_i % 2 = 0").select((F.col("_i") / 2).cast("bigint").alias("e")), total)
     ends = draws.select("e", *[keyed.index_below(F.col("_t"), f"cl-{x}", F.col("e"), seed=seed).alias(f"_{x}") for x in "ab"])
@@ -193,9 +194,10 @@ def remove_edges(edges: DataFrame, surplus: int, seed: int = keyed.SEED) -> Data
     free = marked.join(kept, "_h", "left_anti")
     scored = free.join(d.select(F.col("id").alias("src"), F.col("degree").alias("_a")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("_b")), "dst")
     scored = scored.where("_a > 1 AND _b > 1").withColumn("_low", F.least("_a", "_b"))
-    ranked = with_global_index(scored.select("src", "dst", "_low", "_h"), ["_low", "_h"], "_i")
+    free_edges = cut_lineage(scored.select("src", "dst", "_low", "_h"))
+    ranked = with_global_index(free_edges, ["_low", "_h"], "_i")
     gone = ranked.where(F.col("_i") < surplus).select("src", "dst")
-    return edges.join(gone, ["src", "dst"], "left_anti")
+    return edges.select("src", "dst").join(gone, ["src", "dst"], "left_anti")
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame, missing: int, bias: float = 0.7, seed: int = keyed.SEED) -> DataFrame:
@@ -205,8 +207,8 @@ def add_edges(nodes: DataFrame, edges: DataFrame, missing: int, bias: float = 0.
     d = graph.degrees(nodes, edges)
     mean = d.agg(F.avg("degree").alias("_m"))
     low = attach(d, mean).where("degree < _m").select("id")
-    every = with_global_index(nodes.select("id"), ["id"], "_i")
-    lows = with_global_index(low, ["id"], "_i")
+    every = with_hashed_index(nodes.select("id"), ["id"], "_i")
+    lows = cut_lineage(with_hashed_index(cut_lineage(low), ["id"], "_i"))
     n, k = every.count(), lows.count()
     if n < 2:
         return edges
@@ -222,7 +224,7 @@ def add_edges(nodes: DataFrame, edges: DataFrame, missing: int, bias: float = 0.
     made = first.join(every.select(F.col("_i").alias("_b"), F.col("id").alias("y")), "_b").where("x <> y")
     fresh = made.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.min("e").alias("e"))
     fresh = fresh.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    ranked = with_global_index(fresh, ["e"], "_i").where(F.col("_i") < missing)
+    ranked = with_hashed_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < missing)
     return edges.select("src", "dst").unionByName(ranked.select("src", "dst"))
 
 
@@ -244,7 +246,7 @@ def ensure_connected(nodes: DataFrame, edges: DataFrame, seed: int = keyed.SEED)
 
 def adjacency_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(places(_i, src, dst), spans(src, _start, _n)): each node's neighbours at consecutive numbers."""
-    places = with_global_index(graph.both_ways(edges), ["src", "dst"], "_i")
+    places = cut_lineage(with_global_index(cut_lineage(graph.both_ways(edges)), ["src", "dst"], "_i"))
     return places, places.groupBy("src").agg(F.min("_i").alias("_start"), F.count("*").alias("_n"))
 
 
@@ -256,7 +258,7 @@ def close_triads(edges: DataFrame, k: int, seed: int = keyed.SEED) -> DataFrame:
     """
     if k <= 0:
         return edges.select("src", "dst")
-    simple = graph.simple_edges(edges)
+    simple = cut_lineage(graph.simple_edges(edges))
     places, spans = adjacency_index(simple)
     total = places.agg(F.count("*").alias("_t"))
     draws = attach(edges.sparkSession.range(4 * k + 16), total)  # spare draws for closed and repeated wedges
@@ -266,7 +268,7 @@ def close_triads(edges: DataFrame, k: int, seed: int = keyed.SEED) -> DataFrame:
     wedges = second.join(places.select("_i", F.col("dst").alias("b")), "_i").where("a <> b")
     fresh = wedges.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("e").alias("e"))
     fresh = fresh.join(simple, ["src", "dst"], "left_anti")
-    ranked = with_global_index(fresh, ["e"], "_i").where(F.col("_i") < k)
+    ranked = with_hashed_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < k)
     return simple.unionByName(ranked.select("src", "dst"))
 
 
@@ -276,9 +278,9 @@ def augment(nodes: DataFrame, edges: DataFrame, labels: DataFrame, extra: int, f
     A new node takes the degree of a random node and the community of another (so by community size); its ends
     are degree-weighted draws, inside the community with probability ``p_intra``, from stubs numbered by community.
     """
-    simple = graph.simple_edges(edges)
-    d = graph.degrees(nodes, simple)
-    every = with_global_index(d.join(labels, "id"), ["id"], "_i")
+    simple = cut_lineage(graph.simple_edges(edges))
+    d = cut_lineage(graph.degrees(nodes, simple))
+    every = cut_lineage(with_hashed_index(cut_lineage(d.join(labels, "id")), ["id"], "_i"))
     n = every.count()
     new = nodes.sparkSession.range(extra)
     e = F.col("id")
@@ -286,8 +288,8 @@ def augment(nodes: DataFrame, edges: DataFrame, labels: DataFrame, extra: int, f
     drawn = drawn.join(every.select(F.col("_i").alias("_d"), F.greatest(F.col("degree"), F.lit(1)).alias("degree")), "_d").join(
         every.select(F.col("_i").alias("_h"), "community"), "_h"
     )
-    stub_rows = stubs(d.where("degree > 0")).join(labels, "id")
-    places = with_global_index(stub_rows, ["community", "id", "_j"], "_s").select("_s", F.col("id").alias("end"), "community")
+    stub_rows = cut_lineage(stubs(d.where("degree > 0")).join(labels, "id"))
+    places = cut_lineage(with_global_index(stub_rows, ["community", "id", "_j"], "_s").select("_s", F.col("id").alias("end"), "community"))
     spans = places.groupBy("community").agg(F.min("_s").alias("_start"), F.count("*").alias("_n"))
     total = places.agg(F.count("*").alias("_t"))
     slots = expand_counts(drawn.select("id", "degree", "community"), "degree", "_j")
@@ -322,7 +324,7 @@ def choose_model(stats: dict, power_law: float) -> str:
 def synthesize_graph(nodes: DataFrame, edges: DataFrame, n: int | None = None, model: str | None = None, connect: bool = True, seed: int = keyed.SEED) -> tuple[DataFrame, DataFrame, str]:
     """(nodes, edges, model): a graph of n nodes that resembles the observed one."""
     spark = nodes.sparkSession
-    simple = graph.simple_edges(edges)
+    simple = cut_lineage(graph.simple_edges(edges))
     stats = graph.graph_stats(nodes, simple).first().asDict()
     n = n or stats["nodes"]
     if model is None:

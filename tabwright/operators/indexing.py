@@ -29,16 +29,13 @@ def range_bucket(df: DataFrame, order: list[str], ranges: int | None) -> Column:
     return bucket_of(F.struct(*[F.col(c) for c in order]), array)
 
 
-def with_global_index(df: DataFrame, order: list[str], name: str = "index", ranges: int | None = None) -> DataFrame:
-    """Add a 0-based position in the order of the given columns, which must be unique together and not null."""
-    bucketed = df.withColumn("_range", range_bucket(df, order, ranges))
-    # One row per range, at most a few hundred.
+def _number(bucketed: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Positions in (_range, order): one small table of range totals, and one window per range."""
     totals = bucketed.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = totals.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = bucketed.withColumn("_local", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    # At most 4096 ranges, so the offsets are safe to broadcast.
     return (
         local.join(F.broadcast(offsets), "_range")
         .withColumn(name, (F.col("_local") + F.col("_before") - 1).cast("bigint"))
@@ -46,6 +43,29 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "index", rang
     )
 
 
+def with_global_index(df: DataFrame, order: list[str], name: str = "index", ranges: int | None = None) -> DataFrame:
+    """Add a 0-based position in the order of the given columns, which must be unique together and not null.
+
+    The input is read three times (splitters, totals, rows): hand in a table or something cut off its lineage.
+    """
+    return _number(df.withColumn("_range", range_bucket(df, order, ranges)), order, name)
+
+
+def with_hashed_index(df: DataFrame, keys: list[str], name: str = "index") -> DataFrame:
+    """Add a 0-based number in the order of (first three hex digits of the key digest, keys).
+
+    For draws that need some numbering rather than a sorted one: no splitters have to be fitted, and keys that
+    lie close together are spread evenly.
+    """
+    digest = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)
+    return _number(df.withColumn("_range", F.substring(digest, 1, 3)), keys, name)
+
+
+def with_digest_index(df: DataFrame, digest: str, keys: list[str], name: str = "index") -> DataFrame:
+    """Add a 0-based position in the order of a hex digest column, ties by keys; its leading digits are the ranges."""
+    return _number(df.withColumn("_range", F.substring(digest, 1, 3)), [digest, *keys], name)
+
+
 EXPAND_CHUNK = 10_000
 
 

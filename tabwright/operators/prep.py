@@ -10,6 +10,7 @@ from tabwright.functions import keyed
 from tabwright.operators import distributions as dist
 from tabwright.operators.scalars import attach
 from tabwright.operators.indexing import with_global_index
+from tabwright.session import cut_lineage
 
 MISSING = "__MISSING__"
 
@@ -79,7 +80,7 @@ def prepare_features(df: DataFrame, target: str) -> DataFrame:
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): the distinct values in sorted order numbered from 0."""
-    values = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+    values = cut_lineage(df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct())
     return with_global_index(values, ["value"], "code")
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import keyed
 from tabwright.operators.cdc import insert_statement
-from tabwright.operators.indexing import expand_counts, with_global_index
+from tabwright.operators.indexing import expand_counts, with_hashed_index
 from tabwright.operators.logs import weighted_draw
 from tabwright.operators.prep import fixed_sample
 from tabwright.operators.scalars import attach
 from tabwright.operators.synthesis import independent_rows
+from tabwright.session import cut_lineage
 
 
 def orphans(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -179,11 +180,11 @@ def synthesize_children(
     else:
         counts = child.groupBy(F.col(child_column).alias("_k")).agg(F.count("*").alias("_n"))
         observed = parent.select(F.col(parent_column).alias("_k")).distinct().join(counts, "_k", "left").na.fill({"_n": 0})
-        indexed = with_global_index(observed, ["_k"], "_at").select("_at", F.col("_n").cast("int").alias("_n"))
+        indexed = with_hashed_index(observed, ["_k"], "_at").select("_at", F.col("_n").cast("int").alias("_n"))
         total = indexed.count()
         counted = new_parents.select(parent_column, keyed.index_below(total, "children", ids, seed=seed).alias("_at")).join(indexed, "_at").drop("_at")
     slots = expand_counts(counted, "_n", "_j").select(parent_column, (F.col("_j") + 1).alias("_j"))
-    numbered = with_global_index(slots, [parent_column, "_j"], "id")
+    numbered = cut_lineage(with_hashed_index(cut_lineage(slots), [parent_column, "_j"], "id"))
     free = [c for c in child.columns if c != child_column and c not in child_key]
     drawn = independent_rows(child, free, numbered.select("id", F.col(parent_column).alias(child_column), "_j"), child_key, seed)
     made = {k: F.col("id") for k in child_key if k != child_column and len(child_key) == 1}

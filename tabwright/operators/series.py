@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import keyed
 from tabwright.operators import distributions as dist
-from tabwright.operators.indexing import with_global_index
+from tabwright.operators.indexing import with_global_index, with_hashed_index
 from tabwright.operators.profile import sampling_step
 from tabwright.operators.scalars import attach
+from tabwright.session import cut_lineage
 
 CHUNK = 8192
 
 
 def positioned(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add ``position``, the 0-based place of a row in its series; no task sorts a whole hot series."""
-    indexed = with_global_index(df, [*keys, *order], "_g")
+    indexed = cut_lineage(with_global_index(df, [*keys, *order], "_g"))
     if not keys:
         return indexed.withColumnRenamed("_g", "position")
     starts = indexed.groupBy(*keys).agg(F.min("_g").alias("_s"))
@@ -67,6 +68,7 @@ def flatten(runs: DataFrame, order: list[str], features: list[str], n: int | Non
     rows = runs.select(*order, F.posexplode("values").alias("_p", "_v"))
     if n is not None:
         rows = rows.orderBy(*order, "_p").limit(n)
+    rows = cut_lineage(rows)
     numbered = with_global_index(rows, [*order, "_p"], "row")
     return numbered.select("row", *[F.get("_v", F.lit(i)).alias(c) for i, c in enumerate(features)])
 
@@ -86,7 +88,7 @@ def block_bootstrap(
 
     The moving-block bootstrap (Kuensch 1989) keeps dependence inside a block.
     """
-    runs = with_global_index(sequences(df, keys, order, features, length), [*keys, "start"], "_at").select("_at", "values")
+    runs = cut_lineage(with_hashed_index(cut_lineage(sequences(df, keys, order, features, length)), [*keys, "start"], "_at").select("_at", "values"))
     needed = -(-rows // length)
     total = runs.agg(F.count("*").alias("_n"))
     draws = attach(df.sparkSession.range(needed), total)
@@ -158,7 +160,8 @@ def output_check(original: DataFrame, made: DataFrame, time_column: str, columns
     """(check, passed): same columns, at most three time steps, mean and deviation of each column within 30 %."""
     spark = original.sparkSession
     same = spark.createDataFrame([("same_columns", set(original.columns) == set(made.columns))], "check string, passed boolean")
-    ordered = with_global_index(made.select(time_column).where(F.col(time_column).isNotNull()).distinct(), [time_column], "_i")
+    moments = cut_lineage(made.select(time_column).where(F.col(time_column).isNotNull()).distinct())
+    ordered = cut_lineage(with_global_index(moments, [time_column], "_i"))
     nxt = ordered.select((F.col("_i") - 1).alias("_i"), F.col(time_column).alias("_next"))
     gaps = ordered.join(nxt, "_i").select((F.unix_micros("_next") - F.unix_micros(F.col(time_column).cast("timestamp"))).alias("gap"))
     steps = gaps.agg((F.count_distinct("gap") <= 3).alias("passed")).select(F.lit("regular_steps").alias("check"), "passed")
@@ -167,11 +170,11 @@ def output_check(original: DataFrame, made: DataFrame, time_column: str, columns
     def near(a, b):
         return F.abs(F.col(a) - F.col(b)) <= tolerance * F.greatest(F.abs(F.col(a)), F.lit(1e-9))
 
-    moments = s.select(F.inline(F.array(
+    checks = s.select(F.inline(F.array(
         F.struct(F.concat(F.lit("mean:"), "column_name").alias("check"), near("mean_first", "mean_second").alias("passed")),
         F.struct(F.concat(F.lit("std:"), "column_name").alias("check"), near("std_first", "std_second").alias("passed")),
     )))
-    return reduce(DataFrame.unionByName, [same, steps, moments])
+    return reduce(DataFrame.unionByName, [same, steps, checks])
 
 
 def check_band(checks: DataFrame) -> DataFrame:

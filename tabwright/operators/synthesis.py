@@ -14,7 +14,7 @@ from tabwright.functions.special import normal_cdf, normal_quantile
 from tabwright.operators import compare
 from tabwright.operators import distributions as dist
 from tabwright.operators.drift import bin_index, quantile_edges
-from tabwright.operators.indexing import expand_counts, with_global_index
+from tabwright.operators.indexing import expand_counts, with_global_index, with_hashed_index
 from tabwright.operators.logs import weighted_draw
 from tabwright.operators.prep import apply_conditions, apply_roles
 from tabwright.operators.privacy import noisy_categories, perturb
@@ -55,7 +55,7 @@ def independent_rows(df: DataFrame, columns: list[str], rows: DataFrame, keys: l
     out = rows
     long = [c for c in columns if c not in lists]
     if long:
-        indexed = with_global_index(df.select(*dict.fromkeys([*keys, *long])), keys, "_at")
+        indexed = with_hashed_index(df.select(*dict.fromkeys([*keys, *long])), keys, "_at")
         out = attach(out, df.agg(F.count("*").alias("_total")))
         for c in long:
             donor = indexed.select(F.col("_at").alias("_donor"), F.col(c).alias(c))
@@ -291,7 +291,7 @@ def nearest_neighbours(points: DataFrame, columns: list[str], k: int) -> DataFra
     direction = 1.0 / np.sqrt(d)
     projected = points.select("id", *[F.col(c).cast("double").alias(c) for c in columns])
     projected = projected.withColumn("_p", sum((F.col(c) * direction for c in columns), F.lit(0.0)))
-    indexed = with_global_index(projected, ["_p", "id"], "_i").cache()
+    indexed = cut_lineage(with_global_index(projected, ["_p", "id"], "_i"))
     done, open_ids = None, None
 
     def settle(size):
@@ -322,7 +322,7 @@ def nearest_neighbours(points: DataFrame, columns: list[str], k: int) -> DataFra
         if open_ids.isEmpty():
             return done
         current = current.drop("_open").join(open_ids.withColumn("_open", F.lit(True)), "id", "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
-    left = with_global_index(indexed.join(open_ids, "id", "left_semi"), ["_p", "id"], "_q")
+    left = cut_lineage(with_hashed_index(cut_lineage(indexed.join(open_ids, "id", "left_semi")), ["id"], "_q"))
     remaining = left.count()
     for start in range(0, remaining, QUERY_CHUNK):
         chunk = left.where((F.col("_q") >= start) & (F.col("_q") < start + QUERY_CHUNK)).select("id", *columns).toPandas()
@@ -378,7 +378,7 @@ def smote(df: DataFrame, target: str, keys: list[str], strategy: str = "auto", k
     others = [c for c in df.columns if c not in numbers and c != target and c not in keys]
     for label, extra in plan.items():
         members = df.where(F.col(target) == label)
-        base = with_global_index(members.select(*keys, *[F.coalesce(dist.numeric(c), F.lit(0.0)).alias(c) for c in numbers]), keys, "id")
+        base = cut_lineage(with_hashed_index(members.select(*keys, *[F.coalesce(dist.numeric(c), F.lit(0.0)).alias(c) for c in numbers]), keys, "id"))
         near = nearest_neighbours(base.select("id", *numbers), numbers, k).select("id", "near")
         per, rest = divmod(extra, sizes[label])
         copies = base.select("id", *numbers).withColumn("_m", (F.lit(per) + (F.col("id") < rest).cast("int")))

@@ -164,7 +164,7 @@ _H = sql_digest("value:token", "id")
 
 @query(
     "new_rows_with_keys",
-    f"""WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS spot FROM customer), r AS (SELECT o_orderkey AS id FROM orders)
+    f"""WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY substr(sha256(c_custkey::VARCHAR), 1, 3), c_custkey) - 1 AS spot FROM customer), r AS (SELECT o_orderkey AS id FROM orders)
       SELECT id + 1 AS order_id, c_custkey AS customer_id, round({sql_uniform('value:amount', 'id')} * 1000, 2) AS amount, {sql_index('10000', 'value:quantity', 'id')} + 1 AS quantity,
         {sql_uniform('value:paid', 'id')} < 0.5 AS paid, 'note_' || ({sql_index('999', 'value:note', 'id')} + 1) AS note,
         strftime(DATE '2024-01-01' - ({sql_index('366', 'value:due', 'id')})::INTEGER, '%Y-%m-%d') AS due,

@@ -13,15 +13,27 @@ from tabwright.operators.indexing import with_global_index
 from tabwright.operators.scalars import attach
 from tabwright.plans.drift_queries import rounded
 from tabwright.plans.registry import query, table
+from tabwright.session import cut_lineage
+
+
+_GRAPHS: dict = {}
 
 
 def part_graph(spark, folder):
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    numbered = with_global_index(rows, ["l_orderkey", "l_linenumber", "l_partkey"], "_i")
+    """Built once per session and folder; the edge table lies in the checkpoint folder."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _GRAPHS:
+        _GRAPHS[place] = build_part_graph(spark, folder)
+    return _GRAPHS[place]
+
+
+def build_part_graph(spark, folder):
+    rows = cut_lineage(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct())
+    numbered = cut_lineage(with_global_index(rows, ["l_orderkey", "l_linenumber", "l_partkey"], "_i"))
     after = numbered.select((F.col("_i") - 1).alias("_i"), F.col("l_orderkey").alias("_o"), F.col("l_partkey").alias("_p"))
     pairs = numbered.join(after, "_i").where("l_orderkey = _o AND l_partkey <> _p")
     ends = pairs.select(F.least("l_partkey", "_p").alias("src"), F.greatest("l_partkey", "_p").alias("dst"))
-    edges = ends.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    edges = cut_lineage(ends.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
     nodes = table(spark, folder, "part").select(F.col("p_partkey").alias("id"))
     return nodes, edges
 

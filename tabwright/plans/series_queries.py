@@ -65,7 +65,7 @@ def time_grid(spark, folder):
 
 @query(
     "block_bootstrap",
-    f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY user_id, start) - 1 AS spot FROM {_runs(8)}), n AS (SELECT count(*) AS n FROM r), c AS (SELECT count(*) AS rows FROM events),
+    f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY substr(sha256(concat_ws('|', user_id, start)), 1, 3), user_id, start) - 1 AS spot FROM {_runs(8)}), n AS (SELECT count(*) AS n FROM r), c AS (SELECT count(*) AS rows FROM events),
       d AS (SELECT id, {sql_index('n', 'block', 'id')} AS spot FROM (SELECT unnest(range(((SELECT rows FROM c) + 7) // 8)) AS id), n)
       SELECT id * 8 + i - 1 AS row, value FROM (SELECT id, unnest(v) AS value, generate_subscripts(v, 1) AS i FROM d JOIN r USING (spot)) WHERE id * 8 + i - 1 < (SELECT rows FROM c)""",
 )

@@ -15,7 +15,7 @@ _CUSTOMERS = "(SELECT c_custkey AS id FROM customer)"
 @query(
     "independent_marginals",
     f"""WITH {joined_draws([('segment', 'c_mktsegment', sql_uniform('draw:c_mktsegment', 'id'), 'true'), ('nation', 'c_nationkey', sql_uniform('draw:c_nationkey', 'id'), 'true')], _CUSTOMERS, top_sql('customer', ['c_mktsegment', 'c_nationkey']))},
-      r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS spot FROM customer), n AS (SELECT count(*) AS n FROM customer),
+      r AS (SELECT *, row_number() OVER (ORDER BY substr(sha256(c_custkey::VARCHAR), 1, 3), c_custkey) - 1 AS spot FROM customer), n AS (SELECT count(*) AS n FROM customer),
       a AS (SELECT id, c_acctbal FROM {_CUSTOMERS}, n JOIN r ON spot = {sql_index('n', 'donor:c_acctbal', 'id')})
       SELECT id, c_acctbal, nation::INTEGER AS c_nationkey, segment AS c_mktsegment FROM a JOIN segment_t USING (id) JOIN nation_t USING (id)""",
 )
