@@ -7,6 +7,7 @@ from tabwright.plans import (  # noqa: F401
     document_queries,
     graph_queries,
     log_queries,
+    modelled_queries,
     pii_queries,
     prep_queries,
     privacy_queries,
