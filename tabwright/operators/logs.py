@@ -176,15 +176,27 @@ def fit_fields(records: DataFrame, fields: list[str], k: int = TOP_VALUES) -> di
     return {r.field: FieldModel(r.kind, tops[r.field], r.low, r.high, r.mean) for r in field_summary(records, fields).collect()}
 
 
+def _text_literal(value) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def weighted_draw(values: list[tuple[str, int]], u: Column) -> Column:
-    """One of a short list of values by weight: the first whose cumulative share exceeds u."""
+    """One of a short list of values by weight: the first whose cumulative share exceeds u.
+
+    The list is one folded literal, and u is bound once before the search: written inside the search's lambda it
+    would be hashed again for every entry.
+    """
     total = sum(n for _, n in values)
     running, steps = 0, []
-    for value, n in values:
+    for i, (value, n) in enumerate(values):
         running += n
-        steps.append(F.struct(F.lit(running / total).alias("hi"), F.lit(value).cast("string").alias("value")))
-    steps[-1] = F.struct(F.lit(1.0).alias("hi"), F.lit(values[-1][0]).cast("string").alias("value"))
-    return F.get(F.filter(F.array(*steps), lambda s: u < s["hi"]), F.lit(0))["value"]
+        high = 1.0 if i == len(values) - 1 else running / total
+        steps.append(f"named_struct('hi', {high!r}D, 'value', {_text_literal(value)})")
+    table = F.expr(f"array({', '.join(steps)})")
+    found = F.transform(F.array(u), lambda x: F.get(F.filter(table, lambda s: x < s["hi"]), F.lit(0))["value"])
+    return F.get(found, F.lit(0))
 
 
 def draw(model: FieldModel, tag: str, *keys: Column, seed: int = keyed.SEED) -> Column:

@@ -15,6 +15,7 @@ from tabwright.plans import (  # noqa: F401
     relational_queries,
     series_queries,
     source_queries,
+    streaming_queries,
     synthesis_queries,
 )
 from tabwright.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.log_formats import ACCESS, APPLICATION
@@ -25,16 +25,19 @@ def _mapped_sql(mapping):
     return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " ELSE 'x' END"
 
 
-def access_log(spark, folder) -> DataFrame:
-    """(event_id, line); every tenth user's lines are damaged, signups have no size."""
+def access_line() -> Column:
+    """An event as an access-log line; every tenth user's lines are damaged, signups have no size."""
     size = F.when(F.col("event_type") == "signup", "-").otherwise(F.floor(F.col("value") * 100).cast("string"))
-    line = F.concat(
+    return F.concat(
         F.format_string("10.0.%d.%d", F.floor(F.col("user_id") / 256), F.col("user_id") % 256),
         F.format_string(" - user%d [", "user_id"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'),
         F.col("event_type"), F.when(F.col("user_id") % 10 == 3, F.lit(" HTTP")).otherwise(F.lit(' HTTP/1.1" ')),
         _mapped(STATUS), F.lit(" "), size,
     )
-    return table(spark, folder, "events").select("event_id", line.alias("line"))
+
+
+def access_log(spark, folder) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", access_line().alias("line"))
 
 
 ACCESS_SQL = f"""(SELECT event_id, printf('10.0.%d.%d', user_id // 256, user_id % 256) AS ip, printf('user%d', user_id) AS user,
