@@ -81,9 +81,12 @@ def stream_masked(spark, folder):
     return spark.read.parquet(out).select("event_id", "user_hash", "props")
 
 
+_FIRST_HALF = "(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')"
+
+
 @query(
     "stream_drift",
-    f"SELECT 0 AS batch, column_name, round(ks, 6) AS drift_score FROM ({sql_ks(['value'], '(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')', 'events')})",
+    f"""SELECT 0 AS batch, column_name, round(ks, 6) AS drift_score FROM ({sql_ks(['value'], _FIRST_HALF, 'events')})""",
 )
 def stream_drift(spark, folder):
     baseline = table(spark, folder, "events").where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
