@@ -94,7 +94,7 @@ def numeric_similarity(first: DataFrame, second: DataFrame, columns: list[str])
     measures = dist.frequency_measures(dist.joint_histogram(first, second, columns)).drop("items")
     joined = dist.paired_summary(first, second, columns).join(F.broadcast(measures), "column_name")
     joined = joined.join(F.broadcast(ks), "column_name", "left")
-    harmonic = F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second"))
+    harmonic = F.try_divide(F.col("n_first") * F.col("n_second"), F.col("n_first") + F.col("n_second"))
     return joined.select(
         "column_name",
         F.lit("numeric").alias("column_type"),
@@ -149,8 +149,9 @@ def column_similarity(first: DataFrame, second: DataFrame, columns: list[str] |
 def t_test(n1: Column, m1: Column, s1: Column, n2: Column, m2: Column, s2: Column) -> tuple[Column, Column]:
     """(t, degrees of freedom) of Student's two-sample test with pooled variance."""
     dof = n1 + n2 - 2
-    pooled = ((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / dof
-    return (m1 - m2) / F.sqrt(pooled * (F.lit(1.0) / n1 + F.lit(1.0) / n2)), dof.cast("double")
+    pooled = F.try_divide((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2, dof)
+    inverse = F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)
+    return F.try_divide(m1 - m2, F.sqrt(pooled * inverse)), dof.cast("double")
 
 
 def pairwise_t_tests(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
@@ -434,7 +435,7 @@ def privacy_from_distance(distances: DataFrame) -> DataFrame:
         .when(d < 2.0, 0.7 + (d - 1.0) * 0.15)
         .otherwise(F.least(F.lit(0.95), 0.85 + (d - 2.0) / 3.0 * 0.10))
     )
-    rate = F.col("exact_matches") / F.col("n")
+    rate = F.try_divide("exact_matches", "n")
     score = F.when(
         F.col("exact_matches") > 0, F.greatest(F.lit(0.1), base - F.least(F.lit(0.15), rate * 0.3))
     ).otherwise(base)

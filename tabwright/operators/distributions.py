@@ -234,8 +234,8 @@ def ks_distance(counts: DataFrame) -> DataFrame:
     """
     sized = with_totals(counts, "n_first", "n_second")
     inside = W.partitionBy("column_name", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    gap = F.sum("n_first").over(inside) / F.col("total_n_first") - F.sum("n_second").over(inside) / F.col(
-        "total_n_second"
+    gap = F.try_divide(F.sum("n_first").over(inside), F.col("total_n_first")) - F.try_divide(
+        F.sum("n_second").over(inside), F.col("total_n_second")
     )
     per_bucket = (
         sized.select("column_name", "bucket", "total_n_first", "total_n_second", "n_first", "n_second", gap.alias("gap"))
@@ -244,7 +244,8 @@ def ks_distance(counts: DataFrame) -> DataFrame:
             F.min("gap").alias("low"),
             F.max("gap").alias("high"),
             (
-                F.sum("n_first") / F.first("total_n_first") - F.sum("n_second") / F.first("total_n_second")
+                F.try_divide(F.sum("n_first"), F.first("total_n_first"))
+                - F.try_divide(F.sum("n_second"), F.first("total_n_second"))
             ).alias("net"),
         )
     )

@@ -32,7 +32,7 @@ def numeric_drift(baseline: DataFrame, snapshot: DataFrame, columns: list[str],
     summary = dist.paired_summary(baseline, snapshot, columns)
     joined = summary.join(F.broadcast(ks.select("column_name", "ks")), "column_name", "left")
     filled = (F.col("n_first") > 0) & (F.col("n_second") > 0)
-    harmonic = F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second"))
+    harmonic = F.try_divide(F.col("n_first") * F.col("n_second"), F.col("n_first") + F.col("n_second"))
     score = F.when(filled, F.col("ks")).otherwise(0.0)
     p = F.when(filled, kolmogorov_tail(F.sqrt(harmonic) * F.col("ks"))).otherwise(1.0)
     rows = joined.withColumn("drift_score", score).withColumn("p_value", p)

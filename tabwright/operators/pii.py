@@ -338,7 +338,7 @@ def synthesize(value: Column, kind: str, date_pattern: str = "yyyy-MM-dd", seed:
     elif kind == "geolocation":
         lat = F.round(keyed.uniform(f"{kind}:lat", value, seed=seed) * 180 - 90, 6)
         lon = F.round(keyed.uniform(f"{kind}:lon", value, seed=seed) * 360 - 180, 6)
-        made = F.concat(F.format_number(lat, "0.000000"), F.lit(", "), F.format_number(lon, "0.000000"))
+        made = F.format_string("%.6f, %.6f", lat, lon)
     elif kind == "age":
         made = number("age", 18, 85).cast("string")
     elif kind == "salary":

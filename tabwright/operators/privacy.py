@@ -48,7 +48,7 @@ def noisy_statistics(df: DataFrame, columns: list[str], epsilon: float, seed: in
     rows = dist.stack_row(df.agg(*aggregates), columns, ["n", "mean", "std", "low", "high"])
     width = F.col("high") - F.col("low")
     unit = F.when(width > 0, width).otherwise(1.0)
-    scale = F.lit(1.0) / F.col("n") / (epsilon / 2)
+    scale = F.try_divide(F.lit(1.0), F.col("n")) / (epsilon / 2)
     mean = (F.col("mean") - F.col("low")) / unit + keyed.laplace(scale, "dp-mean", F.col("column_name"), seed=seed)
     std = F.col("std") / unit + keyed.laplace(scale, "dp-std", F.col("column_name"), seed=seed)
     return rows.select(
@@ -68,7 +68,7 @@ def noisy_categories(df: DataFrame, columns: list[str], epsilon: float, seed: in
     noise = keyed.laplace(1.0 / epsilon, "dp-count", F.col("column_name"), F.col("value"), seed=seed)
     noisy = counts.withColumn("noisy", F.greatest(F.lit(0.0), F.col("n") + noise))
     totals = noisy.groupBy("column_name").agg(F.sum("n").alias("total_n"), F.sum("noisy").alias("total_noisy"))
-    share = F.when(F.col("total_noisy") > 0, F.col("noisy") / F.col("total_noisy")).otherwise(F.col("n") / F.col("total_n"))
+    share = F.when(F.col("total_noisy") > 0, F.col("noisy") / F.col("total_noisy")).otherwise(F.try_divide(F.col("n"), F.col("total_n")))
     # Totals: one row per column of the schema.
     return noisy.join(F.broadcast(totals), "column_name").select("column_name", "value", "n", share.alias("share"))
 
