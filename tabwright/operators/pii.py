@@ -51,19 +51,36 @@ def hinted_type(column: str, mode: str = "compat") -> str | None:
     return None
 
 
-def pattern_rates(df: DataFrame, columns: list[str], order: list[str], first: int = 100, mode: str = "compat") -> DataFrame:
-    """(column_name, values, <pattern rates>) over each column's first non-null values in the given order.
+def first_values(df: DataFrame, columns: list[str], order: list[str], first: int) -> DataFrame:
+    """(column_name, position, value): the first non-null values of each column as text, in the given order.
 
-    One top-n per column, each at most ``first`` rows; the rest of the table is never shuffled.
+    One top-n over the table serves every column that has enough values among its first rows; only a column
+    that is nearly empty there gets a top-n of its own.  Either way at most ``first`` values per column remain.
     """
+    reach = 10 * first
+    head = df.select(*order, *[plain_text(df, c).alias(f"_t{i}") for i, c in enumerate(columns)]).orderBy(*order).limit(reach)
+    found = head.agg(F.count("*").alias("rows"), *[F.count(f"_t{i}").alias(f"_t{i}") for i in range(len(columns))]).first()
+    near = [i for i in range(len(columns)) if found["rows"] < reach or found[f"_t{i}"] >= first]
+    parts = []
+    if near:
+        numbered = head.withColumn("_at", F.row_number().over(W.orderBy(*order)))  # at most ``reach`` rows
+        cells = F.array(*[F.struct(F.lit(columns[i]).alias("column_name"), F.col(f"_t{i}").alias("value")) for i in near])
+        parts.append(numbered.select("_at", F.inline(cells)).where(F.col("value").isNotNull()))
+    for i, c in enumerate(columns):
+        if i not in near:
+            own = df.where(F.col(c).isNotNull()).orderBy(*order).limit(first)
+            parts.append(own.select(F.row_number().over(W.orderBy(*order)).alias("_at"), F.lit(c).alias("column_name"), plain_text(df, c).alias("value")))
+    rows = reduce(DataFrame.unionByName, parts)
+    position = F.row_number().over(W.partitionBy("column_name").orderBy("_at"))
+    return rows.select("column_name", position.alias("position"), "value").where(F.col("position") <= first)
+
+
+def pattern_rates(df: DataFrame, columns: list[str], order: list[str], first: int = 100, mode: str = "compat") -> DataFrame:
+    """(column_name, values, <pattern rates>) over each column's first non-null values in the given order."""
     patterns = dict(PATTERNS)
     if mode == "strict":
         patterns["phone"] = STRICT_PHONE
-    parts = []
-    for c in columns:
-        head = df.where(F.col(c).isNotNull()).orderBy(*order).limit(first)
-        parts.append(head.select(F.lit(c).alias("column_name"), F.trim(plain_text(df, c)).alias("value")))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = first_values(df, columns, order, first).withColumn("value", F.trim("value"))
     return rows.groupBy("column_name").agg(
         F.count("*").alias("values"), *[F.avg(F.col("value").rlike(p).cast("double")).alias(k) for k, p in patterns.items()]
     )
@@ -99,13 +116,9 @@ def classify(detections: DataFrame) -> DataFrame:
 
 def sample_values(df: DataFrame, columns: list[str], order: list[str], n: int = 3) -> DataFrame:
     """(column_name, samples): the first few non-null values of each column."""
-    parts = []
-    for c in columns:
-        head = df.where(F.col(c).isNotNull()).orderBy(*order).limit(n)
-        ranked = head.select(F.row_number().over(W.orderBy(*order)).alias("i"), plain_text(df, c).alias("v"))
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
-        parts.append(ranked.agg(listed.alias("samples")).select(F.lit(c).alias("column_name"), "samples"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = first_values(df, columns, order, n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda x: x["value"])
+    return rows.groupBy("column_name").agg(listed.alias("samples"))
 
 
 def non_pii_columns(df: DataFrame, detections: DataFrame) -> DataFrame:

@@ -144,3 +144,11 @@ def test_components_and_structure(spark):
     assert (s.uppercase_headings, s.colon_headings, s.bullet_points, s.sections, s.paragraphs) == (1, 1, 1, 1, 2)
     kind = t.select(documents.content_type(F.col("text")).alias("k")).first().k
     assert kind == "letter"
+
+
+def test_first_values_of_a_sparse_column(spark):
+    t = spark.createDataFrame([(i, f"a{i}", f"b{i}" if i >= 480 else None) for i in range(500)], "k int, full string, sparse string")
+    got = {}
+    for r in pii.first_values(t, ["full", "sparse"], ["k"], 5).orderBy("column_name", "position").collect():
+        got.setdefault(r.column_name, []).append(r.value)
+    assert got == {"full": [f"a{i}" for i in range(5)], "sparse": [f"b{i}" for i in range(480, 485)]}
