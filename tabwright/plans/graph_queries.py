@@ -12,7 +12,7 @@ from tabwright.operators import graph, graph_models
 from tabwright.operators.indexing import with_global_index
 from tabwright.operators.scalars import attach
 from tabwright.plans.drift_queries import rounded
-from tabwright.plans.registry import query, table
+from tabwright.plans.registry import query, sql_digest, sql_index, table
 from tabwright.session import cut_lineage
 
 
@@ -138,7 +138,14 @@ def scaled_degree_sequence(spark, folder):
     return graph_models.scale_degree_sequence(graph.degrees(nodes, edges), nodes.count() * 3 // 2)
 
 
-@query("configuration_model")
+_STUBS = f"(SELECT id, unnest(range(degree)) AS j FROM {DEGREES})"
+
+
+@query(
+    "configuration_model",
+    f"""SELECT DISTINCT src, dst FROM (SELECT min(id) AS src, max(id) AS dst, count(*) AS k FROM (
+        SELECT id, (row_number() OVER (ORDER BY {sql_digest('stub', 'id', 'j')}, id, j) - 1) // 2 AS p FROM {_STUBS}) GROUP BY p) WHERE k = 2 AND src <> dst""",
+)
 def configuration_model(spark, folder):
     nodes, edges = part_graph(spark, folder)
     return graph_models.configuration_model(graph.degrees(nodes, edges))
@@ -152,7 +159,12 @@ def directed_configuration_model(spark, folder):
     return graph_models.directed_configuration_model(out.join(inn, "id", "full").na.fill(0, ["out_degree", "in_degree"]))
 
 
-@query("chung_lu_model")
+@query(
+    "chung_lu_model",
+    f"""WITH s AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY substr(sha256(concat_ws('|', id, j)), 1, 3), id, j) - 1 AS i FROM {_STUBS}), t AS (SELECT count(*) AS n FROM s),
+      d AS (SELECT {sql_index('n', 'cl-a', 'e')} AS a, {sql_index('n', 'cl-b', 'e')} AS b FROM (SELECT unnest(range(((SELECT n FROM t) + 1) // 2)) AS e), t)
+      SELECT DISTINCT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst FROM d JOIN s x ON x.i = a JOIN s y ON y.i = b WHERE x.id <> y.id""",
+)
 def chung_lu_model(spark, folder):
     nodes, edges = part_graph(spark, folder)
     return graph_models.chung_lu(graph.degrees(nodes, edges))
@@ -163,13 +175,23 @@ def _observed(spark, folder):
     return nodes, edges, graph.size_stats(nodes, edges).first()
 
 
-@query("preferential_attachment_model")
+@query(
+    "preferential_attachment_model",
+    f"""WITH RECURSIVE c AS (SELECT nodes AS n, round(avg_degree / 2)::BIGINT AS m FROM {_STATS}),
+      h AS (SELECT e, 2 * e + 1 AS place FROM (SELECT unnest(range((SELECT n * m FROM c))) AS e) UNION ALL SELECT e, {sql_index('place', 'ba', 'place')} FROM h WHERE place % 2 = 1)
+      SELECT DISTINCT least(e // m, place // (2 * m)) AS src, greatest(e // m, place // (2 * m)) AS dst FROM h, c WHERE place % 2 = 0 AND e // m <> place // (2 * m)""",
+)
 def preferential_attachment_model(spark, folder):
     _, _, stats = _observed(spark, folder)
     return graph_models.barabasi_albert(spark, stats.nodes, round(stats.avg_degree / 2))
 
 
-@query("random_graph_model")
+@query(
+    "random_graph_model",
+    f"""WITH t AS (SELECT nodes * (nodes - 1) // 2 AS pairs, round(-(nodes * (nodes - 1) // 2) * ln(1 - density))::BIGINT AS m FROM {_STATS}),
+      d AS (SELECT {sql_index('pairs', 'er', 'id')} AS k FROM (SELECT unnest(range((SELECT m FROM t))) AS id), t)
+      SELECT DISTINCT k - i * (i - 1) // 2 AS src, i AS dst FROM (SELECT k, floor((sqrt(8::DOUBLE * k + 1) + 1) / 2)::BIGINT AS i FROM d)""",
+)
 def random_graph_model(spark, folder):
     _, _, stats = _observed(spark, folder)
     return graph_models.erdos_renyi(spark, stats.nodes, stats.density)

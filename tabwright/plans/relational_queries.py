@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.operators import relational as rel
-from tabwright.plans.registry import query, table
+from tabwright.plans.registry import query, sql_digest, table
 
 LINKS = [
     {"parent_table": "customer", "parent_column": "c_custkey", "child_table": "orders", "child_column": "o_custkey"},
@@ -94,9 +94,26 @@ def first_errors(spark, folder):
     return rel.first_errors(rel.violations(t["lineitem"], CONSTRAINTS, ROW_ID, t))
 
 
-@query("violation_test_rows")
+def _broken(i, name, status="o_orderstatus", customer="o_custkey", price="o_totalprice", text="o_orderkey::VARCHAR"):
+    return f"""(SELECT o_orderkey, {status} AS o_orderstatus, {customer} AS o_custkey, {price} AS o_totalprice, {text} AS o_rank_text, '{name}' AS violation
+        FROM orders ORDER BY {sql_digest('sample', 'o_orderkey', seed=42 + i)}, o_orderkey LIMIT 5)"""
+
+
+@query(
+    "violation_test_rows",
+    " UNION ALL ".join(
+        f"SELECT * FROM {q}"
+        for q in (
+            _broken(0, "not_null", status="NULL::VARCHAR"),
+            _broken(1, "duplicate_key"),
+            _broken(2, "foreign_key", customer="-1 - abs(o_custkey)"),
+            _broken(3, "check", price="-abs(o_totalprice) - 1"),
+            _broken(4, "data_type", text="'not a number'"),
+        )
+    ),
+)
 def violation_test_rows(spark, folder):
-    rows = table(spark, folder, "orders").withColumn("o_rank_text", F.col("o_orderkey").cast("string"))
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice", F.col("o_orderkey").cast("string").alias("o_rank_text"))
     return rel.break_rows(rows, ["o_orderkey"], "o_orderstatus", "o_custkey", "o_totalprice", "o_rank_text")
 
 
