@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions import keyed
 from tabwright.functions.log_formats import ACCESS, ACCESS_USER, APPLICATION, LEADING_TIMESTAMP, SYSLOG, TRIED
+from tabwright.operators.distributions import bucket_count
 
 TOP_VALUES = 50
 
@@ -125,7 +126,8 @@ def top_values(records: DataFrame, fields: list[str], k: int = TOP_VALUES) -> Da
     """
     counts = value_counts(records, fields)
     order = [F.desc("n"), F.col("value")]
-    sliced = counts.withColumn("_slice", F.pmod(F.xxhash64("value"), F.lit(64)))
+    slices = max(64, bucket_count(records))
+    sliced = counts.withColumn("_slice", F.pmod(F.xxhash64("value"), F.lit(slices)))
     local = sliced.withColumn("_p", F.row_number().over(W.partitionBy("field", "_slice").orderBy(*order))).where(F.col("_p") <= k)
     ranked = local.withColumn("position", F.row_number().over(W.partitionBy("field").orderBy(*order)))
     return ranked.where(F.col("position") <= k).select("field", "position", "value", "n")
