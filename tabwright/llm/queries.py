@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import exact_dedup
+from tabwright.llm import bpe, exact_dedup, mixing, sharding, warc
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,79 @@ def query(name: str, oracle: str | None = None):
 )
 def op6_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents")).drop("_row")
+
+
+@query("op4_feistel_shards")
+def op4_feistel_shards(spark, folder):
+    return sharding.shard_rows(table(spark, folder, "documents")).drop("permuted")
+
+
+@query(
+    "op10_fair_queue_mix",
+    """
+    WITH d AS (
+      SELECT doc_id, source, md5('42|' || doc_id) AS turn,
+             len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS size
+      FROM documents
+    ), s AS (
+      SELECT source, source_size, place, [3, 1, 2][place % 3 + 1]::BIGINT AS weight
+      FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+            FROM d GROUP BY source)
+    ), f AS (  -- sources by how soon they are full; the first k are full
+      SELECT *, sum(source_size * 2) OVER w AS spent, (SELECT sum(weight) FROM s) - sum(weight) OVER w AS shared,
+             row_number() OVER w AS k
+      FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, place ROWS UNBOUNDED PRECEDING)
+    ), g AS (
+      SELECT *, coalesce(lag(spent) OVER (ORDER BY k), 0) AS before, coalesce(lag(shared) OVER (ORDER BY k),
+             (SELECT sum(weight) FROM s)) AS left_weight, (SELECT sum(source_size) FROM s) AS words
+      FROM f
+    ), n AS (  -- the first source that is not full decides the level
+      SELECT before, left_weight FROM g WHERE weight * (3 * words - 2 * before) <= 4 * source_size * left_weight
+      ORDER BY k LIMIT 1
+    ), t AS (
+      SELECT g.source, g.source_size, g.place,
+             CASE WHEN weight * (3 * words - 2 * n.before) > 4 * source_size * n.left_weight THEN (2 * source_size)::DOUBLE
+                  ELSE weight::DOUBLE * ((3 * words - 2 * n.before)::DOUBLE / 2) / n.left_weight::DOUBLE END AS target
+      FROM g, n
+    ), q AS (
+      SELECT d.*, t.source_size, t.target, t.place,
+             sum(size) OVER (PARTITION BY t.place ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS given
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    ), c AS (
+      SELECT q.*, epoch, CASE WHEN target > 0 THEN (epoch * source_size + given)::DOUBLE / target ELSE 0 END AS finish
+      FROM q, (VALUES (0), (1)) e(epoch)
+    ), m AS (
+      SELECT *, sum(size) OVER (ORDER BY finish, place, epoch, turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS spent_words
+      FROM c
+    )
+    SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+           sum(CASE WHEN spent_words <= (SELECT sum(target) FROM t) THEN size ELSE 0 END)::BIGINT AS taken
+    FROM m GROUP BY doc_id
+    """,
+)
+def op10_fair_queue_mix(spark, folder):
+    out = mixing.mix(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark, folder):
+    return bpe.encode_decode(table(spark, folder, "documents"))
+
+
+@query(
+    "op9_content_addressed_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages)
+    SELECT page_id, strlen(html) AS payload_bytes,
+           list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)),
+               'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to,
+           true AS verified
+    FROM p WINDOW w AS (PARTITION BY html)
+    """,
+)
+def op9_content_addressed_warc(spark, folder):
+    return warc.archived_pages(table(spark, folder, "pages"))
