@@ -47,8 +47,9 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, tot
     values = [c for c in facts.columns if c not in keys]
     hot = facts.filter(F.col(count) * HOT_SHARE > total)
     cold = facts.filter(F.col(count) * HOT_SHARE <= total)
+    never = F.pmod(F.hash(*keys), F.lit(1))  # always 0; a literal would be folded away, and the rows dealt by the keys alone
     hot = hot.select(*keys, F.struct(*values).alias("_hot"), F.lit(True).alias("_is_hot"))
-    cold = cold.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_spread"))
+    cold = cold.select(*keys, F.struct(*values).alias("_cold"), never.alias("_spread"))
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
