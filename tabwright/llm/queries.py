@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, mixing, sharding, warc
+from tabwright.llm import bpe, exact_dedup, language_id, mixing, pii, sharding, warc
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,16 @@ def op2_byte_bpe(spark, folder):
 )
 def op9_content_addressed_warc(spark, folder):
     return warc.archived_pages(table(spark, folder, "pages"))
+
+
+@query("op3_disclosing_terms")
+def op3_disclosing_terms(spark, folder):
+    return pii.find_personal_data(table(spark, folder, "documents"))
+
+
+@query("op7_viterbi_language_id")
+def op7_viterbi_language_id(spark, folder):
+    docs = language_id.held_out(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    model = language_id.fit(docs.filter(~F.col("held_out")))
+    out = language_id.predict(docs.select("doc_id", "held_out", "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
