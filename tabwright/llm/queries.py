@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, language_id, mixing, pii, sharding, warc
+from tabwright.llm import bpe, exact_dedup, language_id, mixing, pii, sharding, topk, warc
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,20 @@ def op7_viterbi_language_id(spark, folder):
     model = language_id.fit(docs.filter(~F.col("held_out")))
     out = language_id.predict(docs.select("doc_id", "held_out", "text"), model)
     return out.select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
+
+
+@query(
+    "op8_segment_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op8_segment_topk(spark, folder):
+    return topk.search(table(spark, folder, "embeddings"))
