@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, language_id, mixing, pii, sharding, topk, warc
+from tabwright.llm import bpe, exact_dedup, html_text, language_id, mixing, pii, sharding, topk, warc
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op7_viterbi_language_id(spark, folder):
 )
 def op8_segment_topk(spark, folder):
     return topk.search(table(spark, folder, "embeddings"))
+
+
+@query("op1_template_text")
+def op1_template_text(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
