@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, html_text, language_id, mixing, pii, sharding, topk, warc
+from tabwright.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, sharding, topk, warc
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ def op8_segment_topk(spark, folder):
 @query("op1_template_text")
 def op1_template_text(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op5_blocked_ngram_join")
+def op5_blocked_ngram_join(spark, folder):
+    return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
