@@ -234,7 +234,7 @@ def encode_decode(
         source = docs.select(F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
         made += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     else:
-        made += [T.StructField("token_ids", T.ArrayType(T.LongType())), T.StructField("decoded_equal", T.BooleanType())]
+        made += [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_equal", T.BooleanType())]
         source = docs.drop(*[f.name for f in made])
         source = source.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     kept = [f for f in source.schema.fields if f.name != "_text"]
@@ -252,7 +252,7 @@ def encode_decode(
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids]))
                     columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]))
                 else:
-                    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                     ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
                     columns.append(pa.array([x == y for x, y in zip(decoded, texts)], pa.bool_()))

@@ -115,3 +115,29 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str, tot
     starts = ends.select("_part", "_group", F.sum("_sum").over(before).alias("_before")).filter("_before > 0")
     out = placed.join(F.broadcast(starts), ["_part", "_group"], "left")
     return out.select(*df.columns, (F.col(own) + F.coalesce("_before", F.lit(0))).alias(total))
+
+
+def identity(id_column: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """What names a row across scans: its id, null or not, and a hash of its text."""
+    named = F.coalesce(F.concat(F.lit("="), F.col(id_column).cast("string")), F.lit("null"))
+    return {"_key": named, "_text_hash": F.xxhash64(text_or_empty(text))}
+
+
+def apply_decisions(docs: DataFrame, decided: DataFrame, copies: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, each as often as an operator decided.
+
+    `decided` has one row per row of docs, with its id and `_text_hash`; `copies` says how often that row stays. Rows alike in
+    id and text cannot be told apart between scans: they share their copies, and one of them stands for all.
+    """
+    named = decided.select(identity(id_column)["_key"].alias("_key"), "_text_hash", copies.cast("long").alias("_copies"))
+    facts = named.groupBy("_key", "_text_hash").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_alike"))
+    facts = store(facts, "decisions")
+    total = facts.agg(F.coalesce(F.sum("_alike"), F.lit(0))).first()[0]
+    kept = hot_join(docs.withColumns(identity(id_column, text)), facts, ["_key", "_text_hash"], "_alike", total)
+    kept = kept.filter("_copies > 0")
+    alike = kept.filter("_alike > 1").groupBy("_key", "_text_hash").agg(
+        F.first(F.struct(*docs.columns)).alias("_one"), F.first("_copies").alias("_copies")
+    )
+    one = kept.filter("_alike = 1").select(*docs.columns, "_copies")
+    out = one.unionByName(alike.select("_one.*", "_copies"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import hot_join, row_id, store, text_or_empty
+from tabwright.llm.common import apply_decisions, hot_join, row_id, store, text_or_empty
 
 #: Code points that the second step hashes.
 PREFIX = 256
@@ -23,7 +23,7 @@ def _shared(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: Column | None = None) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, and `_row` (unique).
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, `_row` (unique) and `_text_hash`.
 
     Null text counts as empty. Of equal texts the row with the largest id stays; a null id is smaller than any other; of
     rows with the same text and id one stays. Other columns are not looked at. An empty table gives no rows.
@@ -35,6 +35,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: Column |
         F.octet_length("_text").cast("long").alias("_length"),
         F.xxhash64(F.substring("_text", 1, PREFIX)).alias("_prefix"),
         F.unhex(F.sha2("_text", 256)).alias("_full"),
+        F.xxhash64("_text").alias("_text_hash"),
     )
     rows = store(rows, "exact-rows")
     total = rows.count()
@@ -53,4 +54,10 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: Column |
         (alone | (F.col("_row") == F.col("_keep.row"))).alias("kept"),
         F.lower(F.hex("_full")).alias("text_sha256"),
         "_row",
+        "_text_hash",
     )
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return apply_decisions(docs, exact_duplicates(docs), F.col("kept"))

@@ -285,3 +285,11 @@ def held_out(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs with held_out: whether the id's checksum, divided by four, leaves two. A null id counts as its empty text."""
     checksum = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
     return docs.withColumn("held_out", (checksum % 4) == 2)
+
+
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has a language that wrote at least so much of it, with all their columns."""
+    # asked of the prediction only; docs keeps columns of its own that are named like it
+    judged = docs.select(F.struct(*docs.columns).alias("_all"), F.col("text").alias("_judged"))
+    judged = predict(judged, model, "_judged")
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("_all.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import hot_join, number_rows, row_id, running_total, store, text_or_empty
+from tabwright.llm.common import apply_decisions, hot_join, number_rows, row_id, running_total, store, text_or_empty
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -52,14 +52,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
 
 
 def mix(docs: DataFrame, seed: int = 42, id_column: str = "doc_id", size: Column | None = None) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken, epochs (copies in the mix), `_row`.
+    """One row per input row: id, source, size, source_size, target, taken, epochs (copies in the mix), `_row`, `_text_hash`.
 
     Null text has size 0; such rows are never taken for words, but stay in the result. A null source is a source of its own,
     the last. The shuffle is by a hash of the id; rows with the same id follow each other. Reruns give the same mix.
     """
     size = word_count(text_or_empty()) if size is None else size
     rows = docs.select(
-        F.col(id_column), F.col("source").cast("string").alias("source"), size.alias("size"), row_id().alias("_row")
+        F.col(id_column),
+        F.col("source").cast("string").alias("source"),
+        size.alias("size"),
+        row_id().alias("_row"),
+        F.xxhash64(text_or_empty()).alias("_text_hash"),
     )
     rows = store(rows, "mix-rows")
     total = rows.count()
@@ -80,7 +84,12 @@ def mix(docs: DataFrame, seed: int = 42, id_column: str = "doc_id", size: Column
     mixed = running_total(copies, order, "size", "mix-order", "_spent")
     inside = F.col("_spent") <= F.lit(budget)
     return mixed.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in (id_column, "source", "size", "source_size", "target")],
+        *[F.first(c).alias(c) for c in (id_column, "source", "size", "source_size", "target", "_text_hash")],
         F.sum(F.when(inside, F.col("size")).otherwise(F.lit(0))).alias("taken"),
         F.sum(inside.cast("int")).alias("epochs"),
     )
+
+
+def mixed_rows(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns."""
+    return apply_decisions(docs, mix(docs, seed), F.col("epochs"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import blocks
-from tabwright.llm.common import hot_join, row_id, store
+from tabwright.llm.common import apply_decisions, hot_join, row_id, store
 
 #: A column is frequent if a document in so many has it; the order knows the frequency of at most so many columns.
 FREQUENT_SHARE, FREQUENT_COLUMNS = 2000, 1 << 18
@@ -216,7 +216,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, `_row` (unique) and `_kept` (one row of each component).
+    """One row per input row: id, n_shingles, component_id, `_row` (unique), `_text_hash`, `_kept` (one row of each component).
 
     Component: the smallest id that links of at least the given similarity reach. Null text is empty; a text without words
     has no n-gram, is linked with nothing and is its own component. Rows with the same id are rows of their own, a null id is
@@ -292,11 +292,17 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column
     named = store(named, "ngram-named")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("_first"), F.count("*").alias("_n"))
     named = hot_join(named, groups, ["root"], "_n", named.count()).select(*key, "component_id", "_first", "copies")
-    out = hot_join(rows.select("_id", "_row", "n", *key), store(named, "ngram-groups"), key, "copies", total)
+    out = hot_join(rows.select("_id", "_row", "_text_hash", "n", *key), store(named, "ngram-groups"), key, "copies", total)
     return out.select(
         F.col("_id").alias(id_column),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
         "_row",
+        "_text_hash",
         ((F.col("n") == 0) | (F.col("_row") == F.col("_first._row"))).alias("_kept"),
     )
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay where one row of each group does, with all their columns."""
+    return apply_decisions(docs, similar_groups(docs, words, percent), F.col("_kept"))

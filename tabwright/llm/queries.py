@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None):
     """,
 )
 def op6_exact_dedup(spark, folder):
-    return exact_dedup.exact_duplicates(table(spark, folder, "documents")).drop("_row")
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents")).drop("_row", "_text_hash")
 
 
 @query("op4_feistel_shards")
