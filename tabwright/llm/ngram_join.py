@@ -15,12 +15,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import blocks
 from tabwright.llm.common import apply_decisions, hot_join, row_id, store
+from tabwright.session import shuffle_partitions
 
 #: A column is frequent if a document in so many has it; the order knows the frequency of at most so many columns.
 FREQUENT_SHARE, FREQUENT_COLUMNS = 2000, 1 << 18
@@ -29,6 +31,8 @@ SLACK = 32
 #: Rows, and columns of all rows together, of a block; columns of a strip.
 BLOCK_ROWS, BLOCK_ENTRIES, STRIP = 128, 1_000_000, 4096
 KEPT_WORDS = 1_500_000
+#: Rows whose index entries make up about one task.
+BUCKET_ROWS = 20_000
 
 #: Odd multipliers for the hashes, fixed values.
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -100,21 +104,29 @@ def frequent_columns(docs: DataFrame, text: str, words: int, rows: int) -> tuple
     return top["gram"].to_numpy()[order], top["n"].to_numpy()[order]
 
 
-def incidence(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(_id, _text_hash) of docs with n, a 128-bit hash of the set, its indexed columns, and its share of frequent ones."""
+def incidence(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], rows: int) -> DataFrame:
+    """Rows of (_mark, _id, _text_hash) with n, a 128-bit hash of the set, its indexed frequent columns and their share of the
+    set; and, where gram is not null, entries (gram, high) of the index for other columns that several different sets have.
+
+    Index entries cross the network packed, 16 bytes each, dealt by column; a task unpacks about BUCKET_ROWS rows' worth and
+    drops what is alone. No column here is frequent: those of the list need no such test and stay with their row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = "_id {}, _text_hash long, n long, high long, low long, indexed array<long>, typical float"
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-rows // BUCKET_ROWS))
+    kind = docs.schema["_id"].dataType.simpleString()
+    names = ["_id", "_text_hash", "_mark", "n", "high", "low", "typical", "frequent"]
+    fields = f"_id {kind}, _text_hash long, _mark long, n long, high long, low long, typical float, frequent array<long>"
 
     def run(batches):
         grams, counts = shared.value
         for whole in batches:
             for batch in blocks(whole, "_text"):
-                n, high, low, indexed, typical = [], [], [], [], []
+                n, high, low, typical, listed, index = [], [], [], [], [], []
                 for value in batch.column("_text").to_pylist():
                     own = shingles(value, words)
                     n.append(len(own))
                     if len(own) == 0:
-                        high.append(None), low.append(None), indexed.append(own), typical.append(0.0)
+                        high.append(None), low.append(None), typical.append(0.0), listed.append([])
                         continue
                     digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     high.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -124,20 +136,59 @@ def incidence(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
                         at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
                         weight = np.where(grams[at] == own, counts[at], 0)
                     length = index_length(len(own), percent)
-                    rare = np.flatnonzero(weight == 0)
-                    if len(rare) >= length:
-                        indexed.append(own[rare[:length]])
-                    else:
-                        indexed.append(own[np.lexsort((own, weight))[:length]])
+                    rare = own[weight == 0]
                     typical.append(1.0 - len(rare) / len(own))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in indexed])])
-                flat = np.concatenate(indexed) if indexed else np.zeros(0, np.int64)
-                columns = [batch.column("_id"), batch.column("_text_hash"), pa.array(n, pa.int64()), pa.array(high, pa.int64())]
-                columns += [pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))]
-                columns.append(pa.array(typical, pa.float32()))
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_text_hash", "n", "high", "low", "indexed", "typical"])
-
-    return docs.mapInArrow(run, schema.format(docs.schema["_id"].dataType.simpleString()))
+                    listed.append([])
+                    if len(rare) < length:
+                        often = np.flatnonzero(weight)
+                        listed[-1] = own[often[np.argsort(weight[often], kind="stable")[: length - len(rare)]]].tolist()
+                    rare = rare[:length]
+                    index.append(np.stack([rare, np.full(len(rare), high[-1])], 1))
+                columns = [batch.column(c) for c in names[:3]] + [pa.array(n, pa.int64()), pa.array(high, pa.int64())]
+                columns += [pa.array(low, pa.int64()), pa.array(typical, pa.float32()), pa.array(listed, pa.list_(pa.int64()))]
+                dealt = pa.array(np.arange(batch.num_rows) % buckets, pa.int64())
+                packed = pa.nulls(batch.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([dealt, *columns, packed], names=["bucket", *names, "packed"])
+                pairs = np.concatenate(index) if index else np.zeros((0, 2), np.int64)
+                bucket = (pairs[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
+                order = np.argsort(bucket, kind="stable")
+                pairs, bucket = pairs[order], bucket[order]
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+                parts = [pairs[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+                empty = [pa.nulls(len(parts), c.type) for c in columns]
+                dealt = pa.array(bucket[cuts[:-1]], pa.int64()) if parts else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([dealt, *empty, pa.array(parts, pa.binary())], names=["bucket", *names, "packed"])
+
+    def unpack(bucket: pa.Table) -> pa.Table:
+        plain = bucket.filter(pc.is_null(bucket.column("packed"))).select(names)
+        plain = plain.append_column("gram", pa.nulls(plain.num_rows, pa.int64()))
+        data = b"".join(bucket.column("packed").drop_null().to_pylist())
+        pairs = np.frombuffer(data, np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        if len(pairs):
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+            new = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
+            group = np.cumsum(new) - 1
+            pairs = pairs[np.bincount(group)[group] > 1]
+        entries = {c: pa.nulls(len(pairs), plain.schema.field(c).type) for c in names}
+        entries |= {"high": pa.array(pairs[:, 1], pa.int64()), "gram": pa.array(pairs[:, 0], pa.int64())}
+        return pa.concat_tables([plain, pa.table(entries)]).combine_chunks()
+
+    dealt = docs.mapInArrow(run, f"bucket long, {fields}, packed binary")
+    return dealt.groupBy("bucket").applyInArrow(unpack, f"{fields}, gram long")
+
+
+def bitmap(marks: DataFrame, count: int) -> np.ndarray:
+    """A filter of 64-bit marks, of at most 2**26 bits: 8 MB for the driver and each task, however many marks there are."""
+    bits = 1 << min(26, max(16, (16 * count).bit_length()))
+    place = F.pmod(F.col("_mark"), F.lit(bits))
+    words = marks.select(F.expr("1L").alias("one"), place.alias("p")).select(
+        (F.col("p") / 64).cast("long").alias("word"), F.expr("shiftleft(one, cast(p % 64 as int))").alias("bit")
+    )
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy()
+    return out
 
 
 def tile_forest(rows: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -225,26 +276,31 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(id_column).alias("_id"), content.alias("_text"), F.xxhash64(content).alias("_text_hash"))
-    frequent = frequent_columns(source, "_text", words, source.count())
-    rows = store(incidence(source, words, percent, frequent).withColumn("_row", row_id()), "ngram-rows")
-    total = rows.count()
+    source = source.withColumn("_mark", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_text_hash"))
+    n_rows = source.count()
+    frequent = frequent_columns(source, "_text", words, n_rows)
+    both = store(incidence(source, words, percent, frequent, n_rows).withColumn("_row", row_id()), "ngram-rows")
+    rows = both.filter("gram IS NULL").drop("gram")
+    total = n_rows
     key = ["high", "low"]
     first = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
     sets = rows.filter("n > 0").groupBy(*key).agg(
-        F.min("_row").alias("set"), F.min("_id").alias("least"), F.min(first).alias("first"), F.count("*").alias("copies")
+        F.min(F.struct("_row", "_mark")).alias("one"),
+        F.min("_id").alias("least"),
+        F.min(first).alias("first"),
+        F.count("*").alias("copies"),
+        F.first("n").alias("n"),
+        F.first("typical").alias("typical"),
     )
-    sets = store(sets, "ngram-sets")
-    one = sets.select(F.col("set").alias("_row"))
-    entries = rows.select("_row", "n", "typical", "indexed").join(one, "_row").select(
-        F.col("_row").alias("set"), "n", "typical", F.explode("indexed").alias("gram")
-    )
-    n_entries = rows.agg(F.coalesce(F.sum(F.size("indexed")), F.lit(0))).first()[0]
-    shared = entries.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1")
-    entries = hot_join(entries, shared, ["gram"], "_n", n_entries).filter("_n IS NOT NULL").drop("_n")
-    entries = store(entries, "ngram-entries")
+    sets = store(sets.select("*", F.col("one._row").alias("set")), "ngram-sets")
+    # one row of each set tells its frequent columns; the others are told by their hash, so copies count once
+    often = rows.filter(F.size("frequent") > 0).select("_row", "frequent")
+    often = often.join(sets.select(F.col("set").alias("_row"), "high"), "_row").select(F.explode("frequent").alias("gram"), "high")
+    entries = both.filter("gram IS NOT NULL").select("gram", "high").unionByName(often)
     least = F.greatest(F.lit(1), F.expr(f"(({percent} * n + 99) div 100) div {SLACK}"))
-    alive = entries.groupBy("set", "n").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("set")
-    entries = store(entries.join(alive, "set"), "ngram-alive")
+    found = entries.groupBy("high").agg(F.count("*").alias("_n"))
+    alive = sets.select("high", "set", "n", "typical").join(found, "high").filter(F.col("_n") >= least)
+    entries = store(entries.join(alive.drop("_n"), "high").drop("high"), "ngram-alive")
     typical = F.max(F.struct("typical", F.col("n"), F.col("set")))["set"]
     columns = entries.groupBy("gram").agg(F.count("*").alias("_n"), typical.alias("cluster")).filter("_n > 1")
     members = hot_join(entries.select("gram", "set", "n"), columns, ["gram"], "_n", entries.count())
@@ -264,29 +320,37 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column
         ),
         "ngram-tiles",
     )
-    whole = rows.select("_row", "_id", "_text_hash", *key).join(members.select(F.col("set").alias("_row")).distinct(), "_row")
-    whole = whole.select(F.col("_row").alias("set"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key"), "_text_hash", *key)
-    texts = source.withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit(""))).drop("_id").join(whole, ["_key", "_text_hash"])
+    keyed = sets.select("set", *key, F.col("one._mark").alias("_mark"))
+    marks = store(members.select("set").distinct().join(keyed, "set"), "ngram-marks")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(marks, marks.count()))
 
     def grams(batches):
-        for batch_ in batches:
-            for batch in blocks(batch_, "_text"):
-                found = [shingles(t, words) for t in batch.column("_text").to_pylist()]
-                arrays = [batch.column("set"), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["set", "grams"])
-
-    vectors = texts.select("set", "_text").mapInArrow(grams, "set long, grams binary")
-    vectors = store(vectors.dropDuplicates(["set"]), "ngram-vectors")
+        table = wanted.value
+        last = len(table) * 64 - 1
+        for whole in batches:
+            place = whole.column("_mark").to_numpy(zero_copy_only=False) & last
+            some = whole.filter(pa.array((table[place >> 6] >> (place & 63)) & 1 == 1))
+            for batch in blocks(some, "_text"):
+                found = [shingles(t, words).tobytes() for t in batch.column("_text").to_pylist()]
+                digests = [np.frombuffer(hashlib.blake2b(g, digest_size=16).digest(), "<i8") for g in found]
+                high, low = (pa.array([int(d[k]) for d in digests], pa.int64()) for k in (0, 1))
+                arrays = [batch.column("_mark"), high, low, pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_mark", *key, "grams"])
+
+    # rows alike in id and text come back several times; a tile takes each set once
+    vectors = source.select("_text", "_mark").mapInArrow(grams, "_mark long, high long, low long, grams binary")
+    vectors = members.join(marks, "set").join(vectors, [*key, "_mark"])
 
     def product(tile: pa.Table) -> pa.Table:
-        numbers = tile.column("set").to_numpy()
-        sets = [np.frombuffer(g, np.int64) for g in tile.column("grams").to_pylist()]
-        sides = tile.column("side").to_numpy()
-        # block i has rows of side 0 only if the tile is of two blocks
+        numbers, once = np.unique(tile.column("set").to_numpy(), return_index=True)
+        packed = tile.column("grams").to_pylist()
+        sets = [np.frombuffer(packed[k], np.int64) for k in once]
+        sides = tile.column("side").to_numpy()[once]
         forest = tile_forest(numbers, sides, sets, percent)
         return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
-    edges = members.join(vectors, "set").groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
+    tiles = vectors.select("cluster", "i", "j", "set", "side", "grams")
+    edges = tiles.groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
     roots = components(edges, "ngram-components").select(F.col("node").alias("set"), "root")
     named = sets.join(roots, "set", "left").withColumn("root", F.coalesce("root", F.col("set")))
     named = store(named, "ngram-named")
