@@ -133,11 +133,9 @@ def apply_decisions(docs: DataFrame, decided: DataFrame, copies: Column, id_colu
     facts = named.groupBy("_key", "_text_hash").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_alike"))
     facts = store(facts, "decisions")
     total = facts.agg(F.coalesce(F.sum("_alike"), F.lit(0))).first()[0]
-    kept = hot_join(docs.withColumns(identity(id_column, text)), facts, ["_key", "_text_hash"], "_alike", total)
-    kept = kept.filter("_copies > 0")
-    alike = kept.filter("_alike > 1").groupBy("_key", "_text_hash").agg(
-        F.first(F.struct(*docs.columns)).alias("_one"), F.first("_copies").alias("_copies")
-    )
-    one = kept.filter("_alike = 1").select(*docs.columns, "_copies")
-    out = one.unionByName(alike.select("_one.*", "_copies"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_all"), *[c.alias(n) for n, c in identity(id_column, text).items()])
+    kept = hot_join(whole, facts, ["_key", "_text_hash"], "_alike", total).filter("_copies > 0")
+    alike = kept.filter("_alike > 1").groupBy("_key", "_text_hash")
+    alike = alike.agg(F.first("_all").alias("_all"), F.first("_copies").alias("_copies")).select("_all", "_copies")
+    out = kept.filter("_alike = 1").select("_all", "_copies").unionByName(alike)
+    return out.select("_all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_all.*")
