@@ -24,8 +24,8 @@ STRUCTURE_MARKERS = ["chapter", "section", "1.", "2.", "introduction", "conclusi
 COMPONENTS = {
     "currency_amounts": r"\$\s?\d+(?:,\d{3})*(?:\.\d{2})?",
     "percentages": r"\d+(?:\.\d+)?%",
-    "numbers_found": r"\b\d+(?:,\d{3})*(?:\.\d+)?\b",
-    "emails_found": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "numbers_found": r"(?<![\p{L}\p{N}_])\d+(?:,\d{3})*(?:\.\d+)?(?![\p{L}\p{N}_])",
+    "emails_found": r"(?:(?<![\p{L}\p{N}_])(?=[A-Za-z0-9_])|(?<=[\p{L}\p{N}_])(?=[.%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}(?![\p{L}\p{N}_])(?<!\|)",
     "urls_found": r"https?://[^\s]+",
     "addresses_found": r"\d+\s+[A-Z][a-z]+\s+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd)",
     "phone_numbers": r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
@@ -35,7 +35,7 @@ DATES = [
     r"\d{4}-\d{2}-\d{2}",
     r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}",
 ]
-NAMES = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+NAMES = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+(?![\p{L}\p{N}_])"
 SECTIONS = r"(?i)(?:chapter|section|part|appendix)\s+\d+"
 BULLET = r"^\s*[•\-\*]\s+"
 NUMBERED_ITEM = r"^\s*\d+[\)\.]\s+"
@@ -158,7 +158,7 @@ def line_class(line: Column) -> Column:
     s = _strip(line)
     return (
         F.when(F.length(s) == 0, "blank")
-        .when(line.contains("|") | line.contains("\t"), "table")
+        .when(s.contains("|") | s.contains("\t"), "table")
         .when(is_upper(s) & (F.length(s) < 100), "header1")
         .when(s.rlike(NUMBERED_TITLE), "header2")
         .when(s.endswith(":") & (F.length(s) < 100) & ~s.rlike(r"\d{1,2}:\d{2}"), "header2")
@@ -177,12 +177,13 @@ def blocks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     lines = line_table(docs, keys, text).withColumn("_k", line_class(F.col("line")))
     w = W.partitionBy(*keys).orderBy("line_no")
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    for kind, pattern in (("bullet", BULLET), ("numbered", NUMBERED_ITEM)):
-        # Once a list has begun, every directly following line of its shape is an item, whatever else it looks like.
-        fits = F.col("line").rlike(pattern)
+    celled = F.col("line").contains("|") | F.col("line").contains("\t") | (F.length(_strip(F.col("line"))) == 0)
+    for kind, fits in (("table", celled), ("bullet", F.col("line").rlike(BULLET)), ("numbered", F.col("line").rlike(NUMBERED_ITEM))):
+        # Once a table or list has begun, every directly following line of its shape belongs to it, whatever else it
+        # looks like; a table goes on over blank lines, and its rows may be indented by a tab.
         lines = lines.withColumn("_run", F.sum((~fits).cast("int")).over(so_far))
         begun = F.max((F.col("_k") == kind).cast("int")).over(W.partitionBy(*keys, "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-        lines = lines.withColumn("_k", F.when(fits & (begun == 1), kind).otherwise(F.col("_k")))
+        lines = lines.withColumn("_k", F.when(fits & (begun == 1) & (F.col("_k") != "blank"), kind).otherwise(F.col("_k")))
     before = F.lag("_k").over(w)
     solid = F.last(F.when(F.col("_k") != "blank", F.col("_k")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     stripped = _strip(F.col("line"))

@@ -182,50 +182,84 @@ def block_sizes(labels: DataFrame, n: int) -> DataFrame:
 
 
 def remove_edges(edges: DataFrame, surplus: int, seed: int = keyed.SEED) -> DataFrame:
-    """Drop up to ``surplus`` edges, those with ends of low degree first; every node keeps at least one edge.
+    """Drop ``surplus`` edges, those with ends of low degree first.
 
-    Each node protects its edge of smallest hash, so a whole batch can go at once.
+    Each node protects its edge of smallest hash, so a whole batch can go at once; protected edges go only where the others
+    do not suffice.
     """
     if surplus <= 0:
         return edges
     d = graph.degrees(graph.node_table(edges), edges)
     marked = edges.select("src", "dst", keyed.digest("keep", F.col("src"), F.col("dst"), seed=seed).alias("_h"))
-    kept = marked.select(F.explode(F.array("src", "dst")).alias("id"), "_h").groupBy("id").agg(F.min("_h").alias("_h")).select("_h").distinct()
-    free = marked.join(kept, "_h", "left_anti")
-    scored = free.join(d.select(F.col("id").alias("src"), F.col("degree").alias("_a")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("_b")), "dst")
-    scored = scored.where("_a > 1 AND _b > 1").withColumn("_low", F.least("_a", "_b"))
-    free_edges = cut_lineage(scored.select("src", "dst", "_low", "_h"))
-    ranked = with_global_index(free_edges, ["_low", "_h"], "_i")
+    kept = marked.select(F.explode(F.array("src", "dst")).alias("id"), "_h").groupBy("id").agg(F.min("_h").alias("_h"))
+    kept = kept.select("_h", F.lit(True).alias("_kept")).distinct()
+    scored = marked.join(kept, "_h", "left")
+    scored = scored.join(d.select(F.col("id").alias("src"), F.col("degree").alias("_a")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("_b")), "dst")
+    last = F.col("_kept").isNotNull() | (F.col("_a") <= 1) | (F.col("_b") <= 1)
+    scored = scored.select("src", "dst", last.alias("_last"), F.when(last, F.lit(0)).otherwise(F.least("_a", "_b")).alias("_low"), "_h")
+    ranked = with_global_index(cut_lineage(scored), ["_last", "_low", "_h"], "_i")
     gone = ranked.where(F.col("_i") < surplus).select("src", "dst")
     return edges.select("src", "dst").join(gone, ["src", "dst"], "left_anti")
 
 
+def _absent_pairs(every: DataFrame, n: int, edges: DataFrame, seed: int) -> DataFrame:
+    """(e, src, dst): the pairs without an edge, by hash.  For dense graphs, which have as many pairs as edges or so."""
+    pairs = every.sparkSession.range(n * (n - 1) // 2)
+    # pair number p is (i, j), j < i, with i (i - 1) / 2 + j = p; the root is corrected by one where it was rounded
+    i = F.floor((F.sqrt(8.0 * F.col("id") + 1.0) + 1.0) / 2.0).cast("bigint")
+    pairs = pairs.withColumn("_i", i)
+    below = F.col("_i") * (F.col("_i") - 1) > 2 * F.col("id")
+    above = F.col("_i") * (F.col("_i") + 1) <= 2 * F.col("id")
+    pairs = pairs.withColumn("_i", F.col("_i") + F.when(below, -1).when(above, 1).otherwise(0))
+    pairs = pairs.select("_i", (F.col("id") - F.expr("_i * (_i - 1) div 2")).alias("_j"))
+    made = pairs.join(every.select("_i", F.col("id").alias("x")), "_i").join(every.select(F.col("_i").alias("_j"), F.col("id").alias("y")), "_j")
+    made = made.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).join(edges, ["src", "dst"], "left_anti")
+    return made.withColumn("e", keyed.digest("add-absent", F.col("src"), F.col("dst"), seed=seed))
+
+
 def add_edges(nodes: DataFrame, edges: DataFrame, missing: int, bias: float = 0.7, seed: int = keyed.SEED) -> DataFrame:
-    """Add about ``missing`` new edges; seven in ten of their first ends come from nodes of below-average degree."""
+    """Add ``missing`` new edges, or all that are possible; seven in ten join two nodes of at most average degree.
+
+    Pairs are drawn in rounds until there are enough: loops and repeats are drawn again.  Where over half of all pairs would
+    be edges, the new ones are chosen among the absent pairs.
+    """
+    edges = edges.select("src", "dst")
     if missing <= 0:
         return edges
     d = graph.degrees(nodes, edges)
     mean = d.agg(F.avg("degree").alias("_m"))
-    low = attach(d, mean).where("degree < _m").select("id")
-    every = with_hashed_index(nodes.select("id"), ["id"], "_i")
+    low = attach(d, mean).where("degree <= _m").select("id")
+    every = cut_lineage(with_hashed_index(nodes.select("id"), ["id"], "_i"))
     lows = cut_lineage(with_hashed_index(cut_lineage(low), ["id"], "_i"))
     n, k = every.count(), lows.count()
-    if n < 2:
+    have = edges.where("src <> dst").count()
+    missing = min(missing, n * (n - 1) // 2 - have)
+    if missing <= 0:
         return edges
-    draws = nodes.sparkSession.range(missing * 2 + 16)  # spare draws replace loops and repeats
-    e = F.col("id")
-    biased = (keyed.uniform("add-bias", e, seed=seed) < bias) & F.lit(k > 0)
-    draws = draws.select(
-        e.alias("e"), biased.alias("_biased"), keyed.index_below(max(k, 1), "add-low", e, seed=seed).alias("_low"),
-        keyed.index_below(n, "add-a", e, seed=seed).alias("_a"), keyed.index_below(n, "add-b", e, seed=seed).alias("_b"),
-    )
-    first = draws.where("_biased").join(lows.select(F.col("_i").alias("_low"), F.col("id").alias("x")), "_low").select("e", "x", "_b")
-    first = first.unionByName(draws.where("NOT _biased").join(every.select(F.col("_i").alias("_a"), F.col("id").alias("x")), "_a").select("e", "x", "_b"))
-    made = first.join(every.select(F.col("_i").alias("_b"), F.col("id").alias("y")), "_b").where("x <> y")
-    fresh = made.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.min("e").alias("e"))
-    fresh = fresh.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    ranked = with_hashed_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < missing)
-    return edges.select("src", "dst").unionByName(ranked.select("src", "dst"))
+    if 4 * (have + missing) > n * (n - 1):
+        ranked = with_global_index(cut_lineage(_absent_pairs(every, n, edges, seed)), ["e", "src", "dst"], "_i")
+        return edges.unionByName(ranked.where(F.col("_i") < missing).select("src", "dst"))
+    begin, out = 0, cut_lineage(edges)
+    while missing > 0:
+        draws = nodes.sparkSession.range(begin, begin + missing * 2 + 16)
+        begin += missing * 2 + 16
+        e = F.col("id")
+        biased = (keyed.uniform("add-bias", e, seed=seed) < bias) & F.lit(k > 1)
+        size = lambda tag: F.when(
+            biased, keyed.index_below(max(k, 1), f"add-low-{tag}", e, seed=seed)
+        ).otherwise(keyed.index_below(n, f"add-{tag}", e, seed=seed))
+        draws = draws.select(e.alias("e"), biased.alias("_biased"), size("a").alias("_a"), size("b").alias("_b"))
+        ends = every.select(F.lit(False).alias("_biased"), "_i", "id").unionByName(lows.select(F.lit(True).alias("_biased"), "_i", "id"))
+        made = draws.join(ends.select("_biased", F.col("_i").alias("_a"), F.col("id").alias("x")), ["_biased", "_a"])
+        made = made.join(ends.select("_biased", F.col("_i").alias("_b"), F.col("id").alias("y")), ["_biased", "_b"]).where("x <> y")
+        fresh = made.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.min("e").alias("e"))
+        fresh = fresh.join(out, ["src", "dst"], "left_anti")
+        ranked = cut_lineage(with_global_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < missing).select("src", "dst"))
+        missing -= ranked.count()
+        out = out.unionByName(ranked)
+        if begin > 64 * (n + have) + 4096:  # the low nodes may be joined to each other already: leave the bias
+            bias = 0.0
+    return out
 
 
 def adjust_edge_count(nodes: DataFrame, edges: DataFrame, target: int, seed: int = keyed.SEED) -> DataFrame:
@@ -251,7 +285,7 @@ def adjacency_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def close_triads(edges: DataFrame, k: int, seed: int = keyed.SEED) -> DataFrame:
-    """Add up to k edges that close open wedges.
+    """Add k edges that close open wedges; fewer only when a round of draws finds no open one.
 
     Wedges are drawn, not listed: a random directed edge a -> u, then a random neighbour b of u, looked up by
     number.  A hub therefore costs what its drawn wedges cost.
@@ -261,15 +295,23 @@ def close_triads(edges: DataFrame, k: int, seed: int = keyed.SEED) -> DataFrame:
     simple = cut_lineage(graph.simple_edges(edges))
     places, spans = adjacency_index(simple)
     total = places.agg(F.count("*").alias("_t"))
-    draws = attach(edges.sparkSession.range(4 * k + 16), total)  # spare draws for closed and repeated wedges
-    e = F.col("id")
-    picked = draws.select(e.alias("e"), keyed.index_below(F.col("_t"), "wedge", e, seed=seed).alias("_i")).join(places, "_i").select("e", F.col("src").alias("a"), F.col("dst").alias("src"))
-    second = picked.join(spans, "src").select("e", "a", (F.col("_start") + keyed.index_below(F.col("_n"), "wedge-b", F.col("e"), seed=seed)).alias("_i"))
-    wedges = second.join(places.select("_i", F.col("dst").alias("b")), "_i").where("a <> b")
-    fresh = wedges.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("e").alias("e"))
-    fresh = fresh.join(simple, ["src", "dst"], "left_anti")
-    ranked = with_hashed_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < k)
-    return simple.unionByName(ranked.select("src", "dst"))
+    begin, out = 0, simple
+    while k > 0:
+        draws = attach(edges.sparkSession.range(begin, begin + 4 * k + 16), total)  # spare draws for closed and repeated wedges
+        begin += 4 * k + 16
+        e = F.col("id")
+        picked = draws.select(e.alias("e"), keyed.index_below(F.col("_t"), "wedge", e, seed=seed).alias("_i")).join(places, "_i").select("e", F.col("src").alias("a"), F.col("dst").alias("src"))
+        second = picked.join(spans, "src").select("e", "a", (F.col("_start") + keyed.index_below(F.col("_n"), "wedge-b", F.col("e"), seed=seed)).alias("_i"))
+        wedges = second.join(places.select("_i", F.col("dst").alias("b")), "_i").where("a <> b")
+        fresh = wedges.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("e").alias("e"))
+        fresh = fresh.join(out, ["src", "dst"], "left_anti")
+        ranked = cut_lineage(with_global_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < k).select("src", "dst"))
+        made = ranked.count()
+        if made == 0:  # a whole round of draws found no open wedge
+            break
+        k -= made
+        out = out.unionByName(ranked)
+    return out
 
 
 def augment(nodes: DataFrame, edges: DataFrame, labels: DataFrame, extra: int, first_id: int, p_intra: float = 0.7, seed: int = keyed.SEED) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,6 @@
 """Global row numbers without a global window.
 
-A few hundred splitter keys cut the key space into ranges; every range is numbered by its own task and
-starts where the ranges before it end.  Ties and hot keys are spread by giving a unique order.
+The key space is cut into ranges; every range is numbered by its own task and starts where the ranges before it end.  Ties and hot keys are spread by giving a unique order.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabwright.operators.distributions import bucket_count, bucket_of
+from tabwright.session import cut_lineage, shuffle_partitions
 
 
 def range_bucket(df: DataFrame, order: list[str], ranges: int | None) -> Column:
@@ -29,26 +29,22 @@ def range_bucket(df: DataFrame, order: list[str], ranges: int | None) -> Column:
     return bucket_of(F.struct(*[F.col(c) for c in order]), array)
 
 
-def _number(bucketed: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Positions in (_range, order): one small table of range totals, and one window per range."""
-    totals = bucketed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = bucketed.withColumn("_local", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
-    # At most 4096 ranges, so the offsets are safe to broadcast.
-    return (
-        local.join(F.broadcast(offsets), "_range")
-        .withColumn(name, (F.col("_local") + F.col("_before") - 1).cast("bigint"))
-        .drop("_range", "_local", "_before")
-    )
-
-
 def with_global_index(df: DataFrame, order: list[str], name: str = "index", ranges: int | None = None) -> DataFrame:
     """Add a 0-based position in the order of the given columns, which must be unique together and not null.
 
-    The input is read three times (splitters, totals, rows): hand in a table or something cut off its lineage.
+    Rows are range-sorted into as many tasks as a shuffle has and stored with their places; one total per range gives
+    where it starts.  The input is read twice (range bounds, rows): hand in a table or something cut off its lineage.
     """
-    return _number(df.withColumn("_range", range_bucket(df, order, ranges)), order, name)
+    n = ranges or shuffle_partitions(df.sparkSession)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = cut_lineage(ranged.withColumns({"_range": F.spark_partition_id(), "_local": place}))
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per range
+    out = ranged.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
+    return out.select(*df.columns, name)
 
 
 def with_hashed_index(df: DataFrame, keys: list[str], name: str = "index") -> DataFrame:
@@ -58,12 +54,12 @@ def with_hashed_index(df: DataFrame, keys: list[str], name: str = "index") -> Da
     lie close together are spread evenly.
     """
     digest = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)
-    return _number(df.withColumn("_range", F.substring(digest, 1, 3)), keys, name)
+    return with_global_index(df.withColumn("_digits", F.substring(digest, 1, 3)), ["_digits", *keys], name).drop("_digits")
 
 
 def with_digest_index(df: DataFrame, digest: str, keys: list[str], name: str = "index") -> DataFrame:
-    """Add a 0-based position in the order of a hex digest column, ties by keys; its leading digits are the ranges."""
-    return _number(df.withColumn("_range", F.substring(digest, 1, 3)), [digest, *keys], name)
+    """Add a 0-based position in the order of a hex digest column, ties by keys."""
+    return with_global_index(df, [digest, *keys], name)
 
 
 EXPAND_CHUNK = 10_000

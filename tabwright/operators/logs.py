@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tabwright.functions import keyed
 from tabwright.functions.log_formats import ACCESS, ACCESS_USER, APPLICATION, LEADING_TIMESTAMP, SYSLOG, TRIED
 from tabwright.operators.distributions import bucket_count
+from tabwright.operators.scalars import attach
 
 TOP_VALUES = 50
 
@@ -18,19 +19,19 @@ TOP_VALUES = 50
 
 
 def is_json(line: Column) -> Column:
-    """Does the text parse as JSON?  ``try_parse_json`` gives null where it does not."""
-    return F.try_parse_json(line).isNotNull()
+    """Is the text a JSON object?  ``try_parse_json`` gives null where it does not parse; other values are no records."""
+    return line.rlike(r"^\s*\{") & F.try_parse_json(line).isNotNull()
 
 
-def detect_format(lines: DataFrame, order: list[str], first: int = 20) -> DataFrame:
-    """One row with the format name of the first non-blank lines."""
-    head = lines.where(F.trim("line") != "").orderBy(*order).limit(first)
-    numbered = head.withColumn("_i", F.row_number().over(W.orderBy(*order)))  # at most ``first`` rows
-    top = F.col("_i") == 1
-    stats = numbered.agg(
+def detect_format(lines: DataFrame, order: list[str], first: int | None = None) -> DataFrame:
+    """One row with the format that more than half of the non-blank lines have; of the first so many, if asked."""
+    head = lines.where(F.col("line").rlike(r"\S"))
+    head = head if first is None else head.orderBy(*order).limit(first)
+    share = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")) > 0.5, F.lit(False))
+    stats = head.agg(
         F.count("*").alias("n"),
-        F.coalesce(F.bool_or(F.when(top, is_json(F.col("line")))), F.lit(False)).alias("json"),
-        F.coalesce(F.bool_or(F.when(top, F.size(F.split("line", ",")) >= 3)), F.lit(False)).alias("csv"),
+        share(is_json(F.col("line"))).alias("json"),
+        share(F.size(F.split("line", ",")) >= 3).alias("csv"),
         *[F.avg(F.col("line").rlike(p).cast("double")).alias(name) for name, p in TRIED],
     )
     verdict = F.when(F.col("n") == 0, "unknown").when(F.col("json"), "json")
@@ -80,11 +81,14 @@ def parse_json(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
     return lines.where(is_json(F.col("line"))).select(*kept, record.alias("_r")).select(*kept, "_r.*")
 
 
-def parse_csv(lines: DataFrame, header: list[str]) -> DataFrame:
-    """Comma-separated lines by a known header, quotes respected; the header line itself is dropped."""
+def parse_csv(lines: DataFrame, header: list[str], order: list[str]) -> DataFrame:
+    """Comma-separated lines by a known header, quotes respected; the first line is dropped if it is that header."""
     kept = [c for c in lines.columns if c != "line"]
     schema = ", ".join(f"`{h}` string" for h in header)
-    return lines.where(F.col("line") != ",".join(header)).select(*kept, F.from_csv("line", schema).alias("_r")).select(*kept, "_r.*")
+    top = lines.agg(F.min(F.struct(*order)).alias("_top"))
+    is_first = F.struct(*order) == F.col("_top")
+    rows = attach(lines, top).where(~(F.coalesce(is_first, F.lit(False)) & (F.col("line") == ",".join(header))))
+    return rows.select(*kept, F.from_csv("line", schema).alias("_r")).select(*kept, "_r.*")
 
 
 def parse_any(lines: DataFrame) -> DataFrame:
@@ -351,5 +355,5 @@ def parse(lines: DataFrame, fmt: str, **options) -> DataFrame:
     if fmt == "json":
         return parse_json(lines, options["schema"])
     if fmt == "csv":
-        return parse_csv(lines, options["header"])
+        return parse_csv(lines, options["header"], options["order"])
     return parse_any(lines)

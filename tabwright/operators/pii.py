@@ -31,12 +31,20 @@ STRICT_PHONE = r"^(?!\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$)(?!\d{1,2}[-/.]\d{1,2}[-/.]\
 
 
 def plain_text(df: DataFrame, column: str) -> Column:
-    """A value as text; doubles without an exponent and without a needless fraction sign change."""
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        fixed = F.col(column).cast("decimal(38,6)").cast("string")
-        # At least one digit stays behind the point.
-        return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
-    return F.col(column).cast("string")
+    """A value as text; doubles with all their digits and without an exponent."""
+    text = F.col(column).cast("string")
+    if not isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return text
+    # 1.25E-7 and 1.25E9: the point moves by the exponent through the digits; nothing is rounded
+    shape = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    part = lambda i: F.regexp_extract(text, shape, i)
+    fraction = F.regexp_replace(part(3), "0+$", "")
+    by = part(4).try_cast("int")
+    small = F.concat(part(1), F.lit("0."), F.repeat(F.lit("0"), -by - 1), part(2), fraction)
+    whole = F.concat(part(1), part(2), F.rpad(F.substring(fraction, F.lit(1), by), by, F.lit("0")), F.lit("."))
+    rest = F.substring(fraction, by + 1, F.greatest(F.length(fraction) - by, F.lit(0)))
+    large = F.concat(whole, F.when(rest == "", F.lit("0")).otherwise(rest))
+    return F.when(text.rlike(shape), F.when(by < 0, small).otherwise(large)).otherwise(text)
 
 
 def hinted_type(column: str, mode: str = "compat") -> str | None:
@@ -75,18 +83,31 @@ def first_values(df: DataFrame, columns: list[str], order: list[str], first: int
     return rows.select("column_name", position.alias("position"), "value").where(F.col("position") <= first)
 
 
-def pattern_rates(df: DataFrame, columns: list[str], order: list[str], first: int = 100, mode: str = "compat") -> DataFrame:
-    """(column_name, values, <pattern rates>) over each column's first non-null values in the given order."""
+def pattern_rates(df: DataFrame, columns: list[str], order: list[str], first: int | None = None, mode: str = "compat") -> DataFrame:
+    """(column_name, values, <pattern rates>) over all non-null values of each column, in one aggregate over the table.
+
+    ``first`` looks at so many values of each column only, in the given order.
+    """
     patterns = dict(PATTERNS)
     if mode == "strict":
         patterns["phone"] = STRICT_PHONE
+    if first is None:
+        texts = df.select(*[F.trim(plain_text(df, c)).alias(f"_t{i}") for i, c in enumerate(columns)])
+        cells = [F.count(f"_t{i}").alias(f"_n{i}") for i in range(len(columns))]
+        for i in range(len(columns)):
+            cells += [F.avg(F.col(f"_t{i}").rlike(p).cast("double")).alias(f"_{i}_{k}") for k, p in patterns.items()]
+        entries = [
+            F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("values"), *[F.col(f"_{i}_{k}").alias(k) for k in patterns])
+            for i, c in enumerate(columns)
+        ]
+        return texts.agg(*cells).select(F.inline(F.array(*entries))).where("values > 0")
     rows = first_values(df, columns, order, first).withColumn("value", F.trim("value"))
     return rows.groupBy("column_name").agg(
         F.count("*").alias("values"), *[F.avg(F.col("value").rlike(p).cast("double")).alias(k) for k, p in patterns.items()]
     )
 
 
-def detect(df: DataFrame, order: list[str], columns: list[str] | None = None, first: int = 100, mode: str = "compat") -> DataFrame:
+def detect(df: DataFrame, order: list[str], columns: list[str] | None = None, first: int | None = None, mode: str = "compat") -> DataFrame:
     """(column_name, pii_type, pii_category, confidence, suggested_strategy) of the columns that look personal."""
     columns = columns or df.columns
     rates = pattern_rates(df, columns, order, first, mode)
@@ -230,9 +251,10 @@ def generalize(value: Column, kind: str, date_pattern: str = "yyyy-MM-dd") -> Co
     return F.when(value.isNotNull(), F.lit(GENERALIZED))
 
 
-def date_format_scores(df: DataFrame, column: str, order: list[str], first: int = 50) -> DataFrame:
-    """One row per format: how many of the first values have its shape, and how many it parses."""
-    head = df.where(F.col(column).isNotNull()).orderBy(*order).limit(first).select(F.trim(F.col(column).cast("string")).alias("v"))
+def date_format_scores(df: DataFrame, column: str, order: list[str], first: int | None = None) -> DataFrame:
+    """One row per format: how many values have its shape, and how many it parses; of the first so many, if asked."""
+    head = df.where(F.col(column).isNotNull())
+    head = (head if first is None else head.orderBy(*order).limit(first)).select(F.trim(F.col(column).cast("string")).alias("v"))
     cells = []
     for i, (fmt, shape) in enumerate(DATE_FORMATS):
         cells.append(F.count_if(F.col("v").rlike(shape)).alias(f"s{i}") if shape else F.lit(0).cast("bigint").alias(f"s{i}"))
@@ -260,7 +282,7 @@ def choose_date_format(scores: list) -> str:
     return best
 
 
-def detect_date_format(df: DataFrame, column: str, order: list[str], first: int = 50) -> str:
+def detect_date_format(df: DataFrame, column: str, order: list[str], first: int | None = None) -> str:
     rows = date_format_scores(df, column, order, first).collect()  # twelve rows
     return choose_date_format(sorted((r.asDict() for r in rows), key=lambda r: r["position"]))
 

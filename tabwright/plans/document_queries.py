@@ -83,7 +83,7 @@ def vocabulary(spark, folder):
     return rounded(doc.vocabulary(docs(spark, folder), ["doc_id"]), lexical_diversity=6, mean_word_length=6)
 
 
-_CLASS = rf"""CASE WHEN length(s) = 0 THEN 'blank' WHEN contains(x, '|') OR contains(x, chr(9)) THEN 'table' WHEN {_UP} AND length(s) < 100 THEN 'header1'
+_CLASS = rf"""CASE WHEN length(s) = 0 THEN 'blank' WHEN contains(s, '|') OR contains(s, chr(9)) THEN 'table' WHEN {_UP} AND length(s) < 100 THEN 'header1'
     WHEN regexp_matches(s, '{doc.NUMBERED_TITLE}') THEN 'header2' WHEN s LIKE '%:' AND length(s) < 100 AND NOT regexp_matches(s, '\d{{1,2}}:\d{{2}}') THEN 'header2'
     WHEN regexp_matches(x, '{doc.BULLET}') THEN 'bullet' WHEN regexp_matches(x, '{doc.NUMBERED_ITEM}') THEN 'numbered' ELSE 'text' END"""
 
@@ -91,7 +91,10 @@ _CLASS = rf"""CASE WHEN length(s) = 0 THEN 'blank' WHEN contains(x, '|') OR cont
 @query(
     "text_blocks",
     rf"""WITH l AS (SELECT doc_id, i, x, {_S} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-      a AS (SELECT *, {_CLASS} AS k, regexp_matches(x, '{doc.BULLET}') AS fb, regexp_matches(x, '{doc.NUMBERED_ITEM}') AS fn FROM l),
+      a0 AS (SELECT *, {_CLASS} AS k, (contains(x, '|') OR contains(x, chr(9)) OR length(s) = 0) AS ft FROM l),
+      a1 AS (SELECT *, sum((NOT ft)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r0 FROM a0),
+      a2 AS (SELECT * REPLACE (CASE WHEN ft AND k <> 'blank' AND bool_or(k = 'table') OVER (PARTITION BY doc_id, r0 ORDER BY i) THEN 'table' ELSE k END AS k) FROM a1),
+      a AS (SELECT *, regexp_matches(x, '{doc.BULLET}') AS fb, regexp_matches(x, '{doc.NUMBERED_ITEM}') AS fn FROM a2),
       b1 AS (SELECT *, sum((NOT fb)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM a),
       b AS (SELECT * REPLACE (CASE WHEN fb AND bool_or(k = 'bullet') OVER (PARTITION BY doc_id, r ORDER BY i) THEN 'bullet' ELSE k END AS k) FROM b1),
       c1 AS (SELECT *, sum((NOT fn)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r2 FROM b),

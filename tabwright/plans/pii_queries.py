@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.pii_types import DATE_FORMATS, MARKERS, NAME_HINTS, PATTERNS, STRATEGIES
+from tabwright.functions.pii_types import DATE_FORMATS, INDIRECT_TYPES, MARKERS, NAME_HINTS, PATTERNS, STRATEGIES
 from tabwright.operators import pii
 from tabwright.plans.drift_queries import rounded
 from tabwright.plans.registry import query, sql_digest, sql_index, sql_uniform, table
@@ -56,7 +56,7 @@ def _hint_sql(name):
 _RATES = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {_hint_sql(c)} AS hint, count(*) AS values, "
     + ", ".join(f"avg(regexp_matches(v, '{p}')::INT) AS {k}" for k, p in PATTERNS.items())
-    + f" FROM (SELECT trim({c}) AS v FROM {PEOPLE} WHERE {c} IS NOT NULL ORDER BY record LIMIT 100)"
+    + f" FROM (SELECT trim({c}) AS v FROM {PEOPLE} WHERE {c} IS NOT NULL)"
     for c in COLUMNS
 )
 
@@ -70,7 +70,7 @@ def _detect_sql():
 
 
 _STRATEGY_VALUES = ", ".join(f"('{k}', '{s}')" for k, s in STRATEGIES.items())
-_INDIRECT = "('age', 'gender', 'salary', 'occupation', 'marital_status', 'education', 'nationality', 'employee_id', 'device_id', 'vehicle_vin', 'zip_code')"
+_INDIRECT = "(" + ", ".join(f"'{k}'" for k in sorted(INDIRECT_TYPES)) + ")"
 _DETECTED = f"""SELECT column_name, pii_type, CASE WHEN pii_type IN {_INDIRECT} THEN 'indirect' ELSE 'direct' END AS pii_category,
     confidence, s AS suggested_strategy FROM ({_detect_sql()}) JOIN (VALUES {_STRATEGY_VALUES}) t(k, s) ON k = pii_type"""
 
@@ -187,7 +187,7 @@ _DUCK_FORMATS = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%b-%Y", "%B
 
 @query(
     "date_format_scores",
-    f"WITH h AS (SELECT strftime(strptime(dob, '%Y-%m-%d'), '%d-%b-%Y') AS v FROM {PEOPLE} WHERE dob IS NOT NULL ORDER BY record LIMIT 50) "
+    f"WITH h AS (SELECT strftime(strptime(dob, '%Y-%m-%d'), '%d-%b-%Y') AS v FROM {PEOPLE} WHERE dob IS NOT NULL) "
     + " UNION ALL ".join(
         f"SELECT {i} AS position, '{fmt}' AS format, count(*) FILTER (WHERE {f"regexp_matches(v, '{shape}')" if shape else 'false'}) AS shape_hits, count(TRY_STRPTIME(v, '{duck}')) AS parsed FROM h"
         for i, ((fmt, shape), duck) in enumerate(zip(DATE_FORMATS, _DUCK_FORMATS))

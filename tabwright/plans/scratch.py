@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tabwright.session import shared_folder
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder; a local one only where no shared folder is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared_folder(spark)
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="tabwright-")
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -80,7 +80,7 @@ def adjacency_edges(spark, folder):
     return graphs.adjacency_edges(documents)
 
 
-@query("log_line_scan", "SELECT count(*) AS lines, count(DISTINCT text) AS distinct_lines FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations) WHERE trim(text) <> ''")
+@query("log_line_scan", "SELECT count(*) AS lines, count(DISTINCT text) AS distinct_lines FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations) WHERE regexp_matches(text, '\\S')")
 def log_line_scan(spark, folder):
     path = scratch_path(spark, "lines")
     table(spark, folder, "conversations").select(F.explode(F.split("text", "\n")).alias("value")).write.text(path)

@@ -31,13 +31,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share; None in local mode without one, an error on a cluster without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; fall back to a new local one only where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabwright-checkpoint-"))
+    context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="tabwright-checkpoint-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -15,16 +15,27 @@ def canonical_edges(rows: DataFrame, directed: bool = False, order: str | None =
     return ends.groupBy("src", "dst").agg(last.alias("weight"))
 
 
+def _ends_in_order(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
+
+
+def last_of_each(edges: DataFrame) -> DataFrame:
+    """Of repeated links the last in the file, whose place is ``_at``."""
+    last = F.max_by(F.struct("weight", "attrs"), "_at")
+    return edges.groupBy("src", "dst").agg(last.alias("_l")).select("src", "dst", "_l.weight", "_l.attrs")
+
+
 def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a CSV edge list.
 
-    The first line is a header unless its first two cells are all digits.  Weight is the third cell where it is
+    The first line is a header unless its first two cells are digits, points and hyphens.  Weight is the third cell where it is
     a number, else 1.0; further cells are ignored.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
     first = lines.limit(1).collect()
     cells = [c.strip() for c in first[0].value.split(",")] if first else []
-    headed = len(cells) >= 2 and not (cells[0].isdigit() and cells[1].isdigit())
+    number = [c.replace(".", "").replace("-", "").isdigit() for c in cells[:2]]
+    headed = len(cells) >= 2 and not all(number)
     raw = spark.read.schema("a string, b string, c string").option("header", headed).option(
         "ignoreLeadingWhiteSpace", True
     ).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", True).csv(path)
@@ -53,19 +64,21 @@ def read_node_link(spark: SparkSession, path: str, directed: bool = False) -> tu
     links = "links" if "links" in doc.columns else "edges"
     node_fields = doc.schema["nodes"].dataType.elementType.names
     link_fields = doc.schema[links].dataType.elementType.names
+    # One enclosing object is one record: a single task parses the file.
     nodes = doc.select(F.explode("nodes").alias("n")).select(
         F.col("n.id").cast("string").alias("id"), _text_map("n", node_fields, {"id"}).alias("attrs")
     )
     weight = F.coalesce(F.col("l.weight").cast("double"), F.lit(1.0)) if "weight" in link_fields else F.lit(1.0)
-    edges = doc.select(F.explode(links).alias("l")).select(
+    edges = doc.select(F.posexplode(links).alias("_at", "l")).select(
+        "_at",
         F.col("l.source").cast("string").alias("src"),
         F.col("l.target").cast("string").alias("dst"),
         weight.alias("weight"),
         _text_map("l", link_fields, {"source", "target", "weight"}).alias("attrs"),
     )
     if not directed:
-        edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", "attrs")
-    return nodes, edges.dropDuplicates(["src", "dst"])
+        edges = _ends_in_order(edges)
+    return nodes, last_of_each(edges)
 
 
 def adjacency_edges(documents: DataFrame, column: str = "value") -> DataFrame:
@@ -113,10 +126,10 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         F.col("_source").alias("src"), F.col("_target").alias("dst"), attrs("data").alias("attrs")
     )
     weight = F.coalesce(F.col("attrs")["weight"].try_cast("double"), F.lit(1.0))
-    edges = raw.select("src", "dst", weight.alias("weight"), "attrs")
+    edges = raw.select(F.monotonically_increasing_id().alias("_at"), "src", "dst", weight.alias("weight"), "attrs")
     if not directed:
-        edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", "attrs")
-    return nodes, edges.dropDuplicates(["src", "dst"]), directed
+        edges = _ends_in_order(edges)
+    return nodes, last_of_each(edges), directed
 
 
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
@@ -142,14 +155,15 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, boo
     head = rows("graph", "_defaultedgetype string").limit(1).collect()
     directed = bool(head) and head[0]["_defaultedgetype"] == "directed"
     edges = rows("edge", f"_source string, _target string, _weight string, {values}").select(
+        F.monotonically_increasing_id().alias("_at"),
         F.col("_source").alias("src"),
         F.col("_target").alias("dst"),
         F.coalesce(F.col("_weight").try_cast("double"), F.lit(1.0)).alias("weight"),
         attrs().alias("attrs"),
     )
     if not directed:
-        edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", "attrs")
-    return nodes, edges.dropDuplicates(["src", "dst"]), directed
+        edges = _ends_in_order(edges)
+    return nodes, last_of_each(edges), directed
 
 
 def write_edge_list(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,4 +8,4 @@ from pyspark.sql import functions as F
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line): every non-blank line; undecodable bytes turn into the replacement character."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("line"))
+    return spark.read.text(path).where(F.col("value").rlike(r"\S")).select(F.col("value").alias("line"))

@@ -177,3 +177,27 @@ def test_edge_list_rules(spark, tmp_path):
     (tmp_path / "n.csv").write_text("1,2\n2,3,4.5\n")
     nodes, edges = graphs.read_edge_list(spark, str(tmp_path / "n.csv"))
     assert nodes.count() == 3 and {(r.src, r.dst, r.weight) for r in edges.collect()} == {("1", "2", 1.0), ("2", "3", 4.5)}
+
+
+def test_edge_targets_are_met(spark):
+    """Dense graphs reach their target, stars give up protected edges, and regular graphs have low nodes."""
+    pairs = [(a, b) for a in range(10) for b in range(a + 1, 10)]
+    nodes = spark.range(10)
+    dense = spark.createDataFrame(pairs[:40], "src long, dst long")
+    full = models.adjust_edge_count(nodes, dense, 45)
+    assert {tuple(r) for r in full.collect()} == set(pairs)
+    assert models.adjust_edge_count(nodes, dense, 60).count() == 45
+    star = spark.createDataFrame([(0, i) for i in range(1, 10)], "src long, dst long")
+    assert models.adjust_edge_count(nodes, star, 5).count() == 5
+    ring = spark.createDataFrame([(i, i + 1) for i in range(59)], "src long, dst long")
+    more = models.adjust_edge_count(spark.range(60), ring, 200)
+    assert more.distinct().count() == more.count() == 200 and more.where("src >= dst").count() == 0
+
+
+def test_last_link_and_header_rule(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a"}, {"id": "b"}], "links": [{"source": "a", "target": "b", "weight": 1.0}, {"source": "b", "target": "a", "weight": 7.0}]}')
+    _, edges = graphs.read_node_link(spark, str(tmp_path / "g.json"))
+    assert [(r.src, r.dst, r.weight) for r in edges.collect()] == [("a", "b", 7.0)]
+    (tmp_path / "e.csv").write_text("10.1,10.2\n\t\n10.2,10.3,4\n")
+    _, edges = graphs.read_edge_list(spark, str(tmp_path / "e.csv"))
+    assert {(r.src, r.dst, r.weight) for r in edges.collect()} == {("10.1", "10.2", 1.0), ("10.2", "10.3", 4.0)}

@@ -152,3 +152,32 @@ def test_first_values_of_a_sparse_column(spark):
     for r in pii.first_values(t, ["full", "sparse"], ["k"], 5).orderBy("column_name", "position").collect():
         got.setdefault(r.column_name, []).append(r.value)
     assert got == {"full": [f"a{i}" for i in range(5)], "sparse": [f"b{i}" for i in range(480, 485)]}
+
+
+def test_whole_columns_decide(spark):
+    rows = [(i, "n/a" if i < 1000 else f"user{i}@mail.com", "x" if i < 1000 else "2020-01-31") for i in range(4000)]
+    t = spark.createDataFrame(rows, "k long, contact_info string, d string")
+    found = {r.column_name: r.pii_type for r in pii.detect(t, ["k"], ["contact_info"]).collect()}
+    assert found == {"contact_info": "email"}
+    assert pii.detect_date_format(t, "d", ["k"]) == "yyyy-MM-dd"
+    assert pii.pattern_rates(t, ["contact_info"], ["k"], first=100).first().email == 0.0
+    log = lines(spark, *["free text"] * 5, *['{"a": 1}'] * 9)
+    assert logs.detect_format(log, ["n"]).first().format == "json"
+
+
+def test_doubles_keep_their_digits(spark):
+    values = [1.23456781, 1.23456789, 1e-9, 2e-9, 1.25e-7, 12345678.0, 1.5e10, 1.2345678912345e8, -4.5e-5, 0.0, 100.5, 1e22, None]
+    t = spark.createDataFrame([(v,) for v in values], "v double").select(pii.plain_text(spark.createDataFrame([], "v double"), "v").alias("t"))
+    texts = [r.t for r in t.collect()]
+    assert texts[:12] == [
+        "1.23456781", "1.23456789", "0.000000001", "0.000000002", "0.000000125", "12345678.0", "15000000000.0", "123456789.12345",
+        "-0.000045", "0.0", "100.5", "1" + "0" * 22 + ".0",
+    ]
+    assert texts[12] is None
+
+
+def test_json_and_csv_records(spark):
+    got = logs.parse_json(lines(spark, "5", "[1]", '{"a": 3}'), "a int").collect()
+    assert [r.a for r in got] == [3]
+    rows = logs.parse_csv(lines(spark, "a,b", "1,2", "a,b"), ["a", "b"], ["n"]).collect()
+    assert [(r.a, r.b) for r in rows] == [("1", "2"), ("a", "b")]
