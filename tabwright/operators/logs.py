@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 from tabwright.functions import keyed
 from tabwright.functions.log_formats import ACCESS, ACCESS_USER, APPLICATION, LEADING_TIMESTAMP, SYSLOG, TRIED
 from tabwright.operators.distributions import bucket_count
+from tabwright.operators.indexing import expand_counts, with_global_index
 from tabwright.operators.scalars import attach
+from tabwright.session import cut_lineage
 
 TOP_VALUES = 50
 
@@ -165,21 +167,60 @@ def field_report(records: DataFrame, fields: list[str], k: int = 5) -> DataFrame
 
 
 class FieldModel:
-    """What a generator needs of one field: at most fifty weighted values, and the range of a numeric field."""
+    """What a generator needs of one field: its weighted values, and the range of a numeric field.
 
-    def __init__(self, kind: str, values: list[tuple[str, int]], low=None, high=None, mean=None):
+    A short list is kept as it is.  Where there are more values, ``donors`` numbers them from 0, each as often as it
+    occurs and commonest first; a draw is a join on the number, so no value is left out.
+    """
+
+    def __init__(self, kind: str, values: list[tuple[str, int]], low=None, high=None, mean=None, donors: DataFrame | None = None, total: int = 0):
         self.kind, self.values, self.low, self.high, self.mean = kind, values, low, high, mean
+        self.donors, self.total = donors, total
 
-    def only(self, keep) -> FieldModel:
-        return FieldModel(self.kind, [(v, n) for v, n in self.values if keep(v)], self.low, self.high, self.mean)
+    def only(self, condition: str) -> FieldModel | None:
+        """The values that fit a SQL condition on ``value``; None if none does."""
+        if self.donors is None:
+            spark = SparkSession.active()
+            rows = spark.createDataFrame(list(enumerate(self.values)), "_at int, v struct<value:string,n:bigint>").select("_at", "v.*")
+            kept = [(r.value, r.n) for r in rows.where(condition).orderBy("_at").collect()]  # of a short list
+            return FieldModel(self.kind, kept) if kept else None
+        donors = cut_lineage(with_global_index(cut_lineage(self.donors.where(condition)), ["_at"], "_new").select(F.col("_new").alias("_at"), "value"))
+        total = donors.count()
+        return FieldModel(self.kind, [], donors=donors, total=total) if total else None
 
 
 def fit_fields(records: DataFrame, fields: list[str], k: int = TOP_VALUES) -> dict[str, FieldModel]:
-    """Fit the generators; fields x k rows reach the driver."""
-    tops: dict[str, list] = {f: [] for f in fields}
-    for r in top_values(records, fields, k).orderBy("field", "position").collect():
-        tops[r.field].append((r.value, r.n))
-    return {r.field: FieldModel(r.kind, tops[r.field], r.low, r.high, r.mean) for r in field_summary(records, fields).collect()}
+    """Fit the generators; lists of at most k values reach the driver, longer ones stay tables."""
+    summary = {r.field: r for r in field_summary(records, fields).collect()}
+    short = [f for f, r in summary.items() if r.distinct_values <= k]
+    long = [f for f, r in summary.items() if r.distinct_values > k]
+    counts = cut_lineage(value_counts(records, fields))
+    listed: dict[str, list] = {f: [] for f in short}
+    for r in counts.where(F.col("field").isin(short)).orderBy("field", F.desc("n"), "value").collect():
+        listed[r.field].append((r.value, r.n))
+    models = {f: FieldModel(summary[f].kind, listed[f], summary[f].low, summary[f].high, summary[f].mean) for f in short}
+    if long:
+        weighed = counts.where(F.col("field").isin(long)).withColumn("_less", -F.col("n"))
+        every = cut_lineage(with_global_index(cut_lineage(expand_counts(weighed, "n", "_j")), ["field", "_less", "value", "_j"], "_at"))
+        starts = {r.field: r.start for r in every.groupBy("field").agg(F.min("_at").alias("start")).collect()}  # one row per field
+        for f in long:
+            donors = every.where(F.col("field") == f).select((F.col("_at") - starts[f]).alias("_at"), "value")
+            models[f] = FieldModel(summary[f].kind, [], summary[f].low, summary[f].high, summary[f].mean, donors, summary[f].total)
+    return models
+
+
+def _drawn(tag: str) -> str:
+    return "_drawn_" + tag.replace(":", "_")
+
+
+def with_draws(rows: DataFrame, wanted: dict[str, FieldModel | None], seed: int = keyed.SEED, key: str = "id") -> DataFrame:
+    """Join the draws, named by their tags, of those models that have donors; :func:`draw` finds them."""
+    for tag, model in wanted.items():
+        if model is not None and model.donors is not None:
+            at = F.floor(keyed.uniform(tag, F.col(key), seed=seed) * F.lit(model.total)).cast("bigint")
+            donors = model.donors.select("_at", F.col("value").alias(_drawn(tag)))
+            rows = rows.withColumn("_at", at).join(donors, "_at", "left").drop("_at")
+    return rows
 
 
 def _text_literal(value) -> str:
@@ -206,6 +247,9 @@ def weighted_draw(values: list[tuple[str, int]], u: Column) -> Column:
 
 
 def draw(model: FieldModel, tag: str, *keys: Column, seed: int = keyed.SEED) -> Column:
+    """One of the model's values by weight; where it has donors, what :func:`with_draws` joined."""
+    if model.donors is not None:
+        return F.col(_drawn(tag))
     return weighted_draw(model.values, keyed.uniform(tag, *keys, seed=seed))
 
 
@@ -244,21 +288,23 @@ def make_rows(spark, n: int, end, hours: int, seed: int = keyed.SEED) -> DataFra
     return spread_times(spark.range(n), end, hours, seed)
 
 
-def error_status(model: FieldModel | None, u: Column) -> Column:
-    observed = model.only(lambda v: v.isdigit() and int(v) >= 400).values if model else []
-    return weighted_draw(observed or [("400", 1), ("404", 1), ("500", 1)], u)
+def error_statuses(model: FieldModel | None) -> FieldModel:
+    observed = model.only("value RLIKE '^[0-9]+$' AND try_cast(value AS int) >= 400") if model else None
+    return observed or FieldModel("integer", [("400", 1), ("404", 1), ("500", 1)])
 
 
 def access_lines(rows: DataFrame, models: dict[str, FieldModel], error_rate: float, seed: int = keyed.SEED, ordered: bool = True) -> DataFrame:
     """(id, ts, line): access-log lines; good statuses turn into observed errors at the given rate."""
     key = F.col("id")
+    errors = error_statuses(models.get("status"))
+    rows = with_draws(rows, {**models, "size:v": models.get("size"), "error": errors}, seed)
 
     def field(name, default):
         return draw(models[name], name, key, seed=seed) if name in models else F.lit(default)
 
     status = field("status", "200").try_cast("int")
     flips = (keyed.uniform("flip", key, seed=seed) < error_rate) & (status < 400)
-    broken = error_status(models.get("status"), keyed.uniform("error", key, seed=seed)).cast("int")
+    broken = draw(errors, "error", key, seed=seed).cast("int")
     if "size" in models:
         size = F.greatest(F.lit(0), F.round(numeric_draw(models["size"], "size", key, seed=seed)).cast("bigint"))
     else:
@@ -273,6 +319,7 @@ def access_lines(rows: DataFrame, models: dict[str, FieldModel], error_rate: flo
 
 def syslog_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = keyed.SEED, ordered: bool = True) -> DataFrame:
     key = F.col("id")
+    rows = with_draws(rows, models, seed)
 
     def field(name, default):
         return draw(models[name], name, key, seed=seed) if name in models else F.lit(default)
@@ -286,25 +333,31 @@ def syslog_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = key
     return _time_and_order(rows.withColumn("line", line), ordered)
 
 
-def raised_level(models: dict[str, FieldModel], error_rate: float, key: Column, seed: int) -> Column:
+def severe_levels(models: dict[str, FieldModel]) -> FieldModel:
+    observed = models["level"].only("value IN ('ERROR', 'FATAL')") if "level" in models else None
+    return observed or FieldModel("string", [("ERROR", 1)])
+
+
+def raised_level(models: dict[str, FieldModel], severe: FieldModel, error_rate: float, key: Column, seed: int) -> Column:
     """A drawn level, raised to an observed ERROR or FATAL at the error rate."""
     hit = keyed.uniform("raise", key, seed=seed) < error_rate
     if "level" not in models:
         return F.when(hit, "ERROR").otherwise("INFO")
-    severe = models["level"].only(lambda v: v in ("ERROR", "FATAL")).values or [("ERROR", 1)]
     level = draw(models["level"], "level", key, seed=seed)
     level = F.when(level == "WARNING", "WARN").otherwise(level)
-    raised = weighted_draw(severe, keyed.uniform("severity", key, seed=seed))
+    raised = draw(severe, "severity", key, seed=seed)
     return F.when(hit & ~level.isin("ERROR", "FATAL"), raised).otherwise(level)
 
 
 def application_lines(rows: DataFrame, models: dict[str, FieldModel], error_rate: float, seed: int = keyed.SEED, ordered: bool = True) -> DataFrame:
     key = F.col("id")
+    severe = severe_levels(models)
+    rows = with_draws(rows, {**models, "severity": severe}, seed)
 
     def field(name, default):
         return draw(models[name], name, key, seed=seed) if name in models else F.lit(default)
 
-    level = raised_level(models, error_rate, key, seed)
+    level = raised_level(models, severe, error_rate, key, seed)
     padded = F.when(F.length(level) < 5, F.rpad(level, 5, " ")).otherwise(level)
     line = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), padded, F.lit(" ["), field("component", "app"), F.lit("] "),
@@ -324,13 +377,17 @@ def json_lines(
 ) -> DataFrame:
     """JSON lines: the key set of a drawn record shape, a typed draw per key, time and level set afresh."""
     key = F.col("id")
-    shapes = key_sets(records, fields).orderBy(F.desc("n"), F.concat_ws(",", "keys")).limit(TOP_VALUES).collect()
-    chosen = weighted_draw([(",".join(s["keys"]), s["n"]) for s in shapes], keyed.uniform("shape", key, seed=seed))
-    shaped = rows.withColumn("_keys", F.split(chosen, ","))
+    severe = severe_levels(models)
+    present = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]))
+    shapes = fit_fields(records.select(F.array_join(present, ",").alias("shape")), ["shape"])["shape"]
+    wanted = {f: m for f, m in models.items() if m.kind not in ("integer", "float")}
+    wanted |= {f"{f}:v": m for f, m in models.items() if m.kind in ("integer", "float")}
+    rows = with_draws(rows, {**wanted, "shape": shapes, "severity": severe}, seed)
+    shaped = rows.withColumn("_keys", F.split(draw(shapes, "shape", key, seed=seed), ","))
     cells = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")]
     has_level = F.array_contains("_keys", "level") if "level" not in models else F.lit(True)
     if "level" in fields:
-        cells.append(F.when(has_level, raised_level(models, error_rate, key, seed)).alias("level"))
+        cells.append(F.when(has_level, raised_level(models, severe, error_rate, key, seed)).alias("level"))
     for f in fields:
         if f not in ("timestamp", "level") and f in models:
             cells.append(F.when(F.array_contains("_keys", f), typed_draw(models[f], f, key, seed=seed)).alias(f))
@@ -339,6 +396,7 @@ def json_lines(
 
 def generic_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = keyed.SEED, ordered: bool = True) -> DataFrame:
     """Drawn messages with a leading timestamp, if any, replaced by the new one."""
+    rows = with_draws(rows, {"message": models["message"]}, seed)
     message = draw(models["message"], "message", F.col("id"), seed=seed)
     line = F.regexp_replace(message, F.lit(LEADING_TIMESTAMP), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return _time_and_order(rows.withColumn("line", line), ordered)

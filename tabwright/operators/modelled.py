@@ -106,12 +106,12 @@ def regression_efficacy(real: DataFrame, synthetic: DataFrame, target: str, feat
 def model_efficacy(real: DataFrame, synthetic: DataFrame, keys: list[str], targets: dict[str, str] | None = None, trees: int = 50) -> tuple[DataFrame | None, float]:
     """(one row per tested target, their mean score); 0.5 where nothing can be tested.
 
-    Without targets the first two text and the first two numeric columns are tried.
+    Without targets every text and every numeric column is tried.
     """
     numbers = [c for c in dist.numeric_columns(real) if c not in keys]
     texts = [c for c in dist.categorical_columns(real) if c not in keys]
     if targets is None:
-        targets = {c: "classification" for c in texts[:2]} | {c: "regression" for c in numbers[:2]}
+        targets = {c: "classification" for c in texts} | {c: "regression" for c in numbers}
     test = {"classification": classification_efficacy, "regression": regression_efficacy}
     rows = [test[task](real, synthetic, c, numbers, keys, trees) for c, task in targets.items()]
     rows = [r for r in rows if r is not None]
@@ -214,12 +214,12 @@ def rare_category_preservation(first: DataFrame, second: DataFrame, columns: lis
 
 
 def rare_event_score(first: DataFrame, second: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
-    """One row: the mean over the first five columns of either kind."""
+    """One row: the mean over the columns of either kind."""
     parts = []
     if numbers:
-        parts.append(outlier_preservation(first, second, numbers[:5]).select("score"))
+        parts.append(outlier_preservation(first, second, numbers).select("score"))
     if texts:
-        parts.append(rare_category_preservation(first, second, texts[:5]).select("score"))
+        parts.append(rare_category_preservation(first, second, texts).select("score"))
     return reduce(DataFrame.union, parts).agg(F.coalesce(F.avg("score"), F.lit(0.5)).alias("rare_event_score"))
 
 
@@ -292,7 +292,7 @@ def detectability(real: DataFrame, synthetic: DataFrame, features: list[str], ke
 def boundary_preservation(real: DataFrame, synthetic: DataFrame, target: str, features: list[str]) -> DataFrame | None:
     """One row: accuracy of a shallow tree trained on real rows, on real and on synthetic rows; 2-5 classes."""
     classes = real.agg(F.count_distinct(target)).first()[0]
-    features = [f for f in features if f != target][:5]
+    features = [f for f in features if f != target]
     if not 2 <= classes <= 5 or len(features) < 2:
         return None
     codes = cut_lineage(_class_codes(real, synthetic, target))
@@ -320,18 +320,18 @@ def novel_report(real: DataFrame, synthetic: DataFrame, keys: list[str], trees:
     numbers = [c for c in dist.numeric_columns(real) if c not in keys]
     texts = [c for c in dist.categorical_columns(real) if c not in keys]
     scores = [model_efficacy(real, synthetic, keys, trees=trees)[1]]
-    kept = [importance_preservation(real, synthetic, c, numbers, trees) for c in numbers[:3]]
+    kept = [importance_preservation(real, synthetic, c, numbers, trees) for c in numbers]
     kept = [k.first()["score"] for k in kept if k is not None]
     scores.append(sum(kept) / len(kept) if kept else 0.5)
     scores.append(rare_event_score(real, synthetic, numbers, texts).first()[0])
-    triples = [numbers[i * 3 : i * 3 + 3] for i in range(min(3, len(numbers) // 3))]
+    triples = [numbers[i * 3 : i * 3 + 3] for i in range(len(numbers) // 3)]
     found = [interaction_preservation(real, synthetic, t, keys).first()["score"] for t in triples]
     scores.append(sum(found) / len(found) if found else 0.5)
     scores.append(detectability(real, synthetic, numbers, keys, trees=trees).first()["detectability_score"])
-    tests = [boundary_preservation(real, synthetic, c, numbers) for c in texts[:2]]
+    tests = [boundary_preservation(real, synthetic, c, numbers) for c in texts]
     tests = [t.first()["boundary_score"] for t in tests if t is not None]
     scores.append(sum(tests) / len(tests) if tests else 0.5)
-    scores.append(manifold_similarity(real, synthetic, numbers[:5], keys).first()[0] if len(numbers) > 1 else 0.5)
+    scores.append(manifold_similarity(real, synthetic, numbers, keys).first()[0] if len(numbers) > 1 else 0.5)
     return novel_score(scores, real)
 
 

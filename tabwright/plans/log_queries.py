@@ -153,6 +153,7 @@ FIELDS = ["ip", "user", "method", "path", "status", "size"]
 _LONG = " UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS value FROM {ACCESS_SQL}" for f in FIELDS)
 _COUNTS = f"(SELECT field, value, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2)"
 _TOP = f"(SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, value)::INTEGER AS position, value, n FROM {_COUNTS} QUALIFY position <= 50)"
+_ALL = f"(SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, value)::INTEGER AS position, value, n FROM {_COUNTS})"
 
 
 def parsed(spark, folder):
@@ -189,7 +190,7 @@ def field_report(spark, folder):
 END = "2024-02-01 00:00:00"
 
 
-def joined_draws(draws, base="(SELECT event_id AS id FROM events)", top=_TOP):
+def joined_draws(draws, base="(SELECT event_id AS id FROM events)", top=_ALL):
     """CTEs giving id and one drawn column per (name, field, u, keep)."""
     parts = []
     for name, field, u, keep in draws:
@@ -217,7 +218,7 @@ def rows(spark, folder, hours=24):
 @query("weighted_draw", f"WITH {joined_draws([('path', 'path', sql_uniform('path', 'id'), 'true')])} SELECT id, path FROM path_t")
 def weighted_draw(spark, folder):
     models = logs.fit_fields(parsed(spark, folder), ["path"])
-    return rows(spark, folder).select("id", logs.draw(models["path"], "path", F.col("id")).alias("path"))
+    return logs.with_draws(rows(spark, folder), models).select("id", logs.draw(models["path"], "path", F.col("id")).alias("path"))
 
 
 _SIZE = "(SELECT min(size)::DOUBLE AS lo, max(size)::DOUBLE AS hi, avg(size) AS me FROM " + ACCESS_SQL + ")"
@@ -230,7 +231,7 @@ _SIZE_TOP_DRAW = ("size_v", "size", sql_uniform("size:v", "id"), "true")
 )
 def numeric_draw(spark, folder):
     models = logs.fit_fields(parsed(spark, folder), ["size"])
-    return rows(spark, folder).select("id", F.round(logs.numeric_draw(models["size"], "size", F.col("id")), 4).alias("size"))
+    return logs.with_draws(rows(spark, folder), {"size:v": models["size"]}).select("id", F.round(logs.numeric_draw(models["size"], "size", F.col("id")), 4).alias("size"))
 
 
 @query("log_times", f"SELECT id, {ts_sql(24)} AS micros FROM (SELECT event_id AS id FROM events)")
@@ -268,7 +269,7 @@ _SYSLOG_SQL = """(SELECT printf('host%d', user_id % 7) AS hostname, event_type A
 def top_sql(source, fields):
     long = " UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS value FROM {source}" for f in fields)
     return f"""(SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, value)::INTEGER AS position, value, n FROM
-        (SELECT field, value, count(*) AS n FROM ({long}) WHERE value IS NOT NULL GROUP BY 1, 2) QUALIFY position <= 50)"""
+        (SELECT field, value, count(*) AS n FROM ({long}) WHERE value IS NOT NULL GROUP BY 1, 2))"""
 
 
 _SYSLOG_FIELDS = ["hostname", "process", "pid", "message"]
