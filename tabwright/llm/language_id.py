@@ -9,6 +9,7 @@ by side, one word of each at a time, so the work is array arithmetic whatever th
 from __future__ import annotations
 
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ BACKOFF, SCALE = 0.01, 0.4
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that makes up so much of its letters; other languages lose so much per word.
 SCRIPT_SHARE, NOT_CANDIDATE = 0.005, 40.0
-KEPT_WORDS = 1_000_000
-BLOCK_CHARS = 24_000_000
+KEPT_WORDS = 400_000
+BLOCK_CHARS = 12_000_000
 UNKNOWN = "und"
 
 #: First and last code points of scripts' letter ranges. Fixed values of the Unicode standard.
@@ -250,7 +251,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 del texts
                 if len(numbers) > len(scores):
-                    new = list(numbers)[len(scores) :]
+                    new = list(islice(numbers, len(scores), None))
                     more, counted = model.word_scores(new)
                     scores, letters = np.concatenate([scores, more]), np.concatenate([letters, counted])
                 lengths = np.fromiter(map(len, parts), np.int64, len(parts))
