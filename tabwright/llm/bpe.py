@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.llm.common import claim_worker
+
 #: The pre-token pattern of byte-level BPE vocabularies. Fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between white space, or before the end after white space: only there a cut before a space would move a boundary.
 _JOINED_SPACE = re.compile(r"\s (?=\s|\Z)")
 #: Pieces kept between batches; beyond that a worker begins anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 500_000
 #: Characters of text encoded at a time.
 BLOCK_CHARS = 8_000_000
 
@@ -240,6 +242,7 @@ def encode_decode(
     kept = [f for f in source.schema.fields if f.name != "_text"]
 
     def run(batches):
+        claim_worker("bpe", _LOADED.clear)
         bpe = loaded(path)
         for whole in batches:
             for batch in blocks(whole, "_text"):

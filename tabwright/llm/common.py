@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,18 @@ HOT_SHARE = 1000
 SPREAD = 4096
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim_worker(name: str, clear: Callable[[], None] | None = None) -> None:
+    """A Python worker serves tasks of several operators; what one keeps between its tasks goes when another begins."""
+    for other, empty in _CACHES.items():
+        if other != name:
+            empty()
+    if clear is not None:
+        _CACHES[name] = clear
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, lost executors cost nothing before it."""
     path = scratch_path(df.sparkSession, name)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.llm.bpe import blocks
+from tabwright.llm.common import claim_worker
 from tabwright.session import shuffle_partitions
 
 #: The fit takes at most about so many labelled texts of a language, drawn by a hash of their id, and so many languages.
@@ -235,6 +236,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim_worker("languages")
         model = shared.value
         languages = model.languages
         numbers, scores = _Numbers(), np.zeros((0, len(languages)), np.float32)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import blocks
-from tabwright.llm.common import apply_decisions, hot_join, row_id, store
+from tabwright.llm.common import apply_decisions, claim_worker, hot_join, row_id, store
 from tabwright.session import shuffle_partitions
 
 #: A column is frequent if a document in so many has it; the order knows the frequency of at most so many columns.
@@ -30,7 +30,7 @@ FREQUENT_SHARE, FREQUENT_COLUMNS = 2000, 1 << 18
 SLACK = 32
 #: Rows, and columns of all rows together, of a block; columns of a strip.
 BLOCK_ROWS, BLOCK_ENTRIES, STRIP = 128, 1_000_000, 4096
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 #: Rows whose index entries make up about one task.
 BUCKET_ROWS = 20_000
 
@@ -89,6 +89,7 @@ def frequent_columns(docs: DataFrame, text: str, words: int, rows: int) -> tuple
     """The most frequent columns and their counts, by hash. They only set the order of columns, on which no result depends."""
 
     def count(batches):
+        claim_worker("ngrams", _HASHES.clear)
         for whole in batches:
             for batch in blocks(whole, text):
                 sets = [shingles(t, words) for t in batch.column(text).to_pylist()]
@@ -118,6 +119,7 @@ def incidence(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
     fields = f"_id {kind}, _text_hash long, _mark long, n long, high long, low long, typical float, frequent array<long>"
 
     def run(batches):
+        claim_worker("ngrams", _HASHES.clear)
         grams, counts = shared.value
         for whole in batches:
             for batch in blocks(whole, "_text"):
@@ -325,6 +327,7 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(marks, marks.count()))
 
     def grams(batches):
+        claim_worker("ngrams", _HASHES.clear)
         table = wanted.value
         last = len(table) * 64 - 1
         for whole in batches:
