@@ -273,10 +273,10 @@ def event_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def first_events(events: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
-    """The first n events in time order."""
+def first_events(events: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """All events, or the first n in time order."""
     named = events.select("ts", "seq", "operation", "table", *event_key(events, keys))
-    return named.orderBy("ts", "seq", "table", *keys).limit(n)
+    return named if n is None else named.orderBy("ts", "seq", "table", *keys).limit(n)
 
 
 def union_events(parts: list[DataFrame]) -> DataFrame:

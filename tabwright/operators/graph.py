@@ -159,8 +159,10 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 # --- degree shape -----------------------------------------------------------
 
 
-def degree_distribution(nodes: DataFrame, edges: DataFrame, first: int = 20) -> DataFrame:
-    return degrees(nodes, edges).groupBy("degree").agg(F.count("*").alias("nodes")).orderBy("degree").limit(first)
+def degree_distribution(nodes: DataFrame, edges: DataFrame, first: int | None = None) -> DataFrame:
+    """(degree, nodes), of the smallest so many degrees if asked."""
+    counts = degrees(nodes, edges).groupBy("degree").agg(F.count("*").alias("nodes"))
+    return counts if first is None else counts.orderBy("degree").limit(first)
 
 
 def power_law_score(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -84,10 +84,17 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return with_global_index(values, ["value"], "code")
 
 
+#: Codes that are broadcast at most.
+BROADCAST_CODES = 10_000
+
+
 def encode_labels(df: DataFrame, column: str, codes: DataFrame, output: str | None = None) -> DataFrame:
     """Replace a column by its code; a value the codes do not know gets -1."""
     output = output or f"{column}_code"
-    joined = df.join(codes.select(F.col("value").alias("_v"), F.col("code").alias("_c")), F.col(column).cast("string") == F.col("_v"), "left")
+    named = codes.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
+    # A class may hold most rows: few codes are broadcast, so that no task gets a class; many are joined.
+    named = F.broadcast(named) if codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES else named
+    joined = df.join(named, F.col(column).cast("string") == F.col("_v"), "left")
     return joined.withColumn(output, F.coalesce("_c", F.lit(-1))).drop("_v", "_c")
 
 

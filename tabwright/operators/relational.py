@@ -95,7 +95,10 @@ def validation_score(df: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumn("score", score)
 
 
-def first_errors(found: DataFrame, n: int = 20) -> DataFrame:
+def first_errors(found: DataFrame, n: int | None = None) -> DataFrame:
+    """All errors, or the first n in order."""
+    if n is None:
+        return found
     return found.orderBy("constraint", "row_id").limit(n)
 
 

@@ -143,7 +143,7 @@ def event_summary(spark, folder):
     return cdc.event_summary(all_events(spark, folder))
 
 
-@query("first_events", f"SELECT micros, operation, o_orderkey FROM {schedule_sql()} ORDER BY micros, version, o_orderkey LIMIT 10")
+@query("first_events", f"SELECT micros, operation, o_orderkey FROM {schedule_sql()}")
 def first_events(spark, folder):
     events = cdc.change_events(table(spark, folder, "orders").select(*COLUMNS), "orders", KEYS, START, HOURS, ["o_custkey"])
     return cdc.first_events(events, KEYS).select(F.unix_micros("ts").alias("micros"), "operation", "o_orderkey")

@@ -99,7 +99,7 @@ def component_sizes(spark, folder):
     return graph.component_sizes(graph.connected_components(*party_graph(spark, folder)))
 
 
-@query("degree_distribution", f"SELECT degree, count(*) AS nodes FROM {DEGREES} GROUP BY 1 ORDER BY 1 LIMIT 20")
+@query("degree_distribution", f"SELECT degree, count(*) AS nodes FROM {DEGREES} GROUP BY 1")
 def degree_distribution(spark, folder):
     return graph.degree_distribution(*part_graph(spark, folder))
 

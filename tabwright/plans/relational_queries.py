@@ -88,7 +88,7 @@ def validation_score(spark, folder):
     return rel.validation_score(t["lineitem"], rel.violations(t["lineitem"], CONSTRAINTS, ROW_ID, t))
 
 
-@query("first_errors", f'SELECT row_id, "constraint", kind FROM {_FOUND} ORDER BY "constraint", row_id LIMIT 20')
+@query("first_errors", f'SELECT row_id, "constraint", kind FROM {_FOUND}')
 def first_errors(spark, folder):
     t = tables(spark, folder)
     return rel.first_errors(rel.violations(t["lineitem"], CONSTRAINTS, ROW_ID, t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.operators.scalars import attach
 from tabwright.plans import log_queries
 from tabwright.plans.drift_queries import rounded, sql_ks
 from tabwright.plans.registry import query, table
@@ -20,7 +21,10 @@ def event_stream(spark, folder) -> DataFrame:
 
 def change_stream(spark, folder) -> DataFrame:
     """Events as changes of users: a signup inserts, a purchase deletes, anything else updates."""
-    rows = event_stream(spark, folder)
+    return as_changes(event_stream(spark, folder))
+
+
+def as_changes(rows: DataFrame) -> DataFrame:
     operation = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "purchase", "DELETE").otherwise("UPDATE")
     image = F.struct("user_id", "event_type", "value")
     return rows.select(
@@ -29,6 +33,10 @@ def change_stream(spark, folder) -> DataFrame:
     )
 
 
+#: A window is written once the watermark, ten minutes behind the latest event, has passed its end.
+_CLOSED = "time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+
+
 def finished(query_handle):
     query_handle.awaitTermination()
 
@@ -48,18 +56,47 @@ def stream_latest_state(spark, folder):
 
 @query(
     "stream_windowed_counts",
-    f"""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, 'users' AS "table", {_OP} AS operation, count(*) AS events FROM events GROUP BY 1, 3""",
+    f"""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, 'users' AS "table", {_OP} AS operation, count(*) AS events FROM events
+        GROUP BY time_bucket(INTERVAL '1 hour', ts), 3 HAVING {_CLOSED}""",
 )
 def stream_windowed_counts(spark, folder):
     out, mark = scratch_path(spark, "counts"), scratch_path(spark, "counts-check")
     finished(jobs.run_table(jobs.windowed_counts(change_stream(spark, folder)), out, mark))
-    return jobs.newest_batch(spark, out).select(F.unix_micros("start").alias("start_micros"), "table", "operation", "events")
+    return jobs.finished_windows(spark, out).select(F.unix_micros("start").alias("start_micros"), "table", "operation", "events")
+
+
+_LATE = "(event_id % 50 = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL '1 day')"
+
+
+@query(
+    "stream_late_events",
+    f"""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, 'users' AS "table", {_OP} AS operation, count(*) AS events
+        FROM events WHERE NOT {_LATE} GROUP BY time_bucket(INTERVAL '1 hour', ts), 3 HAVING {_CLOSED}""",
+)
+def stream_late_events(spark, folder):
+    """One event in fifty arrives a day or more after the others have closed its window: it is left out."""
+    rows = table(spark, folder, "events")
+    late = (F.col("event_id") % 50 == 7) & (F.col("ts") < F.col("_last") - F.expr("INTERVAL 1 DAY"))
+    marked = attach(rows, rows.agg(F.max("ts").alias("_last"))).withColumn("_late", F.coalesce(late, F.lit(False))).drop("_last")
+    source = scratch_path(spark, "late-source")
+    # The file source takes older files first.  A batch is judged by the watermark that the batch before it began with.
+    even = F.col("event_id") % 2 == 0
+    for part, arrived in enumerate((~F.col("_late") & even, ~F.col("_late") & ~even, F.col("_late"))):
+        marked.where(arrived).drop("_late").coalesce(1).write.parquet(f"{source}/part{part}")
+    stream = jobs.read_stream(spark, f"{source}/*", rows.schema, files_per_batch=1)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out, mark = scratch_path(spark, "late"), scratch_path(spark, "late-check")
+    finished(jobs.run_table(jobs.windowed_counts(as_changes(stream)), out, mark))
+    return jobs.finished_windows(spark, out).select(F.unix_micros("start").alias("start_micros"), "table", "operation", "events")
 
 
 @query(
     "stream_error_rate",
     """SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors,
-        round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate FROM events WHERE user_id % 10 <> 3 GROUP BY 1""",
+        round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate FROM events WHERE user_id % 10 <> 3
+        GROUP BY time_bucket(INTERVAL '1 hour', ts) HAVING """
+    # the log's own times have whole seconds, and only lines that parse move the watermark
+    + _CLOSED.replace("max(ts)", "max(date_trunc('second', ts))").replace("FROM events", "FROM events WHERE user_id % 10 <> 3"),
 )
 def stream_error_rate(spark, folder):
     # The same line format as the batch access log, built on the stream.
@@ -67,7 +104,7 @@ def stream_error_rate(spark, folder):
     lines = stream.select(log_queries.access_line().alias("line"))
     out, mark = scratch_path(spark, "errors"), scratch_path(spark, "errors-check")
     finished(jobs.run_table(jobs.access_error_rate(lines), out, mark))
-    return rounded(jobs.newest_batch(spark, out).select(F.unix_micros("start").alias("start_micros"), "requests", "errors", "error_rate"), error_rate=6)
+    return rounded(jobs.finished_windows(spark, out).select(F.unix_micros("start").alias("start_micros"), "requests", "errors", "error_rate"), error_rate=6)
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tabwright.operators import drift, logs, pii
 from tabwright.operators.cdc import event_key
+from tabwright.session import cut_lineage
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, name: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -69,8 +70,12 @@ def run_append(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_table(stream: DataFrame, output: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process everything available; each batch writes ``output/batch=<id>``, so a repeated batch replaces itself."""
+def run_table(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Process everything available; each batch writes ``output/batch=<id>``, so a repeated batch replaces itself.
+
+    In append mode a window is written once, when the watermark has passed its end, and leaves the state; rows of windows
+    that are closed are dropped.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/batch={epoch}")
@@ -78,11 +83,9 @@ def run_table(stream: DataFrame, output: str, checkpoint: str, mode: str = "comp
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
-def newest_batch(spark: SparkSession, output: str) -> DataFrame:
-    """The table as of the last finished batch of :func:`run_table` in complete mode."""
-    rows = spark.read.parquet(output)
-    last = rows.agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{output}/batch={last}")
+def finished_windows(spark: SparkSession, output: str) -> DataFrame:
+    """What :func:`run_table` has written in append mode."""
+    return spark.read.parquet(output).drop("batch")
 
 
 def upserts(spark: SparkSession, output: str, keys: list[str]) -> DataFrame:
@@ -95,7 +98,7 @@ def upserts(spark: SparkSession, output: str, keys: list[str]) -> DataFrame:
 
 def watch_drift(stream: DataFrame, baseline: DataFrame, columns: list[str], output: str, checkpoint: str, use_p_value: bool = False) -> StreamingQuery:
     """Compare every micro-batch with a stored baseline; each batch writes its report to ``output/batch=<id>``."""
-    kept = baseline.select(*columns).persist()
+    kept = cut_lineage(baseline.select(*columns))  # stored once, read by every batch
 
     def compare(batch: DataFrame, epoch: int) -> None:
         report = drift.drift_report(kept, batch.select(*columns), columns, use_p_value)

@@ -34,11 +34,13 @@ def test_state_survives_late_and_equal_times(spark, tmp_path):
 
 
 def test_windows_count_once(spark, tmp_path):
-    batches = [[("INSERT", f"2024-01-01 0{h}:10:00", 0, h, "a")] * 2 for h in range(3)]
+    batches = [[("INSERT", f"2024-01-01 0{h}:10:00", 0, h, "a")] * 2 for h in range(4)]
+    # two hours behind the watermark: dropped; behind it by minutes only, but in a window that is still open: counted
+    batches.append([("INSERT", "2024-01-01 01:30:00", 0, 9, "a"), ("INSERT", "2024-01-01 03:01:00", 0, 9, "a"), ("INSERT", "2024-01-01 06:00:00", 0, 9, "a")])
     stream = stream_of(spark, str(tmp_path / "in"), batches)
     jobs.run_table(jobs.windowed_counts(stream), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    rows = jobs.newest_batch(spark, str(tmp_path / "out")).collect()
-    assert sorted((r.start.hour, r.events) for r in rows) == [(0, 2), (1, 2), (2, 2)]
+    rows = jobs.finished_windows(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.start.hour, r.events) for r in rows) == [(0, 2), (1, 2), (2, 2), (3, 3)]
 
 
 def test_masked_stream_equals_masked_batch(spark, tmp_path):
