@@ -12,6 +12,7 @@ pairs; connected components over all of them give the groups. Equal sets are one
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -302,19 +303,31 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column
     least = F.greatest(F.lit(1), F.expr(f"(({percent} * n + 99) div 100) div {SLACK}"))
     found = entries.groupBy("high").agg(F.count("*").alias("_n"))
     alive = sets.select("high", "set", "n", "typical").join(found, "high").filter(F.col("_n") >= least)
-    entries = store(entries.join(alive.drop("_n"), "high").drop("high"), "ngram-alive")
-    typical = F.max(F.struct("typical", F.col("n"), F.col("set")))["set"]
-    columns = entries.groupBy("gram").agg(F.count("*").alias("_n"), typical.alias("cluster")).filter("_n > 1")
-    members = hot_join(entries.select("gram", "set", "n"), columns, ["gram"], "_n", entries.count())
-    members = store(members.filter("cluster IS NOT NULL").select("cluster", "set", "n").distinct(), "ngram-members")
+    entries = entries.join(alive.drop("_n"), "high").drop("high")
+    # Linked sets are of like size: of one band, or of neighbours. Columns are cut by bands, each with the band below it.
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
+    entries = entries.withColumn("_own", own).select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("band"))
+    entries = store(entries, "ngram-entries")
+    column = ["gram", "band"]
+    wide = entries.groupBy(*column).agg(F.count("*").alias("_n"), F.count_if(F.col("_own") == F.col("band")).alias("_of_band"))
+    wide = wide.filter("_n > 1 AND _of_band > 0").drop("_of_band")
+    entries = hot_join(entries, wide, column, "_n", entries.count()).filter("_n IS NOT NULL").drop("_n")
+    entries = store(entries, "ngram-shared")
+    alive = entries.groupBy("set", "n").agg(F.count_distinct("gram").alias("_n")).filter(F.col("_n") >= least).select("set")
+    entries = store(entries.join(alive, "set"), "ngram-alive")
+    typical = F.max(F.struct("typical", -F.col("n"), F.col("set")))["set"]
+    columns = entries.groupBy(*column).agg(F.count("*").alias("_n"), typical.alias("cluster")).filter("_n > 1")
+    members = hot_join(entries.select(*column, "set", "n"), columns, column, "_n", entries.count())
+    members = store(members.filter("cluster IS NOT NULL").select("cluster", "band", "set", "n").distinct(), "ngram-members")
     size = F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_ENTRIES))
-    clusters = members.groupBy("cluster").agg(F.ceil(size).cast("int").alias("blocks"), F.count("*").alias("_n")).filter("_n > 1")
-    members = hot_join(members, clusters, ["cluster"], "_n", members.count()).filter("blocks IS NOT NULL")
+    cluster = ["cluster", "band"]
+    clusters = members.groupBy(*cluster).agg(F.ceil(size).cast("int").alias("blocks"), F.count("*").alias("_n")).filter("_n > 1")
+    members = hot_join(members, clusters, cluster, "_n", members.count()).filter("blocks IS NOT NULL")
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     members = members.withColumn("_block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = store(
         members.select(
-            "cluster",
+            *cluster,
             "set",
             F.least("_block", "_other").alias("i"),
             F.greatest("_block", "_other").alias("j"),
@@ -352,8 +365,8 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_column
         forest = tile_forest(numbers, sides, sets, percent)
         return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
-    tiles = vectors.select("cluster", "i", "j", "set", "side", "grams")
-    edges = tiles.groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
+    tiles = vectors.select(*cluster, "i", "j", "set", "side", "grams")
+    edges = tiles.groupBy(*cluster, "i", "j").applyInArrow(product, "a long, b long")
     roots = components(edges, "ngram-components").select(F.col("node").alias("set"), "root")
     named = sets.join(roots, "set", "left").withColumn("root", F.coalesce("root", F.col("set")))
     named = store(named, "ngram-named")
