@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tabwright.functions import keyed
 from tabwright.operators.cdc import insert_statement
 from tabwright.operators.indexing import expand_counts, with_hashed_index
-from tabwright.operators.logs import weighted_draw
 from tabwright.operators.prep import fixed_sample
 from tabwright.operators.scalars import attach
 from tabwright.operators.synthesis import independent_rows
@@ -163,29 +162,19 @@ def synthesize_parents(parent: DataFrame, key: str, scale: int = 1, seed: int =
     return drawn.withColumnRenamed("id", key).select(*parent.columns)
 
 
-HISTOGRAM_LIMIT = 2000
-
-
 def synthesize_children(
     new_parents: DataFrame, parent_column: str, parent: DataFrame, child: DataFrame, child_column: str, child_key: list[str], seed: int = keyed.SEED
 ) -> DataFrame:
     """Children of the new parents: a drawn number each, attributes drawn from the observed child rows.
 
-    The histogram of children per parent is fitted on the driver when it is short; a long one (many different
-    counts) is drawn by joining on a hashed position among the observed parents instead.
+    The number of children is that of the observed parent at a hashed position.
     """
-    histogram = children_histogram(parent, parent_column, child, child_column)
-    short = histogram.orderBy("children").limit(HISTOGRAM_LIMIT + 1).collect()
     ids = F.col(parent_column)
-    if len(short) <= HISTOGRAM_LIMIT:
-        values = [(str(r.children), r.parents) for r in short]
-        counted = new_parents.select(parent_column, weighted_draw(values, keyed.uniform("children", ids, seed=seed)).cast("int").alias("_n"))
-    else:
-        counts = child.groupBy(F.col(child_column).alias("_k")).agg(F.count("*").alias("_n"))
-        observed = parent.select(F.col(parent_column).alias("_k")).distinct().join(counts, "_k", "left").na.fill({"_n": 0})
-        indexed = with_hashed_index(observed, ["_k"], "_at").select("_at", F.col("_n").cast("int").alias("_n"))
-        total = indexed.count()
-        counted = new_parents.select(parent_column, keyed.index_below(total, "children", ids, seed=seed).alias("_at")).join(indexed, "_at").drop("_at")
+    counts = child.groupBy(F.col(child_column).alias("_k")).agg(F.count("*").alias("_n"))
+    observed = parent.select(F.col(parent_column).alias("_k")).distinct().join(counts, "_k", "left").na.fill({"_n": 0})
+    indexed = with_hashed_index(cut_lineage(observed), ["_k"], "_at").select("_at", F.col("_n").cast("int").alias("_n"))
+    total = indexed.count()
+    counted = new_parents.select(parent_column, keyed.index_below(max(total, 1), "children", ids, seed=seed).alias("_at")).join(indexed, "_at").drop("_at")
     slots = expand_counts(counted, "_n", "_j").select(parent_column, (F.col("_j") + 1).alias("_j"))
     numbered = cut_lineage(with_hashed_index(cut_lineage(slots), [parent_column, "_j"], "id"))
     free = [c for c in child.columns if c != child_column and c not in child_key]
@@ -194,3 +183,45 @@ def synthesize_children(
     made.update({k: F.col("_j") for k in child_key if k != child_column and len(child_key) > 1})
     out = drawn.withColumns({k: v.cast(child.schema[k].dataType) for k, v in made.items()}) if made else drawn
     return out.select(*child.columns)
+
+
+def moved_keys(rows: DataFrame, column: str, parent: DataFrame, new_parent: DataFrame, parent_column: str, keys: list[str], seed: int = keyed.SEED) -> DataFrame:
+    """A drawn foreign key moved to the new parents: an observed parent's share of the children goes to a new one.
+
+    Observed and new parents are numbered; new parents beyond the observed number take turns.  No key is left without a
+    parent, and a null stays null.
+    """
+    old = with_hashed_index(cut_lineage(parent.select(F.col(parent_column).alias("_k")).where("_k IS NOT NULL").distinct()), ["_k"], "_at")
+    new = with_hashed_index(cut_lineage(new_parent.select(F.col(parent_column).alias("_new")).distinct()), ["_new"], "_at")
+    n_old, n_new = old.count(), new.count()
+    turn = keyed.index_below(max(1, -(-n_new // max(n_old, 1))), f"turn:{column}", *[F.col(k) for k in keys], seed=seed)
+    placed = rows.join(old.withColumnRenamed("_k", column), column, "left")
+    placed = placed.withColumn("_at", (F.col("_at") + F.lit(n_old) * turn) % F.lit(max(n_new, 1)))
+    return placed.drop(column).join(new.withColumnRenamed("_new", column), "_at", "left").select(*rows.columns)
+
+
+def synthesize_tables(
+    tables: dict[str, DataFrame], relationships: list[dict], keys: dict[str, list[str]], num_rows: int = 0, seed: int = keyed.SEED
+) -> dict[str, DataFrame]:
+    """New rows for every table, parents before children, over a list of relationships.
+
+    A relationship names parent_table, parent_column, child_table and child_column.  All tables grow by num_rows over the
+    rows of the largest, in whole numbers.  A child's first relationship gives its number of rows per parent; the keys of
+    its other parents are drawn with its attributes and moved to the new parents.
+    """
+    scale = max(1, num_rows // max(1, *[t.count() for t in tables.values()]))
+    made: dict[str, DataFrame] = {}
+    for name in dependency_order(list(tables), relationships):
+        own = [r for r in relationships if r["child_table"] == name and r["parent_table"] in made]
+        if not own:
+            made[name] = cut_lineage(synthesize_parents(tables[name], keys[name][0], scale, seed))
+            continue
+        first, *others = own
+        rows = synthesize_children(
+            made[first["parent_table"]], first["parent_column"], tables[first["parent_table"]], tables[name], first["child_column"], keys[name], seed
+        )
+        rows = cut_lineage(rows)
+        for r in others:
+            rows = moved_keys(rows, r["child_column"], tables[r["parent_table"]], made[r["parent_table"]], r["parent_column"], keys[name], seed)
+        made[name] = cut_lineage(rows)
+    return made

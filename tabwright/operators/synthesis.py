@@ -50,6 +50,8 @@ def independent_rows(df: DataFrame, columns: list[str], rows: DataFrame, keys: l
     A column with few values is drawn from an inlined list.  Any other takes the value of the observed row at a
     hashed position: an equi-join on evenly spread row numbers.
     """
+    if not columns:
+        return rows
     lists = short_lists(df, columns)
     key = F.col("id")
     out = rows

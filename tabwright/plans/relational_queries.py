@@ -136,6 +136,27 @@ def children_histogram(spark, folder):
     return rel.children_histogram(table(spark, folder, "customer"), "c_custkey", table(spark, folder, "orders"), "o_custkey")
 
 
+RELATIONS = [
+    {"parent_table": "customer", "parent_column": "c_custkey", "child_table": "orders", "child_column": "o_custkey"},
+    {"parent_table": "orders", "parent_column": "o_orderkey", "child_table": "lineitem", "child_column": "l_orderkey"},
+    {"parent_table": "part", "parent_column": "p_partkey", "child_table": "lineitem", "child_column": "l_partkey"},
+]
+
+
+@query("related_table_set")
+def related_table_set(spark, folder):
+    """New order lines with new orders, customers and parts above them."""
+    columns = {
+        "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
+        "part": ["p_partkey", "p_brand", "p_retailprice"],
+        "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"],
+        "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"],
+    }
+    keys = {"customer": ["c_custkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    made = rel.synthesize_tables({t: table(spark, folder, t).select(*c) for t, c in columns.items()}, RELATIONS, keys)
+    return made["lineitem"]
+
+
 @query("related_tables_synthesis")
 def related_tables_synthesis(spark, folder):
     customer = table(spark, folder, "customer")

@@ -209,3 +209,21 @@ def test_efficacy_of_a_learnable_target(spark):
     assert modelled.classification_efficacy(t.limit(20), t, "y", ["a", "b"], ["k"]) is None
     d = modelled.prediction_drift(t, t.withColumn("y", F.when(F.col("y") == "low", "high").otherwise("low")), "y", ["a", "b"], ["k"], trees=5, folds=2).first()
     assert d.alert_level == "red" and d.score_drop > 0.9
+
+
+def test_related_tables_leave_no_orphan(spark):
+    """A child of two parents, a grandchild, and twice the rows."""
+    a = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(20)], "a long, t string")
+    b = spark.createDataFrame([(100 + i, float(i)) for i in range(7)], "b long, v double")
+    c = spark.createDataFrame([(i, i % 5, 100 + i % 3, i % 4) for i in range(40)], "c long, a long, b long, w long")
+    d = spark.createDataFrame([(i, i % 40) for i in range(60)], "d long, c long")
+    links = [("a", "a", "c", "a"), ("b", "b", "c", "b"), ("c", "c", "d", "c")]
+    relations = [dict(zip(("parent_table", "parent_column", "child_table", "child_column"), r)) for r in links]
+    made = rel.synthesize_tables({"d": d, "c": c, "b": b, "a": a}, relations, {n: [n] for n in "abcd"}, num_rows=120)
+    assert made["a"].count() == 40 and made["b"].count() == 14
+    for parent, key, child, column in links:
+        known = {r[0] for r in made[parent].select(key).collect()}
+        used = [r[0] for r in made[child].select(column).collect()]
+        assert used and set(used) <= known
+    # only three of the seven observed b have children: as many shares as before
+    assert len({r.b for r in made["c"].select("b").collect()}) <= 6
