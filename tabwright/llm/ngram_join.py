@@ -28,7 +28,7 @@ from tabwright.session import shuffle_partitions
 #: A column is frequent if a document in so many has it; the order knows the frequency of at most so many columns.
 FREQUENT_SHARE, FREQUENT_COLUMNS = 2000, 1 << 18
 #: A row in so many of its columns is asked of two linked rows among their first columns, beyond the least one.
-SLACK = 32
+SLACK = 10
 #: Rows, and columns of all rows together, of a block; columns of a strip.
 BLOCK_ROWS, BLOCK_ENTRIES, STRIP = 128, 1_000_000, 4096
 KEPT_WORDS = 500_000
