@@ -66,6 +66,22 @@ def node_link_scan(spark, folder):
     return graphs.read_node_link_parts(spark, path)[1]
 
 
+@query("graphml_scan", EDGE_SQL)
+def graphml_scan(spark, folder):
+    path = scratch_path(spark, "graphml")
+    edges = graphs.canonical_edges(supplier_part_edges(spark, folder))
+    graphs.write_graphml(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges, path)
+    return graphs.read_graphml(spark, path + "/*")[1].select("src", "dst", "weight")
+
+
+@query("gexf_scan", EDGE_SQL)
+def gexf_scan(spark, folder):
+    path = scratch_path(spark, "gexf")
+    edges = graphs.canonical_edges(supplier_part_edges(spark, folder))
+    graphs.write_gexf(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges, path)
+    return graphs.read_gexf(spark, path + "/*")[1].select("src", "dst", "weight")
+
+
 @query(
     "adjacency_edges",
     """SELECT least(s, d) AS src, greatest(s, d) AS dst, 1.0::DOUBLE AS weight FROM (

@@ -194,3 +194,34 @@ def read_node_link_parts(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("weight", T.DoubleType())])
     ).json(base + "/links")
     return spark.read.json(base + "/nodes"), edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
+
+
+def _write_xml(rows: DataFrame, root: str, tag: str, path: str, mode: str) -> None:
+    rows.write.format("xml").option("rootTag", root).option("rowTag", tag).mode(mode).save(path)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = False, mode: str = "errorifexists") -> None:
+    """GraphML in three folders of files: the graph and its keys, nodes, and edges; :func:`read_graphml` reads ``path/*``.
+
+    A single document would have to be written by a single task.
+    """
+    spark, base = nodes.sparkSession, path.rstrip("/")
+    kind = "directed" if directed else "undirected"
+    _write_xml(spark.range(1).select(F.lit("G").alias("_id"), F.lit(kind).alias("_edgedefault")), "graphml", "graph", base + "/graph", mode)
+    key = [F.lit(v).alias(k) for k, v in (("_id", "d1"), ("_for", "edge"), ("_attr.name", "weight"), ("_attr.type", "double"))]
+    _write_xml(spark.range(1).select(*key), "graphml", "key", base + "/keys", mode)
+    _write_xml(nodes.select(F.col("id").cast("string").alias("_id"), F.lit("").alias("desc")), "graphml", "node", base + "/nodes", mode)
+    weight = F.struct(F.lit("d1").alias("_key"), F.coalesce(F.col("weight"), F.lit(1.0)).alias("_VALUE"))
+    ends = [F.col(c).cast("string").alias(n) for c, n in (("src", "_source"), ("dst", "_target"))]
+    _write_xml(edges.select(*ends, weight.alias("data")), "graphml", "edge", base + "/edges", mode)
+
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = False, mode: str = "errorifexists") -> None:
+    """GEXF in the same way."""
+    spark, base = nodes.sparkSession, path.rstrip("/")
+    kind = "directed" if directed else "undirected"
+    _write_xml(spark.range(1).select(F.lit(kind).alias("_defaultedgetype"), F.lit("").alias("meta")), "gexf", "graph", base + "/graph", mode)
+    label = F.col("id").cast("string")
+    _write_xml(nodes.select(label.alias("_id"), label.alias("_label"), F.lit("").alias("meta")), "gexf", "node", base + "/nodes", mode)
+    ends = [F.col(c).cast("string").alias(n) for c, n in (("src", "_source"), ("dst", "_target"))]
+    _write_xml(edges.select(*ends, F.coalesce(F.col("weight"), F.lit(1.0)).alias("_weight"), F.lit("").alias("meta")), "gexf", "edge", base + "/edges", mode)

@@ -201,3 +201,13 @@ def test_last_link_and_header_rule(spark, tmp_path):
     (tmp_path / "e.csv").write_text("10.1,10.2\n\t\n10.2,10.3,4\n")
     _, edges = graphs.read_edge_list(spark, str(tmp_path / "e.csv"))
     assert {(r.src, r.dst, r.weight) for r in edges.collect()} == {("10.1", "10.2", 1.0), ("10.2", "10.3", 4.0)}
+
+
+def test_written_xml_is_read_back(spark, tmp_path):
+    nodes = spark.createDataFrame([("a & b",), ('q"<x>',), ("lone",)], "id string")
+    edges = spark.createDataFrame([("a & b", 'q"<x>', 2.5)], "src string, dst string, weight double")
+    for kind, write, read in (("graphml", graphs.write_graphml, graphs.read_graphml), ("gexf", graphs.write_gexf, graphs.read_gexf)):
+        write(nodes, edges, str(tmp_path / kind), directed=True)
+        found, links, directed = read(spark, str(tmp_path / kind / "*"))
+        assert directed and {r.id for r in found.collect()} == {"a & b", 'q"<x>', "lone"}
+        assert [(r.src, r.dst, r.weight) for r in links.collect()] == [("a & b", 'q"<x>', 2.5)]
