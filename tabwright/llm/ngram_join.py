@@ -27,7 +27,7 @@ from tabwright.session import shuffle_partitions
 
 #: A column is frequent if a document in so many has it; the order knows the frequency of at most so many columns.
 FREQUENT_SHARE, FREQUENT_COLUMNS = 2000, 1 << 18
-#: A row in so many of its columns is asked of two linked rows among their first columns, beyond the least one.
+#: The index is longer than need be by one column in so many, so that linked sets share as many indexed columns at least.
 SLACK = 10
 #: Rows, and columns of all rows together, of a block; columns of a strip.
 BLOCK_ROWS, BLOCK_ENTRIES, STRIP = 128, 1_000_000, 4096
@@ -73,7 +73,7 @@ def least_common(a, b, percent: int):
 
 
 def index_length(n: int, percent: int) -> int:
-    """How many of a set's first columns are indexed: two linked sets share 1 + n // SLACK or more of them (see `asked`)."""
+    """How many of a set's first columns are indexed; see `asked`."""
     return min(n, n + percent * -n // 100 + max(1, n // SLACK))
 
 

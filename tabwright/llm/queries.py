@@ -148,6 +148,28 @@ def op1_template_text(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
 
 
-@query("op5_blocked_ngram_join")
+@query(
+    "op5_blocked_ngram_join",
+    """
+    WITH RECURSIVE d AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+      FROM documents
+    ), s AS (
+      SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g
+      FROM d
+    ), c AS (SELECT g, min(doc_id) AS u FROM s WHERE len(g) > 0 GROUP BY g
+    ), e AS (SELECT u, len(g) AS n, unnest(g) AS x FROM c
+    ), p AS (
+      SELECT a.u, b.u AS v FROM e a JOIN e b ON a.x = b.x AND a.u < b.u
+      GROUP BY a.u, b.u HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+    ), l AS (SELECT u, v FROM p UNION SELECT v, u FROM p
+    ), r AS (SELECT u AS node, u AS root FROM c UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node
+    ), m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+    SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+    FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN m ON m.node = c.u
+    """,
+)
 def op5_blocked_ngram_join(spark, folder):
     return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
