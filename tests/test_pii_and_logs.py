@@ -181,3 +181,16 @@ def test_json_and_csv_records(spark):
     assert [r.a for r in got] == [3]
     rows = logs.parse_csv(lines(spark, "a,b", "1,2", "a,b"), ["a", "b"], ["n"]).collect()
     assert [(r.a, r.b) for r in rows] == [("1", "2"), ("a", "b")]
+
+
+def test_a_tab_alone_makes_no_table(spark):
+    text = "\tsome text\n\n\na\tb\n\n\tc | d\nplain"
+    t = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.kind, r.lines) for r in documents.blocks(t, ["doc_id"]).orderBy("block").collect()]
+    assert got == [("paragraph", 1), ("table", 2), ("paragraph", 1)]
+
+
+def test_words_end_where_letters_end(spark):
+    t = spark.createDataFrame([(1, "é12 34 x@y.com John Doe éAda Poe")], "doc_id long, text string")
+    r = documents.content_components(t, ["doc_id"]).first()
+    assert r.numbers_found == 1 and r.emails_found == 1
