@@ -59,21 +59,23 @@ SCRIPTS = {
 }
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Which code points are letters or marks, and each code point's script (0: other)."""
-    letters = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x32400)), bool, 0x32400)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points are letters or marks, each code point's script (0: other), and which are letters."""
+    kinds = [unicodedata.category(chr(i))[0] for i in range(0x32400)]
+    letters = np.array([k in "LM" for k in kinds])
+    alone = np.array([k == "L" for k in kinds])
     script = np.zeros(0x32400, np.int8)
     for i, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = i
     script[~letters] = 0
-    return letters, script
+    return letters, script, alone
 
 
-_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
+_TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
-def _code_tables() -> tuple[np.ndarray, np.ndarray]:
+def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _TABLES:
         _TABLES.append(_tables())
     return _TABLES[0]
@@ -81,13 +83,13 @@ def _code_tables() -> tuple[np.ndarray, np.ndarray]:
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """n-gram buckets of all words with the word of each, letters per word, and the script of each word's first letter."""
-    letters, scripts = _code_tables()
+    letters, scripts, alone = _code_tables()
     codes = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     word = np.cumsum(codes == 10) - 1
     inside = np.where(codes < len(letters), codes, 0)
     letter = letters[inside]
     codes = np.where(letter, codes, 10)  # a boundary: n-grams may begin or end with one
-    count = np.bincount(word[letter], minlength=len(words))[: len(words)]
+    count = np.bincount(word[alone[inside]], minlength=len(words))[: len(words)]
     script = np.zeros(len(words), np.int64)
     at = np.flatnonzero(letter)[::-1]
     script[word[at]] = scripts[inside[at]]

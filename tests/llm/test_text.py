@@ -107,14 +107,14 @@ def test_language_model(spark):
     german = "das haus des königs stand auf dem hügel und sie gingen mit ihren freunden dorthin "
     greek = "το σπίτι του βασιλιά ήταν στον λόφο και πήγαν εκεί με όλους τους φίλους τους "
     rows = [(i, t * 3, lang) for i, (t, lang) in enumerate([(english, "en"), (german, "de"), (greek, "el")] * 20)]
-    rows += [(100, None, "en"), (101, "12 34 !!", None), (102, english + german, None), (103, "", "de"), (104, "привет мир", None), (None, greek, None)]
+    rows += [(100, None, "en"), (101, "12 34 !!", None), (102, english + german, None), (103, "", "de"), (105, "\u0301\u0308 1", None), (104, "привет мир", None), (None, greek, None)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
     model = language_id.fit(df.filter("doc_id < 60"))
     assert model.languages == ["de", "el", "en"]
     got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
     for i, _, lang in rows[:60]:
         assert got[i].lang_pred == lang and got[i].score > 0.9
-    assert [got[i].lang_pred for i in (100, 101, 103)] == ["und"] * 3
+    assert [got[i].lang_pred for i in (100, 101, 103, 105)] == ["und"] * 4
     assert got[104].lang_pred == "de" and got[104].score == 0 and got[None].lang_pred == "el"
     spans = [s.split(":")[0] for s in got[102].lang_spans.split(",")]
     assert spans == ["en", "de"] and 0.3 < got[102].score < 0.8
