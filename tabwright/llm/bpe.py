@@ -31,7 +31,7 @@ _JOINED_SPACE = re.compile(r"\s (?=\s|\Z)")
 #: Pieces kept between batches; beyond that a worker begins anew.
 KEPT_PIECES = 500_000
 #: Characters of text encoded at a time.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def default_path() -> str:

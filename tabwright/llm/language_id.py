@@ -30,8 +30,8 @@ BACKOFF, SCALE = 0.01, 0.4
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that makes up so much of its letters; other languages lose so much per word.
 SCRIPT_SHARE, NOT_CANDIDATE = 0.005, 40.0
-KEPT_WORDS = 400_000
-BLOCK_CHARS = 12_000_000
+KEPT_WORDS = 300_000
+BLOCK_CHARS = 8_000_000
 UNKNOWN = "und"
 
 #: First and last code points of scripts' letter ranges. Fixed values of the Unicode standard.
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", label: s
     width = len(languages)
 
     def count(batches):
+        claim_worker("languages")
         grams = np.zeros((BUCKETS, width), np.int64)
         scripts = np.zeros((len(SCRIPTS) + 1, width), np.int64)
         for whole in batches:
