@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +28,8 @@ def claim_worker(name: str, clear: Callable[[], None] | None = None) -> None:
     for other, empty in _CACHES.items():
         if other != name:
             empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     if clear is not None:
         _CACHES[name] = clear
 
