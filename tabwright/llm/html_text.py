@@ -5,7 +5,8 @@ vector is how often it occurs on each page; tokens with the same vector form an
 the pages are the template's. Vectors are never built: every page adds a keyed hash of (page, count) to its tokens, so equal
 vectors are equal sums, and a host may hold any share of the pages. Classes nest by their paths into the host's template;
 what remains between template tokens are slots, and the article's slots, without those of menus, adverts and the like, are
-the text. A page that does not fit its host's template, or a host with too few pages, falls back on the page's own elements.
+the text. The pages that do not fit a host's template are fitted again among themselves, so a host may have several. A page
+that fits none, or of a host with too few pages, falls back on the page's own elements.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from tabwright.llm.common import hot_join, row_id, store
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.5, 3, 2
 #: The text's container holds this share of the text outside boilerplate, where no element says that it is the article.
 TEXT_SHARE = 0.6
+#: In the article's container, a text is the template's if it is on so many pages at least; a few issues of one article share
+#: theirs too. Where such texts are over this share of all text in the container, the pages are copies of one article.
+INSIDE_PAGES, COPIED_SHARE = 10, 0.5
 #: Elements beyond this depth add nothing to a path.
 DEPTH = 40
 #: Tokens a task sums before it hands them on.
@@ -145,37 +149,47 @@ def text_token(path: tuple[str, ...], text: str) -> str:
 
 
 def page_tokens(page: str) -> tuple[Counter, dict[str, int], dict[str, int]]:
-    """A page's tokens with their counts, their first places, and the letters of text right under each path."""
+    """A page's tokens with their counts, their first places, and the letters of text right under each path and of each text."""
     counts: Counter = Counter()
     first: dict[str, int] = {}
     letters: dict[str, int] = {}
     shut: list[bool] = []
-    articles = 0
+    parts: list[str] = []
+    where: tuple[str, ...] = ()
+
+    def add(token: str, place: int):
+        counts[token] += 1
+        first.setdefault(token, place)
+
+    def flush(place: int):
+        text = plain("".join(parts))
+        parts.clear()
+        if text:
+            token = text_token(where, text)
+            add(token, place)
+            if not any(shut):
+                for name in (">".join(where) + "=", token):
+                    letters[name] = letters.get(name, 0) + len(text)
+
+    # blocks of text are those of slots(): what stands between tags that are not inline
+    place = 0
     for place, (kind, path, *more) in enumerate(events(page)):
         if kind == "text":
-            text = plain(more[0])
-            if not text:
-                continue
-            if not any(shut):
-                name = ">".join(path)
-                letters[name] = letters.get(name, 0) + len(text)
-            if articles or len(text) > 300:
-                continue
-            token = text_token(path, text)
-        elif kind == "leaf":
-            token = ">".join(path) + ">" + more[0]
+            parts.append(more[0])
+            where = path
+            continue
+        flush(place)
+        if kind == "leaf":
+            add(">".join(path) + ">" + more[0], place)
+        elif kind == "open":
+            shut.append(more[0])
+            add(">".join(path) + ("+*" if more[1] else "+"), place)
         else:
-            token = ">".join(path) + ("+" if kind == "open" else "-")
-            if kind == "open":
-                shut.append(more[0])
-                articles += more[1]
-                if more[1]:
-                    token += "*"
-            else:
-                if shut:
-                    shut.pop()
-        counts[token] += 1
-        first.setdefault(token, place)
+            add(">".join(path) + "-", place)
+            if shut:
+                shut.pop()
+        where = path
+    flush(place)
     return counts, first, letters
 
 
@@ -184,8 +198,20 @@ def _mixed(row: int, count: int) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+def fits(page: str, containers: list[str]) -> int:
+    """The first of the containers that a page has, -1 if there is none."""
+    if not containers:
+        return -1
+    paths = {">".join(e[1]) for e in events(page) if e[0] == "open"}
+    return next((i for i, c in enumerate(containers) if c in paths), -1)
+
+
 def token_sums(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, vector, place, letters) summed per task; the token '' counts a host's pages."""
+    """(host, token, pages, total, vector, place, letters) summed per task; the token '' counts a host's pages.
+
+    Pages that have one of their host's `_containers`, if such a column is there, are left out.
+    """
+    known = "_containers" in pages.columns
     schema = "host string, token string, pages long, total long, vector long, place long, letters long"
 
     def run(batches):
@@ -210,16 +236,20 @@ def token_sums(pages: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in blocks(whole, "_html"):
-                for row, host, page in zip(*(batch.column(c).to_pylist() for c in ("_row", "_host", "_html"))):
+                containers = batch.column("_containers").to_pylist() if known else [None] * batch.num_rows
+                rows = zip(*(batch.column(c).to_pylist() for c in ("_row", "_host", "_html")), containers)
+                for row, host, page, found in rows:
+                    if fits(page, found or []) >= 0:
+                        continue
                     counts, first, letters = page_tokens(page)
                     vectors: dict[int, int] = {}
                     add(host, "", 1, 0, 0, 0)
                     for token, n in counts.items():
                         if n not in vectors:
                             vectors[n] = _mixed(row, n)
-                        add(host, token, n, vectors[n], first[token], 0)
+                        add(host, token, n, vectors[n], first[token], letters.pop(token, 0))
                     for path, n in letters.items():
-                        add(host, path + "=", 0, 0, 0, n)
+                        add(host, path, 0, 0, 0, n)
                     if len(sums) > SUMMED_TOKENS:
                         yield flushed()
                         sums.clear()
@@ -239,24 +269,27 @@ def token_sums(pages: DataFrame) -> DataFrame:
 def main_container(tokens: list[str], once: set[str], letters: dict[str, int]) -> str:
     """The path of the article's container in a template: tokens in order, `once` those that each page has once."""
     opened = [t for t in tokens if t.rstrip("*").endswith("+") and t in once]
-    named = [t for t in opened if t.endswith("*")]
-    paths = [t.rstrip("*")[:-1] for t in named]
-    inner = [p for p in paths if not any(o.startswith(p + ">") for o in paths)]
-    if len(inner) == 1:
-        return inner[0]
-    if inner:  # several: their text decides
-        return max(inner, key=lambda p: (sum(n for q, n in letters.items() if q == p or q.startswith(p + ">")), p))
+    mass = {t.rstrip("*")[:-1]: 0 for t in opened}
+    for q, n in letters.items():
+        steps = q.split(">")
+        for i in range(1, len(steps) + 1):
+            p = ">".join(steps[:i])
+            if p in mass:
+                mass[p] += n
     total = sum(letters.values())
     best = ""
-    for path in (t[:-1] for t in opened):
-        inside = sum(n for q, n in letters.items() if q == path or q.startswith(path + ">"))
+    for path, inside in mass.items():
         if total and inside >= TEXT_SHARE * total and len(path) > len(best):
             best = path
-    return best
+    paths = [t[:-2] for t in opened if t.endswith("*")]
+    inner = [p for p in paths if not any(o.startswith(p + ">") for o in paths)]
+    # a mark decides how wide the container is, unless the text is elsewhere
+    inner = [p for p in inner if p == best or p.startswith(best + ">") or best.startswith(p + ">") or not best]
+    return max(inner, key=lambda p: (mass[p], p)) if inner else best
 
 
 def templates(sums: DataFrame) -> DataFrame:
-    """(host, pages, container, fixed): a host's container of the article and its template's texts, hosts with a template only.
+    """(host, pages, container, fixed, template): a host's container of the article and its template's texts, hosts with a template only.
 
     Classes are the tokens of a host with the same pages, total and vector. A class is valid if it is frequent and large
     enough. A host's tokens of valid classes are at most the pages' mean length over SUPPORT.
@@ -264,14 +297,14 @@ def templates(sums: DataFrame) -> DataFrame:
     hosts = sums.filter("token = ''").select("host", F.col("pages").alias("host_pages"))
     frequent = sums.filter((F.col("pages") >= LEAST_PAGES) & (F.col("token") != "")).join(hosts, "host")
     frequent = frequent.filter(F.col("pages") >= F.col("host_pages") * SUPPORT)
-    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
+    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "letters")
     classes = frequent.groupBy("host", "host_pages", "pages", "total", "vector").agg(F.collect_list(member).alias("members"))
     classes = classes.filter(F.size("members") >= LEAST_TOKENS)
     classes = classes.groupBy("host", "host_pages").agg(
-        F.collect_list(F.struct("members", (F.col("total") == F.col("pages")).alias("once"))).alias("classes")
+        F.collect_list(F.struct("members", "pages", (F.col("total") == F.col("pages")).alias("once"))).alias("classes")
     )
     # a path carries text on few pages or many; a host has at most as many paths with open tags in its template
-    mass = sums.filter("letters > 0").join(hosts, "host").filter(F.col("letters") >= F.col("host_pages"))
+    mass = sums.filter("letters > 0 AND token LIKE '%='").join(hosts, "host").filter(F.col("letters") >= F.col("host_pages"))
     mass = mass.groupBy("host").agg(F.collect_list(F.struct("token", "letters")).alias("mass"))
     made = "host string, pages long, container string, fixed array<string>, template string"
 
@@ -284,7 +317,13 @@ def templates(sums: DataFrame) -> DataFrame:
                 once = {t for _, t, o in members if o}
                 letters = {m["token"][:-1]: m["letters"] for m in row["mass"] or []}
                 container = main_container(tokens, once, letters)
-                fixed = [t for t in tokens if "|" in t]
+                inside = lambda path: path == container or path.startswith(container + ">")
+                texts = [(m["token"], c["pages"], m["letters"]) for c in row["classes"] for m in c["members"] if "|" in m["token"]]
+                fixed = [t for t, _, _ in texts if not inside(t.rpartition("|")[0])]
+                own = [(t, n) for t, pages, n in texts if pages >= INSIDE_PAGES and inside(t.rpartition("|")[0])]
+                if sum(n for _, n in own) <= COPIED_SHARE * sum(n for p, n in letters.items() if inside(p)):
+                    fixed += [t for t, _ in own]
+                fixed.sort()
                 rows.append((row["host"], row["host_pages"], container, fixed, "\n".join(tokens)))
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(("host", "pages", "container", "fixed", "template"), r)) for r in rows],
@@ -299,7 +338,7 @@ def templates(sums: DataFrame) -> DataFrame:
 def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, str, bool]]:
     """(path, text, article) of a page's blocks in order: article says whether the block is part of the text.
 
-    Blocks are what stands between tags that are not inline; text of the template is no slot, unless it is in the container.
+    Blocks are what stands between tags that are not inline; text of the template is no slot.
     """
     found: list[tuple[str, str, bool]] = []
     stream = list(events(page))
@@ -313,6 +352,7 @@ def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, s
         marked = {container}
     parts: list[str] = []
     shut: list[bool] = []
+    own: list[int] = []
     inside = 0
     where: tuple[str, ...] = ()
 
@@ -322,8 +362,10 @@ def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, s
         if text:
             name = ">".join(where)
             boilerplate = any(shut) or (not inside and bool(marked))
-            kept = not boilerplate and (bool(inside) or text_token(where, text) not in fixed)
+            kept = not boilerplate and text_token(where, text) not in fixed
             found.append((name, text, kept))
+            if inside and not boilerplate:
+                own.append(len(found) - 1)
 
     for kind, path, *more in stream:
         if kind == "text":
@@ -343,6 +385,9 @@ def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, s
             inside = max(0, inside - 1)
         where = path
     flush()
+    if not any(article for _, _, article in found):  # nothing but the template: what is in the container stands
+        for at in own:
+            found[at] = (*found[at][:2], True)
     return found
 
 
@@ -361,30 +406,56 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         "page_id", "url", host.alias("_host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("_html"), row_id().alias("_row")
     )
-    found = store(templates(store(token_sums(rows.select("_row", "_host", "_html")), "html-tokens")), "html-templates")
-    found = found.select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), "container", "fixed")
-    if found.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(found), "_host", "left")
-    else:
-        joined = hot_join(rows, found, ["_host"], "_pages", rows.count())
-    joined = joined.select("page_id", "url", "_html", "container", "fixed")
+    total = rows.count()
+
+    def with_templates(found: DataFrame, *columns: str) -> DataFrame:
+        if found.count() <= BROADCAST_HOSTS:
+            return rows.join(F.broadcast(found), "_host", "left").select(*columns)
+        return hot_join(rows, found, ["_host"], "_pages", total).select(*columns)
+
+    found, left, n = None, rows.select("_row", "_host", "_html"), 0
+    while True:
+        # a container is on half of the pages left at least, so each round halves a host's pages that fit none
+        new = templates(store(token_sums(left), "html-tokens"))
+        new = new.withColumn("round", F.lit(n))
+        if found is not None:  # a host goes on only while it finds containers
+            new = new.filter("container <> ''")
+        new = store(new, "html-templates")
+        grown = not new.filter("container <> ''").isEmpty()
+        found = new if found is None else found.unionByName(new)
+        if not grown:
+            break
+        n += 1
+        hosts = found.groupBy(F.col("host").alias("_host")).agg(
+            F.max("pages").alias("_pages"), F.array_sort(F.collect_list(F.when(F.col("container") != "", F.struct("round", "container")))).alias("_found")
+        )
+        going = new.filter("container <> ''").select(F.col("host").alias("_host"))
+        hosts = hosts.join(going, "_host", "left_semi").select("_host", "_pages", F.col("_found.container").alias("_containers"))
+        left = with_templates(store(hosts, "html-hosts"), "_row", "_host", "_html", "_containers").filter("_containers IS NOT NULL")
+    kinds = F.array_sort(F.collect_list(F.struct("round", "container", "fixed")))
+    hosts = found.groupBy(F.col("host").alias("_host")).agg(F.max("pages").alias("_pages"), kinds.alias("_kinds"))
+    hosts = hosts.select("_host", "_pages", F.col("_kinds.container").alias("containers"), F.col("_kinds.fixed").alias("fixed"))
+    joined = with_templates(store(hosts, "html-hosts"), "page_id", "url", "_host", "_html", "containers", "fixed")
     made = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("container", T.StringType())]
     kept = [joined.schema["page_id"], joined.schema["url"]]
 
     def run(batches):
-        sets: dict[tuple[str, ...], frozenset[str]] = {}
+        sets: dict[str, tuple[list[frozenset[str]], frozenset[str]]] = {}
         for whole in batches:
             for batch in blocks(whole, "_html"):
-                texts = []
-                for page, container, fixed in zip(*(batch.column(c).to_pylist() for c in ("_html", "container", "fixed"))):
-                    key = tuple(fixed or ())
-                    if key not in sets:
+                texts, used = [], []
+                names = ("_host", "_html", "containers", "fixed")
+                for host, page, containers, fixed in zip(*(batch.column(c).to_pylist() for c in names)):
+                    if host not in sets:
                         if len(sets) > 1000:
                             sets.clear()
-                        sets[key] = frozenset(key)
-                    texts.append(main_text(page, container or "", sets[key]))
+                        own = [frozenset(texts_of) for texts_of in fixed or []]
+                        sets[host] = (own, frozenset().union(*own))
+                    at = fits(page, containers or [])
+                    used.append(containers[at] if at >= 0 else "" if containers else None)
+                    texts.append(main_text(page, used[-1] or "", sets[host][0][at] if at >= 0 else sets[host][1]))
                 columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
-                columns += [pa.array([len(t) for t in texts], pa.int64()), batch.column("container")]
+                columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "container"])
 
     return joined.mapInArrow(run, T.StructType(kept + made))

@@ -194,3 +194,22 @@ def test_equal_vectors_make_a_class(spark):
     assert vectors["body>article>p"] != vectors["body>nav+"]
     found = html_text.templates(html_text.token_sums(df)).collect()
     assert [(r.host, r.container) for r in found] == [("h", "body>article")]
+
+
+def test_template_texts_inside_the_article(spark):
+    page = "<body><article><p>Story {i} begins</p><p>Shared <b>word</b> for word on every page</p><p>{long} {i}</p></article><p>Legal line after the article</p></body>"
+    rows = [(i, f"//h.example/{i}", page.format(i=i, long="and goes on" * 40)) for i in range(12)]
+    # a second kind of page, whose container no word marks
+    other = "<body><ul><li>Menu words of this kind of page</ul><div class=box><p>{i} of the other kind is text that differs from page to page</div></body>"
+    rows += [(100 + i, f"//h.example/o{i}", other.format(i=i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    for i in range(12):
+        assert got[i].text == f"Story {i} begins\n{'and goes on' * 40} {i}"
+    for i in range(4):
+        assert got[100 + i].text == f"{i} of the other kind is text that differs from page to page"
+        assert got[100 + i].container == "body>div.box"
+    # the template knows texts after the article, and long ones
+    counts, _, _ = html_text.page_tokens(rows[0][2])
+    assert html_text.text_token(("body",), "Legal line after the article") in counts
+    assert html_text.text_token(("body", "article"), f"{'and goes on' * 40} 0") in counts
