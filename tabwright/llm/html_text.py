@@ -73,8 +73,8 @@ def host_of(url: str | None) -> str:
     return match.group(1).rpartition("@")[2].partition(":")[0].lower() if match else ""
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's label in paths, and whether it is boilerplate or an article by name, class, id or role."""
+def _label(name: str, attributes: str) -> tuple[str, int, bool]:
+    """An element's label in paths, whether it is boilerplate (2 by name, 1 by a word), and whether it may be the article."""
     words: list[str] = []
     shown = name
     if "=" in attributes:
@@ -83,8 +83,8 @@ def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
             words += [w.lower() for w in _WORD.findall(value)]
             shown += {"class": ".", "id": "#", "role": "@"}[key.lower()] + re.sub(r"\d+", "0", value)[:60]
     article = name in ("article", "main") or (name not in BOILERPLATE and not ARTICLE_WORDS.isdisjoint(words))
-    boilerplate = name in BOILERPLATE or not BOILERPLATE_WORDS.isdisjoint(words)
-    return shown, boilerplate, article and not boilerplate
+    boilerplate = 2 if name in BOILERPLATE else int(not BOILERPLATE_WORDS.isdisjoint(words))
+    return shown, boilerplate, article and boilerplate < 2
 
 
 def events(page: str):
@@ -140,6 +140,53 @@ def events(page: str):
         yield ("text", path, page[at:])
 
 
+def _under(path: str, top: str) -> bool:
+    return path == top or path.startswith(top + ">")
+
+
+def marks(stream: list[tuple], container: str = "") -> tuple[set[str], set[str]]:
+    """The paths of a page's articles, and of the elements that are boilerplate by a word and nevertheless stay open.
+
+    The template's container, if the page has it, is the article. A word never closes html, body, or what is around the
+    article. An article with such a word is one if it holds most text of the page, or of the article around it; on a page
+    with no other article, any element that holds most text stays open.
+    """
+    kinds: dict[str, tuple[int, bool]] = {}
+    for kind, path, *more in stream:
+        if kind == "open":
+            kinds.setdefault(">".join(path), (more[0], more[1]))
+    words = [p for p, (boilerplate, _) in kinds.items() if boilerplate == 1 and p.rpartition(">")[2].split(".")[0].split("#")[0].split("@")[0] not in ("html", "body")]
+    opened = {p for p, (boilerplate, _) in kinds.items() if boilerplate == 1}.difference(words)
+    named = [p for p, (_, article) in kinds.items() if article]
+    inner = lambda paths: {p for p in paths if not any(o != p and _under(o, p) for o in paths)}
+    free = {container} if container in kinds else inner([p for p in named if not any(_under(p, w) for w in words)])
+    opened |= {w for w in words if any(_under(p, w) for p in free)}
+    words = [w for w in words if w not in opened]
+    weak = [p for p in words if kinds[p][1]]
+    if free and not any(_under(p, f) for p in weak for f in free) or not words:
+        return free, opened
+    mass: dict[str, int] = {}
+    hard: list[bool] = []
+    for kind, path, *more in stream:
+        if kind == "open":
+            hard.append(more[0] == 2)
+        elif kind == "close":
+            hard.pop()
+        elif kind == "text" and not any(hard):
+            name = ">".join(path)
+            mass[name] = mass.get(name, 0) + len(plain(more[0]))
+    total = lambda top: sum(n for p, n in mass.items() if _under(p, top))
+    if free:
+        for p in weak:
+            around = [f for f in free if _under(p, f)]
+            if around and total(p) >= TEXT_SHARE * total(around[0]):
+                opened |= {w for w in words if _under(p, w)}
+        return free, opened
+    whole = sum(mass.values())
+    opened |= {p for p in words if whole and total(p) >= TEXT_SHARE * whole}
+    return inner([p for p in named if not any(_under(p, w) for w in words if w not in opened)]), opened
+
+
 def plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
@@ -173,7 +220,9 @@ def page_tokens(page: str) -> tuple[Counter, dict[str, int], dict[str, int]]:
 
     # blocks of text are those of slots(): what stands between tags that are not inline
     place = 0
-    for place, (kind, path, *more) in enumerate(events(page)):
+    stream = list(events(page))
+    named, opened = marks(stream)
+    for place, (kind, path, *more) in enumerate(stream):
         if kind == "text":
             parts.append(more[0])
             where = path
@@ -182,8 +231,9 @@ def page_tokens(page: str) -> tuple[Counter, dict[str, int], dict[str, int]]:
         if kind == "leaf":
             add(">".join(path) + ">" + more[0], place)
         elif kind == "open":
-            shut.append(more[0])
-            add(">".join(path) + ("+*" if more[1] else "+"), place)
+            name = ">".join(path)
+            shut.append(more[0] == 2 or more[0] == 1 and name not in opened)
+            add(name + ("+*" if name in named else "+"), place)
         else:
             add(">".join(path) + "-", place)
             if shut:
@@ -342,14 +392,7 @@ def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, s
     """
     found: list[tuple[str, str, bool]] = []
     stream = list(events(page))
-    paths = {">".join(e[1]) for e in stream if e[0] == "open"}
-    if container not in paths:
-        container = ""
-        named = [e[1] for e in stream if e[0] == "open" and e[3]]
-        inner = [p for p in named if not any(len(o) > len(p) and o[: len(p)] == p for o in named)]
-        marked = {">".join(p) for p in inner}
-    else:
-        marked = {container}
+    marked, opened = marks(stream, container)
     parts: list[str] = []
     shut: list[bool] = []
     own: list[int] = []
@@ -377,8 +420,9 @@ def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, s
             name = ">".join(path)
             if inside or name in marked:
                 inside += 1
+            closed = more[0] == 2 or more[0] == 1 and name not in opened
             # a header of the page is boilerplate, the header of the article is not
-            shut.append(more[0] or (path[-1].split(".")[0].split("#")[0] == "header" and not inside))
+            shut.append(closed or (path[-1].split(".")[0].split("#")[0] == "header" and not inside))
         elif kind == "close":
             if shut:
                 shut.pop()

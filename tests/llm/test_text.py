@@ -213,3 +213,26 @@ def test_template_texts_inside_the_article(spark):
     counts, _, _ = html_text.page_tokens(rows[0][2])
     assert html_text.text_token(("body",), "Legal line after the article") in counts
     assert html_text.text_token(("body", "article"), f"{'and goes on' * 40} 0") in counts
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article><p>{t}</article></body>',
+        '<body><div id="page" class="no-sidebar"><article><p>{t}</article></div></body>',
+        '<body><article class="post ad-free"><p>{t}</article></body>',
+        '<body><main><p>x</p><article class="post ad-free"><p>{t}</article></main></body>',
+        '<html class="js login"><body><div class="search-page"><p>{t}</div></body></html>',
+    ],
+)
+def test_a_word_does_not_close_the_article(spark, page):
+    text = "words of the article that are the most of this page by far"
+    assert html_text.main_text(page.format(t=text)).endswith(text)
+    rows = [(i, f"//h.example/{i}", page.format(t=f"{text} {i}")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith(f"{text} {i}") for i in range(5))
+
+
+def test_a_word_still_closes_boilerplate():
+    page = '<body class="has-sidebar"><article class="post"><p>Own text<div class="related"><article class="card"><p>Other text that is longer</article></div></article><div class="comments"><p>{}</div></body>'
+    assert html_text.main_text(page.format("reader " * 50)) == "Own text"
