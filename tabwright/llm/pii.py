@@ -1,16 +1,20 @@
 """Information-theoretic sanitisation of personal data.
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers; each different value is a protected
-entity. A corpus-wide count of which terms stand near which entity, against how often both occur at all, tells how much a term
-gives away: with PMI(e, t) = log(n(e,t) N / (n(e) n(t))) and IC(e) = log(N / n(e)), the share PMI / IC is 1 if the term never
-occurs without the entity. Terms at or above a share of GENERALISE, seen with the entity in at least SUPPORT different
-contexts, become spans too: they are replaced by their general form, or removed from a share of REMOVE upwards.
+entity. A term that stands near an entity anywhere is weighed by how many texts have both, against how many have either: with
+PMI(e, t) = log(n(e,t) N / (n(e) n(t))) and IC(e) = log(N / n(e)), the share PMI / IC is 1 if the term never occurs without
+the entity. Terms at or above a share of GENERALISE, in at least SUPPORT different texts with the entity, become spans in
+every text: they are replaced by their general form, or removed from a share of REMOVE upwards.
+
+Two passes: the first counts; terms whose counts alone rule out that share are dropped, and the second finds the others.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -26,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms on either side of an entity, within so many code points, are its context.
 NEAR_TERMS, NEAR_CHARS = 10, 300
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
+#: Bits of the filter that keeps most other terms out of the join with the terms looked for.
+FILTER_BITS = 1 << 23
 #: Terms a task counts before it hands its counts on.
 COUNTED_TERMS = 400_000
 
@@ -106,31 +112,42 @@ def context(text: str, start: int, end: int, spans: list[tuple[int, int, str]])
     return near
 
 
-_MENTION = "struct<entity:string,term:string,start:int,end:int,context:long>"
+def _hash(value: str) -> int:
+    digest = hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def _clear(spans: list[tuple[int, int, str]]):
+    """Whether a place is outside all spans, as a function of its start and end."""
+    merged: list[list[int]] = []
+    for a, b, _ in spans:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+
+    def clear(start: int, end: int) -> bool:
+        at = bisect_left(starts, end)
+        return at == 0 or merged[at - 1][1] <= start
+
+    return clear
+
+
+def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
 
 
 def scan(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """One pass over the texts: a row per document with its base spans and contexts, and rows of (term, documents)."""
-    source = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    id_field = source.schema["_id"]
-    schema = T.StructType(
-        [
-            T.StructField("_id", id_field.dataType),
-            T.StructField("spans", T.ArrayType(T.StringType())),
-            T.StructField("mentions", T.ArrayType(T._parse_datatype_string(_MENTION))),
-            T.StructField("term", T.StringType()),
-            T.StructField("documents", T.LongType()),
-        ]
-    )
-    arrow = pa.struct(
-        [("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())]
-    )
+    """One pass over the texts: a row per document with its entities and the terms near them, and rows of (term, documents)."""
+    source = _texts(docs, id_column, text).select("_text")
+    schema = T._parse_datatype_string("entities array<bigint>, mentions array<struct<entity:bigint,term:string>>, term string, documents bigint")
+    arrow = pa.struct([("entity", pa.int64()), ("term", pa.string())])
 
-    def counted(counts: Counter, kind: pa.DataType):
+    def counted(counts: Counter):
         n = len(counts)
         columns = [
-            pa.nulls(n, kind),
-            pa.nulls(n, pa.list_(pa.string())),
+            pa.nulls(n, pa.list_(pa.int64())),
             pa.nulls(n, pa.list_(arrow)),
             pa.array(list(counts.keys()), pa.string()),
             pa.array(list(counts.values()), pa.int64()),
@@ -140,62 +157,143 @@ def scan(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
         terms: dict[str, tuple[str, ...]] = {}
-        kind = None
         for whole in batches:
-            kind = whole.column("_id").type
             for batch in blocks(whole, "_text"):
-                spans, mentions = [], []
+                entities, mentions = [], []
                 for value in batch.column("_text").to_pylist():
                     found = base_spans(value)
-                    spans.append([f"{k}:{a}:{b}" for a, b, k in found])
-                    own = []
+                    own: set[int] = set()
+                    near: set[tuple[int, str]] = set()
                     for a, b, k in found:
-                        name = entity(value[a:b], k)
-                        near = context(value, a, b, found)
-                        digest = hashlib.blake2b(" ".join(t for t, _, _ in near).encode(), digest_size=8).digest()
-                        place = int.from_bytes(digest, "little", signed=True)
-                        own += [{"entity": name, "term": t, "start": i, "end": j, "context": place} for t, i, j in near]
-                    mentions.append(own)
+                        name = _hash(entity(value[a:b], k))
+                        own.add(name)
+                        near.update((name, t) for t, _, _ in context(value, a, b, found))
+                    entities.append(list(own))
+                    mentions.append([{"entity": e, "term": t} for e, t in near])
                     words = set(value.split())
                     for w in words.difference(terms):
                         terms[w] = tuple(m.group().casefold() for m in _TERM.finditer(w))
                     counts.update({t for w in words for t in terms[w]})
                 n = batch.num_rows
                 columns = [
-                    batch.column("_id"),
-                    pa.array(spans, pa.list_(pa.string())),
+                    pa.array(entities, pa.list_(pa.int64())),
                     pa.array(mentions, pa.list_(arrow)),
                     pa.nulls(n, pa.string()),
                     pa.nulls(n, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 if len(counts) > COUNTED_TERMS or len(terms) > 2 * COUNTED_TERMS:
-                    yield counted(counts, kind)
+                    yield counted(counts)
                     counts.clear()
                     terms.clear()
         if counts:
-            yield counted(counts, kind)
+            yield counted(counts)
 
     return source.mapInArrow(run, schema)
 
 
-def revealing_terms(scanned: DataFrame, mentions: DataFrame, rows: int) -> DataFrame:
-    """(entity, term, share, n): pairs whose term gives the entity away, n being the number of their mentions."""
+def candidates(scanned: DataFrame, rows: int) -> DataFrame:
+    """(entity, term, n_entity, n_term): terms near an entity that may give it away, as far as the two counts tell."""
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = store(scanned.select(F.inline("mentions")).distinct(), "pii-near")
+    for_entity = near.groupBy("entity").agg(F.count("*").alias("n_near")).join(entities.filter(F.col("n_entity") >= SUPPORT), "entity")
+    near = hot_join(near, for_entity, ["entity"], "n_near", near.count()).filter("n_entity IS NOT NULL").drop("n_near")
+    near = store(near, "pii-near-often")
     term_docs = scanned.filter("term IS NOT NULL").groupBy("term").agg(F.sum("documents").alias("n_term"))
-    once = mentions.select("entity", "term", "_row", "context").distinct()
-    pairs = once.groupBy("entity", "term").agg(
-        F.countDistinct("_row").alias("n_pair"), F.countDistinct("context").alias("contexts")
-    )
-    pairs = pairs.filter(F.col("contexts") >= SUPPORT)
-    entities = mentions.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    for_term = near.groupBy("term").agg(F.count("*").alias("n_near")).join(term_docs.filter(F.col("n_term") >= SUPPORT), "term")
+    near = hot_join(near, for_term, ["term"], "n_near", near.count()).filter("n_term IS NOT NULL").drop("n_near")
+    return near.filter(_share(F.least("n_entity", "n_term"), rows) >= GENERALISE - 1e-9)
+
+
+def _share(n_pair, rows: int):
     n = F.lit(float(rows))
-    pmi = F.log(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term")))
+    pmi = F.log(n_pair * n / (F.col("n_entity") * F.col("n_term")))
     content = F.log(n / F.col("n_entity"))
-    share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    out = pairs.join(entities, "entity").join(term_docs, "term").withColumn("share", share)
-    out = out.filter(F.col("share") >= GENERALISE).select("entity", "term", "share")
-    counts = mentions.groupBy("entity", "term").agg(F.count("*").alias("n"))
-    return out.join(counts, ["entity", "term"])
+    return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+
+
+def term_filter(terms: DataFrame) -> bytes:
+    """A bit per CRC-32 of a term, modulo FILTER_BITS: of fixed size, however many terms there are."""
+    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
+    grouped = terms.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("at"))
+    bits = bytearray(FILTER_BITS // 8)
+    for r in grouped.agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int)))").alias("bits")).toLocalIterator():
+        bits[r["at"]] = r["bits"]
+    return bytes(bits)
+
+
+def find_terms(docs: DataFrame, id_column: str, text: str, terms: DataFrame) -> DataFrame:
+    """(_id, spans, entities, content, hits) of each text: its base spans, and where terms of the filter stand outside them."""
+    source = _texts(docs, id_column, text)
+    hit = "hits array<struct<term:string,start:int,end:int>>"
+    fields = T._parse_datatype_string(f"spans array<string>, entities array<bigint>, content bigint, {hit}").fields
+    schema = T.StructType([T.StructField("_id", source.schema["_id"].dataType), *fields])
+    arrow = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
+
+    def run(batches):
+        bits = sent.value
+        known: dict[str, bool] = {}
+
+        def wanted(word: str) -> bool:
+            for m in _TERM.finditer(word):
+                at = zlib.crc32(m.group().casefold().encode("utf-8", "surrogatepass")) % FILTER_BITS
+                if bits[at >> 3] >> (at & 7) & 1:
+                    return True
+            return False
+
+        for whole in batches:
+            for batch in blocks(whole, "_text"):
+                spans, entities, content, hits = [], [], [], []
+                for value in batch.column("_text").to_pylist():
+                    found = base_spans(value)
+                    spans.append([f"{k}:{a}:{b}" for a, b, k in found])
+                    entities.append(list({_hash(entity(value[a:b], k)) for a, b, k in found}))
+                    content.append(_hash(value))
+                    words = value.split()
+                    for w in set(words).difference(known):
+                        known[w] = wanted(w)
+                    own = []
+                    if any(known[w] for w in words):
+                        clear = _clear(found)
+                        at = 0
+                        for w in words:
+                            at = value.index(w, at)
+                            if known[w]:
+                                own += [
+                                    {"term": m.group().casefold(), "start": at + m.start(), "end": at + m.end()}
+                                    for m in _TERM.finditer(w)
+                                    if clear(at + m.start(), at + m.end())
+                                ]
+                            at += len(w)
+                    hits.append(own)
+                    if len(known) > 2 * COUNTED_TERMS:
+                        known.clear()
+                columns = [
+                    batch.column("_id"),
+                    pa.array(spans, pa.list_(pa.string())),
+                    pa.array(entities, pa.list_(pa.int64())),
+                    pa.array(content, pa.int64()),
+                    pa.array(hits, pa.list_(arrow)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def revealing_terms(found: DataFrame, near: DataFrame, rows: int) -> DataFrame:
+    """(term, share): terms that give an entity away, counted over whole texts, with the largest share."""
+    # arrays of hashes; a term's candidates are few, as its count bounds them
+    own = found.filter("size(entities) > 0 AND size(hits) > 0")
+    own = own.select("content", "entities", F.explode(F.array_distinct("hits.term")).alias("term"))
+    facts = near.groupBy("term").agg(F.collect_list("entity").alias("known"))
+    facts = facts.join(own.groupBy("term").agg(F.count("*").alias("n")), "term")
+    both = hot_join(own, facts, ["term"], "n", own.count()).filter("known IS NOT NULL")
+    both = both.select("content", "term", F.explode(F.array_intersect("entities", "known")).alias("entity"))
+    texts = both.groupBy("entity", "term", "content").agg(F.count("*").alias("n"))
+    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+    out = pairs.join(near, ["entity", "term"]).withColumn("share", _share(F.col("n_pair"), rows))
+    return out.filter(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,15 +303,13 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "
     have none. Rows with the same id are rows of their own. Other columns are not looked at.
     """
     scanned = store(scan(docs, id_column, text), "pii-scan")
-    found = store(scanned.filter("spans IS NOT NULL").select("_id", "spans", "mentions", row_id().alias("_row")), "pii-docs")
-    rows = found.count()
-    mentions = found.select("_row", F.inline("mentions"))
-    mentions = store(mentions, "pii-mentions")
-    n_mentions = mentions.count()
-    revealing = store(revealing_terms(scanned, mentions, rows), "pii-terms")
-    spans = hot_join(mentions, revealing, ["entity", "term"], "n", n_mentions).filter("share IS NOT NULL")
-    # a term may stand near several entities: it is one span, with the largest share
-    spans = spans.groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
+    rows = scanned.filter("entities IS NOT NULL").count()
+    near = store(candidates(scanned, rows), "pii-candidates")
+    found = store(find_terms(docs, id_column, text, near.select("term")).withColumn("_row", row_id()), "pii-docs")
+    revealing = store(revealing_terms(found, near, rows), "pii-terms")
+    places = found.select("_row", F.inline("hits"))
+    counted = places.groupBy("term").agg(F.count("*").alias("n"))
+    spans = hot_join(places, revealing.join(counted, "term"), ["term"], "n", places.count()).filter("share IS NOT NULL")
     span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "share")
     own = spans.groupBy("_row").agg(F.collect_list(span).alias("terms"))
     parts = F.transform(

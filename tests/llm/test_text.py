@@ -236,3 +236,18 @@ def test_a_word_does_not_close_the_article(spark, page):
 def test_a_word_still_closes_boilerplate():
     page = '<body class="has-sidebar"><article class="post"><p>Own text<div class="related"><article class="card"><p>Other text that is longer</article></div></article><div class="comments"><p>{}</div></body>'
     assert html_text.main_text(page.format("reader " * 50)) == "Own text"
+
+
+def test_disclosing_terms_are_marked_everywhere(spark):
+    filler = "the sun was out and we went home and nothing of note took place in this week "
+    # one signature block, word for word the same, under different texts; far from the address, and without it
+    block = "kind regards Zebrafinch Holdings office spy@corp.example.com and so on as always in this house "
+    rows = [(i, f"v{i} {filler}v{i + 1} kind regards office and so on as always in this house holdings") for i in range(300)]
+    rows += [(1000 + i, f"{filler} w{i} {block}" + f"{filler}" * 8 + "Zebrafinch again") for i in range(5)]
+    rows += [(2000, f"{filler} Zebrafinch came"), (2001, "zebrafinch")]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[300:]:
+        places = [m.span() for m in re.finditer("zebrafinch", text, re.I)]
+        assert places and all(f"term:{a}:{b}" in out[i].spans.split(",") for a, b in places)
+    assert all(out[i].spans == "" for i in range(300))
+    assert pii._clear([(2, 5, "ip"), (4, 9, "card")])(9, 12) and not pii._clear([(2, 5, "ip"), (4, 9, "card")])(8, 12)
