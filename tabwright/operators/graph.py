@@ -180,15 +180,16 @@ def power_law_score(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- communities ------------------------------------------------------------
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, community) by synchronous label propagation; the smallest of equally frequent labels wins.
 
-    A node counts its own label once more, which keeps two-coloured structures from swapping for ever; the loop
-    stops early when no label changes.
+    A node counts its own label once more, which keeps two-coloured structures from swapping for ever. The loop
+    ends when no label changes, or when the labels of an earlier round come back; a caller may bound the rounds.
     """
     ways = cut_lineage(both_ways(simple_edges(edges)))
     labels = nodes.select("id", F.col("id").alias("community"))
-    for _ in range(rounds):
+    marks: set[tuple] = set()
+    while rounds is None or len(marks) < rounds:
         seen = ways.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("n"))
         own = labels.select("id", "community", F.lit(1).cast("bigint").alias("n"))
         votes = seen.unionByName(own).groupBy("id", "community").agg(F.sum("n").alias("n"))
@@ -198,8 +199,10 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
         changed = after.join(labels.withColumnRenamed("community", "_before"), "id").where("community <> _before")
         stop = changed.isEmpty()
         labels = after
-        if stop:
+        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first())
+        if stop or mark in marks:
             break
+        marks.add(mark)
     return labels
 
 

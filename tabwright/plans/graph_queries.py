@@ -111,7 +111,7 @@ def power_law_score(spark, folder):
 
 @query("label_propagation")
 def label_propagation(spark, folder):
-    return graph.communities(*part_graph(spark, folder), rounds=5)
+    return graph.communities(*part_graph(spark, folder))
 
 
 @query(

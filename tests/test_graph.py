@@ -211,3 +211,9 @@ def test_written_xml_is_read_back(spark, tmp_path):
         found, links, directed = read(spark, str(tmp_path / kind / "*"))
         assert directed and {r.id for r in found.collect()} == {"a & b", 'q"<x>', "lone"}
         assert [(r.src, r.dst, r.weight) for r in links.collect()] == [("a & b", 'q"<x>', 2.5)]
+
+
+def test_labels_travel_until_none_changes(spark):
+    nodes = spark.range(14)
+    edges = nodes.where("id < 13").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.community for r in graph.communities(nodes, edges).collect()} == {0}
