@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators.scalars import attach
+from tabwright.session import cut_lineage, shuffle_partitions
 
 # Words in a column name that hint at time.
 TEMPORAL_KEYWORDS = [
@@ -191,12 +192,22 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def sampling_step(df: DataFrame, time_column: str, first: int = 100) -> DataFrame:
-    """Seconds between rows, from the earliest distinct timestamps; one day where they do not agree on one step."""
-    head = df.select(F.col(time_column).cast("timestamp").alias("ts")).where("ts IS NOT NULL").distinct().orderBy("ts").limit(first)
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(W.orderBy("ts"))
-    steps = head.withColumn("gap", gap).where("gap IS NOT NULL")
-    return steps.agg(
-        F.when(F.count_distinct("gap") == 1, F.max("gap") / 1e6).otherwise(86400.0).alias("step_seconds"),
-        F.count_distinct("gap").alias("distinct_steps"),
+def sampling_step(df: DataFrame, time_column: str, first: int | None = None) -> DataFrame:
+    """Seconds between rows, from all distinct timestamps or the earliest so many; one day where they do not agree on one step.
+
+    Gaps inside ranges of the times are taken range by range; those between ranges from one row per range.
+    """
+    times = df.select(F.unix_micros(F.col(time_column).cast("timestamp")).alias("ts")).where("ts IS NOT NULL").distinct()
+    if first is not None:
+        times = times.orderBy("ts").limit(first)
+    times = cut_lineage(times)
+    ranged = times.repartitionByRange(shuffle_partitions(df.sparkSession), "ts").withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    inside = ranged.select((F.col("ts") - F.lag("ts").over(W.partitionBy("_range").orderBy("ts"))).alias("gap"))
+    ends = ranged.groupBy("_range").agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))  # one row per range
+    between = ends.select((F.col("_from") - F.lag("_to").over(W.orderBy("_range"))).alias("gap"))
+    gaps = inside.unionByName(between).where("gap IS NOT NULL").groupBy("gap").agg(F.count("*").alias("_n"))
+    return gaps.agg(
+        F.when(F.count("*") == 1, F.max("gap") / 1e6).otherwise(86400.0).alias("step_seconds"),
+        F.count("*").alias("distinct_steps"),
     )

@@ -138,4 +138,4 @@ def table_set_profile(spark, folder):
         count(DISTINCT gap) AS distinct_steps FROM g""",
 )
 def sampling_step(spark, folder):
-    return prof.sampling_step(table(spark, folder, "orders"), "o_orderdate")
+    return prof.sampling_step(table(spark, folder, "orders"), "o_orderdate", first=100)  # as its twin says

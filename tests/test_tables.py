@@ -227,3 +227,11 @@ def test_related_tables_leave_no_orphan(spark):
         assert used and set(used) <= known
     # only three of the seven observed b have children: as many shares as before
     assert len({r.b for r in made["c"].select("b").collect()}) <= 6
+
+
+def test_sampling_step_reads_all_times(spark):
+    t = spark.range(150).select(F.timestamp_seconds(F.when(F.col("id") < 110, F.col("id") * 86400).otherwise(110 * 86400 + F.col("id") * 3600)).alias("t"))
+    r = profile.sampling_step(t, "t").first()
+    assert (r.step_seconds, r.distinct_steps) == (86400, 3)
+    daily = spark.range(500).select(F.timestamp_seconds(F.col("id") * 7200).alias("t"))
+    assert tuple(profile.sampling_step(daily, "t").first()) == (7200.0, 1)
