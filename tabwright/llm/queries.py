@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, sharding, topk, warc
+from tabwright.llm import bpe, conversations, exact_dedup, html_text, language_id, merkle, mixing, ngram_join, pii, sharding, topk, warc
 from tabwright.llm.common import table
+from tabwright.llm.sql import crc32_of, repair_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +174,68 @@ def op1_template_text(spark, folder):
 )
 def op5_blocked_ngram_join(spark, folder):
     return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op11_postorder_merkle",
+    """
+    WITH RECURSIVE t AS (
+      SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+             || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS tail
+      FROM documents
+    ), crc AS (
+      SELECT doc_id, """ + crc32_of("doc_id::VARCHAR") + """ AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+    ), d AS (
+      SELECT t.doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+             CASE WHEN c % 7 = 0 AND n_chars IS NOT NULL
+                  THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS claimed
+      FROM t LEFT JOIN crc ON t.doc_id = crc.doc_id
+    ), o AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d
+    ), g AS (
+      SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+      FROM (SELECT lang, list(leaf ORDER BY place) AS nodes FROM o GROUP BY lang)
+    ), low AS (
+      SELECT tree, 0 AS level, nodes FROM g
+      UNION ALL
+      SELECT tree, level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+             lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM low WHERE len(nodes) > 1
+    ), sub AS (SELECT tree, level AS height, nodes[1] AS subroot FROM low WHERE len(nodes) = 1
+    ), high AS (
+      SELECT 0 AS level, list(subroot ORDER BY tree) AS nodes FROM sub
+      UNION ALL
+      SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+             lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM high WHERE len(nodes) > 1
+    ), up AS (  -- each level's sibling, marked with its side
+      SELECT o.doc_id, o.place, g.tree, low.level, o.place // (1 << low.level) AS i, low.nodes
+      FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang JOIN low ON low.tree = g.tree WHERE len(low.nodes) > 1
+      UNION ALL
+      SELECT o.doc_id, o.place, g.tree, sub.height + high.level, g.tree // (1 << high.level), high.nodes
+      FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang JOIN sub ON sub.tree = g.tree, high WHERE len(high.nodes) > 1
+    ), way AS (
+      SELECT tree, place, list(CASE WHEN i % 2 = 1 THEN 'l' || nodes[i] ELSE 'r' || coalesce(nodes[i + 2], '') END ORDER BY level) AS s
+      FROM up GROUP BY tree, place
+    ), folded AS (
+      SELECT o.doc_id, o.leaf, sub.subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root,
+             sha256(coalesce(array_to_string(list_transform(s, lambda x: x[2:]), ''), '')) AS proof_sha256,
+             list_reduce(list_prepend(coalesce(claimed, leaf), coalesce(s, [])), lambda a, x:
+               CASE WHEN x[1] = 'l' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root
+      FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang JOIN sub ON sub.tree = g.tree
+      LEFT JOIN way ON way.tree = g.tree AND way.place = o.place
+    )
+    SELECT *, folded_root = root AS verified FROM folded
+    """,
+)
+def op11_postorder_merkle(spark, folder):
+    docs = table(spark, folder, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang")]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = merkle.record_digest([*columns, F.col("n_chars") + 1, F.col("text")])
+    return merkle.audit(docs, claimed=F.when(chosen & F.col("n_chars").isNotNull(), tampered))
+
+
+@query("op13_conversation_repair", repair_sql())
+def op13_conversation_repair(spark, folder):
+    out = conversations.repair(table(spark, folder, "conversations"))
+    return out.withColumnRenamed("conv", "conv_id")
