@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, conversations, exact_dedup, html_text, language_id, merkle, mixing, ngram_join, pii, sharding, topk, warc
+from tabwright.llm import bpe, conversations, exact_dedup, html_text, language_id, merkle, mixing, near_vectors, ngram_join, pii, sharding, topk, warc
 from tabwright.llm.common import table
 from tabwright.llm.sql import crc32_of, repair_sql
 
@@ -239,3 +239,24 @@ def op11_postorder_merkle(spark, folder):
 def op13_conversation_repair(spark, folder):
     out = conversations.repair(table(spark, folder, "conversations"))
     return out.withColumnRenamed("conv", "conv_id")
+
+
+@query(
+    "op12_collision_counting",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), l AS (
+      SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+    ), r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node
+    ), m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node
+    ), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON u = vec_id
+    """,
+)
+def op12_collision_counting(spark, folder):
+    return near_vectors.near_groups(table(spark, folder, "embeddings"))
