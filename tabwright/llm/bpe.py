@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.llm.common import claim_worker
+from tabwright.llm.common import claim_worker, free_name
 
 #: The pre-token pattern of byte-level BPE vocabularies. Fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,22 +231,23 @@ def encode_decode(
     """
     path = path or default_path()
     digests = outputs == "digests"
+    whole_text = free_name(docs, "_text")
     made = [T.StructField("n_tokens", T.LongType())]
     if digests:
-        source = docs.select(F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+        source = docs.select(F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(whole_text))
         made += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     else:
         made += [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_equal", T.BooleanType())]
-        source = docs.drop(*[f.name for f in made])
-        source = source.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    kept = [f for f in source.schema.fields if f.name != "_text"]
+        source = docs.withColumn(whole_text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+        source = source.drop(*[f.name for f in made])
+    kept = [f for f in source.schema.fields if f.name != whole_text]
 
     def run(batches):
         claim_worker("bpe", _LOADED.clear)
         bpe = loaded(path)
         for whole in batches:
-            for batch in blocks(whole, "_text"):
-                texts = batch.column("_text").to_pylist()
+            for batch in blocks(whole, whole_text):
+                texts = batch.column(whole_text).to_pylist()
                 ids = bpe.encode(texts)
                 decoded = [bpe.decode(x) for x in ids]
                 columns = [batch.column(f.name) for f in kept]

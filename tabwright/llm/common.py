@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -28,12 +29,30 @@ def claim_worker(name: str, clear: Callable[[], None] | None = None) -> None:
     for other, empty in _CACHES.items():
         if other != name:
             empty()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    if any(other != name for other in _CACHES) or clear is None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _return_free_pages()
     if clear is not None:
         _CACHES[name] = clear
 
 
+def _return_free_pages() -> None:
+    """What was freed goes back to the system, where the C library can do so; fragments of caches would stay otherwise."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its pages
+        pass
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, lost executors cost nothing before it."""
     path = scratch_path(df.sparkSession, name)

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.llm.bpe import blocks
-from tabwright.llm.common import claim_worker
+from tabwright.llm.common import claim_worker, free_name
 from tabwright.session import shuffle_partitions
 
-#: The fit takes at most about so many labelled texts of a language, drawn by a hash of their id, and so many languages.
-FIT_TEXTS, FIT_LANGUAGES = 1500, 256
+#: The fit takes at most about so many labelled texts of a language, drawn by a hash of their id; every label is learned.
+FIT_TEXTS = 1500
 #: n-grams of these lengths are hashed to so many buckets.
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 16
 #: Share of the pooled n-gram frequencies in a language's own; n-grams overlap, so their logs are scaled down.
@@ -30,8 +30,9 @@ BACKOFF, SCALE = 0.01, 0.4
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that makes up so much of its letters; other languages lose so much per word.
 SCRIPT_SHARE, NOT_CANDIDATE = 0.005, 40.0
-KEPT_WORDS = 300_000
-BLOCK_CHARS = 8_000_000
+#: Words whose scores a task keeps at a time, and bytes of text that it decodes side by side.
+KEPT_WORDS = 100_000
+BLOCK_CHARS = 1_000_000
 UNKNOWN = "und"
 
 #: First and last code points of scripts' letter ranges. Fixed values of the Unicode standard.
@@ -181,17 +182,18 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", label: s
     """A model from labelled rows: null labels and texts are left out; the sample's bound is FIT_TEXTS a language."""
     spark = docs.sparkSession
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(FIT_LANGUAGES)
-    counts = {r[label]: r["n"] for r in counts.collect()}
-    languages = sorted(counts)
+    counts = labelled.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_of_label"))  # one row per language
+    languages = sorted(r["_label"] for r in counts.collect())
     place = {name: i for i, name in enumerate(languages)}
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS) + 1, 0)))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(label) == name, F.lit(min(1.0, FIT_TEXTS / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col(id_column), F.lit("fit")), F.lit(1_000_000)) < share * 1_000_000
-    sample = labelled.filter(drawn).select(F.col(label).alias("_label"), F.col(text).cast("string").alias("_text"))
+    labelled = labelled.select(
+        F.col(label).alias("_label"),
+        F.col(text).cast("string").alias("_text"),
+        F.pmod(F.xxhash64(F.col(id_column), F.lit("fit")), F.lit(1_000_000)).alias("_turn"),
+    )
+    drawn = F.col("_turn") < F.least(F.lit(1.0), F.lit(float(FIT_TEXTS)) / F.col("_of_label")) * 1_000_000
+    sample = labelled.join(F.broadcast(counts), "_label").filter(drawn).select("_label", "_text")
     width = len(languages)
 
     def count(batches):
@@ -233,9 +235,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         T.StructField("score", T.DoubleType()),
         T.StructField("lang_spans", T.StringType()),
     ]
-    source = docs.drop(*[f.name for f in made])
-    source = source.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    kept = [f for f in source.schema.fields if f.name != "_text"]
+    whole_text = free_name(docs, "_text")
+    source = docs.withColumn(whole_text, F.coalesce(F.col(text).cast("string"), F.lit(""))).drop(*[f.name for f in made])
+    kept = [f for f in source.schema.fields if f.name != whole_text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -245,11 +247,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         numbers, scores = _Numbers(), np.zeros((0, len(languages)), np.float32)
         letters = np.zeros(0, np.int64)
         for whole in batches:
-            for batch in blocks(whole, "_text", BLOCK_CHARS):
+            for batch in blocks(whole, whole_text, BLOCK_CHARS):
                 if len(numbers) > KEPT_WORDS:
                     numbers = _Numbers()
                     scores, letters = scores[:0], letters[:0]
-                texts = batch.column("_text").to_pylist()
+                texts = batch.column(whole_text).to_pylist()
                 parts = []
                 for value in texts:
                     words = value.casefold().split()
