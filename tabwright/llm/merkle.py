@@ -264,6 +264,7 @@ def audit(
     if manifest.root is None:
         return docs.sparkSession.createDataFrame([], T.StructType(fields))
     root = manifest.root.encode()
+    types = [pa.string()] * len(texts) + [pa.bool_(), pa.list_(pa.struct([("side", pa.string()), ("digest", pa.string())]))]
 
     def check(batches):
         for batch in batches:
@@ -285,8 +286,8 @@ def audit(
                     if proof:
                         row.append([{"side": _SIDES[side], "digest": d.decode() or None} for side, d in way])
                     made.append(row)
-            columns = [pa.array(c) for c in zip(*made)] if made else [pa.array([], pa.string())] * (len(names) - 1)
             if made:
+                columns = [pa.array(c, t) for c, t in zip(zip(*made), types)]
                 yield pa.RecordBatch.from_arrays([batch.column("ids").flatten(), *columns], names=names)
 
     return run_paths(manifest).mapInArrow(check, T.StructType(fields))
