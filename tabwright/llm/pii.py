@@ -1,35 +1,41 @@
 """Information-theoretic sanitisation of personal data.
 
-Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers; each different value is a protected
-entity. A term that stands near an entity anywhere is weighed by how many texts have both, against how many have either: with
-PMI(e, t) = log(n(e,t) N / (n(e) n(t))) and IC(e) = log(N / n(e)), the share PMI / IC is 1 if the term never occurs without
-the entity. Terms at or above a share of GENERALISE, in at least SUPPORT different texts with the entity, become spans in
-every text: they are replaced by their general form, or removed from a share of REMOVE upwards.
-
-Two passes: the first counts; terms whose counts alone rule out that share are dropped, and the second finds the others.
+Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Each is a protected value, and belongs to
+groups that are protected too: an address's local part and domain, a network, a card's issuer, a phone number's area, and its
+kind. With n(e) and n(t) the texts that have an entity (a value or a group) and a term, and n(e,t) those that have both,
+PMI(e, t) = log(n(e,t) N / (n(e) n(t))) and IC(e) = log(N / n(e)); the share PMI / IC is 1 if the term never occurs without the
+entity. A term discloses at the most specific level at which its share is GENERALISE or more, in SUPPORT or more different
+texts, and in so many that chance does not explain it: n(e,t) PMI has to exceed the log of the number of pairs looked at by
+EVIDENCE. Values that occur once say nothing about terms, but their groups do. Disclosing terms become spans in every text:
+they are replaced by their general form, or removed from a share of REMOVE upwards.
+
+Every term of a text that has an entity is a candidate. The first pass finds entities and counts terms; if any term discloses,
+a second pass marks where such terms stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.llm.bpe import blocks
-from tabwright.llm.common import hot_join, row_id, store
+from tabwright.llm.common import free_name, hot_join, row_id, store
 
 #: Order of the kinds where spans start at the same place; `term` is the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Terms on either side of an entity, within so many code points, are its context.
-NEAR_TERMS, NEAR_CHARS = 10, 300
-GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
+#: Levels of entities, the most specific first.
+LEVELS = ("value", "local", "domain", "network", "issuer", "area", "kind")
+GENERALISE, REMOVE, SUPPORT, EVIDENCE = 0.8, 0.95, 3, 3.0
 #: Bits of the filter that keeps most other terms out of the join with the terms looked for.
 FILTER_BITS = 1 << 23
 #: Terms a task counts before it hands its counts on.
@@ -95,21 +101,22 @@ def entity(text: str, kind: str) -> str:
     return f"{kind}:{value}"
 
 
-def context(text: str, start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
-    """The terms near an entity: (term, start, end), without those inside a base span."""
-    near = []
-    low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-    inside = [(a, b) for a, b, _ in spans if a < high and b > low]
-    before = [m for m in _TERM.finditer(text, low, start)][-NEAR_TERMS:]
-    after = []
-    for m in _TERM.finditer(text, end, high):
-        after.append(m)
-        if len(after) == NEAR_TERMS:
-            break
-    for m in [*before, *after]:
-        if not any(m.start() < b and m.end() > a for a, b in inside):
-            near.append((m.group().casefold(), m.start(), m.end()))
-    return near
+def entities(text: str, kind: str) -> list[tuple[str, int]]:
+    """(name, level) of a value and of the groups it belongs to."""
+    value = entity(text, kind)
+    bare = value[len(kind) + 1 :]
+    named = [("value", value), ("kind", kind)]
+    if kind == "email":
+        local, domain = bare.split("@")
+        named += [("local", local), ("domain", domain)]
+    elif kind == "ip":
+        parts = bare.split(".")
+        named += [("network", ".".join(parts[:2])), ("network", ".".join(parts[:3]))]
+    elif kind == "card":
+        named.append(("issuer", bare[:6]))
+    else:
+        named += [("area", bare[:3]), ("area", bare[:6])]
+    return [(f"{level}:{name}", LEVELS.index(level)) for level, name in named]
 
 
 def _hash(value: str) -> int:
@@ -139,77 +146,82 @@ def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """One pass over the texts: a row per document with its entities and the terms near them, and rows of (term, documents)."""
-    source = _texts(docs, id_column, text).select("_text")
-    schema = T._parse_datatype_string("entities array<bigint>, mentions array<struct<entity:bigint,term:string>>, term string, documents bigint")
-    arrow = pa.struct([("entity", pa.int64()), ("term", pa.string())])
+    """One pass over the texts: a row per text with its spans, and its entities and terms if it has any, and rows of
+    (term, documents)."""
+    source = _texts(docs, id_column, text)
+    fields = T._parse_datatype_string(
+        "spans array<string>, content bigint, entities array<struct<name:bigint,level:int>>, terms array<string>, term string, documents bigint"
+    ).fields
+    schema = T.StructType([T.StructField("_id", source.schema["_id"].dataType), *fields])
+    named = pa.struct([("name", pa.int64()), ("level", pa.int32())])
+    types = [pa.list_(pa.string()), pa.int64(), pa.list_(named), pa.list_(pa.string()), pa.string(), pa.int64()]
 
-    def counted(counts: Counter):
+    def counted(counts: Counter, ids: pa.DataType):
         n = len(counts)
-        columns = [
-            pa.nulls(n, pa.list_(pa.int64())),
-            pa.nulls(n, pa.list_(arrow)),
-            pa.array(list(counts.keys()), pa.string()),
-            pa.array(list(counts.values()), pa.int64()),
-        ]
+        columns = [pa.nulls(n, t) for t in (ids, *types[:4])]
+        columns += [pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches):
         counts: Counter = Counter()
         terms: dict[str, tuple[str, ...]] = {}
+        ids = pa.int64()
         for whole in batches:
             for batch in blocks(whole, "_text"):
-                entities, mentions = [], []
+                ids = batch.column("_id").type
+                rows = []
                 for value in batch.column("_text").to_pylist():
                     found = base_spans(value)
-                    own: set[int] = set()
-                    near: set[tuple[int, str]] = set()
-                    for a, b, k in found:
-                        name = _hash(entity(value[a:b], k))
-                        own.add(name)
-                        near.update((name, t) for t, _, _ in context(value, a, b, found))
-                    entities.append(list(own))
-                    mentions.append([{"entity": e, "term": t} for e, t in near])
                     words = set(value.split())
                     for w in words.difference(terms):
                         terms[w] = tuple(m.group().casefold() for m in _TERM.finditer(w))
                     counts.update({t for w in words for t in terms[w]})
-                n = batch.num_rows
-                columns = [
-                    pa.array(entities, pa.list_(pa.int64())),
-                    pa.array(mentions, pa.list_(arrow)),
-                    pa.nulls(n, pa.string()),
-                    pa.nulls(n, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    names: dict[int, int] = {}
+                    near: set[str] = set()
+                    if found:
+                        for a, b, k in found:
+                            names.update((_hash(name), level) for name, level in entities(value[a:b], k))
+                        clear = _clear(found)
+                        near = {m.group().casefold() for m in _TERM.finditer(value) if clear(*m.span())}
+                    own = [{"name": n, "level": level} for n, level in names.items()]
+                    rows.append(([f"{k}:{a}:{b}" for a, b, k in found], _hash(value), own, list(near), None, None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names=schema.names)
                 if len(counts) > COUNTED_TERMS or len(terms) > 2 * COUNTED_TERMS:
-                    yield counted(counts)
+                    yield counted(counts, ids)
                     counts.clear()
                     terms.clear()
         if counts:
-            yield counted(counts)
+            yield counted(counts, ids)
 
     return source.mapInArrow(run, schema)
 
 
-def candidates(scanned: DataFrame, rows: int) -> DataFrame:
-    """(entity, term, n_entity, n_term): terms near an entity that may give it away, as far as the two counts tell."""
-    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = store(scanned.select(F.inline("mentions")).distinct(), "pii-near")
-    for_entity = near.groupBy("entity").agg(F.count("*").alias("n_near")).join(entities.filter(F.col("n_entity") >= SUPPORT), "entity")
-    near = hot_join(near, for_entity, ["entity"], "n_near", near.count()).filter("n_entity IS NOT NULL").drop("n_near")
-    near = store(near, "pii-near-often")
-    term_docs = scanned.filter("term IS NOT NULL").groupBy("term").agg(F.sum("documents").alias("n_term"))
-    for_term = near.groupBy("term").agg(F.count("*").alias("n_near")).join(term_docs.filter(F.col("n_term") >= SUPPORT), "term")
-    near = hot_join(near, for_term, ["term"], "n_near", near.count()).filter("n_term IS NOT NULL").drop("n_near")
-    return near.filter(_share(F.least("n_entity", "n_term"), rows) >= GENERALISE - 1e-9)
-
-
-def _share(n_pair, rows: int):
+def revealing_terms(scanned: DataFrame, rows: int) -> DataFrame:
+    """(term, share, level): the terms that give an entity away, at their most specific level, with the largest share there."""
+    some = scanned.filter("size(entities) > 0").select(row_id().alias("_row"), "content", "entities", "terms")
+    some = store(some, "pii-some")
+    # entities and terms of fewer texts than are needed cannot be part of a pair
+    owned = some.select("_row", "content", F.inline("entities"))
+    n_entity = owned.groupBy("name").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
+    owned = hot_join(owned, n_entity, ["name"], "n_entity", owned.count()).filter("n_entity IS NOT NULL")
+    told = some.select("_row", F.explode("terms").alias("term"))
+    n_near = told.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= SUPPORT)
+    n_term = scanned.filter("term IS NOT NULL").groupBy("term").agg(F.sum("documents").alias("n_term"))
+    told = hot_join(told, n_near.join(n_term, "term"), ["term"], "n_near", told.count()).filter("n_term IS NOT NULL").drop("n_near")
+    both = store(owned, "pii-owned").join(store(told, "pii-told"), "_row")
+    texts = both.groupBy("name", "level", "n_entity", "term", "n_term", "content").agg(F.count("*").alias("n"))
+    pairs = texts.groupBy("name", "level", "n_entity", "term", "n_term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"))
+    pairs = store(pairs, "pii-pairs")
+    looked_at = pairs.count()
     n = F.lit(float(rows))
-    pmi = F.log(n_pair * n / (F.col("n_entity") * F.col("n_term")))
+    pmi = F.log(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term")))
     content = F.log(n / F.col("n_entity"))
-    return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+    pairs = pairs.withColumn("share", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
+    told_enough = (F.col("texts") >= SUPPORT) & (F.col("texts") * pmi >= math.log(max(1, looked_at)) + EVIDENCE)
+    out = pairs.filter((F.col("share") >= GENERALISE) & told_enough).groupBy("term")
+    best = F.max(F.struct((-F.col("level")).alias("specific"), F.col("share"))).alias("best")
+    return out.agg(best).select("term", F.col("best.share").alias("share"), (-F.col("best.specific")).alias("level"))
 
 
 def term_filter(terms: DataFrame) -> bytes:
@@ -223,10 +235,9 @@ def term_filter(terms: DataFrame) -> bytes:
 
 
 def find_terms(docs: DataFrame, id_column: str, text: str, terms: DataFrame) -> DataFrame:
-    """(_id, spans, entities, content, hits) of each text: its base spans, and where terms of the filter stand outside them."""
+    """(_id, spans, hits) of each text: its base spans, and where terms of the filter stand outside them."""
     source = _texts(docs, id_column, text)
-    hit = "hits array<struct<term:string,start:int,end:int>>"
-    fields = T._parse_datatype_string(f"spans array<string>, entities array<bigint>, content bigint, {hit}").fields
+    fields = T._parse_datatype_string("spans array<string>, hits array<struct<term:string,start:int,end:int>>").fields
     schema = T.StructType([T.StructField("_id", source.schema["_id"].dataType), *fields])
     arrow = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
@@ -244,12 +255,10 @@ def find_terms(docs: DataFrame, id_column: str, text: str, terms: DataFrame) ->
 
         for whole in batches:
             for batch in blocks(whole, "_text"):
-                spans, entities, content, hits = [], [], [], []
+                spans, hits = [], []
                 for value in batch.column("_text").to_pylist():
                     found = base_spans(value)
                     spans.append([f"{k}:{a}:{b}" for a, b, k in found])
-                    entities.append(list({_hash(entity(value[a:b], k)) for a, b, k in found}))
-                    content.append(_hash(value))
                     words = value.split()
                     for w in set(words).difference(known):
                         known[w] = wanted(w)
@@ -272,8 +281,6 @@ def find_terms(docs: DataFrame, id_column: str, text: str, terms: DataFrame) ->
                 columns = [
                     batch.column("_id"),
                     pa.array(spans, pa.list_(pa.string())),
-                    pa.array(entities, pa.list_(pa.int64())),
-                    pa.array(content, pa.int64()),
                     pa.array(hits, pa.list_(arrow)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -281,21 +288,6 @@ def find_terms(docs: DataFrame, id_column: str, text: str, terms: DataFrame) ->
     return source.mapInArrow(run, schema)
 
 
-def revealing_terms(found: DataFrame, near: DataFrame, rows: int) -> DataFrame:
-    """(term, share): terms that give an entity away, counted over whole texts, with the largest share."""
-    # arrays of hashes; a term's candidates are few, as its count bounds them
-    own = found.filter("size(entities) > 0 AND size(hits) > 0")
-    own = own.select("content", "entities", F.explode(F.array_distinct("hits.term")).alias("term"))
-    facts = near.groupBy("term").agg(F.collect_list("entity").alias("known"))
-    facts = facts.join(own.groupBy("term").agg(F.count("*").alias("n")), "term")
-    both = hot_join(own, facts, ["term"], "n", own.count()).filter("known IS NOT NULL")
-    both = both.select("content", "term", F.explode(F.array_intersect("entities", "known")).alias("entity"))
-    texts = both.groupBy("entity", "term", "content").agg(F.count("*").alias("n"))
-    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
-    out = pairs.join(near, ["entity", "term"]).withColumn("share", _share(F.col("n_pair"), rows))
-    return out.filter(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
-
-
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, removed (the terms to remove).
 
@@ -303,10 +295,13 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "
     have none. Rows with the same id are rows of their own. Other columns are not looked at.
     """
     scanned = store(scan(docs, id_column, text), "pii-scan")
-    rows = scanned.filter("entities IS NOT NULL").count()
-    near = store(candidates(scanned, rows), "pii-candidates")
-    found = store(find_terms(docs, id_column, text, near.select("term")).withColumn("_row", row_id()), "pii-docs")
-    revealing = store(revealing_terms(found, near, rows), "pii-terms")
+    texts = scanned.filter("spans IS NOT NULL")
+    revealing = store(revealing_terms(scanned, texts.count()), "pii-terms")
+    if revealing.isEmpty():
+        hits = F.array().cast("array<struct<term:string,start:int,end:int>>")
+        found = texts.select("_id", "spans", hits.alias("hits"), row_id().alias("_row"))
+    else:
+        found = store(find_terms(docs, id_column, text, revealing.select("term")).withColumn("_row", row_id()), "pii-docs")
     places = found.select("_row", F.inline("hits"))
     counted = places.groupBy("term").agg(F.count("*").alias("n"))
     spans = hot_join(places, revealing.join(counted, "term"), ["term"], "n", places.count()).filter("share IS NOT NULL")
@@ -367,11 +362,17 @@ def sanitise(text: str | None, spans: str, removed: str) -> str:
 
 
 def sanitised_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `sanitised`, by id; an id must name one row here."""
-    found = find_personal_data(docs, id_column, text).select(id_column, "spans", "removed")
-
-    @F.udf("string")
-    def clean(value, spans, removed):
-        return sanitise(value, spans or "", removed or "")
-
-    return docs.join(found, id_column, "left").withColumn("sanitised", clean(text, "spans", "removed")).drop("spans", "removed")
+    """docs with `sanitised`, row by row, ids or not: null texts give empty ones, a column of that name is replaced, and an
+    empty table gives no rows."""
+    row, own = free_name(docs, "_sanitised_row"), free_name(docs, "_text_of_row")
+    docs = store(docs.withColumn(row, row_id()), "pii-rows")
+    found = find_personal_data(docs.select(row, F.col(text).alias(own)), row, own)
+    spans, removed = free_name(docs, "spans"), free_name(docs, "removed")
+    found = found.select(row, F.col("spans").alias(spans), F.col("removed").alias(removed))
+
+    @F.pandas_udf("string")
+    def clean(value: pd.Series, spans: pd.Series, removed: pd.Series) -> pd.Series:
+        return pd.Series([sanitise(v, p or "", r or "") for v, p, r in zip(value, spans, removed)], dtype=object)
+
+    cleaned = docs.join(found, row).withColumn("sanitised", clean(F.col(text).cast("string"), spans, removed))
+    return cleaned.drop(row, spans, removed)
