@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.special import chi_square_tail, kolmogorov_tail, student_two_sided
 from tabwright.operators import distributions as dist
+from tabwright.operators.nearest import nearest
 from tabwright.operators.scalars import attach
-from tabwright.operators.prep import fixed_sample
+from tabwright.session import cut_lineage
 
 
 # --- matrices ---------------------------------------------------------------
@@ -367,54 +368,36 @@ def structural_score(first: DataFrame, second: DataFrame) -> DataFrame:
 # --- distance to the closest record -----------------------------------------
 
 
-PROBES_PER_PASS = 200
+def closest_record(original: DataFrame, synthetic: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """(keys, distance): Euclidean distance, in the original's z-scores, from every synthetic row to its nearest original.
 
-
-def closest_record(
-    original: DataFrame, synthetic: DataFrame, columns: list[str], keys: list[str], sample: int = 100
-) -> DataFrame:
-    """(keys, distance): Euclidean distance, in the original's z-scores, from sampled rows to their nearest original.
-
-    The sample (a parameter, not a share of the data) is scaled and brought to the driver; its rows become
-    literals of one aggregate over the original, a running minimum each.  The original is read once per 200
-    sampled rows, nothing is joined, and one row of minima per task is shuffled.
+    A missing dimension on either side contributes nothing; without originals the distance is null.
     """
     stats = original.agg(
         *[F.avg(dist.numeric(c)).alias(f"mean__{c}") for c in columns],
         *[F.stddev_samp(dist.numeric(c)).alias(f"std__{c}") for c in columns],
     ).first()
 
-    def scaled(df):
-        return df.withColumns({c: (dist.numeric(c) - stats[f"mean__{c}"]) / (stats[f"std__{c}"] + 1e-10) for c in columns})
+    def scaled(df, *more):
+        z = [((dist.numeric(c) - F.lit(stats[f"mean__{c}"])) / (F.lit(stats[f"std__{c}"]) + 1e-10)).alias(f"_z__{c}") for c in columns]
+        return df.select(*more, *z)
 
-    probe = scaled(fixed_sample(synthetic.select(*keys, *columns), sample, keys)).collect()
-    base = scaled(original.select(*columns))
-    kinds = {k: synthetic.schema[k].dataType for k in keys}
-    parts = []
-    for start in range(0, len(probe), PROBES_PER_PASS):
-        chunk = probe[start : start + PROBES_PER_PASS]
-        minima, entries = [], []
-        for i, r in enumerate(chunk):
-            # A missing dimension on either side contributes nothing.
-            squares = [F.coalesce((F.col(c) - r[c]) * (F.col(c) - r[c]), F.lit(0.0)) for c in columns if r[c] is not None]
-            minima.append(F.min(reduce(lambda x, y: x + y, squares, F.lit(0.0))).alias(f"m{i}"))
-            named = [F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]
-            entries.append(F.struct(*named, F.sqrt(F.col(f"m{i}")).alias("distance")))
-        parts.append(base.agg(*minima).select(F.inline(F.array(*entries))))
-    if not parts:
-        return synthetic.select(*keys).limit(0).withColumn("distance", F.lit(None).cast("double"))
-    return reduce(DataFrame.unionByName, parts)
+    row = F.monotonically_increasing_id()
+    probes = cut_lineage(scaled(synthetic, *[F.col(k).alias(k) for k in keys]).withColumn("id", row))
+    points = scaled(original).withColumn("id", -row - 1)  # no query's number
+    found = nearest(probes, points, [f"_z__{c}" for c in columns], 1)
+    return probes.join(found, "id").select(*keys, F.get("distance", F.lit(0)).alias("distance"))
 
 
 def exact_copies(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """One row: how many synthetic rows, over the whole table, repeat an original row in every numeric column.
 
-    The original side is deduplicated and the synthetic side counted per distinct row before the join, so a row
-    repeated a billion times is one row of the join.
+    Values are compared as they are.  The original side is deduplicated and the synthetic side counted per distinct row
+    before the join, so a row repeated a billion times is one row of the join.
     """
-    rounded = [F.round(dist.numeric(c), 9).alias(c) for c in columns]
-    known = original.select(*rounded).distinct()
-    wanted = synthetic.select(*rounded).groupBy(*columns).agg(F.count("*").alias("n"))
+    values = [dist.numeric(c).alias(c) for c in columns]
+    known = original.select(*values).distinct()
+    wanted = synthetic.select(*values).groupBy(*columns).agg(F.count("*").alias("n"))
     same = reduce(lambda x, y: x & y, [F.col(f"w.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns])
     found = wanted.alias("w").join(known.alias("k"), same, "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("copies"))
     return attach(found, synthetic.agg(F.count("*").alias("rows"))).withColumn("copy_rate", F.try_divide("copies", "rows"))
@@ -442,14 +425,14 @@ def privacy_from_distance(distances: DataFrame) -> DataFrame:
     return row.select("mean_distance", "exact_matches", rate.alias("exact_match_rate"), score.alias("privacy_score"))
 
 
-def privacy_score(original: DataFrame, synthetic: DataFrame, columns: list[str], keys: list[str], sample: int = 100) -> DataFrame:
+def privacy_score(original: DataFrame, synthetic: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     if not columns:
         none = F.lit(None).cast("double")
         return original.sparkSession.range(1).select(
             none.alias("mean_distance"), F.lit(0).cast("bigint").alias("exact_matches"),
             none.alias("exact_match_rate"), F.lit(0.8).alias("privacy_score"),
         )
-    return privacy_from_distance(closest_record(original, synthetic, columns, keys, sample))
+    return privacy_from_distance(closest_record(original, synthetic, columns, keys))
 
 
 def anonymity(df: DataFrame, quasi: list[str], sensitive: str, threshold: int = 5) -> DataFrame:

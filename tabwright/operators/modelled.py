@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tabwright.functions import keyed
 from tabwright.operators import distributions as dist
 from tabwright.operators import drift
+from tabwright.operators.indexing import with_global_index
+from tabwright.operators.joins import fact_join
+from tabwright.operators.nearest import nearest
 from tabwright.operators.prep import encode_labels, fixed_sample, label_codes, prepare_features
 from tabwright.operators.scalars import attach
 from tabwright.session import cut_lineage
@@ -240,7 +243,7 @@ def _sample_pairs(df: DataFrame, columns: list[str], keys: list[str], n: int) ->
     return left.join(F.broadcast(right), F.col("a") != F.col("b")).select("a", "b", F.sqrt(gap).alias("value"))
 
 
-def interaction_preservation(first: DataFrame, second: DataFrame, columns: list[str], keys: list[str], n: int = 100) -> DataFrame:
+def interaction_preservation(first: DataFrame, second: DataFrame, columns: list[str], keys: list[str], n: int) -> DataFrame:
     """One row: 1 - KS between the pairwise distances of a triplet of columns in both samples."""
     a = _sample_pairs(first, columns, keys, n).where("a < b").select("value")
     b = _sample_pairs(second, columns, keys, n).where("a < b").select("value")
@@ -248,25 +251,36 @@ def interaction_preservation(first: DataFrame, second: DataFrame, columns: list[
     return dist.ks_distance(counts).select("ks", (F.lit(1.0) - F.col("ks")).alias("score"))
 
 
-def manifold_similarity(first: DataFrame, second: DataFrame, columns: list[str], keys: list[str], n: int = 200, k: int = 10) -> DataFrame:
-    """One row: Spearman correlation of the sorted mean distances to the k nearest rows, floored at 0.
+def manifold_similarity(first: DataFrame, second: DataFrame, columns: list[str], keys: list[str], k: int = 10) -> DataFrame:
+    """One row: Spearman correlation of the two curves of mean distances to the k nearest rows, floored at 0.
 
-    Both samples are scaled with the first sample's mean and population deviation.
+    All rows without missing values take part, scaled with the first table's means and population deviations.  A curve
+    is its table's distances in ascending order; the shorter table's places are compared with the other's at the same share.
     """
     complete = [t.select(*keys, *[dist.numeric(c).alias(c) for c in columns]).dropna(subset=columns) for t in (first, second)]
-    samples = [fixed_sample(t, n, keys) for t in complete]
-    stats = samples[0].agg(*[x for c in columns for x in (F.avg(c).alias(f"_m__{c}"), F.stddev_pop(c).alias(f"_s__{c}"))])
-
-    def curve(sample, name):
-        scaled = attach(sample, stats).withColumns({c: (F.col(c) - F.col(f"_m__{c}")) / F.when(F.col(f"_s__{c}") > 0, F.col(f"_s__{c}")).otherwise(1.0) for c in columns})
-        pairs = _sample_pairs(scaled, columns, keys, n)
-        near = pairs.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("value", "b"))).where(F.col("r") <= k)
-        means = near.groupBy("a").agg(F.round(F.avg("value"), 12).alias("d"))
-        rank = F.rank().over(W.orderBy("d")) + (F.count("*").over(W.partitionBy("d")) - 1) / 2.0
-        return means.select(F.row_number().over(W.orderBy("d", "a")).alias("i"), rank.alias(name))
-
-    both = curve(samples[0], "x").join(curve(samples[1], "y"), "i")
-    return both.agg(F.greatest(F.lit(0.0), F.coalesce(F.corr("x", "y"), F.lit(0.0))).alias("manifold_score"))
+    stats = complete[0].agg(*[x for c in columns for x in (F.avg(c).alias(f"_m__{c}"), F.stddev_pop(c).alias(f"_s__{c}"))])
+    curves = []
+    for t in complete:
+        scaled = attach(t, stats).select(
+            *[((F.col(c) - F.col(f"_m__{c}")) / F.when(F.col(f"_s__{c}") > 0, F.col(f"_s__{c}")).otherwise(1.0)).alias(c) for c in columns]
+        )
+        points = cut_lineage(scaled.withColumn("id", F.monotonically_increasing_id()))
+        near = nearest(points, points, columns, k).where(F.size("distance") > 0)
+        mean = F.round(F.aggregate("distance", F.lit(0.0), lambda x, y: x + y) / F.size("distance"), 12)
+        placed = cut_lineage(with_global_index(cut_lineage(near.select(mean.alias("d"), "id")), ["d", "id"], "i"))
+        # equal distances share the mean of their places
+        ties = placed.groupBy("d").agg(((F.min("i") + F.max("i")) / 2.0 + 1).alias("rank"), F.count("*").alias("_n"))
+        curves.append(cut_lineage(fact_join(placed.select("d", "i"), ties, ["d"], "_n").select("i", "rank")))
+    sizes = [c.count() for c in curves]
+    fewest = min(sizes)
+    if fewest == 0:
+        return first.sparkSession.createDataFrame([(0.0,)], "manifold_score double")
+    places = first.sparkSession.range(fewest)
+    for name, curve, size in zip("xy", curves, sizes):
+        at = places.select("id", F.expr(f"(id * CAST({size} AS bigint)) div {fewest}").alias("i"))
+        curve = at.join(curve, "i").select("id", F.col("rank").alias(name))
+        joined = curve if name == "x" else joined.join(curve, "id")
+    return joined.agg(F.greatest(F.lit(0.0), F.coalesce(F.corr("x", "y"), F.lit(0.0))).alias("manifold_score"))
 
 
 # --- detectability and boundaries -------------------------------------------
@@ -315,8 +329,21 @@ def novel_score(parts: list[float | None], df: DataFrame) -> DataFrame:
     return _row(df, "novel_score double, parts int", sum(kept) / len(kept) if kept else 0.5, len(kept))
 
 
-def novel_report(real: DataFrame, synthetic: DataFrame, keys: list[str], trees: int = 50) -> DataFrame:
-    """One row of novel_score over every measure that applies."""
+def covering_triples(columns: list[str]) -> list[list[str]]:
+    """Columns three by three in their order; what is left over is joined by the columns before it, so every column is in one."""
+    if len(columns) < 3:
+        return []
+    return [columns[min(i, len(columns) - 3) :][:3] for i in range(0, len(columns), 3)]
+
+
+def novel_report(
+    real: DataFrame, synthetic: DataFrame, keys: list[str], trees: int = 50, triples: list[list[str]] | None = None, pair_rows: int = 100
+) -> DataFrame:
+    """One row of novel_score over every measure that applies.
+
+    Interactions are those of the given triples of numeric columns (by default `covering_triples`), between ``pair_rows``
+    sampled rows of either table.
+    """
     numbers = [c for c in dist.numeric_columns(real) if c not in keys]
     texts = [c for c in dist.categorical_columns(real) if c not in keys]
     scores = [model_efficacy(real, synthetic, keys, trees=trees)[1]]
@@ -324,8 +351,8 @@ def novel_report(real: DataFrame, synthetic: DataFrame, keys: list[str], trees:
     kept = [k.first()["score"] for k in kept if k is not None]
     scores.append(sum(kept) / len(kept) if kept else 0.5)
     scores.append(rare_event_score(real, synthetic, numbers, texts).first()[0])
-    triples = [numbers[i * 3 : i * 3 + 3] for i in range(len(numbers) // 3)]
-    found = [interaction_preservation(real, synthetic, t, keys).first()["score"] for t in triples]
+    triples = covering_triples(numbers) if triples is None else triples
+    found = [interaction_preservation(real, synthetic, t, keys, pair_rows).first()["score"] for t in triples]
     scores.append(sum(found) / len(found) if found else 0.5)
     scores.append(detectability(real, synthetic, numbers, keys, trees=trees).first()["detectability_score"])
     tests = [boundary_preservation(real, synthetic, c, numbers) for c in texts]

@@ -16,6 +16,7 @@ from tabwright.operators import distributions as dist
 from tabwright.operators.drift import bin_index, quantile_edges
 from tabwright.operators.indexing import expand_counts, with_global_index, with_hashed_index
 from tabwright.operators.logs import weighted_draw
+from tabwright.operators.nearest import nearest
 from tabwright.operators.prep import apply_conditions, apply_roles
 from tabwright.operators.privacy import noisy_categories, perturb
 from tabwright.operators.profile import profile, series_score
@@ -259,89 +260,13 @@ def noisy_rows(df: DataFrame, columns: list[str], rows: DataFrame, epsilon: floa
 
 # --- SMOTE ------------------------------------------------------------------
 
-WINDOW_ROUNDS = (128, 1024)
-QUERY_CHUNK = 4000
+def nearest_neighbours(points: DataFrame, columns: list[str], k: int, group: str | None = None) -> DataFrame:
+    """(id, near, distance): the exact k nearest other rows of each row, by Euclidean distance, ties by id.
 
-
-def _nearest(queries: np.ndarray, query_ids, points: np.ndarray, point_ids, k: int):
-    """k nearest points of each query, itself left out, ties by id; numpy inside one task, in slices."""
-    out = []
-    for start in range(0, len(queries), 512):
-        q = queries[start : start + 512]
-        d = ((q[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-        d[np.asarray(query_ids[start : start + 512])[:, None] == np.asarray(point_ids)[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(point_ids, d.shape), d), axis=1)[:, :k]
-        for i in range(len(q)):
-            kept = [j for j in order[i] if np.isfinite(d[i, j])]
-            out.append((query_ids[start + i], [int(point_ids[j]) for j in kept], [float(np.sqrt(d[i, j])) for j in kept]))
-    return out
-
-
-_NEAR = "id bigint, near array<bigint>, distance array<double>"
-
-
-def nearest_neighbours(points: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(id, near, distance): the exact k nearest other rows of each row, by Euclidean distance.
-
-    Rows are put in order of one projection onto a unit vector and compared inside sliding blocks.  A projection
-    never stretches a distance, so a row whose k-th distance is smaller than the projected gap to its block's
-    border is settled.  Rows left open go to the next round with larger blocks; those still open are compared
-    with all rows, a bounded chunk of open rows per pass.  No block or chunk grows with the data.
+    With ``group``, a number, only rows of the same group are neighbours; one search serves all groups.
     """
-    spark = points.sparkSession
-    d = len(columns)
-    direction = 1.0 / np.sqrt(d)
-    projected = points.select("id", *[F.col(c).cast("double").alias(c) for c in columns])
-    projected = projected.withColumn("_p", sum((F.col(c) * direction for c in columns), F.lit(0.0)))
-    indexed = cut_lineage(with_global_index(projected, ["_p", "id"], "_i"))
-    done, open_ids = None, None
-
-    def settle(size):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_i"])
-            block = int(pdf["_b"].iloc[0])
-            mine = pdf[(pdf["_i"] // size == block) & pdf["_open"]]
-            low, high = pdf["_p"].iloc[0], pdf["_p"].iloc[-1]
-            first = int(pdf["_i"].iloc[0]) == 0
-            last = int(pdf["_i"].iloc[-1]) == int(pdf["_n"].iloc[0]) - 1
-            found = _nearest(mine[columns].to_numpy(), mine["id"].to_numpy(), pdf[columns].to_numpy(), pdf["id"].to_numpy(), k)
-            rows = []
-            for (i, near, dist_), p in zip(found, mine["_p"]):
-                reach = min(np.inf if first else p - low, np.inf if last else high - p)
-                rows.append((i, near, dist_, bool(len(dist_) >= min(k, int(pdf["_n"].iloc[0]) - 1) and (not dist_ or dist_[-1] < reach))))
-            return pd.DataFrame(rows, columns=["id", "near", "distance", "settled"])
-
-        return run
-
-    total = indexed.count()
-    current = indexed.withColumn("_open", F.lit(True)).withColumn("_n", F.lit(total))
-    for size in WINDOW_ROUNDS:
-        blocks = current.withColumn("_b", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_b", F.floor(F.col("_i") / size) + F.col("_b"))
-        result = cut_lineage(blocks.groupBy("_b").applyInPandas(settle(size), _NEAR + ", settled boolean"))
-        good = result.where("settled").drop("settled")
-        done = good if done is None else done.unionByName(good)
-        open_ids = result.where("NOT settled").select("id")
-        if open_ids.isEmpty():
-            return done
-        current = current.drop("_open").join(open_ids.withColumn("_open", F.lit(True)), "id", "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
-    left = cut_lineage(with_hashed_index(cut_lineage(indexed.join(open_ids, "id", "left_semi")), ["id"], "_q"))
-    remaining = left.count()
-    for start in range(0, remaining, QUERY_CHUNK):
-        chunk = left.where((F.col("_q") >= start) & (F.col("_q") < start + QUERY_CHUNK)).select("id", *columns).toPandas()
-        shared = spark.sparkContext.broadcast((chunk["id"].to_numpy(), chunk[columns].to_numpy()))
-
-        def scan(batches, shared=shared):
-            ids, queries = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    rows = _nearest(queries, ids, pdf[columns].to_numpy(), pdf["id"].to_numpy(), k)
-                    yield pd.DataFrame([(i, n, x) for q, near, gaps in rows for i, n, x in zip([q] * len(near), near, gaps)], columns=["id", "n", "x"])
-
-        partial = indexed.select("id", *columns).mapInPandas(scan, "id bigint, n bigint, x double")
-        # k rows per query and batch; merged per query.
-        best = partial.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("x", "n"))), 1, k).alias("_l"))
-        done = done.unionByName(best.select("id", F.transform("_l", lambda s: s["n"]).alias("near"), F.transform("_l", lambda s: s["x"]).alias("distance")))
-    return done
+    named = points.select("id", *([group] if group else []), *columns)
+    return nearest(named, named, columns, k, group)
 
 
 def smote_plan(df: DataFrame, target: str, strategy: str) -> dict[str, int]:
@@ -362,47 +287,79 @@ def smote_plan(df: DataFrame, target: str, strategy: str) -> dict[str, int]:
     return {c: most - sizes[c] for c in chosen[strategy] if most > sizes[c]}
 
 
-def smote(df: DataFrame, target: str, keys: list[str], strategy: str = "auto", k: int = 5, seed: int = keyed.SEED) -> DataFrame:
-    """The table plus interpolated rows for small classes; ``is_synthetic`` marks the new ones.
+def new_rows_between(df: DataFrame, target: str, keys: list[str], strategy: str = "auto", k: int = 5, seed: int = keyed.SEED) -> DataFrame | None:
+    """(class, number, copy, numeric columns): rows interpolated for small classes; None if no class needs any.
 
-    A new row lies between a row and one of its k nearest neighbours of the same class; its non-numeric values
-    are drawn from the observed ones, and the originals are left alone.
+    ``number`` counts the rows of a class in the order of their key digests; copy ``j`` of row ``number`` lies between that
+    row and a neighbour drawn from its k nearest of the same class.  One search covers all classes.
     """
     plan = smote_plan(df, target, strategy)
     numbers = [c for c in dist.numeric_columns(df) if c not in keys and c != target]
-    marked = df.withColumn("is_synthetic", F.lit(False))
     if not plan or not numbers:
-        return marked
-    sizes = {r[0]: r[1] for r in df.groupBy(target).count().collect()}
+        return None
+    sizes = {r[0]: r[1] for r in df.where(F.col(target).isNotNull()).groupBy(target).count().collect()}
     k = min(k, min(sizes.values()) - 1)
     if k < 1:
+        return None
+    # as many rows as classes
+    entries = [(str(c), i, sizes[c], extra) for i, (c, extra) in enumerate(sorted(plan.items(), key=lambda e: str(e[0])))]
+    classes = df.sparkSession.createDataFrame(entries, "class string, _class bigint, _size bigint, _extra bigint")
+    members = df.withColumn("class", F.col(target).cast("string")).join(F.broadcast(classes), "class")
+    digest = F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in keys]), 256), 1, 3)
+    values = [F.coalesce(dist.numeric(c), F.lit(0.0)).alias(f"_x__{c}") for c in numbers]
+    base = members.select("class", "_class", "_size", "_extra", digest.alias("_digits"), *[F.col(c).alias(f"_k__{c}") for c in keys], *values)
+    base = cut_lineage(with_global_index(cut_lineage(base), ["_class", "_digits", *[f"_k__{c}" for c in keys]], "id"))
+    starts = base.groupBy("_class").agg(F.min("id").alias("_start"))
+    base = cut_lineage(base.join(F.broadcast(starts), "_class").withColumn("number", F.col("id") - F.col("_start")))
+    coordinates = [f"_x__{c}" for c in numbers]
+    near = nearest_neighbours(base, coordinates, k, "_class").select("id", "near")
+    per = F.expr("_extra div _size + CAST(number < _extra % _size AS int)")
+    slots = expand_counts(base.select("id", "class", "number", *coordinates, per.alias("_m")), "_m", "copy").join(near, "id")
+    row = [F.col("class"), F.col("number"), F.col("copy")]
+    spot = keyed.index_below(F.size("near"), "smote", *row, seed=seed).cast("int")
+    chosen = slots.withColumn("_n", F.get("near", spot)).withColumn("_u", keyed.uniform("smote-u", *row, seed=seed))
+    made = chosen.join(base.select(F.col("id").alias("_n"), *[F.col(c).alias(f"_to{c}") for c in coordinates]), "_n")
+    between = [(F.col(x) + F.col("_u") * (F.col(f"_to{x}") - F.col(x))).alias(c) for x, c in zip(coordinates, numbers)]
+    return made.select("class", "number", "copy", *between)
+
+
+def smote(df: DataFrame, target: str, keys: list[str], strategy: str = "auto", k: int = 5, seed: int = keyed.SEED) -> DataFrame:
+    """The table plus interpolated rows for small classes; ``is_synthetic`` marks the new ones.
+
+    A new row lies between a row and one of its k nearest neighbours of the same class; each of its non-numeric values is
+    that of a row of its class at a drawn place, and the originals are left alone.
+    """
+    marked = df.withColumn("is_synthetic", F.lit(False))
+    made = new_rows_between(df, target, keys, strategy, k, seed)
+    if made is None:
         return marked
+    numbers = [c for c in made.columns if c not in ("class", "number", "copy")]
     others = [c for c in df.columns if c not in numbers and c != target and c not in keys]
-    for label, extra in plan.items():
-        members = df.where(F.col(target) == label)
-        base = cut_lineage(with_hashed_index(members.select(*keys, *[F.coalesce(dist.numeric(c), F.lit(0.0)).alias(c) for c in numbers]), keys, "id"))
-        near = nearest_neighbours(base.select("id", *numbers), numbers, k).select("id", "near")
-        per, rest = divmod(extra, sizes[label])
-        copies = base.select("id", *numbers).withColumn("_m", (F.lit(per) + (F.col("id") < rest).cast("int")))
-        slots = expand_counts(copies, "_m", "_j").join(near, "id")
-        ids = [F.col("id"), F.col("_j")]
-        spot = keyed.index_below(F.size("near"), f"smote:{label}", *ids, seed=seed).cast("int")
-        chosen = slots.withColumn("_n", F.get("near", spot)).withColumn("_u", keyed.uniform(f"smote-u:{label}", *ids, seed=seed))
-        donor = base.select(F.col("id").alias("_n"), *[F.col(c).alias(f"_to__{c}") for c in numbers])
-        made = chosen.join(donor, "_n")
-        values = {c: F.col(c) + F.col("_u") * (F.col(f"_to__{c}") - F.col(c)) for c in numbers}
-        made = made.withColumns(values).select(F.concat_ws("|", F.lit(str(label)), "id", "_j").alias("id"), *numbers)
-        full = independent_rows(members, others, made, keys, seed) if others else made
-        out = full.select(
-            *[
-                F.lit(label).cast(df.schema[c].dataType).alias(c) if c == target
-                else F.lit(None).cast(df.schema[c].dataType).alias(c) if c in keys
-                else (F.round(c) if c in numbers and isinstance(df.schema[c].dataType, T.IntegralType) else F.col(c)).cast(df.schema[c].dataType).alias(c)
-                for c in df.columns
-            ]
-        )
-        marked = marked.unionByName(out.withColumn("is_synthetic", F.lit(True)))
-    return marked
+    made = cut_lineage(made.select("class", "number", "copy", *[F.col(c).alias(f"_v__{c}") for c in numbers]))
+    if others:
+        donors = df.where(F.col(target).isNotNull()).select(
+            F.col(target).cast("string").alias("_class"), *[F.col(c).alias(f"_k__{c}") for c in keys], *[F.col(c).alias(f"_o__{c}") for c in others]
+        )
+        wanted = donors.join(F.broadcast(made.select(F.col("class").alias("_class")).distinct()), "_class")
+        donors = cut_lineage(with_global_index(cut_lineage(wanted), ["_class", *[f"_k__{c}" for c in keys]], "_at"))
+        spans = donors.groupBy("_class").agg(F.min("_at").alias("_start"), F.count("*").alias("_rows"))
+        made = made.join(F.broadcast(spans.withColumnRenamed("_class", "class")), "class")
+        for c in others:  # an equi-join on evenly spread row numbers
+            place = F.col("_start") + keyed.index_below(F.col("_rows"), f"smote:{c}", F.col("class"), F.col("number"), F.col("copy"), seed=seed)
+            made = made.withColumn("_at", place).join(donors.select("_at", f"_o__{c}"), "_at").drop("_at")
+    cells = {}
+    for c in df.columns:
+        kind = df.schema[c].dataType
+        if c == target:
+            value = F.col("class")
+        elif c in keys:
+            value = F.lit(None)
+        elif c in numbers:
+            value = F.round(f"_v__{c}") if isinstance(kind, T.IntegralType) else F.col(f"_v__{c}")
+        else:
+            value = F.col(f"_o__{c}")
+        cells[c] = value.cast(kind).alias(c)
+    return marked.unionByName(made.select(*cells.values(), F.lit(True).alias("is_synthetic")))
 
 
 # --- the whole run ----------------------------------------------------------

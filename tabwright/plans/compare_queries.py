@@ -21,7 +21,7 @@ from tabwright.plans.drift_queries import (
 )
 from tabwright.plans.drift_queries import BASE as FIRST
 from tabwright.plans.drift_queries import SNAP as SECOND
-from tabwright.plans.registry import query, sql_digest, table
+from tabwright.plans.registry import query, table
 
 PAIRS = [(a, b) for a in NUMBERS for b in NUMBERS]
 
@@ -274,8 +274,7 @@ _DIMS = ["o_totalprice", "o_custkey"]
 _Z = ", ".join(f"(SELECT avg({c}) FROM {EARLY}) AS m_{c}, (SELECT stddev_samp({c}) FROM {EARLY}) + 1e-10 AS s_{c}" for c in _DIMS)
 _DCR_SQL = f"""WITH z AS (SELECT {_Z}),
     a AS (SELECT {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _DIMS)} FROM {EARLY}, z),
-    b AS (SELECT o_orderkey, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _DIMS)} FROM
-      (SELECT * FROM {LATE} ORDER BY {sql_digest('sample', 'o_orderkey')}, o_orderkey LIMIT 100), z)
+    b AS (SELECT o_orderkey, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _DIMS)} FROM {LATE}, z)
     SELECT b.o_orderkey, min(sqrt({' + '.join(f'pow(a.{c} - b.{c}, 2)' for c in _DIMS)})) AS distance FROM a, b GROUP BY 1"""
 
 

@@ -109,20 +109,31 @@ def _distances(test):
     f"SELECT round(ks, 6) AS ks, round(1 - ks, 6) AS score FROM ({sql_ks(['value'], _distances('<'), _distances('>='))})",
 )
 def interaction_preservation(spark, folder):
-    return rounded(modelled.interaction_preservation(*_dated(spark, folder), _TRIPLE, ["o_orderkey"]), ks=6, score=6)
+    return rounded(modelled.interaction_preservation(*_dated(spark, folder), _TRIPLE, ["o_orderkey"], 100), ks=6, score=6)
+
+
+def _all_sql(test):
+    return f"""(SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_totalprice, o_custkey,
+        date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS o_day FROM orders WHERE o_orderdate {test} TIMESTAMP '1998-01-01')"""
 
 
 def _curve(test):
-    s = _sample_sql(test, 200, _TRIPLE)
-    base = _sample_sql("<", 200, _TRIPLE)
-    z = ", ".join(f"({c} - (SELECT avg({c}) FROM {base})) / (SELECT stddev_pop({c}) FROM {base}) AS {c}" for c in _TRIPLE)
-    gap = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in _TRIPLE)
-    return f"""(WITH z AS MATERIALIZED (SELECT i, {z} FROM {s}), p AS (SELECT a.i AS a, sqrt({gap}) AS v, row_number() OVER (PARTITION BY a.i ORDER BY sqrt({gap}), b.i) AS r FROM z a JOIN z b ON a.i <> b.i),
-      m AS (SELECT a, round(avg(v), 12) AS d FROM p WHERE r <= 10 GROUP BY 1)
-      SELECT row_number() OVER (ORDER BY d, a) AS i, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS k FROM m)"""
+    z = ", ".join(f"({c} - (SELECT avg({c}) FROM base)) / (SELECT stddev_pop({c}) FROM base) AS {c}" for c in _TRIPLE)
+    gap = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _TRIPLE)
+    return f"""(WITH base AS {_all_sql('<')}, z AS MATERIALIZED (SELECT i, {z} FROM {_all_sql(test)}),
+      p AS (SELECT a.i, min(sqrt({gap}), 10) AS near FROM z a JOIN z b ON a.i <> b.i GROUP BY 1),
+      m AS (SELECT i, round(list_reduce(near, lambda x, y: x + y) / len(near), 12) AS d FROM p)
+      SELECT row_number() OVER (ORDER BY d, i) - 1 AS at_, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS k,
+        count(*) OVER () AS n FROM m)"""
 
 
-@query("manifold_similarity", f"SELECT round(greatest(0, corr(x.k, y.k)), 6) AS manifold_score FROM {_curve('<')} x JOIN {_curve('>=')} y USING (i)")
+@query(
+    "manifold_similarity",
+    f"""WITH x AS {_curve('<')}, y AS {_curve('>=')}, t AS (SELECT least((SELECT any_value(n) FROM x), (SELECT any_value(n) FROM y)) AS n),
+       s AS (SELECT unnest(range((SELECT n FROM t))) AS id)
+       SELECT round(greatest(0, corr(x.k, y.k)), 6) AS manifold_score FROM s, t
+       JOIN x ON x.at_ = id * x.n // t.n JOIN y ON y.at_ = id * y.n // t.n""",
+)
 def manifold_similarity(spark, folder):
     return rounded(modelled.manifold_similarity(*_dated(spark, folder), _TRIPLE, ["o_orderkey"]), manifold_score=6)
 

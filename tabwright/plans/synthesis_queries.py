@@ -71,6 +71,25 @@ def class_sizes_after_oversampling(spark, folder):
     return out.groupBy("big").agg(F.count("*").alias("rows"), F.count_if("is_synthetic").alias("synthetic_rows"))
 
 
+def _oversampled_sql():
+    row = ("class", "number", "copy")
+    return f"""WITH m AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y, (p_size > 44)::VARCHAR AS class FROM part),
+      n AS (SELECT class, count(*) AS size FROM m GROUP BY 1), q AS (SELECT class, size, (SELECT max(size) FROM n) - size AS extra FROM n WHERE size < (SELECT max(size) FROM n)),
+      b AS (SELECT m.*, size, extra, row_number() OVER (PARTITION BY m.class ORDER BY substr(sha256(p_partkey::VARCHAR), 1, 3), p_partkey) - 1 AS number FROM m JOIN q USING (class)),
+      g AS (SELECT a.class, a.number, list_sort(list({{'d': sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)), 'number': c.number}}))[:5] AS near
+            FROM b a JOIN b c ON a.class = c.class AND a.number <> c.number GROUP BY 1, 2),
+      s AS (SELECT b.*, unnest(range((extra // size + (number < extra % size)::BIGINT)::BIGINT)) AS copy FROM b),
+      d AS (SELECT s.*, near[{sql_index('len(near)', 'smote', *row)} + 1].number AS other, {sql_uniform('smote-u', *row)} AS u FROM s JOIN g USING (class, number))
+      SELECT d.class, d.number, copy, round(d.x + u * (b.x - d.x), 6) AS p_size, round(d.y + u * (b.y - d.y), 6) AS p_retailprice
+      FROM d JOIN b ON b.class = d.class AND b.number = d.other"""
+
+
+@query("oversampled_rows", _oversampled_sql())
+def oversampled_rows(spark, folder):
+    rows = labelled_parts(spark, folder).select("p_partkey", "p_size", "p_retailprice", "big")
+    return rounded(syn.new_rows_between(rows, "big", ["p_partkey"]), p_size=6, p_retailprice=6)
+
+
 @query(
     "nearest_neighbours",
     """SELECT a.p_partkey AS id, [x.id for x in list_sort(list({'d': sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)), 'id': b.p_partkey}))[:5]] AS near
