@@ -30,9 +30,9 @@ BACKOFF, SCALE = 0.01, 0.4
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that makes up so much of its letters; other languages lose so much per word.
 SCRIPT_SHARE, NOT_CANDIDATE = 0.005, 40.0
-#: Words whose scores a task keeps at a time, and bytes of text that it decodes side by side.
-KEPT_WORDS = 100_000
-BLOCK_CHARS = 1_000_000
+#: Words whose scores a task keeps, words it scores at a time, and bytes of text that it decodes side by side.
+KEPT_WORDS, SCORED_WORDS = 300_000, 16_384
+BLOCK_CHARS = 4_000_000
 UNKNOWN = "und"
 
 #: First and last code points of scripts' letter ranges. Fixed values of the Unicode standard.
@@ -131,6 +131,9 @@ class Model:
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores [word, language] and letters per word; 0 for all languages where the script is nobody's."""
+        if len(words) > SCORED_WORDS:  # the arrays of all their n-grams would be the most memory a task takes
+            parts = [self.word_scores(words[i : i + SCORED_WORDS]) for i in range(0, len(words), SCORED_WORDS)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         buckets, owners, letters, script = word_grams(words)
         scores = np.empty((len(words), len(self.languages)), np.float32)
         for i in range(len(self.languages)):
