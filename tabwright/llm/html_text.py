@@ -28,15 +28,15 @@ from tabwright.llm.common import hot_join, row_id, store
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.5, 3, 2
 #: The text's container holds this share of the text outside boilerplate, where no element says that it is the article.
 TEXT_SHARE = 0.6
-#: In the article's container, a text is the template's if it is on so many pages at least; a few issues of one article share
-#: theirs too. Where such texts are over this share of all text in the container, the pages are copies of one article.
-INSIDE_PAGES, COPIED_SHARE = 10, 0.5
+#: The template's texts inside the article's container are its, unless they make up more than this share of the text there: then
+#: the pages are issues of one article.
+COPIED_SHARE = 0.25
 #: Elements beyond this depth add nothing to a path.
 DEPTH = 40
 #: Tokens a task sums before it hands them on.
 SUMMED_TOKENS = 200_000
-#: Up to so many hosts, templates are broadcast (a few kB each); beyond, they are joined.
-BROADCAST_HOSTS = 10_000
+#: Longer class, id and role values are shortened to so many characters and a hash of the whole.
+SHOWN_VALUE = 60
 
 #: Element names of the HTML standard by their part in a page. Fixed values.
 INLINE = frozenset(
@@ -53,6 +53,8 @@ BOILERPLATE_WORDS = frozenset(
     " overlay pager pagination popup promo recommended related reply replies search share sharing sidebar signup social"
     " sponsor sponsored subscribe teaser toolbar widget".split()
 )
+#: Of these, words for other people's or other articles' text, which may well be longer than the article.
+FOREIGN_WORDS = frozenset("comment comments disqus recommended related replies reply teaser".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 
 _TOKEN = re.compile(
@@ -64,6 +66,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/>]|$)|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 
 
@@ -73,28 +76,39 @@ def host_of(url: str | None) -> str:
     return match.group(1).rpartition("@")[2].partition(":")[0].lower() if match else ""
 
 
-def _label(name: str, attributes: str) -> tuple[str, int, bool]:
-    """An element's label in paths, whether it is boilerplate (2 by name, 1 by a word), and whether it may be the article."""
+def _shown(value: str) -> str:
+    value = re.sub(r"\d+", "0", value)
+    if len(value) <= SHOWN_VALUE:
+        return value
+    return value[:SHOWN_VALUE] + "~" + hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _label(name: str, attributes: str) -> tuple[str, int, bool, frozenset[str]]:
+    """An element's label in paths, whether it is boilerplate (2 by name or hidden, 1 by a word), whether it may be the article,
+    and its boilerplate words."""
     words: list[str] = []
     shown = name
     if "=" in attributes:
         for key, *values in _NAMED.findall(attributes):
             value = "".join(values)
             words += [w.lower() for w in _WORD.findall(value)]
-            shown += {"class": ".", "id": "#", "role": "@"}[key.lower()] + re.sub(r"\d+", "0", value)[:60]
+            shown += {"class": ".", "id": "#", "role": "@"}[key.lower()] + _shown(value)
     article = name in ("article", "main") or (name not in BOILERPLATE and not ARTICLE_WORDS.isdisjoint(words))
-    boilerplate = 2 if name in BOILERPLATE else int(not BOILERPLATE_WORDS.isdisjoint(words))
-    return shown, boilerplate, article and boilerplate < 2
+    found = BOILERPLATE_WORDS.intersection(words)
+    boilerplate = 2 if name in BOILERPLATE or _HIDDEN.search(attributes) else int(bool(found))
+    return shown, boilerplate, article and boilerplate < 2, found
 
 
 def events(page: str):
-    """('open', path, boilerplate, article), ('close', path), ('leaf', path) and ('text', path, text) of a page in order.
+    """('open', path, boilerplate, article, words), ('close', path), ('leaf', path, name, hidden) and ('text', path, text) of a
+    page in order.
 
     Paths are tuples of labels. Hidden elements and comments are left out. Paragraphs and the like are leaves: they need no end
     tag and do not nest. An end tag closes the innermost element of its name, and what is open inside; a stray one is nothing.
     """
     stack: list[str] = []
     names: list[str] = []
+    waiting: Counter = Counter()
     path: tuple[str, ...] = ()
     at = 0
     for match in _TOKEN.finditer(page):
@@ -104,35 +118,39 @@ def events(page: str):
         name = (match.group(3) or match.group(6) or "").lower()
         if not name:
             if match.group(1):
-                yield ("leaf", path, match.group(1).lower())
+                yield ("leaf", path, match.group(1).lower(), False)
             continue
         if name in INLINE:
             if name in ("br", "input", "img"):
                 yield ("text", path, " ")
             continue
         closing = match.group(2) or match.group(5)
+        attributes = match.group(4) or match.group(7) or ""
         if name in LEAVES or name in HIDDEN:
-            yield ("leaf", path, ("/" if closing else "") + name)
+            yield ("leaf", path, ("/" if closing else "") + name, not closing and bool(_HIDDEN.search(attributes)))
             continue
         if closing:
-            if name in names:
+            if waiting[name]:
                 while True:
                     last = names.pop()
+                    waiting[last] -= 1
                     stack.pop()
                     yield ("close", path)
                     path = tuple(stack[:DEPTH])
                     if last == name:
                         break
             else:
-                yield ("leaf", path, "/" + name)
+                yield ("leaf", path, "/" + name, False)
             continue
-        shown, boilerplate, article = _label(name, match.group(4) or match.group(7) or "")
+        shown, boilerplate, article, words = _label(name, attributes)
         names.append(name)
+        waiting[name] += 1
         stack.append(shown)
         path = tuple(stack[:DEPTH])
-        yield ("open", path, boilerplate, article)
-        if (match.group(4) or match.group(7) or "").rstrip().endswith("/"):
+        yield ("open", path, boilerplate, article, words)
+        if attributes.rstrip().endswith("/"):
             names.pop()
+            waiting[name] -= 1
             stack.pop()
             yield ("close", path)
             path = tuple(stack[:DEPTH])
@@ -140,51 +158,122 @@ def events(page: str):
         yield ("text", path, page[at:])
 
 
-def _under(path: str, top: str) -> bool:
-    return path == top or path.startswith(top + ">")
-
-
-def marks(stream: list[tuple], container: str = "") -> tuple[set[str], set[str]]:
-    """The paths of a page's articles, and of the elements that are boilerplate by a word and nevertheless stay open.
+class _Elements:
+    """A page's elements in the order of their start tags, with their parents and the letters of text inside each."""
+
+    def __init__(self, stream: list[tuple]):
+        self.paths: list[str] = []
+        self.parent: list[int] = []
+        self.boilerplate: list[int] = []
+        self.article: list[bool] = []
+        self.words: list[frozenset[str]] = []
+        self.mass: list[int] = []
+        self.whole = 0
+        open_: list[int] = []
+        hard = 0
+        hidden = False
+        for kind, path, *more in stream:
+            if kind == "text":
+                if not hard and not hidden:
+                    n = len(plain(more[0]))
+                    self.whole += n
+                    if open_:
+                        self.mass[open_[-1]] += n
+                continue
+            hidden = kind == "leaf" and more[1]
+            if kind == "open":
+                self.parent.append(open_[-1] if open_ else -1)
+                self.paths.append(">".join(path))
+                self.boilerplate.append(more[0])
+                self.article.append(more[1])
+                root = path[-1].split(".")[0].split("#")[0].split("@")[0] in ("html", "body")
+                self.words.append(more[2] if more[0] == 1 and not root else frozenset())
+                self.mass.append(0)
+                open_.append(len(self.paths) - 1)
+                hard += more[0] == 2
+            elif kind == "close" and open_:
+                hard -= self.boilerplate[open_.pop()] == 2
+        for e in range(len(self.paths) - 1, -1, -1):
+            if self.parent[e] >= 0:
+                self.mass[self.parent[e]] += self.mass[e]
+
+    def handed_down(self, own: list[bool]) -> list[bool]:
+        """Whether an element or one around it has the property."""
+        out: list[bool] = []
+        for e, has in enumerate(own):
+            out.append(has or (self.parent[e] >= 0 and out[self.parent[e]]))
+        return out
+
+    def innermost(self, some: set[int]) -> set[int]:
+        """Those that hold no other of them."""
+        holding: set[int] = set()
+        for e in sorted(some, reverse=True):
+            up = self.parent[e]
+            while up >= 0 and up not in holding:
+                holding.add(up)
+                up = self.parent[up]
+        return some - holding
+
+    def around(self, some: set[int]) -> set[int]:
+        """These elements and all around them."""
+        out: set[int] = set()
+        for e in some:
+            while e >= 0 and e not in out:
+                out.add(e)
+                e = self.parent[e]
+        return out
+
+
+def marks(stream: list[tuple], container: str = "") -> tuple[set[int], set[int]]:
+    """The numbers of a page's articles, and of the elements that a word closes as boilerplate, in the order of start tags.
 
     The template's container, if the page has it, is the article. A word never closes html, body, or what is around the
     article. An article with such a word is one if it holds most text of the page, or of the article around it; on a page
-    with no other article, any element that holds most text stays open.
+    with no other article, any element that holds most text stays open. Inside the article, or on a page without one, a word
+    that would close most of the text closes nothing, unless it is a word for other people's or other articles' text.
     """
-    kinds: dict[str, tuple[int, bool]] = {}
-    for kind, path, *more in stream:
-        if kind == "open":
-            kinds.setdefault(">".join(path), (more[0], more[1]))
-    words = [p for p, (boilerplate, _) in kinds.items() if boilerplate == 1 and p.rpartition(">")[2].split(".")[0].split("#")[0].split("@")[0] not in ("html", "body")]
-    opened = {p for p, (boilerplate, _) in kinds.items() if boilerplate == 1}.difference(words)
-    named = [p for p, (_, article) in kinds.items() if article]
-    inner = lambda paths: {p for p in paths if not any(o != p and _under(o, p) for o in paths)}
-    free = {container} if container in kinds else inner([p for p in named if not any(_under(p, w) for w in words)])
-    opened |= {w for w in words if any(_under(p, w) for p in free)}
-    words = [w for w in words if w not in opened]
-    weak = [p for p in words if kinds[p][1]]
-    if free and not any(_under(p, f) for p in weak for f in free) or not words:
-        return free, opened
-    mass: dict[str, int] = {}
-    hard: list[bool] = []
-    for kind, path, *more in stream:
-        if kind == "open":
-            hard.append(more[0] == 2)
-        elif kind == "close":
-            hard.pop()
-        elif kind == "text" and not any(hard):
-            name = ">".join(path)
-            mass[name] = mass.get(name, 0) + len(plain(more[0]))
-    total = lambda top: sum(n for p, n in mass.items() if _under(p, top))
+    page = _Elements(stream)
+    numbers = range(len(page.paths))
+    closed = {e for e in numbers if page.words[e]}
+    named = {e for e in numbers if page.article[e]}
+    free = {e for e in numbers if container and page.paths[e] == container}
+    if not free:
+        under = page.handed_down([e in closed for e in numbers])
+        free = page.innermost({e for e in named if not under[e]})
+    closed -= page.around(free)
     if free:
-        for p in weak:
-            around = [f for f in free if _under(p, f)]
-            if around and total(p) >= TEXT_SHARE * total(around[0]):
-                opened |= {w for w in words if _under(p, w)}
-        return free, opened
-    whole = sum(mass.values())
-    opened |= {p for p in words if whole and total(p) >= TEXT_SHARE * whole}
-    return inner([p for p in named if not any(_under(p, w) for w in words if w not in opened)]), opened
+        own = [e in free for e in numbers]
+        holder: list[int] = []
+        for e in numbers:
+            holder.append(e if own[e] else holder[page.parent[e]] if page.parent[e] >= 0 else -1)
+        most = {e for e in closed & named if holder[e] >= 0 and page.mass[e] >= TEXT_SHARE * page.mass[holder[e]]}
+        closed -= page.around(most)
+    else:
+        holder = [-1] * len(page.paths)
+        closed -= {e for e in closed if page.whole and page.mass[e] >= TEXT_SHARE * page.whole}
+        under = page.handed_down([e in closed for e in numbers])
+        free = page.innermost({e for e in named if not under[e]})
+    return free, _trusted(page, closed, holder)
+
+
+def _trusted(page: _Elements, closed: set[int], holder: list[int]) -> set[int]:
+    """Of the closed elements those with a word that closes only a smaller part of the article, or of the page, that holds them."""
+    sums: dict[tuple[int, str], int] = {}
+    above: dict[int, frozenset[str]] = {}  # the words of closed elements from an element upwards
+    for e in range(len(page.paths)):
+        words = above.get(page.parent[e], frozenset())
+        if e in closed:
+            for word in page.words[e] - words:
+                sums[(holder[e], word)] = sums.get((holder[e], word), 0) + page.mass[e]
+            words = words | page.words[e]
+        if words:
+            above[e] = words
+
+    def closes(e: int, word: str) -> bool:
+        within = page.mass[holder[e]] if holder[e] >= 0 else page.whole
+        return word in FOREIGN_WORDS or sums.get((holder[e], word), 0) < TEXT_SHARE * within
+
+    return {e for e in closed if any(closes(e, word) for word in page.words[e])}
 
 
 def plain(text: str) -> str:
@@ -200,7 +289,7 @@ def page_tokens(page: str) -> tuple[Counter, dict[str, int], dict[str, int]]:
     counts: Counter = Counter()
     first: dict[str, int] = {}
     letters: dict[str, int] = {}
-    shut: list[bool] = []
+    shut, kinds = 0, []  # closed elements around a place, and whether each open element is one
     parts: list[str] = []
     where: tuple[str, ...] = ()
 
@@ -214,30 +303,33 @@ def page_tokens(page: str) -> tuple[Counter, dict[str, int], dict[str, int]]:
         if text:
             token = text_token(where, text)
             add(token, place)
-            if not any(shut):
+            if not shut:
                 for name in (">".join(where) + "=", token):
                     letters[name] = letters.get(name, 0) + len(text)
 
     # blocks of text are those of slots(): what stands between tags that are not inline
-    place = 0
+    place, number, hidden = 0, 0, False
     stream = list(events(page))
-    named, opened = marks(stream)
+    named, closed = marks(stream)
     for place, (kind, path, *more) in enumerate(stream):
         if kind == "text":
-            parts.append(more[0])
+            if not hidden:
+                parts.append(more[0])
             where = path
             continue
         flush(place)
+        hidden = kind == "leaf" and more[1]
         if kind == "leaf":
             add(">".join(path) + ">" + more[0], place)
         elif kind == "open":
-            name = ">".join(path)
-            shut.append(more[0] == 2 or more[0] == 1 and name not in opened)
-            add(name + ("+*" if name in named else "+"), place)
+            shut += more[0] == 2 or number in closed
+            kinds.append(more[0] == 2 or number in closed)
+            add(">".join(path) + ("+*" if number in named else "+"), place)
+            number += 1
         else:
             add(">".join(path) + "-", place)
-            if shut:
-                shut.pop()
+            if kinds:
+                shut -= kinds.pop()
         where = path
     flush(place)
     return counts, first, letters
@@ -332,7 +424,8 @@ def main_container(tokens: list[str], once: set[str], letters: dict[str, int]) -
         if total and inside >= TEXT_SHARE * total and len(path) > len(best):
             best = path
     paths = [t[:-2] for t in opened if t.endswith("*")]
-    inner = [p for p in paths if not any(o.startswith(p + ">") for o in paths)]
+    around = {p.rsplit(">", i)[0] for p in paths for i in range(1, p.count(">") + 1)}
+    inner = [p for p in paths if p not in around]
     # a mark decides how wide the container is, unless the text is elsewhere
     inner = [p for p in inner if p == best or p.startswith(best + ">") or best.startswith(p + ">") or not best]
     return max(inner, key=lambda p: (mass[p], p)) if inner else best
@@ -368,9 +461,9 @@ def templates(sums: DataFrame) -> DataFrame:
                 letters = {m["token"][:-1]: m["letters"] for m in row["mass"] or []}
                 container = main_container(tokens, once, letters)
                 inside = lambda path: path == container or path.startswith(container + ">")
-                texts = [(m["token"], c["pages"], m["letters"]) for c in row["classes"] for m in c["members"] if "|" in m["token"]]
-                fixed = [t for t, _, _ in texts if not inside(t.rpartition("|")[0])]
-                own = [(t, n) for t, pages, n in texts if pages >= INSIDE_PAGES and inside(t.rpartition("|")[0])]
+                texts = [(m["token"], m["letters"]) for c in row["classes"] for m in c["members"] if "|" in m["token"]]
+                fixed = [t for t, _ in texts if not inside(t.rpartition("|")[0])]
+                own = [(t, n) for t, n in texts if inside(t.rpartition("|")[0])]
                 if sum(n for _, n in own) <= COPIED_SHARE * sum(n for p, n in letters.items() if inside(p)):
                     fixed += [t for t, _ in own]
                 fixed.sort()
@@ -392,40 +485,43 @@ def slots(page: str, container: str, fixed: frozenset[str]) -> list[tuple[str, s
     """
     found: list[tuple[str, str, bool]] = []
     stream = list(events(page))
-    marked, opened = marks(stream, container)
+    marked, closed = marks(stream, container)
     parts: list[str] = []
-    shut: list[bool] = []
+    kinds: list[bool] = []
     own: list[int] = []
-    inside = 0
+    inside = shut = number = 0
+    hidden = False
     where: tuple[str, ...] = ()
 
     def flush():
         text = plain("".join(parts))
         parts.clear()
         if text:
-            name = ">".join(where)
-            boilerplate = any(shut) or (not inside and bool(marked))
+            boilerplate = shut > 0 or (not inside and bool(marked))
             kept = not boilerplate and text_token(where, text) not in fixed
-            found.append((name, text, kept))
+            found.append((">".join(where), text, kept))
             if inside and not boilerplate:
                 own.append(len(found) - 1)
 
     for kind, path, *more in stream:
         if kind == "text":
-            parts.append(more[0])
+            if not hidden:
+                parts.append(more[0])
             where = path
             continue
         flush()
+        hidden = kind == "leaf" and more[1]
         if kind == "open":
-            name = ">".join(path)
-            if inside or name in marked:
+            if inside or number in marked:
                 inside += 1
-            closed = more[0] == 2 or more[0] == 1 and name not in opened
             # a header of the page is boilerplate, the header of the article is not
-            shut.append(closed or (path[-1].split(".")[0].split("#")[0] == "header" and not inside))
+            header = path[-1].split(".")[0].split("#")[0] == "header" and not inside
+            kinds.append(more[0] == 2 or number in closed or header)
+            shut += kinds[-1]
+            number += 1
         elif kind == "close":
-            if shut:
-                shut.pop()
+            if kinds:
+                shut -= kinds.pop()
             inside = max(0, inside - 1)
         where = path
     flush()
@@ -453,8 +549,6 @@ def extract(pages: DataFrame) -> DataFrame:
     total = rows.count()
 
     def with_templates(found: DataFrame, *columns: str) -> DataFrame:
-        if found.count() <= BROADCAST_HOSTS:
-            return rows.join(F.broadcast(found), "_host", "left").select(*columns)
         return hot_join(rows, found, ["_host"], "_pages", total).select(*columns)
 
     found, left, n = None, rows.select("_row", "_host", "_html"), 0
