@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.special import chi_square_tail, kolmogorov_tail, student_two_sided
 from tabwright.operators import distributions as dist
+from tabwright.operators.joins import fact_join
 from tabwright.operators.nearest import nearest
 from tabwright.operators.scalars import attach
 from tabwright.session import cut_lineage
@@ -62,11 +63,11 @@ def rank_table(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
 
     Ranks come from the two-level running counts, one row per distinct value, and are joined back per column.
     """
-    ranks = dist.average_ranks(df, columns)
+    ranks = cut_lineage(dist.average_ranks(df, columns))
     out = df.select(*key, *[dist.numeric(c).alias(c) for c in columns])
     for c in columns:
-        part = ranks.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank__{c}"))
-        out = out.join(part, c, "left")
+        part = ranks.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("n").alias(f"_n__{c}"), F.col("rank").alias(f"_rank__{c}"))
+        out = fact_join(out, part, [c], f"_n__{c}")
     return out.select(*key, *[F.col(f"_rank__{c}").alias(c) for c in columns])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import keyed
 from tabwright.operators.indexing import with_global_index
+from tabwright.operators.joins import fact_join
 from tabwright.operators.scalars import attach
 from tabwright.session import cut_lineage
 
@@ -138,10 +139,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         ways = both_ways(links)
-        least = ways.groupBy("src").agg(F.min("dst").alias("_m")).select("src", F.least("_m", "src").alias("_m"))
-        large = ways.where(F.col("dst") > F.col("src")).join(least, "src").select(F.col("dst").alias("src"), F.col("_m").alias("dst")).distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("_m"))
-        joined = large.join(low, "src")
+        least = ways.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("_m"), F.count("*").alias("_n"))
+        told = fact_join(ways.where(F.col("dst") > F.col("src")), cut_lineage(least), ["src"], "_n")
+        large = cut_lineage(told.select(F.col("dst").alias("src"), F.col("_m").alias("dst")).distinct())
+        low = large.groupBy("src").agg(F.min("dst").alias("_m"), F.count("*").alias("_n"))
+        joined = fact_join(large, cut_lineage(low), ["src"], "_n")
         small = joined.select("src", F.col("_m").alias("dst")).union(joined.where("dst <> _m").select("dst", "_m")).distinct()
         links = cut_lineage(small)
         mark = _fingerprint(links)
@@ -187,10 +189,13 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -
     ends when no label changes, or when the labels of an earlier round come back; a caller may bound the rounds.
     """
     ways = cut_lineage(both_ways(simple_edges(edges)))
+    sizes = cut_lineage(ways.groupBy(F.col("dst")).agg(F.count("*").alias("_degree")))
     labels = nodes.select("id", F.col("id").alias("community"))
     marks: set[tuple] = set()
     while rounds is None or len(marks) < rounds:
-        seen = ways.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("n"))
+        # the labels of the few heaviest hubs are broadcast, so no task gets a hub's edges; votes are summed before they move
+        told = fact_join(ways, cut_lineage(sizes.join(labels.withColumnRenamed("id", "dst"), "dst")), ["dst"], "_degree").where("community IS NOT NULL")
+        seen = told.groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("n"))
         own = labels.select("id", "community", F.lit(1).cast("bigint").alias("n"))
         votes = seen.unionByName(own).groupBy("id", "community").agg(F.sum("n").alias("n"))
         most = votes.groupBy("id").agg(F.max("n").alias("_n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabwright.functions import keyed
 from tabwright.operators import graph
 from tabwright.operators.indexing import expand_counts, with_digest_index, with_global_index, with_hashed_index
+from tabwright.operators.joins import fact_join
 from tabwright.operators.scalars import attach
 from tabwright.session import cut_lineage
 
@@ -284,11 +285,26 @@ def adjacency_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return places, places.groupBy("src").agg(F.min("_i").alias("_start"), F.count("*").alias("_n"))
 
 
+def open_pairs(simple: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs of nodes with a common neighbour and no edge.
+
+    A centre's pairs are listed only if it has more of them than triangles.
+    """
+    sides = graph.both_ways(simple)
+    corners = graph.triangles(simple).select(F.explode(F.array("a", "b", "c")).alias("src")).groupBy("src").agg(F.count("*").alias("closed"))
+    sizes = sides.groupBy("src").agg(F.count("*").alias("n")).join(corners, "src", "left")
+    centres = sizes.where(F.col("n") * (F.col("n") - 1) / 2 > F.coalesce("closed", F.lit(0))).select("src")
+    around = cut_lineage(sides.join(centres, "src"))
+    pairs = around.withColumnRenamed("dst", "a").join(around.withColumnRenamed("dst", "b"), "src").where("a < b")
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct().join(simple, ["src", "dst"], "left_anti")
+
+
 def close_triads(edges: DataFrame, k: int, seed: int = keyed.SEED) -> DataFrame:
-    """Add k edges that close open wedges; fewer only when a round of draws finds no open one.
+    """Add k edges that close open wedges; fewer only where fewer pairs of nodes are open.
 
     Wedges are drawn, not listed: a random directed edge a -> u, then a random neighbour b of u, looked up by
-    number.  A hub therefore costs what its drawn wedges cost.
+    number.  A hub therefore costs what its drawn wedges cost.  Once a round of draws finds no open wedge, they are rare:
+    then those that are left are listed, around the centres that have any.
     """
     if k <= 0:
         return edges.select("src", "dst")
@@ -307,8 +323,10 @@ def close_triads(edges: DataFrame, k: int, seed: int = keyed.SEED) -> DataFrame:
         fresh = fresh.join(out, ["src", "dst"], "left_anti")
         ranked = cut_lineage(with_global_index(cut_lineage(fresh), ["e"], "_i").where(F.col("_i") < k).select("src", "dst"))
         made = ranked.count()
-        if made == 0:  # a whole round of draws found no open wedge
-            break
+        if made == 0:
+            rest = open_pairs(simple).join(out, ["src", "dst"], "left_anti").withColumn("_h", F.xxhash64("src", "dst", F.lit(seed)))
+            ranked = cut_lineage(with_global_index(cut_lineage(rest), ["_h", "src", "dst"], "_i").where(F.col("_i") < k).select("src", "dst"))
+            return out.unionByName(ranked)
         k -= made
         out = out.unionByName(ranked)
     return out
@@ -335,7 +353,8 @@ def augment(nodes: DataFrame, edges: DataFrame, labels: DataFrame, extra: int, f
     spans = places.groupBy("community").agg(F.min("_s").alias("_start"), F.count("*").alias("_n"))
     total = places.agg(F.count("*").alias("_t"))
     slots = expand_counts(drawn.select("id", "degree", "community"), "degree", "_j")
-    sized = attach(slots.join(spans, "community", "left"), total)
+    # spans of the largest communities are broadcast; slots of the others are joined
+    sized = attach(fact_join(slots, cut_lineage(spans), ["community"], "_n"), total)
     ids = [F.col("id"), F.col("_j")]
     inside = (keyed.uniform("aug-in", *ids, seed=seed) < p_intra) & F.col("_n").isNotNull()
     spot = F.when(inside, F.col("_start") + keyed.index_below(F.col("_n"), "aug-a", *ids, seed=seed)).otherwise(keyed.index_below(F.col("_t"), "aug-b", *ids, seed=seed))

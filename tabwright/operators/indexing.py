@@ -47,6 +47,21 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "index", rang
     return out.select(*df.columns, name)
 
 
+def with_running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to and with this one, in the order of columns that are unique together.
+
+    Ranges are added up on their own, one task each; the totals of the ranges before, one row per range, are carried on.
+    """
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    own = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranged = cut_lineage(cut_lineage(ranged).withColumn("_own", F.sum(value).over(own)))
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_t"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    out = ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_own") + F.col("_before"))
+    return out.select(*df.columns, name)
+
+
 def with_hashed_index(df: DataFrame, keys: list[str], name: str = "index") -> DataFrame:
     """Add a 0-based number in the order of (first three hex digits of the key digest, keys).
 

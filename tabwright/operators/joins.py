@@ -23,13 +23,12 @@ def fact_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) ->
     most = facts.where(heavy).select(*keys, F.struct(*values).alias("_heavy"))
     rest = facts.where(~heavy).select(*keys, F.struct(*values).alias("_light"))
     out = rows.join(F.broadcast(most), keys, "left")
-    # The first key is replaced by a salted text where the row needs no light fact.
-    salt = F.concat(F.lit("-"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)).cast("string"))
     any_null = F.concat(*[F.col(k).cast("string") for k in keys]).isNull()
-    named = F.concat(F.lit("="), F.col(keys[0]).cast("string"))
-    out = out.withColumn("_at", F.when(F.col("_heavy").isNotNull() | any_null, salt).otherwise(named))
-    rest = rest.withColumn("_at", named)
-    light = [F.col(f"r.{k}") == F.col(f"l.{k}") for k in keys[1:]]
-    joined = out.alias("r").join(rest.alias("l"), [F.col("r._at") == F.col("l._at"), *light], "left")
-    found = [F.when(F.col("r._heavy").isNotNull(), F.col(f"r._heavy.{v}")).otherwise(F.col(f"l._light.{v}")).alias(v) for v in values]
-    return joined.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns], *found)
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)) + 1
+    out = out.withColumn("_salt", F.when(F.col("_heavy").isNotNull() | any_null, salt).otherwise(F.lit(0)))
+    # Always 0, but no constant: a constant would be taken out of the join, and rows dealt by the keys alone.
+    rest = rest.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    joined = out.join(rest, [*keys, "_salt"], "left")
+    found = [F.when(F.col("_heavy").isNotNull(), F.col(f"_heavy.{v}")).otherwise(F.col(f"_light.{v}")).alias(f"_fact__{v}") for v in values]
+    shaped = joined.select(*rows.columns, *found)
+    return shaped.withColumnsRenamed({f"_fact__{v}": v for v in values})

@@ -10,6 +10,7 @@ from tabwright.functions import keyed
 from tabwright.operators import distributions as dist
 from tabwright.operators.scalars import attach
 from tabwright.operators.indexing import with_global_index
+from tabwright.operators.joins import fact_join
 from tabwright.session import cut_lineage
 
 MISSING = "__MISSING__"
@@ -92,9 +93,13 @@ def encode_labels(df: DataFrame, column: str, codes: DataFrame, output: str | No
     """Replace a column by its code; a value the codes do not know gets -1."""
     output = output or f"{column}_code"
     named = codes.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
-    # A class may hold most rows: few codes are broadcast, so that no task gets a class; many are joined.
-    named = F.broadcast(named) if codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES else named
-    joined = df.join(named, F.col(column).cast("string") == F.col("_v"), "left")
+    keyed_rows = df.withColumn("_v", F.col(column).cast("string"))
+    # A class may hold most rows: few codes are broadcast, of many only those of the heaviest classes.
+    if codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES:
+        joined = keyed_rows.join(F.broadcast(named), "_v", "left")
+    else:
+        sizes = keyed_rows.groupBy("_v").agg(F.count("*").alias("_rows"))
+        joined = fact_join(keyed_rows, cut_lineage(named.join(sizes, "_v")), ["_v"], "_rows").drop("_rows")
     return joined.withColumn(output, F.coalesce("_c", F.lit(-1))).drop("_v", "_c")
 
 

@@ -13,8 +13,10 @@ from tabwright.functions import keyed
 from tabwright.functions.special import normal_cdf, normal_quantile
 from tabwright.operators import compare
 from tabwright.operators import distributions as dist
+from tabwright.operators.draws import bic, drawers
 from tabwright.operators.drift import bin_index, quantile_edges
-from tabwright.operators.indexing import expand_counts, with_global_index, with_hashed_index
+from tabwright.operators.indexing import expand_counts, with_global_index
+from tabwright.operators.joins import fact_join
 from tabwright.operators.logs import weighted_draw
 from tabwright.operators.nearest import nearest
 from tabwright.operators.prep import apply_conditions, apply_roles
@@ -45,27 +47,23 @@ def short_lists(df: DataFrame, columns: list[str], most: int = SHORT_LIST) -> di
     return {c: v for c, v in found.items() if v and len(v) <= most}
 
 
-def independent_rows(df: DataFrame, columns: list[str], rows: DataFrame, keys: list[str], seed: int = keyed.SEED) -> DataFrame:
-    """Add the columns to ``rows`` (which has ``id``), each drawn on its own from the observed values.
+def marginal_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(child, given, value, n): how often each column has each value, as text; ``given`` is empty."""
+    cells = F.array(*[F.struct(F.lit(c).alias("child"), F.lit("").alias("given"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(cells)).groupBy("child", "given", "value").agg(F.count("*").alias("n"))
 
-    A column with few values is drawn from an inlined list.  Any other takes the value of the observed row at a
-    hashed position: an equi-join on evenly spread row numbers.
-    """
+
+def independent_rows(df: DataFrame, columns: list[str], rows: DataFrame, keys: list[str], seed: int = keyed.SEED) -> DataFrame:
+    """Add the columns to ``rows`` (which has ``id``), each drawn on its own from the observed values by their frequency."""
     if not columns:
         return rows
-    lists = short_lists(df, columns)
-    key = F.col("id")
+    found = drawers(marginal_counts(df, columns))
     out = rows
-    long = [c for c in columns if c not in lists]
-    if long:
-        indexed = with_hashed_index(df.select(*dict.fromkeys([*keys, *long])), keys, "_at")
-        out = attach(out, df.agg(F.count("*").alias("_total")))
-        for c in long:
-            donor = indexed.select(F.col("_at").alias("_donor"), F.col(c).alias(c))
-            out = out.withColumn("_donor", keyed.index_below(F.col("_total"), f"donor:{c}", key, seed=seed)).join(donor, "_donor").drop("_donor")
-        out = out.drop("_total")
-    drawn = {c: weighted_draw(v, keyed.uniform(f"draw:{c}", key, seed=seed)).cast(df.schema[c].dataType) for c, v in lists.items()}
-    return out.withColumns(drawn) if drawn else out
+    for c in columns:
+        u = keyed.uniform(f"draw:{c}", F.col("id"), seed=seed)
+        out = found[c].draw(out, f"_drawn__{c}", u) if c in found else out.withColumn(f"_drawn__{c}", F.lit(None).cast("string"))
+    cells = {c: F.col(f"_drawn__{c}").cast(df.schema[c].dataType) for c in columns}
+    return out.withColumns(cells).drop(*[f"_drawn__{c}" for c in columns])
 
 
 # --- Gaussian copula --------------------------------------------------------
@@ -86,12 +84,12 @@ def nearest_factor(matrix: np.ndarray) -> np.ndarray:
 
 def normal_scores(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
     """Every value replaced by the normal quantile of its average rank over n + 1."""
-    ranks = dist.average_ranks(df, columns)
-    scores = ranks.select("column_name", "value", normal_quantile(F.col("rank") / (F.col("total_n") + 1)).alias("score"))
+    ranks = cut_lineage(dist.average_ranks(df, columns))
+    scores = ranks.select("column_name", "value", "n", normal_quantile(F.col("rank") / (F.col("total_n") + 1)).alias("score"))
     out = df.select(*key, *[dist.numeric(c).alias(c) for c in columns])
     for c in columns:
-        part = scores.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("score").alias(f"_z__{c}"))
-        out = out.join(part, c, "left")
+        part = scores.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("n").alias(f"_n__{c}"), F.col("score").alias(f"_z__{c}"))
+        out = fact_join(out, part, [c], f"_n__{c}")
     return out.select(*key, *[F.col(f"_z__{c}").alias(c) for c in columns])
 
 
@@ -130,8 +128,8 @@ def sample_copula(model: CopulaModel, rows: DataFrame, seed: int = keyed.SEED) -
 
 
 class TreeModel:
-    def __init__(self, order, parents, tables, edges, kinds):
-        self.order, self.parents, self.tables, self.edges, self.kinds = order, parents, tables, edges, kinds
+    def __init__(self, order, parents, drawers, edges, kinds):
+        self.order, self.parents, self.drawers, self.edges, self.kinds = order, parents, drawers, edges, kinds
 
 
 NULL_MARK = "\u0000null"
@@ -163,48 +161,54 @@ def mutual_information(counts: DataFrame) -> DataFrame:
 
 
 def spanning_tree(columns: list[str], weights: dict[tuple[str, str], float]) -> dict[str, str | None]:
-    """Parent of each column in the heaviest spanning tree rooted at the first; d nodes, on the driver."""
+    """Parent of each column in the heaviest spanning forest; a pair without a positive weight is no edge, so a column may have
+    no parent.  The first column of each tree is its root; d nodes, on the driver."""
     parents: dict[str, str | None] = {columns[0]: None}
     while len(parents) < len(columns):
         best = max(
             ((weights.get((a, b), weights.get((b, a), 0.0)), a, b) for a in parents for b in columns if b not in parents),
             key=lambda x: (x[0], x[1], x[2]),
         )
-        parents[best[2]] = best[1]
+        if best[0] > 0:
+            parents[best[2]] = best[1]
+        else:
+            parents[next(c for c in columns if c not in parents)] = None
     return parents
 
 
 def fit_tree(df: DataFrame, columns: list[str], bins: int = 5) -> TreeModel:
-    """Numeric columns become quantile bins; columns with more than fifty categories are left to marginals."""
+    """Numeric columns become quantile bins; texts keep all their categories.
+
+    The weight of a pair is its mutual information less what as many cells explain by chance, so that a column of nearly
+    unique texts does not pass for everyone's cause.
+    """
     numbers = [c for c in columns if c in dist.numeric_columns(df)]
     edges = {c: e for c, e in (quantile_edges(df, numbers, bins) if numbers else {}).items() if len(e) > 1}
-    short = short_lists(df, [c for c in columns if c not in edges])
-    kept = [c for c in columns if c in edges or c in short]
-    counts = pair_counts(_as_categories(df, kept, edges), kept)
-    weights = {(r.a, r.b): r.information for r in mutual_information(counts).collect()}
-    parents = spanning_tree(kept, weights)
-    order = list(parents)
-    # Conditional counts of every tree edge: at most columns x 51 x 51 rows.
-    tables: dict[str, dict[str | None, list]] = {c: {} for c in order}
-    cells = [F.struct(F.lit(c).alias("child"), F.lit(p).alias("parent"), F.col(c).alias("value"), (F.col(p) if p else F.lit("")).alias("given")) for c, p in parents.items()]
-    found = _as_categories(df, kept, edges).select(F.inline(F.array(*cells))).groupBy("child", "given", "value").agg(F.count("*").alias("n"))
-    for r in found.orderBy("child", "given", F.desc("n"), "value").collect():
-        tables[r.child].setdefault(r.given, []).append((r.value, r.n))
-    return TreeModel(order, parents, tables, edges, {c: df.schema[c].dataType for c in kept})
+    table = cut_lineage(_as_categories(df, columns, edges))
+    rows = table.count()
+    if rows == 0:
+        return TreeModel(columns, {c: None for c in columns}, {}, edges, {c: df.schema[c].dataType for c in columns})
+    weights = {}
+    if len(columns) > 1:
+        counts = cut_lineage(pair_counts(table, columns))
+        sides = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
+        sizes = {r.c: r.n for r in table.select(F.inline(sides)).distinct().groupBy("c").agg(F.count("*").alias("n")).collect()}
+        weights = {(r.a, r.b): bic(r.information, rows, sizes[r.a], sizes[r.b]) for r in mutual_information(counts).collect()}
+    parents = spanning_tree(columns, weights)
+    cells = [F.struct(F.lit(c).alias("child"), (F.col(p) if p else F.lit("")).alias("given"), F.col(c).alias("value")) for c, p in parents.items()]
+    found = drawers(table.select(F.inline(F.array(*cells))).groupBy("child", "given", "value").agg(F.count("*").alias("n")))
+    return TreeModel(list(parents), parents, found, edges, {c: df.schema[c].dataType for c in columns})
 
 
 def sample_tree(model: TreeModel, rows: DataFrame, seed: int = keyed.SEED) -> DataFrame:
-    """Draw from the root down; every conditional table is a short inlined list, so rows never move."""
+    """Draw from the roots down: short conditional tables are expressions, long ones joins on (parent value, bucket)."""
     key = F.col("id")
     out = rows
     for c in model.order:
-        u = keyed.uniform(f"tree:{c}", key, seed=seed)
-        parent = model.parents[c]
-        chain = F.lit(None).cast("string")
-        for given, values in model.tables[c].items():
-            drawn = weighted_draw(values, u)
-            chain = drawn if parent is None else F.when(F.col(f"_k__{parent}") == given, drawn).otherwise(chain)
-        out = out.withColumn(f"_k__{c}", chain)
+        parent, u = model.parents[c], keyed.uniform(f"tree:{c}", key, seed=seed)
+        given = F.col(f"_k__{parent}") if parent else None
+        drawer = model.drawers.get(c)
+        out = drawer.draw(out, f"_k__{c}", u, given) if drawer else out.withColumn(f"_k__{c}", F.lit(None).cast("string"))
     cells = {}
     for c in model.order:
         category = F.when(F.col(f"_k__{c}") != NULL_MARK, F.col(f"_k__{c}"))

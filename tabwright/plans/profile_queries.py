@@ -132,10 +132,10 @@ def table_set_profile(spark, folder):
 
 @query(
     "sampling_step",
-    """WITH h AS (SELECT DISTINCT o_orderdate AS ts FROM orders ORDER BY 1 LIMIT 100),
+    """WITH h AS (SELECT DISTINCT o_orderdate AS ts FROM orders WHERE o_orderdate IS NOT NULL),
         g AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM h)
        SELECT CASE WHEN count(DISTINCT gap) = 1 THEN max(gap) / 1e6 ELSE 86400 END::DOUBLE AS step_seconds,
         count(DISTINCT gap) AS distinct_steps FROM g""",
 )
 def sampling_step(spark, folder):
-    return prof.sampling_step(table(spark, folder, "orders"), "o_orderdate", first=100)  # as its twin says
+    return prof.sampling_step(table(spark, folder, "orders"), "o_orderdate")

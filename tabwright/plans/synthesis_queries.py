@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.operators import synthesis as syn
-from tabwright.plans.log_queries import joined_draws, top_sql
 from tabwright.plans.drift_queries import rounded
 from tabwright.plans.registry import query, sql_index, sql_uniform, table
 
 _CUSTOMERS = "(SELECT c_custkey AS id FROM customer)"
 
 
+def _marginal_sql(column: str) -> str:
+    """(id, column) drawn by frequency: the first value whose cumulative share exceeds the row's uniform number."""
+    return f"""(SELECT id, value AS {column} FROM (SELECT id, {sql_uniform(f'draw:{column}', 'id')} AS u FROM {_CUSTOMERS}) JOIN
+      (SELECT value, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo, hi FROM
+        (SELECT value, sum(n) OVER (ORDER BY n DESC, value)::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi FROM
+          (SELECT {column}::VARCHAR AS value, count(*) AS n FROM customer GROUP BY 1))) ON u >= lo AND u < hi)"""
+
+
 @query(
     "independent_marginals",
-    f"""WITH {joined_draws([('segment', 'c_mktsegment', sql_uniform('draw:c_mktsegment', 'id'), 'true'), ('nation', 'c_nationkey', sql_uniform('draw:c_nationkey', 'id'), 'true')], _CUSTOMERS, top_sql('customer', ['c_mktsegment', 'c_nationkey']))},
-      r AS (SELECT *, row_number() OVER (ORDER BY substr(sha256(c_custkey::VARCHAR), 1, 3), c_custkey) - 1 AS spot FROM customer), n AS (SELECT count(*) AS n FROM customer),
-      a AS (SELECT id, c_acctbal FROM {_CUSTOMERS}, n JOIN r ON spot = {sql_index('n', 'donor:c_acctbal', 'id')})
-      SELECT id, c_acctbal, nation::INTEGER AS c_nationkey, segment AS c_mktsegment FROM a JOIN segment_t USING (id) JOIN nation_t USING (id)""",
+    f"""SELECT id, c_acctbal::DOUBLE AS c_acctbal, c_nationkey::INTEGER AS c_nationkey, c_mktsegment
+      FROM {_marginal_sql('c_acctbal')} JOIN {_marginal_sql('c_nationkey')} USING (id) JOIN {_marginal_sql('c_mktsegment')} USING (id)""",
 )
 def independent_marginals(spark, folder):
     rows = table(spark, folder, "customer")
@@ -50,6 +55,26 @@ def dependency_tree(spark, folder):
     return syn.sample_tree(model, rows.select(F.col("o_orderkey").alias("id")))
 
 
+_DAYS = "(SELECT l_orderkey * 8 + l_linenumber AS id, substr(l_shipdate::VARCHAR, 1, 10) AS day, substr(l_shipdate::VARCHAR, 1, 4) AS year FROM lineitem)"
+
+
+@query(
+    "tree_draws",
+    f"""WITH t AS {_DAYS}, r AS (SELECT day, n, sum(n) OVER (ORDER BY n DESC, day)::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi,
+          (sum(n) OVER (ORDER BY n DESC, day) - n)::DOUBLE / (sum(n) OVER ())::DOUBLE AS lo FROM (SELECT day, count(*) AS n FROM t GROUP BY 1)),
+        c AS (SELECT day, year, sum(n) OVER w::DOUBLE / (sum(n) OVER (PARTITION BY day))::DOUBLE AS hi, (sum(n) OVER w - n)::DOUBLE / (sum(n) OVER (PARTITION BY day))::DOUBLE AS lo
+          FROM (SELECT day, year, count(*) AS n FROM t GROUP BY 1, 2) WINDOW w AS (PARTITION BY day ORDER BY n DESC, year)),
+        d AS (SELECT id, day, {sql_uniform('tree:year', 'id')} AS u FROM (SELECT id, {sql_uniform('tree:day', 'id')} AS v FROM t) JOIN r ON v >= lo AND v < hi)
+      SELECT id, d.day, year FROM d JOIN c ON d.day = c.day AND u >= lo AND u < hi""",
+)
+def tree_draws(spark, folder):
+    """A root of some 2,500 categories, and a column that depends on it."""
+    rows = table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("day"), F.substring(F.col("l_shipdate").cast("string"), 1, 4).alias("year")
+    )
+    return syn.sample_tree(syn.fit_tree(rows, ["day", "year"]), rows.select("id")).select("id", "day", "year")
+
+
 @query("private_marginals")
 def private_marginals(spark, folder):
     rows = table(spark, folder, "orders")
