@@ -12,22 +12,11 @@ from tabwright.operators import graph, graph_models
 from tabwright.operators.indexing import with_global_index
 from tabwright.operators.scalars import attach
 from tabwright.plans.drift_queries import rounded
-from tabwright.plans.registry import query, sql_digest, sql_index, table
+from tabwright.plans.registry import query, sql_digest, sql_index, sql_uniform, table
 from tabwright.session import cut_lineage
 
 
-_GRAPHS: dict = {}
-
-
 def part_graph(spark, folder):
-    """Built once per session and folder; the edge table lies in the checkpoint folder."""
-    place = (spark.sparkContext.applicationId, folder)
-    if place not in _GRAPHS:
-        _GRAPHS[place] = build_part_graph(spark, folder)
-    return _GRAPHS[place]
-
-
-def build_part_graph(spark, folder):
     rows = cut_lineage(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct())
     numbered = cut_lineage(with_global_index(rows, ["l_orderkey", "l_linenumber", "l_partkey"], "_i"))
     after = numbered.select((F.col("_i") - 1).alias("_i"), F.col("l_orderkey").alias("_o"), F.col("l_partkey").alias("_p"))
@@ -109,7 +98,17 @@ def power_law_score(spark, folder):
     return rounded(graph.power_law_score(*part_graph(spark, folder)), power_law_score=6)
 
 
-@query("label_propagation")
+@query(
+    "label_propagation",
+    # a node's own label counts once more: an edge to itself; thirty rounds, of which the last change nothing
+    f"""WITH RECURSIVE w AS MATERIALIZED (SELECT u, v FROM {WAYS} UNION ALL SELECT p_partkey, p_partkey FROM part), l AS (
+        SELECT 0 AS step, p_partkey AS id, p_partkey AS community FROM part
+        UNION ALL
+        SELECT step + 1, id, community FROM (
+          SELECT step, id, community, row_number() OVER (PARTITION BY id ORDER BY n DESC, community) AS r FROM
+            (SELECT l.step, w.u AS id, l.community, count(*) AS n FROM l JOIN w ON w.v = l.id WHERE l.step < 30 GROUP BY ALL)) WHERE r = 1)
+      SELECT id, community FROM l WHERE step = 30""",
+)
 def label_propagation(spark, folder):
     return graph.communities(*part_graph(spark, folder))
 
@@ -197,7 +196,16 @@ def random_graph_model(spark, folder):
     return graph_models.erdos_renyi(spark, stats.nodes, stats.density)
 
 
-@query("small_world_model")
+@query(
+    "small_world_model",
+    f"""WITH o AS (SELECT nodes AS n, greatest(2, round(avg_degree))::BIGINT AS d, (SELECT avg(clustering) FROM {_LOCAL}) AS c FROM {_STATS}),
+      k AS (SELECT n, c, least(d + d % 2, n - 1 - (n - 1) % 2) AS k FROM o),
+      b AS (SELECT *, CASE WHEN k > 2 AND c > 0 THEN greatest(0.01::DOUBLE, least(0.99::DOUBLE, 1 - c / (3 * (k - 2) / (4 * (k - 1))::DOUBLE))) ELSE 0.3 END AS beta FROM k),
+      e AS (SELECT i, unnest(range(1, greatest(1, k // 2) + 1)) AS j, n, beta FROM (SELECT unnest(range(n)) AS i, n, k, beta FROM b)),
+      t AS (SELECT i, {sql_index('n - 1', 'ws-to', 'i', 'j')} AS o, {sql_uniform('ws', 'i', 'j')} < beta AS moved, (i + j) % n AS near FROM e),
+      f AS (SELECT i, CASE WHEN moved THEN o + (o >= i)::BIGINT ELSE near END AS x FROM t)
+      SELECT DISTINCT least(i, x) AS src, greatest(i, x) AS dst FROM f WHERE i <> x""",
+)
 def small_world_model(spark, folder):
     nodes, edges, stats = _observed(spark, folder)
     clustering = graph.average_clustering(nodes, edges).first()[0]
@@ -317,8 +325,17 @@ def synthetic_graph(spark, folder):
     return graph_models.synthesize_graph(nodes, edges)[1]
 
 
-@query("directed_clustering")
+@query(
+    "directed_clustering",
+    f"""WITH d AS MATERIALIZED (SELECT CASE WHEN (src + dst) % 2 = 0 THEN src ELSE dst END AS src, CASE WHEN (src + dst) % 2 = 0 THEN dst ELSE src END AS dst FROM {EDGES}),
+      e AS MATERIALIZED (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS s FROM d GROUP BY 1, 2),
+      t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z, a.s * b.s * c.s AS w FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst),
+      k AS (SELECT id, sum(w) AS w FROM (SELECT x AS id, w FROM t UNION ALL SELECT y, w FROM t UNION ALL SELECT z, w FROM t) GROUP BY 1),
+      g AS (SELECT id, sum(s) AS total, sum((s = 2)::INT) AS mutual FROM (SELECT src AS id, s FROM e UNION ALL SELECT dst, s FROM e) GROUP BY 1)
+      SELECT p_partkey AS id, round(CASE WHEN total * (total - 1) - 2 * mutual > 0 THEN coalesce(w, 0) / (total * (total - 1) - 2 * mutual)::DOUBLE ELSE 0 END, 9) AS clustering
+      FROM part LEFT JOIN g ON g.id = p_partkey LEFT JOIN k ON k.id = p_partkey""",
+)
 def directed_clustering(spark, folder):
     nodes, edges = part_graph(spark, folder)
     turned = edges.select(F.when((F.col("src") + F.col("dst")) % 2 == 0, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when((F.col("src") + F.col("dst")) % 2 == 0, F.col("dst")).otherwise(F.col("src")).alias("dst"))
-    return graph.directed_clustering(nodes, turned)
+    return rounded(graph.directed_clustering(nodes, turned), clustering=9)

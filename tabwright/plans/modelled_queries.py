@@ -80,10 +80,24 @@ def rare_category_preservation(spark, folder):
     return rounded(modelled.rare_category_preservation(*_parts(spark, folder), ["p_name", "p_brand"]), score=6)
 
 
-@query("rare_event_score")
+def _outlier_score(column, first, second):
+    rate = "(SELECT avg(({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))::INT) FROM {t})"
+    a, b = (rate.format(c=column, t=t) for t in (first, second))
+    return f"""SELECT greatest(0, CASE WHEN a > 0 THEN 1 - abs(a - b) / (a + 1e-10) WHEN b = 0 THEN 1 ELSE 0.5 END) AS score FROM
+        (SELECT {a} AS a, {b} AS b FROM (SELECT quantile_cont({column}, 0.25) AS q1, quantile_cont({column}, 0.75) AS q3 FROM {first}))"""
+
+
+@query(
+    "rare_event_score",
+    f"""WITH c AS (SELECT * FROM ({sql_counts(['p_name', 'p_brand'], 'VARCHAR', _PA, _PB)}) WHERE n_first > 0),
+      t AS (SELECT column_name, quantile_cont(n_first, 0.2) AS cut FROM c GROUP BY 1),
+      s AS (SELECT avg((n_second > 0)::INT) AS score FROM c JOIN t USING (column_name) WHERE n_first <= cut GROUP BY column_name),
+      o AS ({_outlier_score('p_retailprice', _PA, _PB)} UNION ALL {_outlier_score('p_size', _PA, _PB)})
+      SELECT round(avg(score), 6) AS rare_event_score FROM (SELECT score FROM o UNION ALL SELECT score FROM s)""",
+)
 def rare_event_score(spark, folder):
     a, b = _parts(spark, folder)
-    return modelled.rare_event_score(a, b, ["p_retailprice", "p_size"], ["p_name", "p_brand"])
+    return rounded(modelled.rare_event_score(a, b, ["p_retailprice", "p_size"], ["p_name", "p_brand"]), rare_event_score=6)
 
 
 _TRIPLE = ["o_totalprice", "o_custkey", "o_day"]
