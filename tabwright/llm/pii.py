@@ -208,17 +208,22 @@ def revealing_terms(scanned: DataFrame, rows: int) -> DataFrame:
     told = some.select("_row", F.explode("terms").alias("term"))
     n_near = told.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= SUPPORT)
     n_term = scanned.filter("term IS NOT NULL").groupBy("term").agg(F.sum("documents").alias("n_term"))
-    told = hot_join(told, n_near.join(n_term, "term"), ["term"], "n_near", told.count()).filter("n_term IS NOT NULL").drop("n_near")
-    both = store(owned, "pii-owned").join(store(told, "pii-told"), "_row")
+    near = store(n_near.join(n_term, "term"), "pii-near")
+    looked_at = max(1, n_entity.count() * near.count())
+    # A pair's texts are at most the entity's, and at most the term's beside any entity. Shares that cannot be reached so are
+    # not counted; the rarest entity asks for the least.
+    possible = F.col("n_near") >= F.col("n_term") * (SUPPORT / max(rows, SUPPORT)) ** (1 - GENERALISE) * (1 - 1e-9)
+    told = hot_join(told, near.filter(possible), ["term"], "n_near", told.count()).filter("n_term IS NOT NULL")
+    both = owned.join(store(told, "pii-told"), "_row")
+    most = F.least("n_entity", "n_near") * F.lit(float(rows)) / (F.col("n_entity") * F.col("n_term"))
+    both = both.filter(F.log(most) >= (GENERALISE - 1e-9) * F.log(F.lit(float(rows)) / F.col("n_entity"))).drop("n_near")
     texts = both.groupBy("name", "level", "n_entity", "term", "n_term", "content").agg(F.count("*").alias("n"))
     pairs = texts.groupBy("name", "level", "n_entity", "term", "n_term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"))
-    pairs = store(pairs, "pii-pairs")
-    looked_at = pairs.count()
     n = F.lit(float(rows))
     pmi = F.log(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term")))
     content = F.log(n / F.col("n_entity"))
     pairs = pairs.withColumn("share", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
-    told_enough = (F.col("texts") >= SUPPORT) & (F.col("texts") * pmi >= math.log(max(1, looked_at)) + EVIDENCE)
+    told_enough = (F.col("texts") >= SUPPORT) & (F.col("texts") * pmi >= math.log(looked_at) + EVIDENCE)
     out = pairs.filter((F.col("share") >= GENERALISE) & told_enough).groupBy("term")
     best = F.max(F.struct((-F.col("level")).alias("specific"), F.col("share"))).alias("best")
     return out.agg(best).select("term", F.col("best.share").alias("share"), (-F.col("best.specific")).alias("level"))

@@ -49,13 +49,14 @@ def plain_terms(texts):
             for t in {m.group().casefold() for m in pii._TERM.finditer(text) if all(m.end() <= a or m.start() >= b for a, b, _ in spans)}:
                 near[t] += 1
     pairs = {(e, t): x for (e, t), x in both.items() if n_entity[e] >= 3 and near[t] >= 3}
+    tested = sum(n >= 3 for n in n_entity.values()) * sum(n >= 3 for n in near.values())
     out = {}
     for (e, t), found in pairs.items():
         pmi = math.log(len(found) * len(texts) / (n_entity[e] * n_term[t]))
         content = math.log(len(texts) / n_entity[e])
         share = pmi / content if content > 0 else 0
         alone = len(set(found))
-        if share >= 0.8 and alone >= 3 and alone * pmi >= math.log(len(pairs)) + 3:
+        if share >= 0.8 and alone >= 3 and alone * pmi >= math.log(tested) + 3:
             out[t] = max(out.get(t, (-9, 0)), (-levels[e], share))
     return {t: (-level, share) for t, (level, share) in out.items()}
 
