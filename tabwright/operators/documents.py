@@ -1,15 +1,16 @@
 """Text profiles: content type, structure, components, vocabulary, blocks, pages.
 
-Everything works on whole texts, inside the row that holds them, except the block segmentation.
+Everything works on whole texts, inside the row that holds them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keywords in the order they are tried, and section markers.
 CONTENT_TYPES = [
@@ -74,11 +75,6 @@ def is_upper(text: Column) -> Column:
     return (F.upper(text) == text) & (F.lower(text) != text)
 
 
-def line_table(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, line_no, line)."""
-    return docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
 def structural_elements(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Per document: headings by kind, bullets, numbered items, table lines, sections, paragraphs.
 
@@ -168,44 +164,89 @@ def line_class(line: Column) -> Column:
     )
 
 
+#: What the segmentation needs of a line: its class, whether it fits a running table or list, its text, whether it ends a paragraph.
+_LINE_FIELDS = ("class", "celled", "bulleted", "counted", "item_bullet", "item_numbered", "stripped", "breaks")
+
+
+def _line_facts(line: Column) -> Column:
+    stripped = _strip(line)
+    bulleted, counted = line.rlike(BULLET), line.rlike(NUMBERED_ITEM)
+    facts = (
+        line_class(line),
+        line.contains("|") | line.contains("\t") | (F.length(stripped) == 0),
+        bulleted,
+        counted,
+        F.when(bulleted, F.regexp_replace(line, BULLET, "")),
+        F.when(counted, F.regexp_replace(line, NUMBERED_ITEM, "")),
+        stripped,
+        stripped.endswith(":") & (F.length(stripped) < 100),
+    )
+    return F.struct(*[f.alias(n) for f, n in zip(facts, _LINE_FIELDS)])
+
+
+def fold_lines(lines: list[tuple]) -> list[tuple]:
+    """(kind, level, lines, content) of the blocks of classified lines, in one pass.
+
+    Once a table or list has begun, every directly following line of its shape belongs to it, whatever else it looks like; a
+    table goes on over blank lines. Headers stand alone; blank lines end a block, except inside a table.
+    """
+    found: list[tuple[str, list[str]]] = []
+    table = bullets = numbers = False
+    before = solid = None
+    for kind, celled, bulleted, counted, item_bullet, item_numbered, stripped, breaks in lines:
+        table = celled and (table or kind == "table")
+        if table and kind != "blank":
+            kind = "table"
+        bullets = bulleted and (bullets or kind == "bullet")
+        if bullets and kind != "blank":
+            kind = "bullet"
+        numbers = counted and (numbers or kind == "numbered")
+        if numbers and kind != "blank":
+            kind = "numbered"
+        if kind != "blank":
+            joined = kind in ("bullet", "numbered", "text") and before == kind and not (kind == "text" and breaks)
+            item = {"bullet": item_bullet, "numbered": item_numbered}.get(kind, stripped)
+            item = stripped if item is None else item
+            if joined or (kind == "table" and solid == "table"):
+                found[-1][1].append(item)
+            else:
+                found.append((kind, [item]))
+            solid = kind
+        before = kind
+    names = {"bullet": "bullet_list", "numbered": "numbered_list", "text": "paragraph", "table": "table"}
+    levels = {"header1": 1, "header2": 2}
+    return [(names.get(k, "header"), levels.get(k), len(parts), (" " if k == "text" else "\n").join(parts)) for k, parts in found]
+
+
 def blocks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, block, kind, level, lines, content): consecutive lines of one class merged.
+    """(keys, block, kind, level, lines, content): consecutive lines of one class merged, blocks counted from 1.
 
-    Headers stand alone; blank lines end a block, except inside a table.  A group is one document, whose lines
-    came out of one row; the classes are numbered by a window over it (gaps and islands).
+    Lines are classified by expressions; a fold over a document's lines then forms its blocks, in the row's own task.
     """
-    lines = line_table(docs, keys, text).withColumn("_k", line_class(F.col("line")))
-    w = W.partitionBy(*keys).orderBy("line_no")
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    celled = F.col("line").contains("|") | F.col("line").contains("\t") | (F.length(_strip(F.col("line"))) == 0)
-    for kind, fits in (("table", celled), ("bullet", F.col("line").rlike(BULLET)), ("numbered", F.col("line").rlike(NUMBERED_ITEM))):
-        # Once a table or list has begun, every directly following line of its shape belongs to it, whatever else it
-        # looks like; a table goes on over blank lines, and its rows may be indented by a tab.
-        lines = lines.withColumn("_run", F.sum((~fits).cast("int")).over(so_far))
-        begun = F.max((F.col("_k") == kind).cast("int")).over(W.partitionBy(*keys, "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-        lines = lines.withColumn("_k", F.when(fits & (begun == 1) & (F.col("_k") != "blank"), kind).otherwise(F.col("_k")))
-    before = F.lag("_k").over(w)
-    solid = F.last(F.when(F.col("_k") != "blank", F.col("_k")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    stripped = _strip(F.col("line"))
-    breaks = stripped.endswith(":") & (F.length(stripped) < 100)
-    joins = F.col("_k").isin("bullet", "numbered", "text") & (before == F.col("_k")) & ~((F.col("_k") == "text") & breaks)
-    joins = joins | ((F.col("_k") == "table") & (solid == "table"))
-    marked = lines.withColumn("_new", ((F.col("_k") != "blank") & ~F.coalesce(joins, F.lit(False))).cast("int"))
-    numbered = marked.withColumn("block", F.sum("_new").over(so_far)).where("_k <> 'blank'")
-    item = (
-        F.when(F.col("_k") == "bullet", F.regexp_replace("line", BULLET, ""))
-        .when(F.col("_k") == "numbered", F.regexp_replace("line", NUMBERED_ITEM, ""))
-        .otherwise(_strip(F.col("line")))
-    )
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", item.alias("item")))), lambda x: x["item"])
-    kind = (
-        F.when(F.col("_k").startswith("header"), "header").when(F.col("_k") == "bullet", "bullet_list")
-        .when(F.col("_k") == "numbered", "numbered_list").when(F.col("_k") == "text", "paragraph").otherwise("table")
-    )
-    level = F.when(F.col("_k") == "header1", 1).when(F.col("_k") == "header2", 2)
-    grouped = numbered.groupBy(*keys, "block", "_k").agg(F.count("*").alias("lines"), parts.alias("_parts"))
-    content = F.when(F.col("_k") == "text", F.array_join("_parts", " ")).otherwise(F.array_join("_parts", "\n"))
-    return grouped.select(*keys, F.col("block").cast("bigint").alias("block"), kind.alias("kind"), level.alias("level"), "lines", content.alias("content"))
+    rows = docs.select(*keys, F.transform(F.split(F.col(text), "\n"), _line_facts).alias("_lines"))
+    made = "block bigint, kind string, level int, lines bigint, content string"
+    schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys] + T._parse_datatype_string(made).fields)
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+
+    def fold(batches):
+        for batch in batches:
+            owner, out = [], []
+            lists = batch.column("_lines")
+            flat = lists.flatten()
+            columns = [flat.field(n).to_pylist() for n in _LINE_FIELDS]
+            facts = list(zip(*columns))
+            at = 0
+            for row, size in enumerate(lists.value_lengths().fill_null(0).to_pylist()):
+                for number, block in enumerate(fold_lines(facts[at : at + size]), 1):
+                    owner.append(row)
+                    out.append((number, *block))
+                at += size
+            taken = pa.array(owner, pa.int64())
+            arrays = [batch.column(k).take(taken) for k in keys]
+            arrays += [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def page_words(pages: DataFrame, document: str, page: str, text: str = "text") -> DataFrame:

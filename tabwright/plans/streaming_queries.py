@@ -68,13 +68,8 @@ def stream_windowed_counts(spark, folder):
 _LATE = "(event_id % 50 = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL '1 day')"
 
 
-@query(
-    "stream_late_events",
-    f"""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, 'users' AS "table", {_OP} AS operation, count(*) AS events
-        FROM events WHERE NOT {_LATE} GROUP BY time_bucket(INTERVAL '1 hour', ts), 3 HAVING {_CLOSED}""",
-)
-def stream_late_events(spark, folder):
-    """One event in fifty arrives a day or more after the others have closed its window: it is left out."""
+def late_stream(spark, folder):
+    """One event in fifty arrives a day or more behind the last of the others, after all of them."""
     rows = table(spark, folder, "events")
     late = (F.col("event_id") % 50 == 7) & (F.col("ts") < F.col("_last") - F.expr("INTERVAL 1 DAY"))
     marked = attach(rows, rows.agg(F.max("ts").alias("_last"))).withColumn("_late", F.coalesce(late, F.lit(False))).drop("_last")
@@ -84,12 +79,34 @@ def stream_late_events(spark, folder):
     for part, arrived in enumerate((~F.col("_late") & even, ~F.col("_late") & ~even, F.col("_late"))):
         marked.where(arrived).drop("_late").coalesce(1).write.parquet(f"{source}/part{part}")
     stream = jobs.read_stream(spark, f"{source}/*", rows.schema, files_per_batch=1)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return as_changes(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(
+    "stream_late_events",
+    f"""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, 'users' AS "table", {_OP} AS operation, count(*) AS events
+        FROM events WHERE NOT {_LATE} GROUP BY time_bucket(INTERVAL '1 hour', ts), 3 HAVING {_CLOSED}""",
+)
+def stream_late_events(spark, folder):
+    """Late events come after the others have closed their window: they are left out."""
     out, mark = scratch_path(spark, "late"), scratch_path(spark, "late-check")
-    finished(jobs.run_table(jobs.windowed_counts(as_changes(stream)), out, mark))
+    finished(jobs.run_table(jobs.windowed_counts(late_stream(spark, folder)), out, mark))
     return jobs.finished_windows(spark, out).select(F.unix_micros("start").alias("start_micros"), "table", "operation", "events")
 
 
+@query(
+    "stream_state_late_events",
+    f"""SELECT user_id, event_type, value FROM (SELECT *, {_OP} AS op FROM events
+        WHERE NOT (event_id % 50 = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL '1 day')
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE op <> 'DELETE'""",
+)
+def stream_state_late_events(spark, folder):
+    """Changes behind the watermark do not touch the table, though the state of their keys is gone."""
+    out, mark = scratch_path(spark, "late-state"), scratch_path(spark, "late-state-check")
+    finished(jobs.run_table(jobs.latest_state(late_stream(spark, folder), ["user_id"], "1 hour"), out, mark, "update"))
+    return jobs.upserts(spark, out, ["user_id"]).select("user_id", "after.event_type", "after.value")
+
+
 @query(
     "stream_error_rate",
     """SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tabwright.operators import drift, logs, pii
 from tabwright.operators.cdc import event_key
@@ -20,16 +22,45 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, name: st
     return reader.parquet(folder)
 
 
-def latest_state(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The table a change stream has built so far: the last image per key by (ts, seq), deletes as nulls.
+#: Images travel through the state operator as text; times keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-    A streaming aggregation keeps one image per key in the state store, and ``max_by`` goes by event time, so
-    events that arrive out of order, however late, land where they belong.  A delete stays as a tombstone, or an
-    older update that arrives after it would bring the row back.
+
+def latest_state(events: DataFrame, keys: list[str], lateness: str = "1 day") -> DataFrame:
+    """The table a change stream has built so far: the last image per key by (ts, seq), deletes as nulls, as updates.
+
+    The state of a key is the place of its last change, so that an older change that arrives after it is left out, and a
+    delete is not undone by it.  Events behind the watermark are dropped; therefore a key whose last change lies behind it
+    needs no state any more, tombstone or not, and its timer removes it.  State is bounded by the keys of the last
+    ``lateness`` of event time.
     """
-    rows = events.select(*event_key(events, keys), "after", "ts", "seq")
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct("after"), F.struct("ts", "seq")).alias("_l"), F.max("ts").alias("changed_at"))
-    return last.select(*keys, F.col("_l.after").alias("after"), F.col("_l.after").isNull().alias("deleted"), "changed_at")
+    image = events.schema["after"].dataType
+    # a null time has no place in the order
+    rows = events.where("ts IS NOT NULL").withWatermark("ts", lateness)
+    rows = rows.select(*event_key(events, keys), F.to_json("after", _JSON).alias("after"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("seq").cast("bigint").alias("seq"))
+    kinds = rows.schema
+    shape = T.StructType([T.StructField(k, kinds[k].dataType) for k in keys] + T._parse_datatype_string("after string, micros bigint").fields)
+
+    def advance(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        found = None
+        for part in parts:
+            for after, micros, seq in zip(part["after"], part["micros"], part["seq"]):
+                place = (int(micros), int(seq))
+                if last is None or place > last:
+                    last, found = place, (None if pd.isna(after) else after, place[0])
+        if found is not None:
+            state.update(last)
+            yield pd.DataFrame([(*key, *found)], columns=shape.names)
+        # a timer has to lie ahead of the watermark
+        state.setTimeoutTimestamp(max(last[0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    made = rows.groupBy(*keys).applyInPandasWithState(advance, shape, "micros bigint, seq bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    changed = F.timestamp_micros("micros").cast(events.schema["ts"].dataType)
+    return made.select(*keys, F.from_json("after", image, _JSON).alias("after"), F.col("after").isNull().alias("deleted"), changed.alias("changed_at"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", lateness: str = "10 minutes", slide: str | None = None) -> DataFrame:

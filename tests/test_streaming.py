@@ -61,3 +61,17 @@ def test_drift_of_each_batch(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).where("column_name = 'v'").collect()
     assert sorted(r.alert_level for r in rows) == ["green", "red"]
     assert drift.drift_report(base, base, use_p_value=False).where("alert_level = 'green'").count() == 2
+
+
+def test_state_is_bounded_by_the_watermark(spark, tmp_path):
+    # every batch has keys of its own, a day after the last; tombstones and rows leave the state alike
+    batches = [[("DELETE" if k % 2 else "INSERT", f"2024-01-{1 + b:02d} 00:00:00", 0, 100 * b + k, "a") for k in range(20)] for b in range(8)]
+    # far behind the watermark: left out, though the state of its key is gone
+    batches.append([("UPDATE", "2024-01-01 00:00:00", 5, 1, "late"), ("UPDATE", "2024-01-09 00:00:00", 0, 2, "new")])
+    stream = stream_of(spark, str(tmp_path / "in"), batches)
+    handle = jobs.run_table(jobs.latest_state(stream, ["k"], "1 hour"), str(tmp_path / "out"), str(tmp_path / "mark"), "update")
+    handle.awaitTermination()
+    sizes = [p.stateOperators[0].numRowsTotal for p in handle.recentProgress if p.stateOperators]
+    assert sizes and max(sizes) <= 80 and sizes[-1] <= 2
+    rows = {r.k: r.after.v for r in jobs.upserts(spark, str(tmp_path / "out"), ["k"]).collect()}
+    assert 1 not in rows and rows[2] == "new" and rows[100] == "a" and len(rows) == 80
