@@ -288,6 +288,23 @@ def quantiles_of_counts(running: DataFrame, fractions: list[float]) -> DataFrame
     return found.select("column_name", F.inline(F.array(*entries)))
 
 
+def quantile_sketches(df: DataFrame, columns: list[str], k: int = 400) -> DataFrame:
+    """(column_name, sketch): a KLL sketch per numeric column, of bounded size, from one pass; sketches of parts can be merged."""
+    row = df.agg(*[F.kll_sketch_agg_double(numeric(c), k).alias(f"sketch__{c}") for c in columns])
+    return stack_row(row, columns, ["sketch"])
+
+
+def merged_sketches(sketches: DataFrame, k: int = 400) -> DataFrame:
+    """One sketch per column of the rows that several sketches have seen."""
+    return sketches.groupBy("column_name").agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def approximate_quantiles(sketches: DataFrame, fractions: list[float]) -> DataFrame:
+    """(column_name, fraction, quantile) read from sketches: values whose rank is close to the fraction, with no interpolation."""
+    found = [F.struct(F.lit(float(q)).alias("fraction"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("quantile")) for q in fractions]
+    return sketches.select("column_name", F.inline(F.array(*found)))
+
+
 def quantile_map(df: DataFrame, columns: list[str], fractions: list[float]) -> dict[str, dict[float, float]]:
     """The same on the driver: columns x fractions numbers."""
     out: dict[str, dict[float, float]] = {c: {} for c in columns}

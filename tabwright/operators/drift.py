@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.special import chi_square_tail, kolmogorov_tail
 from tabwright.operators import distributions as dist
 from tabwright.operators.scalars import attach
+from tabwright.session import cut_lineage
 
 REPORT = [
     "column_name", "column_type", "test_used", "drift_score", "p_value", "alert_level",
@@ -29,7 +30,10 @@ def numeric_drift(baseline: DataFrame, snapshot: DataFrame, columns: list[str],
     """KS distance, p-value, means and spreads per numeric column; an empty side scores 0 and stays green."""
     cuts = dist.fit_cut_points([baseline, snapshot], columns)
     ks = dist.ks_distance(dist.ordered_paired_counts(baseline, snapshot, columns, cuts))
-    summary = dist.paired_summary(baseline, snapshot, columns)
+    return _numeric_rows(ks, dist.paired_summary(baseline, snapshot, columns), use_p_value)
+
+
+def _numeric_rows(ks: DataFrame, summary: DataFrame, use_p_value: bool) -> DataFrame:
     joined = summary.join(F.broadcast(ks.select("column_name", "ks")), "column_name", "left")
     filled = (F.col("n_first") > 0) & (F.col("n_second") > 0)
     harmonic = F.try_divide(F.col("n_first") * F.col("n_second"), F.col("n_first") + F.col("n_second"))
@@ -66,7 +70,10 @@ def categorical_drift(
     baseline: DataFrame, snapshot: DataFrame, columns: list[str], use_p_value: bool = True
 ) -> DataFrame:
     """JS divergence plus a chi-square of snapshot counts against rescaled baseline counts."""
-    counts = dist.paired_counts(baseline, snapshot, columns, "categorical")
+    return _categorical_rows(dist.paired_counts(baseline, snapshot, columns, "categorical"), columns, use_p_value)
+
+
+def _categorical_rows(counts: DataFrame, columns: list[str], use_p_value: bool) -> DataFrame:
     measures = dist.frequency_measures(counts).select("column_name", "js", "items")
     sized = dist.with_totals(counts, "n_first", "n_second")
     expected = F.greatest(
@@ -80,7 +87,7 @@ def categorical_drift(
         F.max("total_n_second").alias("n_second"),
     )
     filled = (F.col("n_first") > 0) & (F.col("n_second") > 0)
-    names = baseline.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    names = counts.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     rows = (
         F.broadcast(names)
         .join(F.broadcast(chi), "column_name", "left")
@@ -132,6 +139,77 @@ def drift_report(
     return report
 
 
+class BaselineProfile:
+    """What a baseline leaves behind: value counts and moments of its columns, stored; its rows are read once.
+
+    Counts of parts of a baseline add up, so a profile can be grown by :func:`grown_profile`.
+    """
+
+    def __init__(self, numbers, texts, cuts, values, categories, moments):
+        self.numbers, self.texts, self.cuts = numbers, texts, cuts
+        self.values, self.categories, self.moments = values, categories, moments
+
+
+def baseline_profile(baseline: DataFrame, columns: list[str] | None = None) -> BaselineProfile:
+    kept = [c for c in baseline.columns if columns is None or c in columns]
+    numbers = [c for c in kept if c in dist.numeric_columns(baseline, booleans=True)]
+    texts = [c for c in kept if c in dist.categorical_columns(baseline)]
+    if not numbers and not texts:
+        raise ValueError("the baseline has no numeric or text column")
+    cuts = dist.fit_cut_points([baseline], numbers) if numbers else {}
+    values = cut_lineage(dist.ordered_counts(baseline, numbers, cuts)) if numbers else None
+    categories = cut_lineage(dist.long_text(baseline, texts).groupBy("column_name", "value").agg(F.count("*").alias("n"))) if texts else None
+    return BaselineProfile(numbers, texts, cuts, values, categories, cut_lineage(_moments(values)) if numbers else None)
+
+
+def _moments(values: DataFrame) -> DataFrame:
+    """Count, mean and deviation of each column from its value counts."""
+    n = F.sum("n").alias("n")
+    means = values.groupBy("column_name").agg(n, (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    gaps = values.join(F.broadcast(means.select("column_name", "mean")), "column_name")  # one row per column
+    squares = gaps.groupBy("column_name").agg(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2))).alias("_s"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_s") / (F.col("n") - 1)))
+    return means.join(F.broadcast(squares), "column_name").select("column_name", "n", "mean", std.alias("std"))
+
+
+def grown_profile(profile: BaselineProfile, more: DataFrame) -> BaselineProfile:
+    """The profile of the old rows and the new ones; only the new ones are read."""
+    values, categories = profile.values, profile.categories
+    if values is not None:
+        added = values.unionByName(dist.ordered_counts(more, profile.numbers, profile.cuts))
+        values = cut_lineage(added.groupBy("column_name", "bucket", "value").agg(F.sum("n").alias("n")))
+    if categories is not None:
+        new = dist.long_text(more, profile.texts).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        categories = cut_lineage(categories.unionByName(new).groupBy("column_name", "value").agg(F.sum("n").alias("n")))
+    moments = cut_lineage(_moments(values)) if values is not None else None
+    return BaselineProfile(profile.numbers, profile.texts, profile.cuts, values, categories, moments)
+
+
+def profile_drift(profile: BaselineProfile, snapshot: DataFrame, use_p_value: bool = True) -> DataFrame:
+    """The drift report of a snapshot against a stored profile; no row of the baseline is read."""
+
+    def paired(base: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        first = base.select(*keys, F.col("n").alias("n_first"), zero.alias("n_second"))
+        second = counted.select(*keys, zero.alias("n_first"), F.col("n").alias("n_second"))
+        return first.unionByName(second).groupBy(*keys).agg(F.sum("n_first").alias("n_first"), F.sum("n_second").alias("n_second"))
+
+    parts = []
+    if profile.numbers:
+        counted = dist.ordered_counts(snapshot, profile.numbers, profile.cuts)
+        ks = dist.ks_distance(paired(profile.values, counted, ["column_name", "bucket", "value"]))
+        sides = [
+            t.select("column_name", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "mean", "std")])
+            for t, side in ((profile.moments, "first"), (dist.summarise(snapshot, profile.numbers), "second"))
+        ]
+        summary = sides[1].join(F.broadcast(sides[0]), "column_name", "left").na.fill(0, ["n_first"])
+        parts.append(_numeric_rows(ks, summary, use_p_value))
+    if profile.texts:
+        counted = dist.long_text(snapshot, profile.texts).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        parts.append(_categorical_rows(paired(profile.categories, counted, ["column_name", "value"]), profile.texts, use_p_value))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def drift_summary(report: DataFrame) -> DataFrame:
     """Mean score (at most 1) and the number of columns at each alert level."""
     return report.agg(

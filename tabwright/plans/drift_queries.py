@@ -134,6 +134,24 @@ def exact_quantiles(spark, folder):
     return rounded(dist.quantiles(rows, NUMBERS, [0.05, 0.25, 0.5, 0.75, 0.95]), quantile=6)
 
 
+@query(
+    "sketched_quantiles",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, {q}::DOUBLE AS fraction, true AS close" for c in NUMBERS for q in (0.05, 0.5, 0.95)),
+)
+def sketched_quantiles(spark, folder):
+    """Sketches of two halves of the lines, merged; close: the value's exact ranks are within two hundredths of the fraction."""
+    rows = table(spark, folder, "lineitem")
+    halves = [dist.quantile_sketches(rows.where(F.col("l_orderkey") % 2 == k), NUMBERS) for k in (0, 1)]
+    found = dist.approximate_quantiles(dist.merged_sketches(halves[0].unionByName(halves[1])), [0.05, 0.5, 0.95])
+    counts = dist.running_counts(dist.ordered_counts(rows, NUMBERS, dist.fit_cut_points([rows], NUMBERS)), "n")
+    ranks = counts.join(F.broadcast(found), "column_name").groupBy("column_name", "fraction").agg(
+        F.max(F.when(F.col("value") <= F.col("quantile"), F.col("cum_n") / F.col("total_n"))).alias("upto"),
+        F.coalesce(F.max(F.when(F.col("value") < F.col("quantile"), F.col("cum_n") / F.col("total_n"))), F.lit(0.0)).alias("below"),
+    )
+    close = (F.col("upto") >= F.col("fraction") - 0.02) & (F.col("below") <= F.col("fraction") + 0.02)
+    return ranks.select("column_name", "fraction", close.alias("close"))
+
+
 @query("joint_histogram", sql_histogram(NUMBERS))
 def joint_histogram(spark, folder):
     return dist.joint_histogram(*lines(spark, folder), NUMBERS)

@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tabwright.operators import drift, logs, pii
 from tabwright.operators.cdc import event_key
-from tabwright.session import cut_lineage
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, name: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -128,11 +127,11 @@ def upserts(spark: SparkSession, output: str, keys: list[str]) -> DataFrame:
 
 
 def watch_drift(stream: DataFrame, baseline: DataFrame, columns: list[str], output: str, checkpoint: str, use_p_value: bool = False) -> StreamingQuery:
-    """Compare every micro-batch with a stored baseline; each batch writes its report to ``output/batch=<id>``."""
-    kept = cut_lineage(baseline.select(*columns))  # stored once, read by every batch
+    """Compare every micro-batch with the baseline's stored profile; each batch writes its report to ``output/batch=<id>``."""
+    profile = drift.baseline_profile(baseline, columns)  # the baseline's rows are read once
 
     def compare(batch: DataFrame, epoch: int) -> None:
-        report = drift.drift_report(kept, batch.select(*columns), columns, use_p_value)
+        report = drift.profile_drift(profile, batch.select(*columns), use_p_value)
         report.write.mode("overwrite").parquet(f"{output}/batch={epoch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(compare).trigger(availableNow=True).start()

@@ -75,3 +75,17 @@ def test_state_is_bounded_by_the_watermark(spark, tmp_path):
     assert sizes and max(sizes) <= 80 and sizes[-1] <= 2
     rows = {r.k: r.after.v for r in jobs.upserts(spark, str(tmp_path / "out"), ["k"]).collect()}
     assert 1 not in rows and rows[2] == "new" and rows[100] == "a" and len(rows) == 80
+
+
+def test_a_profile_stands_for_its_rows(spark):
+    rows = [(float(i % 17) * 1.5, "abc"[i % 3], None if i % 7 else i) for i in range(400)]
+    base = spark.createDataFrame(rows, "v double, c string, w bigint")
+    snap = spark.createDataFrame([(float(i % 23), "abd"[i % 3], i) for i in range(300)], "v double, c string, w bigint")
+
+    def plain(report):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in report.collect())
+
+    expected = plain(drift.drift_report(base, snap))
+    assert plain(drift.profile_drift(drift.baseline_profile(base), snap)) == expected
+    half = drift.baseline_profile(base.where("v < 9"))
+    assert plain(drift.profile_drift(drift.grown_profile(half, base.where("v >= 9")), snap)) == expected
