@@ -106,16 +106,38 @@ def change_schedule(spark, folder):
     return s.select("o_orderkey", "version", "operation", F.unix_micros("ts").alias("micros"))
 
 
-@query("change_events")
+_FREE = [c for c in COLUMNS if c not in (*KEYS, "o_custkey")]
+
+
+def _events_sql() -> str:
+    """Images of every version: the columns a version changes come from a donor row and stay until changed again."""
+    w = len(_FREE)
+    first, count = sql_index(str(w), "cdc-first", "o_orderkey", "version"), sql_index(str(min(3, w)), "cdc-count", "o_orderkey", "version")
+    hits = ", ".join(f"CASE WHEN operation = 'UPDATE' AND (({i} - a) % {w} + {w}) % {w} < b THEN d.{c} END AS hit_{c}" for i, c in enumerate(_FREE))
+    own = ", ".join(f"o.{c}" for c in ["o_custkey", *_FREE])
+    now = ", ".join(f"coalesce(last_value(hit_{c} IGNORE NULLS) OVER w, {c}) AS now_{c}" for c in _FREE)
+    seen = ", ".join(
+        [f"CASE WHEN operation <> 'DELETE' THEN now_{c} END AS after_{c}, lag(now_{c}) OVER w AS before_{c}" for c in _FREE]
+        + ["CASE WHEN operation <> 'DELETE' THEN o_custkey END AS after_o_custkey, lag(o_custkey) OVER w AS before_o_custkey"]
+    )
+    return f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY substr(sha256(o_orderkey::VARCHAR), 1, 3), o_orderkey) - 1 AS spot FROM orders),
+      s AS (SELECT *, {sql_index('(SELECT count(*) FROM orders)', 'cdc-donor', 'o_orderkey', 'version')} AS spot, {first} AS a, {count} + 1 AS b FROM {schedule_sql()}),
+      h AS (SELECT s.o_orderkey, version, operation, micros, {own}, {hits} FROM s JOIN orders o USING (o_orderkey) JOIN r d ON d.spot = s.spot),
+      n AS (SELECT *, {now} FROM h WINDOW w AS (PARTITION BY o_orderkey ORDER BY version ROWS UNBOUNDED PRECEDING))
+      SELECT operation, o_orderkey, micros, version::BIGINT AS seq, {seen} FROM n WINDOW w AS (PARTITION BY o_orderkey ORDER BY version)"""
+
+
+@query("change_events", _events_sql())
 def change_events(spark, folder):
     events = cdc.change_events(table(spark, folder, "orders").select(*COLUMNS), "orders", KEYS, START, HOURS, ["o_custkey"])
-    return events.select("operation", *cdc.event_key(events, KEYS), F.unix_micros("ts").alias("micros"), "seq", "before", "after")
+    images = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("before", "after") for c in COLUMNS if c not in KEYS]
+    return events.select("operation", *cdc.event_key(events, KEYS), F.unix_micros("ts").alias("micros"), "seq", *images)
 
 
-@query("ordered_change_events")
+@query("ordered_change_events", f"SELECT operation, o_orderkey, micros FROM {schedule_sql()}")
 def ordered_change_events(spark, folder):
     events = cdc.change_events(table(spark, folder, "orders").select(*COLUMNS), "orders", KEYS, START, HOURS, ["o_custkey"])
-    return cdc.ordered_events(events).select("ts", "operation", *cdc.event_key(events, KEYS))
+    return cdc.ordered_events(events).select(F.unix_micros("ts").alias("micros"), "operation", *cdc.event_key(events, KEYS))
 
 
 def all_events(spark, folder):
