@@ -150,7 +150,15 @@ def configuration_model(spark, folder):
     return graph_models.configuration_model(graph.degrees(nodes, edges))
 
 
-@query("directed_configuration_model")
+def _side_sql(tag, end):
+    return f"""(SELECT id, row_number() OVER (ORDER BY {sql_digest(tag, 'id', 'j')}, id, j) AS i FROM
+        (SELECT id, unnest(range(k)) AS j FROM (SELECT {end} AS id, count(*) AS k FROM {EDGES} GROUP BY 1)))"""
+
+
+@query(
+    "directed_configuration_model",
+    f"SELECT DISTINCT a.id AS src, b.id AS dst FROM {_side_sql('out-stub', 'src')} a JOIN {_side_sql('in-stub', 'dst')} b USING (i) WHERE a.id <> b.id",
+)
 def directed_configuration_model(spark, folder):
     _, edges = part_graph(spark, folder)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
@@ -282,10 +290,16 @@ def attribute_catalogue(spark, folder):
     return graph.attribute_catalogue(attributed_parts(spark, folder))
 
 
-@query("drawn_attributes")
+def _attribute_sql(name, column):
+    return f"""(SELECT id, {column} AS {name} FROM (SELECT id, {sql_index('(SELECT count(*) FROM part)', f'attr:{name}', 'id')} AS spot FROM (SELECT p_partkey + 1000000 AS id FROM part))
+        JOIN (SELECT {column}, row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS spot FROM part) USING (spot))"""
+
+
+@query("drawn_attributes", f"SELECT id, brand, kind FROM {_attribute_sql('brand', 'p_brand')} JOIN {_attribute_sql('kind', 'p_type')} USING (id)")
 def drawn_attributes(spark, folder):
     observed = attributed_parts(spark, folder)
-    return graph.draw_attributes(observed.select((F.col("id") + 1_000_000).alias("id")), observed, ["id"])
+    made = graph.draw_attributes(observed.select((F.col("id") + 1_000_000).alias("id")), observed, ["id"])
+    return made.select("id", F.col("attrs")["brand"].alias("brand"), F.col("attrs")["kind"].alias("kind"))
 
 
 @query("new_node_ids", "SELECT c_custkey AS id, 'Customer#' || ((SELECT max(substr(c_name, 10)::BIGINT) FROM customer) + 1 + c_custkey) AS node FROM customer")

@@ -64,3 +64,11 @@ def sql_long(source: str, columns: list[str], cast: str, side: str = "") -> str:
         f"SELECT '{c}' AS column_name, CAST({c} AS {cast}) AS value{mark} FROM {source} WHERE {c} IS NOT NULL"
         for c in columns
     )
+
+
+def sql_marginal(column: str, source: str, ids: str) -> str:
+    """(id, column) drawn by frequency: the first value, commonest first, whose cumulative share exceeds the id's uniform number."""
+    return f"""(SELECT id, value AS {column} FROM (SELECT id, {sql_uniform(f'draw:{column}', 'id')} AS u FROM {ids}) JOIN
+      (SELECT value, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo, hi FROM
+        (SELECT value, sum(n) OVER (ORDER BY n DESC, value)::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi FROM
+          (SELECT {column}::VARCHAR AS value, count(*) AS n FROM {source} GROUP BY 1))) ON u >= lo AND u < hi)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.operators import relational as rel
-from tabwright.plans.registry import query, sql_digest, table
+from tabwright.plans.registry import query, sql_digest, sql_index, sql_marginal, table
 
 LINKS = [
     {"parent_table": "customer", "parent_column": "c_custkey", "child_table": "orders", "child_column": "o_custkey"},
@@ -157,7 +157,18 @@ def related_table_set(spark, folder):
     return made["lineitem"]
 
 
-@query("related_tables_synthesis")
+def _children_sql() -> str:
+    drawn = " JOIN ".join(f"{sql_marginal(c, 'orders', 'm')} USING (id)" for c in ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    return f"""WITH o AS (SELECT c_custkey AS k, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+      i AS (SELECT n, row_number() OVER (ORDER BY substr(sha256(k::VARCHAR), 1, 3), k) - 1 AS spot FROM o),
+      p AS (SELECT c, {sql_index('(SELECT count(*) FROM customer)', 'children', 'c')} AS spot FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS c)),
+      s AS (SELECT c, unnest(range(1, n + 1)) AS j FROM p JOIN i USING (spot)),
+      m AS (SELECT c, j, row_number() OVER (ORDER BY substr(sha256(concat_ws('|', c, j)), 1, 3), c, j) - 1 AS id FROM s)
+      SELECT id AS o_orderkey, c AS o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice, o_orderdate::TIMESTAMP AS o_orderdate, o_orderpriority
+      FROM m JOIN {drawn}"""
+
+
+@query("related_tables_synthesis", _children_sql())
 def related_tables_synthesis(spark, folder):
     customer = table(spark, folder, "customer")
     orders = table(spark, folder, "orders")

@@ -6,23 +6,15 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import synthesis as syn
 from tabwright.plans.drift_queries import rounded
-from tabwright.plans.registry import query, sql_index, sql_uniform, table
+from tabwright.plans.registry import query, sql_index, sql_marginal, sql_uniform, table
 
 _CUSTOMERS = "(SELECT c_custkey AS id FROM customer)"
 
 
-def _marginal_sql(column: str) -> str:
-    """(id, column) drawn by frequency: the first value whose cumulative share exceeds the row's uniform number."""
-    return f"""(SELECT id, value AS {column} FROM (SELECT id, {sql_uniform(f'draw:{column}', 'id')} AS u FROM {_CUSTOMERS}) JOIN
-      (SELECT value, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo, hi FROM
-        (SELECT value, sum(n) OVER (ORDER BY n DESC, value)::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi FROM
-          (SELECT {column}::VARCHAR AS value, count(*) AS n FROM customer GROUP BY 1))) ON u >= lo AND u < hi)"""
-
-
 @query(
     "independent_marginals",
     f"""SELECT id, c_acctbal::DOUBLE AS c_acctbal, c_nationkey::INTEGER AS c_nationkey, c_mktsegment
-      FROM {_marginal_sql('c_acctbal')} JOIN {_marginal_sql('c_nationkey')} USING (id) JOIN {_marginal_sql('c_mktsegment')} USING (id)""",
+      FROM {sql_marginal('c_acctbal', 'customer', _CUSTOMERS)} JOIN {sql_marginal('c_nationkey', 'customer', _CUSTOMERS)} USING (id) JOIN {sql_marginal('c_mktsegment', 'customer', _CUSTOMERS)} USING (id)""",
 )
 def independent_marginals(spark, folder):
     rows = table(spark, folder, "customer")
