@@ -136,20 +136,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     id in sight, through joins with one row per node, so no neighbourhood is ever collected.
     """
     links = cut_lineage(simple_edges(edges))
-    seen = None
+    seen, number = None, links.count()
     while True:
         ways = both_ways(links)
         least = ways.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("_m"), F.count("*").alias("_n"))
-        told = fact_join(ways.where(F.col("dst") > F.col("src")), cut_lineage(least), ["src"], "_n")
+        told = fact_join(ways.where(F.col("dst") > F.col("src")), cut_lineage(least), ["src"], "_n", 2 * number)
         large = cut_lineage(told.select(F.col("dst").alias("src"), F.col("_m").alias("dst")).distinct())
         low = large.groupBy("src").agg(F.min("dst").alias("_m"), F.count("*").alias("_n"))
-        joined = fact_join(large, cut_lineage(low), ["src"], "_n")
+        joined = fact_join(large, cut_lineage(low), ["src"], "_n", number)
         small = joined.select("src", F.col("_m").alias("dst")).union(joined.where("dst <> _m").select("dst", "_m")).distinct()
         links = cut_lineage(small)
         mark = _fingerprint(links)
         if mark == seen:
             break
-        seen = mark
+        seen, number = mark, mark[0]
     roots = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -190,11 +190,12 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -
     """
     ways = cut_lineage(both_ways(simple_edges(edges)))
     sizes = cut_lineage(ways.groupBy(F.col("dst")).agg(F.count("*").alias("_degree")))
+    total = ways.count()
     labels = nodes.select("id", F.col("id").alias("community"))
     marks: set[tuple] = set()
     while rounds is None or len(marks) < rounds:
         # the labels of the few heaviest hubs are broadcast, so no task gets a hub's edges; votes are summed before they move
-        told = fact_join(ways, cut_lineage(sizes.join(labels.withColumnRenamed("id", "dst"), "dst")), ["dst"], "_degree").where("community IS NOT NULL")
+        told = fact_join(ways, cut_lineage(sizes.join(labels.withColumnRenamed("id", "dst"), "dst")), ["dst"], "_degree", total).where("community IS NOT NULL")
         seen = told.groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("n"))
         own = labels.select("id", "community", F.lit(1).cast("bigint").alias("n"))
         votes = seen.unionByName(own).groupBy("id", "community").agg(F.sum("n").alias("n"))

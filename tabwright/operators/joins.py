@@ -11,13 +11,15 @@ HEAVY_SHARE = 1000
 SPREAD = 1024
 
 
-def fact_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+def fact_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
     """``rows`` with the other columns of ``facts``, which has one row per key; a left join.
 
     ``count`` names the column of facts with the number of rows that have the key.  Facts of heavy keys, fewer than
     HEAVY_SHARE, are broadcast; rows that found theirs, or have a null key, are spread over keys that match nothing.
+    ``total`` is the sum of the counts, where the caller knows it.
     """
-    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if total is None:
+        total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     heavy = F.col(count) * HEAVY_SHARE > total
     values = [c for c in facts.columns if c not in keys]
     most = facts.where(heavy).select(*keys, F.struct(*values).alias("_heavy"))
