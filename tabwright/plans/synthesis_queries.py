@@ -47,24 +47,24 @@ def dependency_tree(spark, folder):
     return syn.sample_tree(model, rows.select(F.col("o_orderkey").alias("id")))
 
 
-_DAYS = "(SELECT l_orderkey * 8 + l_linenumber AS id, substr(l_shipdate::VARCHAR, 1, 10) AS day, substr(l_shipdate::VARCHAR, 1, 4) AS year FROM lineitem)"
+_DAYS = "(SELECT l_orderkey * 8 + l_linenumber AS id, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 7)::VARCHAR AS week, substr(l_shipdate::VARCHAR, 1, 4) AS year FROM lineitem)"
 
 
 @query(
     "tree_draws",
-    f"""WITH t AS {_DAYS}, r AS (SELECT day, n, sum(n) OVER (ORDER BY n DESC, day)::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi,
-          (sum(n) OVER (ORDER BY n DESC, day) - n)::DOUBLE / (sum(n) OVER ())::DOUBLE AS lo FROM (SELECT day, count(*) AS n FROM t GROUP BY 1)),
-        c AS (SELECT day, year, sum(n) OVER w::DOUBLE / (sum(n) OVER (PARTITION BY day))::DOUBLE AS hi, (sum(n) OVER w - n)::DOUBLE / (sum(n) OVER (PARTITION BY day))::DOUBLE AS lo
-          FROM (SELECT day, year, count(*) AS n FROM t GROUP BY 1, 2) WINDOW w AS (PARTITION BY day ORDER BY n DESC, year)),
-        d AS (SELECT id, day, {sql_uniform('tree:year', 'id')} AS u FROM (SELECT id, {sql_uniform('tree:day', 'id')} AS v FROM t) JOIN r ON v >= lo AND v < hi)
-      SELECT id, d.day, year FROM d JOIN c ON d.day = c.day AND u >= lo AND u < hi""",
+    f"""WITH t AS {_DAYS}, r AS (SELECT week, n, sum(n) OVER (ORDER BY n DESC, week)::DOUBLE / (sum(n) OVER ())::DOUBLE AS hi,
+          (sum(n) OVER (ORDER BY n DESC, week) - n)::DOUBLE / (sum(n) OVER ())::DOUBLE AS lo FROM (SELECT week, count(*) AS n FROM t GROUP BY 1)),
+        c AS (SELECT week, year, sum(n) OVER w::DOUBLE / (sum(n) OVER (PARTITION BY week))::DOUBLE AS hi, (sum(n) OVER w - n)::DOUBLE / (sum(n) OVER (PARTITION BY week))::DOUBLE AS lo
+          FROM (SELECT week, year, count(*) AS n FROM t GROUP BY 1, 2) WINDOW w AS (PARTITION BY week ORDER BY n DESC, year)),
+        d AS (SELECT id, week, {sql_uniform('tree:year', 'id')} AS u FROM (SELECT id, {sql_uniform('tree:week', 'id')} AS v FROM t) JOIN r ON v >= lo AND v < hi)
+      SELECT id, d.week, year FROM d JOIN c ON d.week = c.week AND u >= lo AND u < hi""",
 )
 def tree_draws(spark, folder):
-    """A root of some 2,500 categories, and a column that depends on it."""
+    """A root of some 360 categories, and a column that depends on it."""
     rows = table(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("day"), F.substring(F.col("l_shipdate").cast("string"), 1, 4).alias("year")
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7).cast("string").alias("week"), F.substring(F.col("l_shipdate").cast("string"), 1, 4).alias("year")
     )
-    return syn.sample_tree(syn.fit_tree(rows, ["day", "year"]), rows.select("id")).select("id", "day", "year")
+    return syn.sample_tree(syn.fit_tree(rows, ["week", "year"]), rows.select("id")).select("id", "week", "year")
 
 
 @query("private_marginals")
