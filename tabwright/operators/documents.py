@@ -168,8 +168,7 @@ def line_class(line: Column) -> Column:
 _LINE_FIELDS = ("class", "celled", "bulleted", "counted", "item_bullet", "item_numbered", "stripped", "breaks")
 
 
-def _line_facts(line: Column) -> Column:
-    stripped = _strip(line)
+def _line_facts(line: Column, stripped: Column) -> list[Column]:
     bulleted, counted = line.rlike(BULLET), line.rlike(NUMBERED_ITEM)
     facts = (
         line_class(line),
@@ -181,7 +180,7 @@ def _line_facts(line: Column) -> Column:
         stripped,
         stripped.endswith(":") & (F.length(stripped) < 100),
     )
-    return F.struct(*[f.alias(n) for f, n in zip(facts, _LINE_FIELDS)])
+    return [f.alias(f"_{n}") for f, n in zip(facts, _LINE_FIELDS)]
 
 
 def fold_lines(lines: list[tuple]) -> list[tuple]:
@@ -221,32 +220,44 @@ def fold_lines(lines: list[tuple]) -> list[tuple]:
 def blocks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, block, kind, level, lines, content): consecutive lines of one class merged, blocks counted from 1.
 
-    Lines are classified by expressions; a fold over a document's lines then forms its blocks, in the row's own task.
+    Lines are classified by expressions; a fold over a document's lines, which follow each other in their task, then forms its
+    blocks. Nothing is shuffled.
     """
-    rows = docs.select(*keys, F.transform(F.split(F.col(text), "\n"), _line_facts).alias("_lines"))
+    # numbered before lines are made of them
+    numbered = docs.select(*keys, F.monotonically_increasing_id().alias("_document"), F.split(F.col(text), "\n").alias("_lines"))
+    rows = numbered.select(*keys, "_document", F.explode("_lines").alias("_line"))
+    facts = rows.select(*keys, "_document", *_line_facts(F.col("_line"), _strip(F.col("_line"))))
     made = "block bigint, kind string, level int, lines bigint, content string"
     schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys] + T._parse_datatype_string(made).fields)
     types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
 
     def fold(batches):
+        current, own, lines = None, None, []  # the document at hand: its number, its keys, its lines so far
         for batch in batches:
-            owner, out = [], []
-            lists = batch.column("_lines")
-            flat = lists.flatten()
-            columns = [flat.field(n).to_pylist() for n in _LINE_FIELDS]
-            facts = list(zip(*columns))
-            at = 0
-            for row, size in enumerate(lists.value_lengths().fill_null(0).to_pylist()):
-                for number, block in enumerate(fold_lines(facts[at : at + size]), 1):
-                    owner.append(row)
-                    out.append((number, *block))
-                at += size
-            taken = pa.array(owner, pa.int64())
-            arrays = [batch.column(k).take(taken) for k in keys]
-            arrays += [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return rows.mapInArrow(fold, schema)
+            names, out = [], []
+            numbers = batch.column("_document").to_pylist()
+            columns = list(zip(*(batch.column(f"_{n}").to_pylist() for n in _LINE_FIELDS)))
+            starts = [i for i, n in enumerate(numbers) if i == 0 or n != numbers[i - 1]]
+            for start, stop in zip(starts, [*starts[1:], len(numbers)]):
+                if numbers[start] != current:
+                    for number, block in enumerate(fold_lines(lines), 1):
+                        names.append(own)
+                        out.append((number, *block))
+                    current, own, lines = numbers[start], batch.slice(start, 1).select(keys), []
+                lines += columns[start:stop]
+            if out:
+                yield results(names, out)
+        last = [(number, *block) for number, block in enumerate(fold_lines(lines), 1)]
+        if last:
+            yield results([own] * len(last), last)
+
+    def results(names, out):
+        kept = pa.Table.from_batches(names).combine_chunks()
+        arrays = [kept.column(k).chunk(0) if kept.num_rows else kept.column(k).combine_chunks() for k in keys]
+        arrays += [pa.array(c, t) for c, t in zip(zip(*out), types)]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return facts.mapInArrow(fold, schema)
 
 
 def page_words(pages: DataFrame, document: str, page: str, text: str = "text") -> DataFrame:
