@@ -72,14 +72,19 @@ def directed_configuration_model(degrees: DataFrame, seed: int = keyed.SEED) ->
 def chung_lu(degrees: DataFrame, seed: int = keyed.SEED) -> DataFrame:
     """Half as many draws as stubs, both ends taken at hashed stub positions, that is by degree."""
     numbered = cut_lineage(with_hashed_index(stubs(degrees), ["id", "_j"], "_i").select("_i", "id"))
-    total = degrees.agg(F.sum("degree").alias("_t"))
-    draws = attach(numbered.where("_i % 2 = 0").select((F.col("_i") / 2).cast("bigint").alias("e")), total)
-    ends = draws.select("e", *[keyed.index_below(F.col("_t"), f"cl-{x}", F.col("e"), seed=seed).alias(f"_{x}") for x in "ab"])
+    total = degrees.agg(F.sum(F.greatest("degree", F.lit(0))).alias("_t"))
+    stub_count = total.first()["_t"] or 0
+    draws = numbered.sparkSession.range((stub_count + 1) // 2).select(F.col("id").alias("e"), F.lit(stub_count).cast("bigint").alias("_t"))
+    ends = keyed.with_drawn(draws, **{f"_{x}": keyed.index_below(F.col("_t"), f"cl-{x}", F.col("e"), seed=seed) for x in "ab"})
     a = numbered.select(F.col("_i").alias("_a"), F.col("id").alias("src"))
     b = numbered.select(F.col("_i").alias("_b"), F.col("id").alias("dst"))
     return _clean(ends.join(a, "_a").join(b, "_b"))
 
 
+#: Hops of a place that are columns of their own.
+HOPS = 8
+
+
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = keyed.SEED) -> DataFrame:
     """Preferential attachment without a sequential state (Sanders and Schulz 2016).
 
@@ -92,13 +97,18 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = keyed.SEED)
     def hop(place, _):
         return F.when(place % 2 == 0, place).otherwise(keyed.index_below(place, "ba", place, seed=seed))
 
-    place = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.col("e") * 2 + 1, hop)
-    source = F.expr(f"e div {m}")
-    return _clean(rows.select(source.alias("src"), place.alias("_place")).select("src", F.expr(f"_place div {2 * m}").alias("dst")))
+    # Half of the draws end with each hop: the first hops are plain columns, the rest, needed by few rows, a loop.
+    rows = rows.select("e", (F.col("e") * 2 + 1).alias("_place0"))
+    for i in range(HOPS):
+        rows = keyed.with_drawn(rows.select("e", f"_place{i}"), **{f"_place{i + 1}": hop(F.col(f"_place{i}"), None)})
+    last = F.col(f"_place{HOPS}")
+    rest = F.aggregate(F.sequence(F.lit(1), F.lit(64 - HOPS)), last, hop)
+    rows = keyed.with_drawn(rows.select("e", last), _place=F.when(last % 2 == 0, last).otherwise(rest))
+    return _clean(rows.select(F.expr(f"e div {m}").alias("src"), F.expr(f"_place div {2 * m}").alias("dst")))
 
 
 def _pair(k: Column) -> tuple[Column, Column]:
-    """The k-th pair (i, j) with 0 <= j < i, exact in whole numbers."""
+    """The k-th pair (i, j) with 0 <= j < i, exact in whole numbers.  It names k many times: hand in a column of its own."""
     guess = F.floor((F.sqrt(F.lit(8.0) * k + 1) + 1) / 2).cast("bigint")
     first = lambda i: (i * (i - 1) / 2).cast("bigint")
     i = F.when(first(guess) > k, guess - 1).when(first(guess + 1) <= k, guess + 1).otherwise(guess)
@@ -110,8 +120,9 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = keyed.SEED) -
     p = min(p or 0.05, 1 - 1e-9)
     pairs = n * (n - 1) // 2
     draws = spark.range(max(0, round(-pairs * math.log1p(-p))))
-    i, j = _pair(keyed.index_below(pairs, "er", F.col("id"), seed=seed))
-    return _clean(draws.select(j.alias("src"), i.alias("dst")))
+    i, j = _pair(F.col("_k"))
+    # j < i, so there are no loops and one form of every pair
+    return keyed.with_drawn(draws, _k=keyed.index_below(pairs, "er", F.col("id"), seed=seed)).select(j.alias("src"), i.alias("dst")).distinct()
 
 
 def rewire_share(average_degree: float, clustering: float, n: int) -> tuple[int, float]:
@@ -127,10 +138,11 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, seed: int =
     """A ring of n nodes, each joined to k / 2 on one side; an edge's far end moves with probability beta."""
     rows = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(max(1, k // 2)))).alias("j"))
     ids = [F.col("i"), F.col("j")]
+    rows = keyed.with_drawn(rows, _moved=keyed.uniform("ws", *ids, seed=seed) < beta)
+    rows = keyed.with_drawn(rows, _other=F.when(F.col("_moved"), keyed.index_below(n - 1, "ws-to", *ids, seed=seed)))
     # A random other node: skip over i itself.
-    other = keyed.index_below(n - 1, "ws-to", *ids, seed=seed)
-    other = F.when(other >= F.col("i"), other + 1).otherwise(other)
-    target = F.when(keyed.uniform("ws", *ids, seed=seed) < beta, other).otherwise((F.col("i") + F.col("j")) % n)
+    other = F.when(F.col("_other") >= F.col("i"), F.col("_other") + 1).otherwise(F.col("_other"))
+    target = F.when(F.col("_moved"), other).otherwise((F.col("i") + F.col("j")) % n)
     return _clean(rows.select(F.col("i").alias("src"), target.alias("dst")))
 
 
@@ -145,23 +157,28 @@ def stochastic_block(sizes: DataFrame, p_intra: float, p_inter: float, seed: int
     pairs = F.col("size") * (F.col("size") - 1) / 2
     counted = sizes.select("block", "start", "size", F.round(pairs * thin(p_intra)).cast("bigint").alias("_m"))
     inside = expand_counts(counted, "_m", "_e")
-    i, j = _pair(keyed.index_below((F.col("size") * (F.col("size") - 1) / 2).cast("bigint"), "sbm-in", F.col("block"), F.col("_e"), seed=seed))
-    intra = inside.select((F.col("start") + j).alias("src"), (F.col("start") + i).alias("dst"))
+    i, j = _pair(F.col("_k"))
+    inside = keyed.with_drawn(inside, _k=keyed.index_below((F.col("size") * (F.col("size") - 1) / 2).cast("bigint"), "sbm-in", F.col("block"), F.col("_e"), seed=seed))
+    # j < i, so there are no loops and one form of every pair
+    intra = inside.select((F.col("start") + j).alias("src"), (F.col("start") + i).alias("dst")).distinct()
     totals = sizes.agg(F.sum("size").alias("n"), F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("inside")).first()
     n = int(totals.n)
     all_pairs = n * (n - 1) // 2
     # Of all pairs drawn, the share between blocks is kept; the draw rate is set so that those reach p_inter.
     draws = spark.range(round(all_pairs * thin(p_inter)))
-    a, b = _pair(keyed.index_below(max(1, all_pairs), "sbm-out", F.col("id"), seed=seed))
+    draws = keyed.with_drawn(draws, _k=keyed.index_below(max(1, all_pairs), "sbm-out", F.col("id"), seed=seed))
+    draws = draws.select("_k").distinct()
+    a, b = _pair(F.col("_k"))
     # Node number -> block by an equi-join on a per-node table.
     members = expand_counts(sizes.select("block", "start", "size"), "size", "_k").select((F.col("start") + F.col("_k")).alias("node"), "block")
     across = (
-        draws.select(b.alias("src"), a.alias("dst")).distinct()
+        draws.select(b.alias("src"), a.alias("dst"))
         .join(members.select(F.col("node").alias("src"), F.col("block").alias("_bs")), "src")
         .join(members.select(F.col("node").alias("dst"), F.col("block").alias("_bd")), "dst")
         .where("_bs <> _bd").select("src", "dst")
     )
-    return _clean(intra.unionByName(across))
+    # pairs inside a block and between blocks are never the same
+    return intra.unionByName(across)
 
 
 def block_sizes(labels: DataFrame, n: int) -> DataFrame:
