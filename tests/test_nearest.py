@@ -37,6 +37,20 @@ def test_nearest(spark, groups):
         assert list(r.distance) == pytest.approx([d for d, _ in expected[r.id]])
 
 
+def test_cells_are_found_down_the_tree(monkeypatch):
+    draw = np.random.default_rng(7)
+    points, queries = draw.normal(size=(20_000, 3)), draw.normal(size=(500, 3))
+    tree = nearest.Tree(points, 2000, False)
+    low, high = nearest._boxes(points, tree.cell_of(points), tree.cells)
+    looked, plain = [], nearest.within
+    monkeypatch.setattr(nearest, "within", lambda q, *more: looked.append(len(q)) or plain(q, *more))
+    bound = np.full(len(queries), 0.05)
+    got = set(zip(*(x.tolist() for x in tree.reached(queries, bound, *tree.over_cells(low, high), False))))
+    gap = np.maximum(np.maximum(low[None] - queries[:, None], queries[:, None] - high[None]), 0)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.sqrt((gap**2).sum(2)) <= 0.05))))
+    assert sum(looked) < len(queries) * tree.cells / 20
+
+
 def test_nearest_of_nothing(spark):
     df = spark.createDataFrame([(1, 2.0)], "id bigint, x double")
     assert [tuple(r) for r in nearest.nearest(df, df.limit(0), ["x"], 2).collect()] == [(1, [], [])]
