@@ -100,3 +100,16 @@ def test_fact_join(spark):
 def test_covering_triples():
     assert modelled.covering_triples(list("abcdefgh")) == [list("abc"), list("def"), list("fgh")]
     assert modelled.covering_triples(list("ab")) == [] and modelled.covering_triples(list("abc")) == [list("abc")]
+
+
+def test_a_forest_on_the_synthetic_rows_is_trained_once(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id AS k", "id % 37 AS a", "id % 41 AS b", "id % 43 AS c", "(id * 7) % 97 + id % 37 AS d")
+    real, synthetic = rows.where("k % 3 > 0"), rows.where("k % 3 = 0")
+    names, trained = ["a", "b", "c", "d"], []
+    plain = modelled.RandomForestRegressor.fit
+    alone = modelled.importance_preservation(real, synthetic, "d", names, 3).first()
+    monkeypatch.setattr(modelled.RandomForestRegressor, "fit", lambda self, df: trained.append(1) or plain(self, df))
+    fits = {}
+    assert modelled.regression_efficacy(real, synthetic, "d", names, ["k"], 3, fits=fits) is not None
+    assert modelled.importance_preservation(real, synthetic, "d", names, 3, fits=fits).first() == alone
+    assert len(trained) == 3
