@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.plans.registry import query, table
 from tabwright.plans.scratch import scratch_path
+from tabwright.session import cut_lineage
 from tabwright.sources import graphs, logs, tables
 
 
@@ -69,7 +70,7 @@ def node_link_scan(spark, folder):
 @query("graphml_scan", EDGE_SQL)
 def graphml_scan(spark, folder):
     path = scratch_path(spark, "graphml")
-    edges = graphs.canonical_edges(supplier_part_edges(spark, folder))
+    edges = cut_lineage(graphs.canonical_edges(supplier_part_edges(spark, folder)))
     graphs.write_graphml(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges, path)
     return graphs.read_graphml(spark, path + "/*")[1].select("src", "dst", "weight")
 
@@ -77,7 +78,7 @@ def graphml_scan(spark, folder):
 @query("gexf_scan", EDGE_SQL)
 def gexf_scan(spark, folder):
     path = scratch_path(spark, "gexf")
-    edges = graphs.canonical_edges(supplier_part_edges(spark, folder))
+    edges = cut_lineage(graphs.canonical_edges(supplier_part_edges(spark, folder)))
     graphs.write_gexf(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges, path)
     return graphs.read_gexf(spark, path + "/*")[1].select("src", "dst", "weight")
 

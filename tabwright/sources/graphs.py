@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,31 @@ def _ends_in_order(edges: DataFrame) -> DataFrame:
 
 
 def last_of_each(edges: DataFrame) -> DataFrame:
-    """Of repeated links the last in the file, whose place is ``_at``."""
-    last = F.max_by(F.struct("weight", "attrs"), "_at")
-    return edges.groupBy("src", "dst").agg(last.alias("_l")).select("src", "dst", "_l.weight", "_l.attrs")
+    """Of repeated links the last in the file, whose place is ``_at``.
+
+    Two figures, so that the attributes are neither moved nor sorted for a caller that does not read them.
+    """
+    return edges.groupBy("src", "dst").agg(F.max_by("weight", "_at").alias("weight"), F.max_by("attrs", "_at").alias("attrs"))
+
+
+def _rows_of(spark: SparkSession, path: str, tags: list[str]):
+    """A reader of the elements of some tags, each in the files that have any: one plain pass saves one of the parser per tag.
+
+    One row per file reaches the driver.  The text is cut at every "<", so a file of one line is read in small pieces too.
+    """
+    begins = {t: F.col("value").startswith(t) & F.col("value").rlike(rf"^{t}[\s/>]") for t in tags}
+    pieces = spark.read.option("lineSep", "<").text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    found = pieces.groupBy("_file").agg(*[F.max(b).alias(t) for t, b in begins.items()]).collect()
+    files = {t: [unquote(r["_file"]) for r in found if r[t]] for t in tags}
+    plain = not any(set(f) & set("*?[]{}\\,%") for some in files.values() for f in some)
+
+    def rows(tag: str, schema: str) -> DataFrame:
+        if not files[tag]:
+            return spark.createDataFrame([], schema)
+        reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema)
+        return reader.load(files[tag] if plain else path)
+
+    return rows
 
 
 def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -102,10 +126,7 @@ _DATA = "array<struct<_key:string,_VALUE:string>>"
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes, edges, directed) of GraphML through the built-in XML source, whatever namespace the file declares."""
-
-    def rows(tag, schema):
-        return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
-
+    rows = _rows_of(spark, path, ["key", "node", "graph", "edge"])
     # One row per attribute name: as many as the file declares.
     keys = rows("key", "_id string, `_attr.name` string, _for string").select("_id", F.col("`_attr.name`").alias("name"))
     names = {r["_id"]: r["name"] for r in keys.collect()}
@@ -134,10 +155,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes, edges, directed) of GEXF; attribute values are keyed by their declared titles."""
-
-    def rows(tag, schema):
-        return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
-
+    rows = _rows_of(spark, path, ["attribute", "node", "graph", "edge"])
     titles = {r["_id"]: r["_title"] for r in rows("attribute", "_id string, _title string").collect()}
     lookup = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair]) if titles else None
     values = "attvalues struct<attvalue:array<struct<_for:string,_value:string>>>"

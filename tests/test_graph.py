@@ -217,3 +217,20 @@ def test_labels_travel_until_none_changes(spark):
     nodes = spark.range(14)
     edges = nodes.where("id < 13").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.community for r in graph.communities(nodes, edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("folder_name", ["plain", "a b"])
+def test_xml_elements_are_sought_in_their_own_files(spark, tmp_path, folder_name):
+    path = str(tmp_path / folder_name)
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 3.0)], "src string, dst string, weight double").repartition(2)
+    graphs.write_graphml(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), edges, path)
+    (tmp_path / "line").mkdir()
+    (tmp_path / "line" / "g.graphml").write_text('<graphml><graph edgedefault="directed"><node id="x"/><edge source="y" target="x"/></graph></graphml>')
+    rows = graphs._rows_of(spark, path + "/*", ["key", "node", "graph", "edge"])
+    for tag, place in (("key", "keys"), ("graph", "graph"), ("node", "nodes"), ("edge", "edges")):
+        files = rows(tag, "_id string").inputFiles()
+        assert files and all(f"/{place}/" in f for f in files), tag
+    got = graphs.read_graphml(spark, path + "/*")
+    assert sorted(tuple(r) for r in got[1].select("src", "dst", "weight").collect()) == [("a", "b", 2.0), ("b", "c", 3.0)] and not got[2]
+    nodes, edges, directed = graphs.read_graphml(spark, str(tmp_path / "line"))
+    assert directed and [r.id for r in nodes.collect()] == ["x"] and [(r.src, r.dst) for r in edges.collect()] == [("y", "x")]
