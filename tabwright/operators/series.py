@@ -140,11 +140,11 @@ def forecast_efficacy(real: DataFrame, synthetic: DataFrame, keys: list[str], or
 
     The test windows start in the last 30 % of each series.
     """
-    windows = supervised(real, keys, order, features, target, length)
+    windows = cut_lineage(supervised(real, keys, order, features, target, length))
     size = windows.groupBy(*keys).agg(F.max("start").alias("_m")) if keys else windows.agg(F.max("start").alias("_m"))
     joined = windows.join(size, keys) if keys else attach(windows, size)
     train = joined.where(F.col("start") < F.floor(0.7 * (F.col("_m") + 1)))
-    test = _lagged(joined.where(F.col("start") >= F.floor(0.7 * (F.col("_m") + 1))), length, len(features))
+    test = cut_lineage(_lagged(joined.where(F.col("start") >= F.floor(0.7 * (F.col("_m") + 1))), length, len(features)))
     other = supervised(synthetic, keys, order, features, target, length)
     model = LinearRegression(regParam=1e-6)
     a = forecast_metrics(model.fit(_lagged(train, length, len(features))).transform(test)).select(*[F.col(c).alias(f"{c}_real") for c in ("rmse", "mae", "r2", "mape")])
