@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from tabwright.functions import keyed
 from tabwright.functions.log_formats import ACCESS, ACCESS_USER, APPLICATION, LEADING_TIMESTAMP, SYSLOG, TRIED
 from tabwright.operators.distributions import bucket_count
-from tabwright.operators.indexing import expand_counts, with_global_index
+from tabwright.operators.indexing import expand_counts, with_running_sum
 from tabwright.operators.scalars import attach
 from tabwright.session import cut_lineage
 
@@ -139,10 +141,11 @@ def top_values(records: DataFrame, fields: list[str], k: int = TOP_VALUES) -> Da
     return ranked.where(F.col("position") <= k).select("field", "position", "value", "n")
 
 
-def field_summary(records: DataFrame, fields: list[str]) -> DataFrame:
+def field_summary(records: DataFrame, fields: list[str], counted: DataFrame | None = None) -> DataFrame:
     """(field, kind, total, distinct_values, low, high, mean); the range for numeric fields only."""
     kinds = {f: field_kind(records, f) for f in fields}
-    counts = value_counts(records, fields).groupBy("field").agg(F.sum("n").alias("total"), F.count("*").alias("distinct_values"))
+    counted = value_counts(records, fields) if counted is None else counted
+    counts = counted.groupBy("field").agg(F.sum("n").alias("total"), F.count("*").alias("distinct_values"))
     numbers = [f for f in fields if kinds[f] in ("integer", "float")]
     lookup = records.sparkSession.createDataFrame(list(kinds.items()), "field string, kind string")
     out = counts.join(F.broadcast(lookup), "field")  # one row per field
@@ -169,8 +172,9 @@ def field_report(records: DataFrame, fields: list[str], k: int = 5) -> DataFrame
 class FieldModel:
     """What a generator needs of one field: its weighted values, and the range of a numeric field.
 
-    A short list is kept as it is.  Where there are more values, ``donors`` numbers them from 0, each as often as it
-    occurs and commonest first; a draw is a join on the number, so no value is left out.
+    A short list is kept as it is.  Where there are more values, ``donors(_start, n, value)`` gives each its stretch of the
+    numbers from 0 to ``total``, as long as the value is frequent and commonest first; a draw is a join on the number, so no
+    value is left out.
     """
 
     def __init__(self, kind: str, values: list[tuple[str, int]], low=None, high=None, mean=None, donors: DataFrame | None = None, total: int = 0):
@@ -184,27 +188,29 @@ class FieldModel:
             rows = spark.createDataFrame(list(enumerate(self.values)), "_at int, v struct<value:string,n:bigint>").select("_at", "v.*")
             kept = [(r.value, r.n) for r in rows.where(condition).orderBy("_at").collect()]  # of a short list
             return FieldModel(self.kind, kept) if kept else None
-        donors = cut_lineage(with_global_index(cut_lineage(self.donors.where(condition)), ["_at"], "_new").select(F.col("_new").alias("_at"), "value"))
-        total = donors.count()
+        ends = with_running_sum(self.donors.where(condition), ["_start"], "n", "_end")
+        donors = cut_lineage(ends.select((F.col("_end") - F.col("n")).alias("_start"), "n", "value"))
+        total = donors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         return FieldModel(self.kind, [], donors=donors, total=total) if total else None
 
 
 def fit_fields(records: DataFrame, fields: list[str], k: int = TOP_VALUES) -> dict[str, FieldModel]:
     """Fit the generators; lists of at most k values reach the driver, longer ones stay tables."""
-    summary = {r.field: r for r in field_summary(records, fields).collect()}
+    counts = cut_lineage(value_counts(records, fields))
+    summary = {r.field: r for r in field_summary(records, fields, counts).collect()}
     short = [f for f, r in summary.items() if r.distinct_values <= k]
     long = [f for f, r in summary.items() if r.distinct_values > k]
-    counts = cut_lineage(value_counts(records, fields))
     listed: dict[str, list] = {f: [] for f in short}
     for r in counts.where(F.col("field").isin(short)).orderBy("field", F.desc("n"), "value").collect():
         listed[r.field].append((r.value, r.n))
     models = {f: FieldModel(summary[f].kind, listed[f], summary[f].low, summary[f].high, summary[f].mean) for f in short}
     if long:
         weighed = counts.where(F.col("field").isin(long)).withColumn("_less", -F.col("n"))
-        every = cut_lineage(with_global_index(cut_lineage(expand_counts(weighed, "n", "_j")), ["field", "_less", "value", "_j"], "_at"))
-        starts = {r.field: r.start for r in every.groupBy("field").agg(F.min("_at").alias("start")).collect()}  # one row per field
+        ends = with_running_sum(weighed, ["field", "_less", "value"], "n", "_end")
+        every = cut_lineage(ends.select("field", (F.col("_end") - F.col("n")).alias("_start"), "n", "value"))
+        starts = {r.field: r.start for r in every.groupBy("field").agg(F.min("_start").alias("start")).collect()}  # one row per field
         for f in long:
-            donors = every.where(F.col("field") == f).select((F.col("_at") - starts[f]).alias("_at"), "value")
+            donors = every.where(F.col("field") == f).select((F.col("_start") - starts[f]).alias("_start"), "n", "value")
             models[f] = FieldModel(summary[f].kind, [], summary[f].low, summary[f].high, summary[f].mean, donors, summary[f].total)
     return models
 
@@ -213,13 +219,35 @@ def _drawn(tag: str) -> str:
     return "_drawn_" + tag.replace(":", "_")
 
 
+#: Stretches that every task may hold beside its rows.
+HELD = 20_000
+
+
+def _stretches(model: FieldModel) -> tuple[DataFrame, int]:
+    """(_bucket, _low, _high, value) and the width of a bucket: the numbers are cut into as many buckets as there are values.
+
+    A stretch is listed in every bucket it reaches, so there are at most twice as many rows as values, and a number meets
+    two of them or so.  Few are broadcast; many are dealt by bucket, of which none is drawn more than others.
+    """
+    rows = model.donors.count()
+    width = max(1, -(-model.total // max(1, rows)))
+    low, high = F.col("_start"), F.col("_start") + F.col("n")
+    first, last = F.floor(low / width).cast("bigint"), F.floor((high - 1) / width).cast("bigint")
+    parts = model.donors.select(low.alias("_low"), high.alias("_high"), "value", first.alias("_first"), (last - first + 1).alias("_parts"))
+    spans = expand_counts(parts, "_parts", "_p").select((F.col("_first") + F.col("_p")).alias("_bucket"), "_low", "_high", "value")
+    return (F.broadcast(spans) if rows <= HELD else spans), width
+
+
 def with_draws(rows: DataFrame, wanted: dict[str, FieldModel | None], seed: int = keyed.SEED, key: str = "id") -> DataFrame:
     """Join the draws, named by their tags, of those models that have donors; :func:`draw` finds them."""
     for tag, model in wanted.items():
         if model is not None and model.donors is not None:
             at = F.floor(keyed.uniform(tag, F.col(key), seed=seed) * F.lit(model.total)).cast("bigint")
-            donors = model.donors.select("_at", F.col("value").alias(_drawn(tag)))
-            rows = rows.withColumn("_at", at).join(donors, "_at", "left").drop("_at")
+            spans, width = _stretches(model)
+            asked = keyed.with_drawn(rows, _at=at).withColumn("_bucket", F.floor(F.col("_at") / width).cast("bigint"))
+            hit = (F.col("r._bucket") == F.col("v._bucket")) & (F.col("r._at") >= F.col("v._low")) & (F.col("r._at") < F.col("v._high"))
+            joined = asked.alias("r").join(spans.alias("v"), hit, "left")
+            rows = joined.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns], F.col("v.value").alias(_drawn(tag)))
     return rows
 
 
@@ -229,21 +257,38 @@ def _text_literal(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Entries up to which all are searched.
+FEW = 8
+
+
 def weighted_draw(values: list[tuple[str, int]], u: Column) -> Column:
     """One of a short list of values by weight: the first whose cumulative share exceeds u.
 
     The list is one folded literal, and u is bound once before the search: written inside the search's lambda it
-    would be hashed again for every entry.
+    would be hashed again for every entry.  More than a few entries are cut into as many cells of u, and one cell is searched.
     """
     total = sum(n for _, n in values)
-    running, steps = 0, []
+    running, highs, steps = 0, [], []
     for i, (value, n) in enumerate(values):
         running += n
-        high = 1.0 if i == len(values) - 1 else running / total
-        steps.append(f"named_struct('hi', {high!r}D, 'value', {_text_literal(value)})")
-    table = F.expr(f"array({', '.join(steps)})")
-    found = F.transform(F.array(u), lambda x: F.get(F.filter(table, lambda s: x < s["hi"]), F.lit(0))["value"])
-    return F.get(found, F.lit(0))
+        highs.append(1.0 if i == len(values) - 1 else running / total)
+        steps.append(f"named_struct('hi', {highs[-1]!r}D, 'value', {_text_literal(value)})")
+    if len(steps) <= FEW:
+        table = F.expr(f"array({', '.join(steps)})")
+        found = F.transform(F.array(u), lambda x: F.get(F.filter(table, lambda s: x < s["hi"]), F.lit(0))["value"])
+        return F.get(found, F.lit(0))
+    # each cell of u lists what its numbers can take; its bounds are a little wider, so that rounding does not count
+    cells = []
+    for i in range(len(steps)):
+        low, high = bisect_right(highs, i / len(steps) * (1 - 1e-12)), bisect_right(highs, (i + 1) / len(steps) * (1 + 1e-12))
+        cells.append(f"array({', '.join(steps[low : high + 1])})")
+    table = F.expr(f"array({', '.join(cells)})")
+
+    def search(x):
+        cell = F.get(table, F.floor(x * len(steps)).cast("int"))
+        return F.get(F.filter(cell, lambda s: x < s["hi"]), F.lit(0))["value"]
+
+    return F.get(F.transform(F.array(u), search), F.lit(0))
 
 
 def draw(model: FieldModel, tag: str, *keys: Column, seed: int = keyed.SEED) -> Column:
@@ -279,9 +324,9 @@ def spread_times(df: DataFrame, end, hours: int, seed: int = keyed.SEED, key: st
     return df.withColumn("ts", F.timestamp_micros(micros))
 
 
-def _time_and_order(lines: DataFrame, ordered: bool) -> DataFrame:
-    out = lines.select("id", "ts", "line")
-    return out.orderBy("ts", "id") if ordered else out
+def _time_and_order(rows: DataFrame, line: Column, ordered: bool) -> DataFrame:
+    """Lines in the order of time; the rows are sorted first, as a sort reads twice what it is given, draws and all."""
+    return (rows.orderBy("ts", "id") if ordered else rows).select("id", "ts", line.alias("line"))
 
 
 def make_rows(spark, n: int, end, hours: int, seed: int = keyed.SEED) -> DataFrame:
@@ -314,7 +359,7 @@ def access_lines(rows: DataFrame, models: dict[str, FieldModel], error_rate: flo
         F.lit(' +0000] "'), field("method", "GET"), F.lit(" "), field("path", "/api/health"), F.lit(' HTTP/1.1" '),
         F.when(flips, broken).otherwise(status).cast("string"), F.lit(" "), size.cast("string"),
     )
-    return _time_and_order(rows.withColumn("line", line), ordered)
+    return _time_and_order(rows, line, ordered)
 
 
 def syslog_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = keyed.SEED, ordered: bool = True) -> DataFrame:
@@ -330,7 +375,7 @@ def syslog_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = key
         F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" "), field("hostname", "localhost"), F.lit(" "), field("process", "app"),
         F.lit("["), pid, F.lit("]: "), field("message", "service started"),
     )
-    return _time_and_order(rows.withColumn("line", line), ordered)
+    return _time_and_order(rows, line, ordered)
 
 
 def severe_levels(models: dict[str, FieldModel]) -> FieldModel:
@@ -363,7 +408,7 @@ def application_lines(rows: DataFrame, models: dict[str, FieldModel], error_rate
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), padded, F.lit(" ["), field("component", "app"), F.lit("] "),
         field("message", "operation completed"),
     )
-    return _time_and_order(rows.withColumn("line", line), ordered)
+    return _time_and_order(rows, line, ordered)
 
 
 def key_sets(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -380,7 +425,8 @@ def json_lines(
     severe = severe_levels(models)
     present = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]))
     shapes = fit_fields(records.select(F.array_join(present, ",").alias("shape")), ["shape"])["shape"]
-    wanted = {f: m for f, m in models.items() if m.kind not in ("integer", "float")}
+    # the time is set afresh, so no observed one is drawn
+    wanted = {f: m for f, m in models.items() if m.kind not in ("integer", "float") and f != "timestamp"}
     wanted |= {f"{f}:v": m for f, m in models.items() if m.kind in ("integer", "float")}
     rows = with_draws(rows, {**wanted, "shape": shapes, "severity": severe}, seed)
     shaped = rows.withColumn("_keys", F.split(draw(shapes, "shape", key, seed=seed), ","))
@@ -391,7 +437,7 @@ def json_lines(
     for f in fields:
         if f not in ("timestamp", "level") and f in models:
             cells.append(F.when(F.array_contains("_keys", f), typed_draw(models[f], f, key, seed=seed)).alias(f))
-    return _time_and_order(shaped.withColumn("line", F.to_json(F.struct(*cells))), ordered)
+    return _time_and_order(shaped, F.to_json(F.struct(*cells)), ordered)
 
 
 def generic_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = keyed.SEED, ordered: bool = True) -> DataFrame:
@@ -399,7 +445,7 @@ def generic_lines(rows: DataFrame, models: dict[str, FieldModel], seed: int = ke
     rows = with_draws(rows, {"message": models["message"]}, seed)
     message = draw(models["message"], "message", F.col("id"), seed=seed)
     line = F.regexp_replace(message, F.lit(LEADING_TIMESTAMP), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return _time_and_order(rows.withColumn("line", line), ordered)
+    return _time_and_order(rows, line, ordered)
 
 
 def parse(lines: DataFrame, fmt: str, **options) -> DataFrame:

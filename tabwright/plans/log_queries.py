@@ -9,6 +9,7 @@ from tabwright.functions.log_formats import ACCESS, APPLICATION
 from tabwright.operators import logs
 from tabwright.plans.drift_queries import rounded
 from tabwright.plans.registry import query, sql_normal, sql_uniform, table
+from tabwright.session import cut_lineage, shuffle_partitions
 
 STATUS = {"error": 500, "purchase": 302, "signup": 201, "click": 200, "view": 304}
 LEVEL = {"error": "ERROR", "purchase": "INFO", "signup": "WARNING", "click": "DEBUG", "view": "INFO"}
@@ -90,7 +91,14 @@ def application_log_parse(spark, folder):
     return logs.parse_application(application_log(spark, folder))
 
 
-def json_log(spark, folder) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a table of one row group is one task's, with all that is worked out per row."""
+    # by place, not by turns, for which every task would first sort its rows
+    place = F.xxhash64(F.monotonically_increasing_id())
+    return df.withColumn("_place", place).repartition(shuffle_partitions(df.sparkSession), "_place").drop("_place")
+
+
+def json_log(spark, folder, events=None) -> DataFrame:
     """JSON lines; errors carry a code, and purchases are cut short."""
     record = F.to_json(
         F.struct(
@@ -99,7 +107,7 @@ def json_log(spark, folder) -> DataFrame:
         )
     )
     line = F.when(F.col("event_type") == "purchase", F.substring(record, 1, 20)).otherwise(record)
-    return table(spark, folder, "events").select("event_id", line.alias("line"))
+    return (table(spark, folder, "events") if events is None else events).select("event_id", line.alias("line"))
 
 
 JSON_SCHEMA = "timestamp string, level string, user_id bigint, value double, code bigint"
@@ -212,7 +220,7 @@ def ts_sql(hours):
 
 def rows(spark, folder, hours=24):
     """One new line per event."""
-    return logs.spread_times(table(spark, folder, "events").select(F.col("event_id").alias("id")), END, hours)
+    return logs.spread_times(spread(table(spark, folder, "events").select(F.col("event_id").alias("id"))), END, hours)
 
 
 @query("weighted_draw", f"WITH {joined_draws([('path', 'path', sql_uniform('path', 'id'), 'true')])} SELECT id, path FROM path_t")
@@ -305,7 +313,8 @@ def application_log_synthesis(spark, folder):
 
 @query("json_log_synthesis")
 def json_log_synthesis(spark, folder):
-    records = logs.parse_json(json_log(spark, folder), JSON_SCHEMA)
+    # parsed once, by all tasks: what follows reads the records five times
+    records = cut_lineage(logs.parse_json(json_log(spark, folder, spread(table(spark, folder, "events"))), JSON_SCHEMA).select(*JSON_FIELDS))
     models = logs.fit_fields(records, JSON_FIELDS)
     return logs.json_lines(rows(spark, folder), records, JSON_FIELDS, models, 0.2).select("id", "line")
 
