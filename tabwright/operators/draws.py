@@ -46,7 +46,9 @@ class Drawer:
             asked = fact_join(asked, self.givens, ["_given"], "_n").drop("_n")
         asked = asked.withColumn("_bucket", F.floor(F.col("_u") * F.col("_buckets")).cast("bigint")).drop("_buckets")
         held = self.intervals.alias("v")
-        hit = (F.col("r._given") == F.col("v._given")) & (F.col("r._bucket") == F.col("v._bucket")) & (F.col("r._u") >= F.col("v.lo")) & (F.col("r._u") < F.col("v.hi"))
+        hit = (F.col("r._bucket") == F.col("v._bucket")) & (F.col("r._u") >= F.col("v.lo")) & (F.col("r._u") < F.col("v.hi"))
+        if given is not None:  # a constant key would only make the rows slower to sort
+            hit = (F.col("r._given") == F.col("v._given")) & hit
         joined = asked.alias("r").join(held, hit, "left")
         return joined.select(*[F.col(f"r.{c}").alias(c) for c in columns], F.col("v.value").alias(name))
 

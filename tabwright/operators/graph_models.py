@@ -248,7 +248,7 @@ def add_edges(nodes: DataFrame, edges: DataFrame, missing: int, bias: float = 0.
     mean = d.agg(F.avg("degree").alias("_m"))
     low = attach(d, mean).where("degree <= _m").select("id")
     every = cut_lineage(with_hashed_index(nodes.select("id"), ["id"], "_i"))
-    lows = cut_lineage(with_hashed_index(cut_lineage(low), ["id"], "_i"))
+    lows = cut_lineage(with_hashed_index(low, ["id"], "_i"))
     n, k = every.count(), lows.count()
     have = edges.where("src <> dst").count()
     missing = min(missing, n * (n - 1) // 2 - have)
@@ -357,7 +357,7 @@ def augment(nodes: DataFrame, edges: DataFrame, labels: DataFrame, extra: int, f
     """
     simple = cut_lineage(graph.simple_edges(edges))
     d = cut_lineage(graph.degrees(nodes, simple))
-    every = cut_lineage(with_hashed_index(cut_lineage(d.join(labels, "id")), ["id"], "_i"))
+    every = cut_lineage(with_hashed_index(d.join(labels, "id"), ["id"], "_i"))
     n = every.count()
     new = nodes.sparkSession.range(extra)
     e = F.col("id")

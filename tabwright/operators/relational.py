@@ -172,11 +172,11 @@ def synthesize_children(
     ids = F.col(parent_column)
     counts = child.groupBy(F.col(child_column).alias("_k")).agg(F.count("*").alias("_n"))
     observed = parent.select(F.col(parent_column).alias("_k")).distinct().join(counts, "_k", "left").na.fill({"_n": 0})
-    indexed = with_hashed_index(cut_lineage(observed), ["_k"], "_at").select("_at", F.col("_n").cast("int").alias("_n"))
+    indexed = with_hashed_index(observed, ["_k"], "_at").select("_at", F.col("_n").cast("int").alias("_n"))
     total = indexed.count()
     counted = new_parents.select(parent_column, keyed.index_below(max(total, 1), "children", ids, seed=seed).alias("_at")).join(indexed, "_at").drop("_at")
     slots = expand_counts(counted, "_n", "_j").select(parent_column, (F.col("_j") + 1).alias("_j"))
-    numbered = cut_lineage(with_hashed_index(cut_lineage(slots), [parent_column, "_j"], "id"))
+    numbered = with_hashed_index(slots, [parent_column, "_j"], "id")
     free = [c for c in child.columns if c != child_column and c not in child_key]
     drawn = independent_rows(child, free, numbered.select("id", F.col(parent_column).alias(child_column), "_j"), child_key, seed)
     made = {k: F.col("id") for k in child_key if k != child_column and len(child_key) == 1}
@@ -189,15 +189,22 @@ def moved_keys(rows: DataFrame, column: str, parent: DataFrame, new_parent: Data
     """A drawn foreign key moved to the new parents: an observed parent's share of the children goes to a new one.
 
     Observed and new parents are numbered; new parents beyond the observed number take turns.  No key is left without a
-    parent, and a null stays null.
+    parent, and a null stays null.  Which new parent an observed one gives way to at each turn is worked out on the parents,
+    so the rows are joined once.
     """
-    old = with_hashed_index(cut_lineage(parent.select(F.col(parent_column).alias("_k")).where("_k IS NOT NULL").distinct()), ["_k"], "_at")
-    new = with_hashed_index(cut_lineage(new_parent.select(F.col(parent_column).alias("_new")).distinct()), ["_new"], "_at")
+    old = with_hashed_index(parent.select(F.col(parent_column).alias("_k")).where("_k IS NOT NULL").distinct(), ["_k"], "_at")
+    new = with_hashed_index(new_parent.select(F.col(parent_column).alias("_new")).distinct(), ["_new"], "_at")
     n_old, n_new = old.count(), new.count()
-    turn = keyed.index_below(max(1, -(-n_new // max(n_old, 1))), f"turn:{column}", *[F.col(k) for k in keys], seed=seed)
-    placed = rows.join(old.withColumnRenamed("_k", column), column, "left")
-    placed = placed.withColumn("_at", (F.col("_at") + F.lit(n_old) * turn) % F.lit(max(n_new, 1)))
-    return placed.drop(column).join(new.withColumnRenamed("_new", column), "_at", "left").select(*rows.columns)
+    turns = max(1, -(-n_new // max(n_old, 1)))
+    at = (F.col("_at") + F.lit(n_old) * F.col("_turn")) % F.lit(max(n_new, 1))
+    taken = old.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(turns - 1).cast("bigint"))))
+    taken = taken.select(F.col("_k").alias(column), "_turn", at.alias("_at")).join(new, "_at", "left").drop("_at")
+    if turns == 1:
+        placed = rows.join(taken.drop("_turn"), column, "left")
+    else:
+        turn = keyed.index_below(turns, f"turn:{column}", *[F.col(k) for k in keys], seed=seed)
+        placed = rows.withColumn("_turn", turn).join(taken, [column, "_turn"], "left").drop("_turn")
+    return placed.drop(column).withColumnRenamed("_new", column).select(*rows.columns)
 
 
 def synthesize_tables(
@@ -220,7 +227,6 @@ def synthesize_tables(
         rows = synthesize_children(
             made[first["parent_table"]], first["parent_column"], tables[first["parent_table"]], tables[name], first["child_column"], keys[name], seed
         )
-        rows = cut_lineage(rows)
         for r in others:
             rows = moved_keys(rows, r["child_column"], tables[r["parent_table"]], made[r["parent_table"]], r["parent_column"], keys[name], seed)
         made[name] = cut_lineage(rows)
