@@ -52,3 +52,6 @@ def test_statistics_tidy_the_edges_once(spark, monkeypatch):
     assert (row.nodes, row.edges, row.connected_components) == (5, 4, 2)
     assert abs(row.clustering_coefficient - (1 + 1 + 1 / 3) / 5) < 1e-12
     assert len(calls) == 1
+    tidy = real(edges).localCheckpoint()
+    assert graph.graph_stats(nodes, tidy, simple=tidy).first() == row
+    assert len(calls) == 1
