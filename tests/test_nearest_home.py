@@ -52,3 +52,11 @@ def test_interactions_draw_their_samples_once(spark):
     out = modelled.interaction_preservation(rows, rows, ["a", "b", "c"], ["id"], 30)
     assert "sha2(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.first().score == 1.0
+
+
+def test_queries_that_share_an_id_have_the_neighbours_of_all(spark):
+    points = spark.range(60).select((F.col("id") + 100).alias("id"), (F.col("id") * 1.0).alias("x"))
+    queries = spark.createDataFrame([(1, 5.1), (1, 50.2), (2, 20.1), (2, 20.1), (3, 30.1)], "id bigint, x double")
+    for cell_points in (6, 8192):
+        got = sorted((r.id, list(r.near)) for r in nearest.nearest(queries, points, ["x"], 2, cell_points=cell_points).collect())
+        assert got == [(1, [105, 150]), (1, [105, 150]), (2, [120, 120]), (2, [120, 120]), (3, [130, 131])]
